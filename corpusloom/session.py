@@ -26,12 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared checkpoint folder, so that no later
-    failure goes back beyond it. The folder is the cluster's `spark.checkpoint.dir`;
-    only where that is unset (tests) is a folder of this machine taken."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's `spark.checkpoint.dir`;
+    only where that is unset (tests) a folder of this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="corpusloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that no later failure goes back
+    beyond it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
