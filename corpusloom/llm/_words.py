@@ -15,6 +15,7 @@ import pyarrow as pa
 
 #: Texts are taken together until they hold so many bytes; a longer text goes alone.
 SLICE_BYTES = 1 << 21
+SLICE_TEXTS = 2_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -102,7 +103,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
     raw, bounds = flat(column)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, side="right")) - 1)
+        to = min(at + SLICE_TEXTS, max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, side="right")) - 1))
         yield at, to, raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
         at = to
 

@@ -6,17 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.near_dup import near_duplicates
+from corpusloom.llm import decontaminate, line_dedup, media, mixing, near_dup, quality, secrets, toxicity
 from corpusloom.session import table
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op5_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.inspect(media.pack(table(spark, sf_dir, "documents"))))
+
+
+def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
+
+
+def op9_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+_QUERIES = (
+    op1_simhash_decontamination,
+    op3_minmax_near_dup,
+    op4_line_templates,
+    op5_media_signatures,
+    op6_toxicity_lexicon,
+    op7_ordinal_quality,
+    op9_fair_queue_mix,
+    op10_secret_ownership,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minmax_near_dup,)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_fair_queue_mix": mixing.SQL}
