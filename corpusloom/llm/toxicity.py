@@ -1,8 +1,10 @@
 """Toxicity from a weighted lexicon, matched on folded text.
 
-The lexicon is learned: words that labelled toxic documents hold far more often than
-others, weighted by the logarithm of the odds. Aho-Corasick finds them in text in which
-look-alike letters and digits are folded; phrases in which a word is harmless cancel it.
+The lexicon is learned: words, and stems that words begin with, that labelled toxic
+documents hold far more often than others, weighted by the logarithm of the odds.
+Aho-Corasick finds them in text in which look-alike letters and digits are folded; of the
+entries that match in a word the heaviest counts; phrases in which a word is harmless
+cancel it.
 Sums of weights, whole and by length, give a probability by a logistic fit.
 """
 
@@ -34,6 +36,9 @@ HIDDEN = "­​‌‍⁠﻿"
 #: Words are harmless in these phrases.
 EXCEPTIONS = ("clown fish", "clown fishes", "class clown", "trash can", "trash cans", "trash bin", "pathetic fallacy", "sore loser board", "scum line", "pond scum", "disgusting smell of")
 
+#: Lengths of stems.
+STEMS = (5, 6, 7, 8)
+
 _TABLE = str.maketrans(FOLDED | dict.fromkeys(HIDDEN, ""))
 _CASED = str.maketrans({chr(c): FOLDED.get(chr(c + 32), chr(c + 32)) for c in range(65, 91)} | {k: v for k, v in FOLDED.items() if k.isascii()})
 _MARKS = re.compile("[̀-ͯ]")
@@ -52,7 +57,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """weights: by folded word; scale: intercept, and slopes of the features."""
+    """weights: by folded word, or stem with a star; scale: intercept, slopes of features."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -63,9 +68,12 @@ class Lexicon:
         if self._machine is None:
             self._machine = ahocorasick.Automaton()
             for word, weight in self.weights.items():
-                self._machine.add_word(word, (len(word), weight))
+                bare, stem = word.rstrip("*"), word.endswith("*")
+                known = self._machine.get(bare, None)  # a word may be a stem as well
+                ends = (known[1:] if known else (0.0, 0.0))
+                self._machine.add_word(bare, (len(bare), max(weight, ends[0]) if stem else ends[0], ends[1] if stem else max(weight, ends[1])))
             for phrase in self.exceptions:
-                self._machine.add_word(fold(phrase), (len(fold(phrase)), 0.0))
+                self._machine.add_word(fold(phrase), (len(fold(phrase)), 0.0, 0.0))
             self._machine.make_automaton()
         return self._machine
 
@@ -75,14 +83,20 @@ class Lexicon:
         if not self.weights:
             return 0.0, 0
         folded = fold(text)
-        found, harmless = [], []
-        for at, (size, weight) in self.machine().iter(folded):
+        found: dict[int, tuple[int, float]] = {}
+        harmless = []
+        for at, (size, as_stem, as_word) in self.machine().iter(folded):
             start, end = at - size + 1, at + 1
-            if not (start and folded[start - 1].isalpha() or end < len(folded) and folded[end].isalpha()):
-                (found if weight else harmless).append((start, end, weight))
-        if harmless:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in harmless)]
-        return sum(w for *_, w in found), len(found)
+            if start and folded[start - 1].isalpha():
+                continue
+            ends = end == len(folded) or not folded[end].isalpha()
+            weight = max(as_stem, as_word) if ends else as_stem
+            if not as_stem and not as_word and ends:
+                harmless.append((start, end))
+            elif weight and weight > found.get(start, (0, 0.0))[1]:
+                found[start] = (end, weight)
+        kept = [w for start, (end, w) in found.items() if not any(a <= start and end <= b for a, b in harmless)]
+        return sum(kept), len(kept)
 
     def features(self, text: str) -> tuple[float, float]:
         total, _ = self.hits(text)
@@ -110,7 +124,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: tuple[Counter, Counter] = Counter(), Counter()
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[toxic].update(w for w in set(_WORD.findall(fold(text or ""))) if 3 <= len(w) <= 32)
+            words = {w for w in _WORD.findall(fold(text or "")) if 3 <= len(w) <= 32}
+            counts[toxic].update(words)
+            counts[toxic].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([counts[t][w] for w in words], pa.int64()) for t in (0, 1))], names=["word", "clean", "toxic"])
 
@@ -133,9 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
     """A lexicon from labelled rows that aren't held out.
 
     max_rows bounds the labelled rows learned from, about: a larger table of labels is
-    thinned by the MD5 of doc_id. Equal texts count once. A word enters with at least 5
-    toxic texts and 1 in 200 of all of them, and odds at least 8 times those elsewhere;
-    max_words of the largest evidence stay. Without toxic or without other labels the
+    thinned by the MD5 of doc_id. Equal texts count once. A word or stem enters with at
+    least 5 toxic texts and 1 in 200 of all of them, and odds at least 8 times those
+    elsewhere; max_words of the largest evidence stay. Without toxic or without other labels the
     lexicon is empty and all scores equal the share of toxic labels.
     """
     spark = docs.sparkSession
