@@ -13,9 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._filters import filter_of, passes
 from corpusloom.llm._words import Words, by_text, mix
 from corpusloom.session import cut
 
@@ -24,7 +25,6 @@ MIN_DOCS = 5
 #: Of the words of a template so many in 100 are constants at least; else unlike lines
 #: that only begin alike would pass for one.
 CONSTANT_PERCENT = 60
-_FILTER_BITS = 26
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,15 +56,10 @@ class Lines:
             self.hash = self.leaf = np.zeros(0, np.uint64)
 
 
-def _bit(leaf: Column) -> Column:
-    return F.shiftrightunsigned(leaf, 64 - _FILTER_BITS)
-
-
 def _tokens(batches: Iterator[pa.RecordBatch], depth: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lines = Lines(words, depth)
-        place = lines.leaf >> np.uint64(64 - _FILTER_BITS)
-        ok = np.flatnonzero(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        ok = np.flatnonzero(passes(bits, lines.leaf))
         if not len(ok):
             return None
         ids = [batch.column(c).slice(lo, hi - lo).take(pa.array(lines.text[ok])) for c in ("doc_id", "text_id")]
@@ -93,16 +88,6 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place.astype(np.int32)), pa.array(np.frombuffer(b"".join(held), np.int64))], names=["leaf", "line", "texts", "place", "word"])
 
 
-def _filter_of(leaves: DataFrame) -> np.ndarray:
-    """A bit for each leaf, at the place that its leading bits name. Its size is fixed; where
-    leaves are many, more lines than need be go on, and the exact counts sort them out."""
-    words = leaves.select((_bit(F.col("leaf")) / 8).cast("long").alias("at"), F.pmod(_bit(F.col("leaf")), F.lit(8)).cast("int").alias("bit"))
-    got = words.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("byte")).toArrow()
-    bits = np.zeros(1 << _FILTER_BITS - 3, np.uint8)
-    bits[got.column("at").to_numpy()] = got.column("byte").to_numpy()
-    return bits
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
@@ -112,7 +97,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, con
     """Lines to drop: doc_id, text_id, numbers (an array of line numbers from 0)."""
     rows = _keyed(docs)
     leaves = rows.mapInArrow(lambda b: _leaves(b, depth), "text_id long, leaf long").groupBy("leaf", "text_id").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
-    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(leaves))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(leaves, "leaf"))
     lines = cut(rows.mapInArrow(lambda b: _tokens(b, depth, sent.value), "doc_id long, text_id long, number int, leaf long, line long, held binary"))
 
     in_texts = lines.groupBy("leaf", "line", "text_id").agg(F.min("doc_id").alias("doc_id"), F.first("held").alias("held"))
