@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, line_dedup, media, mixing, near_dup, quality, secrets, toxicity
+from corpusloom.llm import decontaminate, line_dedup, media, mixing, near_dup, passages, quality, secrets, tool_calls, toxicity
 from corpusloom.session import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
 
 
+def op8_tool_call_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.derived(table(spark, sf_dir, "conversations")), tool_calls.TOOLS)
+
+
 def op9_fair_queue_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,11 +54,13 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_simhash_decontamination,
+    op2_collinear_passages,
     op3_minmax_near_dup,
     op4_line_templates,
     op5_media_signatures,
     op6_toxicity_lexicon,
     op7_ordinal_quality,
+    op8_tool_call_links,
     op9_fair_queue_mix,
     op10_secret_ownership,
 )
