@@ -20,14 +20,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm._filters import filter_of, id_hash, passes
 from corpusloom.llm._words import Words, by_text, mix
 from corpusloom.llm.components import components
 from corpusloom.session import cut
 
 PERMUTATIONS = 64
 BANDS = 32  # of two permutations each: a pair at 0.75 misses all with a chance of 5e-6
-#: Sketches of a pair at 0.75 agree in 96 of 128 bytes; in 64 or fewer about once in 1e10 pairs.
-LEAST_AGREED = 64
+#: Sketches of a pair at 0.75 agree in 96 of 128 bytes; in 75 or fewer about once in 5e4 pairs.
+LEAST_AGREED = 75
+#: Hubs that a member of buckets is tried with.
+HUBS = 3
 #: Documents of a band are compared within and between blocks of about so many.
 BLOCK = 256
 _CHUNK = 4096
@@ -96,43 +99,88 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
 
-def _within_cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: pairs of one cell, of unlike components, alike in sketch and size."""
-    names = ["cell", "part", "rep", "component", "n", "sketch"]
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, so that no cell is cut between batches."""
     held: pa.RecordBatch | None = None
-
-    def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cell, part, rep, comp, n = (rows.column(x).to_numpy(zero_copy_only=False) for x in names[:5])
-        sketch = _sketches(rows.column("sketch"))
-        edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-        last = np.repeat(edge[1:], np.diff(edge))
-        at = 0
-        while at < len(cell):  # so many first members that their pairs stay within bounds
-            to = at + max(1, int(np.searchsorted(np.cumsum((last - np.arange(len(cell)))[at:]), 200_000)))
-            others = last[at:to] - np.arange(at, to) - 1
-            i = np.repeat(np.arange(at, to), others)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(others) - others, others)
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            # blocks of a cell that joins two are compared with each other alone
-            good = (comp[i] != comp[j]) & (100 * small >= percent * large) & ((part[i] != part[j]) | (part[i] < 0))
-            i, j = i[good], j[good]
-            if len(i):
-                fine = _agreed(sketch[i], sketch[j]) > LEAST_AGREED
-                i, j = i[fine], j[fine]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
-            at = to
-
     for batch in batches:
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-        if not rows.num_rows:
+        if not batch.num_rows:
             continue
-        same = pc.not_equal(rows.column("cell"), rows.column("cell")[rows.num_rows - 1])
-        done = rows.num_rows - int(np.argmax(same.to_numpy(zero_copy_only=False)[::-1])) if pc.any(same).as_py() else 0
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        other = pc.not_equal(rows.column("cell"), rows.column("cell")[rows.num_rows - 1]).to_numpy(zero_copy_only=False)
+        done = rows.num_rows - int(np.argmax(other[::-1])) if other.any() else 0
         held = rows.slice(done)
         if done:
-            yield from pairs(rows.slice(0, done))
-    if held is not None and held.num_rows:
-        yield from pairs(held)
+            yield rows.slice(0, done)
+    if held is not None:
+        yield held
+
+
+def _candidates(rows: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within a cell: of unlike components, alike in size and sketch, and in
+    the first of the bands that the two share, so that each pair comes up once in all."""
+    cell, part, comp, n, number = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "part", "component", "n", "number"))
+    sketch = _sketches(rows.column("sketch"))
+    bands = rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    last = np.repeat(edge[1:], np.diff(edge))
+    at = 0
+    while at < len(cell):  # so many first members that their pairs stay within bounds
+        to = at + max(1, int(np.searchsorted(np.cumsum((last - np.arange(len(cell)))[at:]), 200_000)))
+        others = last[at:to] - np.arange(at, to) - 1
+        i = np.repeat(np.arange(at, to), others)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(others) - others, others)
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        # blocks of a cell that joins two are compared with each other alone
+        good = (comp[i] != comp[j]) & (100 * small >= percent * large) & ((part[i] != part[j]) | (part[i] < 0))
+        i, j = i[good], j[good]
+        if len(i):
+            good = _agreed(sketch[i], sketch[j]) > LEAST_AGREED
+            i, j = i[good], j[good]
+        if len(i):
+            good = (bands[i] == bands[j]).argmax(axis=1) == number[i]
+            yield i[good], j[good]
+        at = to
+
+
+def _in_question(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members that some pair of their cell is to be decided for."""
+    for rows in _whole_cells(batches):
+        found = [np.concatenate(pair) for pair in _candidates(rows, percent)]
+        if found:
+            yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(np.unique(np.concatenate(found))))], names=["rep"])
+
+
+def _linked_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of a cell that full sets confirm. Pairs that links of the cell join already
+    are passed over, so a cell gives fewer links than it has members."""
+    for rows in _whole_cells(batches):
+        rep, held = rows.column("rep").to_numpy(), rows.column("held").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        root = {}
+
+        def find(x: int, root: dict = root) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        links: list[tuple[int, int]] = []
+        comp = rows.column("component").to_numpy()
+        cell = rows.column("cell").to_numpy()
+        for first, second in _candidates(rows, percent):
+            for i, j in zip(first.tolist(), second.tolist(), strict=True):
+                x, y = find((cell[i], comp[i])), find((cell[j], comp[j]))
+                if x == y:
+                    continue
+                for at in (i, j):
+                    if at not in sets:
+                        sets[at] = np.frombuffer(held[at], np.uint64)
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[y] = x
+                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -157,15 +205,44 @@ def _confirmed(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Itera
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = passes(bits, batch.column("key").to_numpy(zero_copy_only=False))
+        yield batch.select(["doc_id", "text"]).filter(pa.array(good))
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the given doc_ids. Only texts that a filter lets pass are shuffled:
+    about those asked for."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(id_hash("doc_id").alias("key")), "key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    texts = texts.withColumn("key", id_hash("doc_id")).mapInArrow(lambda batches: _passing(batches, sent.value), "doc_id long, text string")
+    return texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs a < b, those that full sets confirm. Texts are fetched for these documents alone."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = cut(texts)
+    """Of pairs a < b, those that full sets confirm."""
+    texts = cut(_texts(docs, cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.mapInArrow(lambda batches: _confirmed(batches, k, percent), "a long, b long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, first = words.shingles(k)
+        held = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(held, pa.binary())], names=["rep", "held"])
+
+    return by_text(batches, "text", make)
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """node, component: the least of a node and its neighbours. Nodes of one label are
+    joined by links; others may be as well."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("m")), F.struct(F.col("b").alias("node"), F.col("a").alias("m")))).alias("_")).select("_.*")
+    return ends.groupBy("node").agg(F.least("node", F.min("m")).alias("component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Groups of documents joined by links of Jaccard similarity of at least `percent` / 100.
 
@@ -174,12 +251,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     1. Equal sets form classes; from here on a class is its smallest doc_id, so copies
        cost no pairs.
-    2. In every band's bucket each member is paired with three hubs (smallest, largest,
-       and smallest after flipping bits), which is linear in the members; sketches and
-       then full sets confirm; links are contracted to components.
-    3. Buckets that still hold several components are compared in full between members
-       of unlike components, in blocks of bounded size, so no pair of a bucket goes
-       untried; these links are confirmed and contracted too.
+    2. Every band's bucket has hubs (its smallest and largest member and another); a member
+       is tried with the three hubs that it shares most bands with: linear in the members.
+       Sketches and then full sets confirm links.
+    3. Members of a bucket that no common neighbour joins yet are compared with each other
+       in blocks of bounded size: sketches first, then full sets, which are sent to the
+       blocks for the members in question alone. Every such pair is decided, unless links
+       of its block join the two already, and only links leave the block, fewer than it
+       has members. Links are contracted to components at the end.
 
     Nulls and empties: a null or wordless text has no shingles and links with nothing;
     rows with a null doc_id take part in no group, have null component_id and class_id,
@@ -193,37 +272,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("of")), "doc_id").where("set_id = of").dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch")
     )
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    flip = 0x5555555555555555
-    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("h0"), F.max("rep").alias("h1"), F.min(F.col("rep").bitwiseXOR(F.lit(flip))).alias("h2")).where("m > 1")
+    banded = reps.select("rep", F.posexplode("bands").alias("number", "band"))
+    flip = F.lit(0x5555555555555555)
+    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("h0"), F.max("rep").alias("h1"), F.min(F.col("rep").bitwiseXOR(flip)).alias("h2")).where("m > 1")
     members = cut(banded.join(buckets, "band"))
-    sketches = reps.select("rep", "sketch", "n")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("n_a")), "a").join(
-            sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("n_b")), "b"
-        )
-        return found.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long")
-
-    hub = members.select("rep", F.explode(F.array("h0", "h1", F.col("h2").bitwiseXOR(F.lit(flip)))).alias("hub"))
-    starred = hub.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = cut(_confirm(cut(sized(starred)), docs, k, percent))
-    labels = components(links)
-
-    placed = cut(members.join(labels, members.rep == labels.node, "left").select("band", "rep", "m", F.coalesce("component", "rep").alias("component")))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    left = placed.join(mixed, "band").join(sketches, "rep")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = left.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    hubs = F.array("h0", "h1", F.col("h2").bitwiseXOR(flip))
+    tried = members.select("rep", F.explode(hubs).alias("hub")).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
+    best = tried.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct(-F.col("n"), "hub"))), 1, HUBS).alias("best")).select("rep", F.explode("best.hub").alias("hub"))
+    pairs = best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    side = lambda x: reps.select(F.col("rep").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n").alias(f"n_{x}"))
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    likely = cut(likely.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
+    links = cut(_confirm(likely, docs, k, percent))
+
+    labels = _labels(links)
+    rows = members.select("band", "number", "rep", "m").join(labels, members.rep == labels.node, "left").select("band", "number", "rep", "m", F.coalesce("component", "rep").alias("component"))
+    mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
+    left = rows.join(mixed, "band").join(reps, "rep").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = left.select(
         F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("g") == 1, F.lit(-1)).otherwise(F.col("block")).alias("part"), "rep", "component", "n", "sketch", F.col("block") == F.col("other"),
-    ).toDF("cell", "part", "rep", "component", "n", "sketch", "own")
-    cells = cells.withColumn("part", F.when(F.col("own"), F.lit(-1)).otherwise(F.col("part"))).drop("own")
-    more = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _within_cells(batches, percent), "a long, b long").distinct()
-    further = cut(_confirm(cut(more), docs, k, percent))
-    labels = components(links.unionByName(further))
+        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("part"), "number", "rep", "component", "n", "sketch", "bands",
+    )
+    sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+    asked = cut(sorted_(cells).mapInArrow(lambda batches: _in_question(batches, percent), "rep long").distinct())
+    sets = cut(_texts(docs, asked.withColumnRenamed("rep", "doc_id")).mapInArrow(lambda batches: _sets(batches, k), "rep long, held binary"))
+    further = sorted_(cells.join(sets, "rep")).mapInArrow(lambda batches: _linked_within(batches, percent), "a long, b long")
+    labels = components(links.unionByName(cut(further)))
 
     named = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     return named.join(labels, named.rep == labels.node, "left").select(
@@ -246,3 +321,20 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 def recall_miss(similarity: float) -> float:
     """Chance that a pair of this similarity shares no band."""
     return math.pow(1 - similarity**4, BANDS)
+
+
+#: The same in DuckDB's SQL, by comparing all sets that share a shingle.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b, p.n = x.n AND p.n = y.n AS equal_ FROM pairs p JOIN sizes x ON p.a = x.doc_id JOIN sizes y ON p.b = y.doc_id WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b AS node, r.root FROM reach r JOIN both_ e ON r.node = e.a),
+lowest AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+classes AS (SELECT b AS node, min(a) AS class_id FROM links WHERE equal_ GROUP BY b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept, coalesce(c.class_id, d.doc_id) AS class_id
+FROM documents d JOIN lowest l ON d.doc_id = l.node LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN classes c ON d.doc_id = c.node
+"""
