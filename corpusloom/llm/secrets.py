@@ -105,3 +105,32 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang", share
         F.sha2(_joined(F.filter("found", lambda s: s["kind_no"] < BASE)), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"),
     )
     return rows.join(counts, "doc_id", "left").fillna(0, ["n_live", "n_shared"])
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, over `documents` with source as owner and lang as repository."""
+    found = "\nUNION ALL ".join(
+        f"SELECT doc_id, source, lang, {k} AS kind_no, {_quoted(name)} AS kind, {least} AS least_, {_quoted('^' + pattern) if group else 'NULL'} AS again, "
+        f"string_split(regexp_replace(t, {_quoted(pattern)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS p FROM clean WHERE regexp_matches(t, {_quoted(pattern)})"
+        for k, (name, pattern, group, least) in enumerate(KINDS)
+    )
+    return f"""WITH clean AS (SELECT doc_id, source, lang, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+parts AS ({found}),
+each AS (SELECT *, unnest(range(2, len(p) + 1)) AS i FROM parts),
+placed AS (SELECT doc_id, source, lang, kind_no, kind, least_, CAST(list_sum(list_transform(p[1:i - 1], lambda x: length(x))) - (i - 2) AS BIGINT) AS start_, split_part(p[i], chr(2), 1) AS m, again FROM each),
+valued AS (SELECT *, CASE WHEN again IS NULL THEN m ELSE regexp_extract(m, again, 2) END AS value FROM placed),
+spans AS (SELECT *, kind || ':' || CAST(start_ AS VARCHAR) || ':' || CAST(start_ + length(m) AS VARCHAR) AS span, sha256(value) AS h FROM valued WHERE length(value) >= least_),
+owners AS (SELECT h, count(DISTINCT source) AS n FROM spans GROUP BY h),
+counts AS (SELECT doc_id, count(DISTINCT CASE WHEN n < {SHARED_OWNERS} THEN h END) AS n_live, count(DISTINCT CASE WHEN n >= {SHARED_OWNERS} THEN h END) AS n_shared FROM spans JOIN owners USING (h) GROUP BY doc_id),
+rows_ AS (SELECT doc_id, sum(CASE WHEN kind_no = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN kind_no = 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN kind_no = 2 THEN 1 ELSE 0 END) AS c,
+  string_agg(CASE WHEN kind_no < {BASE} THEN span END, ',' ORDER BY start_, kind_no) AS base, string_agg(span, ',' ORDER BY start_, kind_no) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared
+FROM documents d LEFT JOIN rows_ r ON d.doc_id = r.doc_id LEFT JOIN counts k ON d.doc_id = k.doc_id"""
+
+
+SQL = _sql()
