@@ -2,8 +2,9 @@
 written as canonical JSON.
 
 Calls meet results in a join on conversation and call identifier. A call that refers to
-the results of others comes after them: levels grow from calls that wait for nothing, a
-join in each round. Arguments are checked against the tool's schema, and each call with
+the results of others comes after them: its level is one above theirs. Conversations of
+bounded size are put in order one by one; in larger ones levels grow from calls that wait
+for nothing, a join in each round. Arguments are checked against the tool's schema, and each call with
 its result becomes one line of JSON with sorted keys and no spare blanks.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
+#: Calls of a conversation that is put in order as a whole; larger ones are joined in rounds.
+WHOLE = 50_000
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -102,23 +105,65 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "call_id", "position", "level", "status")), pa.array([not e and s == "linked" for e, s in zip(batch.column("errors").to_pylist(), batch.column("status").to_pylist(), strict=True)]), pa.array(lines, pa.string())], names=["conv_id", "call_id", "position", "level", "status", "valid", "json"])
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """calls (conv_id, call_id, needs) to conv_id, call_id, level: 0 for calls that need no
-    other call that is there, else one more than the highest needed; null in a circle or
-    behind one. A round for each level; rounds look at calls that still wait."""
+def order(needs: dict[str, list[str]]) -> dict[str, int | None]:
+    """Levels of calls: 0 without a need that is there, else one more than the highest
+    needed; None in a circle or behind one."""
+    level: dict[str, int | None] = dict.fromkeys(needs)
+    open_ = {c: {n for n in set(ns) if n in needs} for c, ns in needs.items()}
+    behind: dict[str, list[str]] = {}
+    for c, ns in open_.items():
+        for n in ns:
+            behind.setdefault(n, []).append(c)
+    ready, at = [c for c, ns in open_.items() if not ns], 0
+    while ready:
+        following = []
+        for c in ready:
+            level[c] = at
+            for w in behind.get(c, ()):
+                open_[w].discard(c)
+                if not open_[w]:
+                    following.append(w)
+        ready, at = following, at + 1
+    return level
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, calls, found = [], [], []
+        for conv, held in zip(batch.column("conv_id").to_pylist(), batch.column("held").to_pylist(), strict=True):
+            levels_ = order({h["call_id"]: h["needs"] or [] for h in held})
+            ids += [conv] * len(levels_)
+            calls += levels_
+            found += levels_.values()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(calls, pa.string()), pa.array(found, pa.int32())], names=["conv_id", "call_id", "level"])
+
+
+def levels(calls: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """calls (conv_id, call_id, needs; each call once) to conv_id, call_id, level: 0 for calls
+    that need no other call that is there, else one more than the highest needed; null in a
+    circle or behind one. Conversations of more than `whole` calls go by `rounds`."""
+    large = cut(calls.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("conv_id"))
+    small = calls.join(large, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "needs")).alias("held"))
+    found = small.mapInArrow(_ordered, "conv_id long, call_id string, level int")
+    return found if large.isEmpty() else found.unionByName(rounds(calls.join(large, "conv_id", "left_semi")))
+
+
+def rounds(calls: DataFrame) -> DataFrame:
+    """The same by joins alone: a round for each level, over calls that still wait."""
     keys = calls.select("conv_id", "call_id").distinct()
     edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     edges = cut(edges.join(keys.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]))
-    waiting = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("open"))
+    waiting = edges.select("conv_id", "call_id").distinct()
     fixed = cut(keys.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
     done, level, left = fixed, 0, edges
     while not fixed.isEmpty():
         level += 1
-        left = cut(left.join(fixed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti").select("conv_id", "call_id", "need"))
-        still = left.select("conv_id", "call_id").distinct()
-        fixed = cut(edges.select("conv_id", "call_id").distinct().join(still, ["conv_id", "call_id"], "left_anti").join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
+        before = left
+        left = cut(before.join(fixed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti").select("conv_id", "call_id", "need"))
+        was, still = before.select("conv_id", "call_id").distinct(), left.select("conv_id", "call_id").distinct()
+        fixed = cut(was.join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
         done = cut(done.unionByName(fixed))
-    return keys.join(done, ["conv_id", "call_id"], "left")
+    return keys.join(done, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
