@@ -24,7 +24,7 @@ DEPTH = 4
 MIN_DOCS = 5
 #: Of the words of a template so many in 100 are constants at least; else unlike lines
 #: that only begin alike would pass for one.
-CONSTANT_PERCENT = 60
+CONSTANT_PERCENT = 50
 _VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,14 +78,16 @@ def _leaves(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of a line: leaf, line, texts, place, word."""
+    """A row for each word of a line that is no variable field: leaf, line, texts, place, word."""
     for batch in batches:
         held = batch.column("held").to_pylist()
         size = np.array([len(h) // 8 for h in held], np.int64)
         which = np.repeat(np.arange(len(held)), size)
         place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-        keys = batch.select(["leaf", "line", "texts"]).take(pa.array(which))
-        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place.astype(np.int32)), pa.array(np.frombuffer(b"".join(held), np.int64))], names=["leaf", "line", "texts", "place", "word"])
+        word = np.frombuffer(b"".join(held), np.int64)
+        fixed = word.view(np.uint64) != _VARIABLE
+        keys = batch.select(["leaf", "line", "texts"]).take(pa.array(which[fixed]))
+        yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(place[fixed].astype(np.int32)), pa.array(word[fixed])], names=["leaf", "line", "texts", "place", "word"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,17 +126,40 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     of null doc_id are never first. Repeated rows are treated alike. Columns named n_lines
     or n_dropped are replaced. A text that loses all its lines becomes empty and stays.
     """
-    dropped = recurring(docs, min_docs, depth, constant_percent).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), F.col("numbers").alias("_numbers"))
+    dropped = recurring(docs, min_docs, depth, constant_percent)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    text = F.col("text").cast("string")
-    keyed = docs.select(*kept, F.xxhash64(text).alias("_key"))
-    joined = keyed.join(dropped, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.col("_key") == F.col("_text")), "left")
+    # the row as one value: its columns may have any names
+    whole = docs.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    joined = whole.join(dropped, whole.doc.eqNullSafe(dropped.doc_id) & (whole.key == dropped.text_id), "left").select("row", "numbers")
+    text = F.col("row.text").cast("string")
     parts = F.split(text, "\n")
-    left = F.filter(parts, lambda line, i: ~F.array_contains(F.col("_numbers"), i))
-    cleaned = F.when(F.col("_numbers").isNull(), text).otherwise(F.array_join(left, "\n"))
-    out = {"text": cleaned}
-    rows = joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in kept), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_numbers"), F.lit(0)).cast("long").alias("n_dropped"))
-    rows = rows.withColumns({c: F.greatest(c, F.lit(0)) for c in ("n_lines", "n_dropped")})
+    left = F.filter(parts, lambda line, i: ~F.array_contains(F.col("numbers"), i))
+    cleaned = F.when(F.col("numbers").isNull(), text).otherwise(F.array_join(left, "\n"))
+    counts = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(n) for c, n in ((parts, "n_lines"), (F.col("numbers"), "n_dropped"))]
+    rows = joined.select(*(cleaned.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept), *counts)
     if "n_chars" in kept:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows
+
+
+#: The same in DuckDB's SQL.
+SQL = rf"""
+WITH docs AS (SELECT doc_id, text, md5(text) AS tid, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, tid, i - 1 AS number, ls[i] AS line FROM (SELECT doc_id, tid, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)),
+masked AS (SELECT doc_id, tid, number, list_transform(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''),
+  lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM lines),
+keyed AS (SELECT doc_id, tid, number, w, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:{DEPTH}], ' ') AS leaf, array_to_string(w, ' ') AS line FROM masked WHERE len(w) > 0),
+leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT tid) >= {MIN_DOCS}),
+known AS (SELECT * FROM keyed WHERE leaf IN (SELECT leaf FROM leaves)),
+distinct_ AS (SELECT leaf, line, any_value(w) AS w, count(DISTINCT tid) AS texts FROM known GROUP BY leaf, line),
+words AS (SELECT leaf, line, texts, i AS place, w[i] AS word FROM (SELECT leaf, line, texts, w, unnest(range(1, len(w) + 1)) AS i FROM distinct_) WHERE w[i] <> '<*>'),
+constants AS (SELECT leaf, place, word FROM words GROUP BY leaf, place, word HAVING sum(texts) >= {MIN_DOCS}),
+shaped AS (SELECT leaf, line, string_agg(CAST(place AS VARCHAR) || ':' || word, ' ' ORDER BY place) AS shape, count(*) AS n FROM words JOIN constants USING (leaf, place, word) GROUP BY leaf, line),
+templates AS (SELECT s.leaf, s.line, s.leaf || '|' || s.shape AS template FROM shaped s JOIN distinct_ d ON s.leaf = d.leaf AND s.line = d.line WHERE n * 100 >= len(d.w) * {CONSTANT_PERCENT}),
+held AS (SELECT doc_id, tid, number, template FROM known k JOIN templates t ON k.leaf = t.leaf AND k.line = t.line),
+often AS (SELECT template, min(doc_id) AS first_ FROM held GROUP BY template HAVING count(DISTINCT tid) >= {MIN_DOCS}),
+dropped AS (SELECT DISTINCT doc_id, number FROM held JOIN often USING (template) WHERE doc_id <> first_),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(d.number) AS n_dropped, coalesce(string_agg(CASE WHEN d.number IS NULL THEN l.line END, chr(10) ORDER BY l.number), '') AS text
+  FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.number = d.number GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, k.text FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
