@@ -105,13 +105,14 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, con
     in_texts = lines.groupBy("leaf", "line", "text_id").agg(F.min("doc_id").alias("doc_id"), F.first("held").alias("held"))
     distinct = cut(in_texts.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.first("held").alias("held")))
     words = distinct.mapInArrow(_exploded, "leaf long, line long, texts long, place int, word long")
-    constants = words.groupBy("leaf", "place", "word").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # tables of totals are cut, so that a join with them is dealt anew and a hot key can be split
+    constants = cut(words.groupBy("leaf", "place", "word").agg(F.sum("texts").alias("n")).where(F.col("n") >= min_docs).drop("n"))
     shaped = words.join(constants, ["leaf", "place", "word"]).groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("place", "word")).alias("shape"), F.count("*").alias("constants"))
     template = distinct.select("leaf", "line", (F.octet_length("held") / 8).alias("size")).join(shaped, ["leaf", "line"]).where(F.col("constants") * 100 >= F.col("size") * constant_percent)
     template = cut(template.select("leaf", "line", F.xxhash64("leaf", "shape", "constants").alias("template")))
     held = lines.select("doc_id", "text_id", "number", "leaf", "line").join(template, ["leaf", "line"])
     by_text_ = held.groupBy("template", "text_id").agg(F.min("doc_id").alias("doc_id"))
-    often = by_text_.groupBy("template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc")).where(F.col("texts") >= min_docs)
+    often = cut(by_text_.groupBy("template").agg(F.count("*").alias("texts"), F.min("doc_id").alias("first_doc")).where(F.col("texts") >= min_docs))
     dropped = held.join(often, "template").where("doc_id is null or doc_id <> first_doc")
     return dropped.groupBy("doc_id", "text_id").agg(F.collect_set("number").alias("numbers"))
 

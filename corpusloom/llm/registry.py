@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_fair_queue_mix": mixing.SQL}
+    return {"op3_minmax_near_dup": near_dup.SQL, "op4_line_templates": line_dedup.SQL, "op9_fair_queue_mix": mixing.SQL, "op10_secret_ownership": secrets.SQL}
