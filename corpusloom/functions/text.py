@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vocabulary as v
 
 
+def _nfkc(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize("NFKC")
+
+    return composed(text)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -17,6 +26,12 @@ def normalize_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
+def normalize_passage(text: Column) -> Column:
+    """Without bold, italic and heading marks, in NFKC, punctuation as blanks, lower case."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?m)^#{1,6}\s*", ""), r"\*{1,3}|_{2,3}", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_nfkc(bare)), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct runs of n characters; none of a shorter text."""
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))

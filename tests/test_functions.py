@@ -58,6 +58,10 @@ def test_title_and_ngrams(spark):
     assert one(spark, t.printable(F.col("x")), x="a\x00b\tc\nd") == "a b\tc\nd"
 
 
+def test_passages_are_normalised(spark):
+    assert one(spark, t.normalize_passage(F.col("x")), x="## **Bold** ﬁt, ＡＢ\n# x") == "bold fit ab x"
+
+
 def test_questions(spark):
     for text, kind in (("Compare perovskite A vs B", "specific"), ("give me an overview", "broad"), ("perovskite", "broad"), ("", "broad"), ("which doping works", "specific")):
         assert one(spark, question_type(F.col("x")), x=text) == kind
