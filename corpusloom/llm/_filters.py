@@ -14,13 +14,14 @@ BITS = 26
 
 
 def filter_of(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bits at the places that the leading bits of the (long) hashes name, 8 MB in all."""
+    """Bits at the places that the leading bits of the (long) hashes name, 8 MB in all, which
+    come to the driver as at most 2 ** 20 pairs of a place and 64 bits."""
     place = F.shiftrightunsigned(F.col(column), 64 - BITS)
-    at = hashes.select((place / 8).cast("long").alias("at"), F.pmod(place, F.lit(8)).cast("int").alias("bit"))
-    got = at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, bit)")).alias("byte")).toArrow()
-    bits = np.zeros(1 << BITS - 3, np.uint8)
-    bits[got.column("at").to_numpy()] = got.column("byte").to_numpy()
-    return bits
+    at = hashes.select((place / 64).cast("long").alias("at"), F.pmod(place, F.lit(64)).cast("int").alias("bit"))
+    got = at.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).toArrow()
+    words = np.zeros(1 << BITS - 6, np.dtype("<i8"))
+    words[got.column("at").to_numpy()] = got.column("word").to_numpy()
+    return words.view(np.uint8)
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
