@@ -22,21 +22,26 @@ def _drained(spark, stream, mode):
     return s.drained(stream, mode, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
+def _plain(rows):
+    """Times as the table has them, without a zone."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in rows.dtypes if kind == "timestamp"}).drop("_batch")
+
+
 @query("stream_tumbling", f"SELECT * FROM (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3) WHERE window_end {_CLOSED}")
 def stream_tumbling(spark, sf_dir):
-    return _drained(spark, s.tumbling(_stream(spark, sf_dir)), "append").drop("_batch")
+    return _plain(_drained(spark, s.tumbling(_stream(spark, sf_dir)), "append"))
 
 
 @query("stream_sliding", f"SELECT window_start, window_start + INTERVAL 2 HOUR AS window_end, count(*) AS n FROM (SELECT date_trunc('hour', ts) AS window_start FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR FROM events) GROUP BY window_start HAVING window_start + INTERVAL 2 HOUR {_CLOSED}")
 def stream_sliding(spark, sf_dir):
-    return _drained(spark, s.sliding(_stream(spark, sf_dir)), "append").drop("_batch")
+    return _plain(_drained(spark, s.sliding(_stream(spark, sf_dir)), "append"))
 
 
 @query("stream_session", f"""WITH m AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n FROM n GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE {_CLOSED}""")
 def stream_session(spark, sf_dir):
-    return _drained(spark, s.sessions(_stream(spark, sf_dir)), "append").drop("_batch")
+    return _plain(_drained(spark, s.sessions(_stream(spark, sf_dir)), "append"))
 
 
 @query("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY user_id, event_type")
