@@ -35,7 +35,7 @@ _LINE = "CASE event_type WHEN 'view' THEN 'SCF Done:  E(RB3LYP) =  -' || CAST(ev
 
 
 @query("log_scan", f"""WITH l AS (SELECT user_id, event_id, event_type, {_LINE} AS line FROM events)
-SELECT user_id, arg_max(-event_id - 0.25, event_id) FILTER (WHERE event_type = 'view') AS energy, min(event_id) FILTER (WHERE event_type = 'purchase') + 0.5 AS dipole, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'failed' ELSE 'running' END AS status FROM l GROUP BY user_id""")
+SELECT user_id, CAST(arg_max(-event_id - 0.25, event_id) FILTER (WHERE event_type = 'view') AS DOUBLE) AS energy, CAST(min(event_id) FILTER (WHERE event_type = 'purchase') + 0.5 AS DOUBLE) AS dipole, CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'failed' ELSE 'running' END AS status FROM l GROUP BY user_id""")
 def log_scan(spark, sf_dir):
     line = F.expr(_LINE.replace("VARCHAR", "STRING"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", line.alias("line"))
