@@ -13,8 +13,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round hangs the neighbours of each node under the smallest of them, first the
     larger neighbours, then the smaller ones; paths shrink by half or better in a round.
-    A node with very many neighbours is a minimum that partial sums reduce, and a join
-    whose large side Spark can split; nothing gathers at one place. Null ends and links
+    A node with very many neighbours is a minimum that partial sums reduce, and, as the
+    minima are cut off from their edges, a join whose large side Spark can split; nothing
+    gathers at one place. Null ends and links
     of a node with itself are left out; repeated links count once.
     """
     edges = cut(
@@ -23,9 +24,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        lowest = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         hung = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lowest = hung.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = cut(hung.groupBy("u").agg(F.min("v").alias("m")))
         joined = hung.join(lowest, "u")
         edges = cut(
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -267,14 +267,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     """
     signed = cut(signatures(docs, k))
     usable = signed.where("set_id is not null and doc_id is not null")
-    classes = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    # tables of totals are cut, so that a join with them is dealt anew and a hot key can be split
+    classes = cut(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep")))
     reps = cut(
         signed.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("of")), "doc_id").where("set_id = of").dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch")
     )
     banded = reps.select("rep", F.posexplode("bands").alias("number", "band"))
     flip = F.lit(0x5555555555555555)
-    buckets = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("h0"), F.max("rep").alias("h1"), F.min(F.col("rep").bitwiseXOR(flip)).alias("h2")).where("m > 1")
+    buckets = cut(banded.groupBy("band").agg(F.count("*").alias("m"), F.min("rep").alias("h0"), F.max("rep").alias("h1"), F.min(F.col("rep").bitwiseXOR(flip)).alias("h2")).where("m > 1"))
     members = cut(banded.join(buckets, "band"))
     hubs = F.array("h0", "h1", F.col("h2").bitwiseXOR(flip))
     tried = members.select("rep", F.explode(hubs).alias("hub")).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("n"))
@@ -287,17 +288,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     labels = _labels(links)
     rows = members.select("band", "number", "rep", "m").join(labels, members.rep == labels.node, "left").select("band", "number", "rep", "m", F.coalesce("component", "rep").alias("component"))
-    mixed = rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
-    left = rows.join(mixed, "band").join(reps, "rep").withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = left.select(
-        F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-        F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("part"), "number", "rep", "component", "n", "sketch", "bands",
-    )
-    sorted_ = lambda df: df.repartition("cell").sortWithinPartitions("cell")
-    asked = cut(sorted_(cells).mapInArrow(lambda batches: _in_question(batches, percent), "rep long").distinct())
+    mixed = cut(rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band"))
+    left = cut(rows.join(mixed, "band"))
+
+    def cells(some: DataFrame) -> DataFrame:
+        """Members at the cells of their band: those of their own block and those that join
+        it with another, sorted by cell."""
+        placed = some.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        kept = [c for c in some.columns if c not in ("band", "m")]
+        named = placed.select(
+            F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+            F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("part"), *kept,
+        )
+        return named.repartition("cell").sortWithinPartitions("cell")
+
+    asked = cut(cells(left.join(reps, "rep")).mapInArrow(lambda batches: _in_question(batches, percent), "rep long").distinct())
     sets = cut(_texts(docs, asked.withColumnRenamed("rep", "doc_id")).mapInArrow(lambda batches: _sets(batches, k), "rep long, held binary"))
-    further = sorted_(cells.join(sets, "rep")).mapInArrow(lambda batches: _linked_within(batches, percent), "a long, b long")
+    known = cut(reps.join(sets, "rep"))  # of members in question alone
+    further = cells(left.join(known, "rep")).mapInArrow(lambda batches: _linked_within(batches, percent), "a long, b long")
     labels = components(links.unionByName(cut(further)))
 
     named = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
