@@ -174,6 +174,12 @@ def sniff(blob: bytes) -> list[Found]:
     return found
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few blobs are held at once."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def inspect(rows: DataFrame, blob: str = "media", declared: str = "declared_type") -> DataFrame:
     """rows with detected_type (of a medium at place 0, else of the first carved one, else
     null), corrected (declared type differs from it) and carved: type, start, end and
@@ -189,7 +195,7 @@ def inspect(rows: DataFrame, blob: str = "media", declared: str = "declared_type
     carved = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("detail", pa.string())]))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             finds = [sniff(x or b"") for x in batch.column(blob).to_pylist()]
             kinds = [f[0].kind if f else None for f in finds]
             told = batch.column(declared).to_pylist()
@@ -225,7 +231,7 @@ def pack(docs: DataFrame) -> DataFrame:
     declared_type, which says no more than that these are bytes."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
             media = [to_wav(x + b"\xff" * (-len(x) % UNIT if x else UNIT)) for x in raw]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], names=["doc_id", "n_bytes", "media", "declared_type"])
@@ -248,7 +254,7 @@ def digest(media: DataFrame) -> DataFrame:
     the medium that was found in them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             rows = []
             for blob, carved in zip(batch.column("media").to_pylist(), batch.column("carved").to_pylist(), strict=True):
                 whole = carved[0]
