@@ -1,11 +1,11 @@
 """Repeated passages: shared seeds, collinear chains, alignment.
 
-Documents are sampled at minimizers: of sixteen runs of eight words in a row the one with
-the smallest hash, so any 23 words in common share a seed. A seed links each document to
-the first document that holds it, which is linear in the occurrences however many share
-it. Seeds of a pair of documents are chained in order, with costs for gaps, through a
-Fenwick tree; chains are aligned word by word and extended at both ends, which finds
-passages that differ here and there.
+Every run of four words is a seed: of 50 words with 10 replaced at least seven seeds stay.
+Seeds are counted in blocks of hashes, and those that occur again go on. A seed links each
+of its places to the first place that holds it, by document and in it, which is linear in
+the occurrences however many share it. Seeds of a pair of documents are chained in order,
+with costs for gaps, through a Fenwick tree; chains are aligned word by word and extended
+at both ends, as far as the words stay alike.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._filters import filter_of, id_hash, passes
-from corpusloom.llm._words import Words, by_text
+from corpusloom.llm._filters import BITS, filter_of, id_hash, passes
+from corpusloom.llm._words import Words, by_text, mix
 from corpusloom.session import cut
 
-SEED_WORDS = 8
-WINDOW_STEPS = 4  # windows of 2 ** 4 seeds
-MARGIN = 64  # words beyond a chain that alignment may reach
+SEED_WORDS = 4
+LEAST_SEEDS = 4  # of a chain; a passage has seven, some of which may be linked elsewhere
+WINDOW_STEPS = 4  # windows of 2 ** 4 seeds, for minimizers
+STRIDE = 8  # of seeds that follow each other in both texts one in so many is chained
+PART_BITS = 9  # seeds, and documents, are taken in so many groups (as a power of 2)
+MARGIN = 64  # words beyond a chain that alignment may reach at first
+WIDER = 4  # where the words are alike to the end of the span, it is fetched so much wider
 GRID = 32  # spans are fetched in units of so many words
 GAP_COST = 0.1  # for a word of a gap, on either side
 DROP = 8  # extension ends where it has lost so much: a match gives 1, else -2
@@ -31,8 +35,101 @@ SHIFT, RESUME = 4, 5
 _SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i or j), key=sum)
 
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values in all columns, and the end."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.append(np.flatnonzero(new), n)
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values of the bytes between the bounds (in rows of values)."""
+    values = np.ascontiguousarray(values)
+    width = values.nbytes // len(values) if len(values) else 1
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int64)), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _grouped(group: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A row for each run of a group: its number and the columns' bytes."""
+    bounds = _runs(group)
+    return pa.RecordBatch.from_arrays([pa.array(group[bounds[:-1]].astype(np.int32)), *(_packed(c, bounds) for c in columns.values())], names=["part", *columns])
+
+
+def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _part(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - PART_BITS)).astype(np.int64)
+
+
+def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of every seed."""
+    hashes, first = words.shingles(SEED_WORDS)
+    made = np.diff(first)
+    text = np.repeat(np.arange(len(made)), made)
+    enough = np.repeat(np.diff(words.first) >= SEED_WORDS, made)
+    return hashes[enough], text[enough], (np.arange(len(hashes)) - first[text])[enough]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """40 bits of each seed, at most twice from a slice, in blocks."""
+
+    def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes = np.sort(_places(words)[0])
+        kept = np.ones(len(hashes), bool)
+        kept[2:] = hashes[2:] != hashes[:-2]
+        hashes = hashes[kept]
+        bits = hashes << np.uint64(PART_BITS) >> np.uint64(24)
+        return _grouped(_part(hashes), {"held": bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]})
+
+    return by_text(batches, "text", make)
+
+
+def _again(table: pa.Table) -> pa.Table:
+    """The filter's bits of the seeds of a group that occur again."""
+    raw = _joined(table, "held", np.uint8).reshape(-1, 5)
+    bits = np.zeros((len(raw), 8), np.uint8)
+    bits[:, :5] = raw
+    bits = np.sort(bits.view("<u8").ravel())
+    own = np.zeros(1 << BITS - PART_BITS, bool)
+    own[(bits[1:][bits[1:] == bits[:-1]] >> np.uint64(40 - BITS + PART_BITS)).astype(np.int64)] = True
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "held": pa.array([np.packbits(own, bitorder="little").tobytes()])})
+
+
+def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Seeds that pass the filter, in blocks."""
+
+    def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, text, place = _places(words)
+        at = np.flatnonzero(passes(bits, hashes))
+        at = at[np.argsort(hashes[at], kind="stable")]
+        ids = batch.column("doc_id").slice(lo, hi - lo).to_numpy()
+        return _grouped(_part(hashes[at]), {"seed": hashes[at], "doc": ids[text[at]], "place": place[at].astype(np.int32)})
+
+    return by_text(batches, "text", make)
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Every place of a seed with the first one, in blocks by document."""
+    seed, doc, place = _joined(table, "seed", np.uint64), _joined(table, "doc", np.int64), _joined(table, "place", np.int32)
+    order = np.lexsort((place, doc, seed))
+    order = order[_runs(seed[order], doc[order], place[order])[:-1]]  # repeated rows count once
+    seed, doc, place = seed[order], doc[order], place[order]
+    bounds = _runs(seed)
+    first = np.repeat(bounds[:-1], np.diff(bounds))
+    later = np.flatnonzero(first != np.arange(len(seed)))
+    group = _part(mix(doc[later].view(np.uint64)))
+    columns = {"doc": doc[later], "partner": doc[first[later]], "x": place[later], "y": place[first[later]]}
+    order = np.lexsort((columns["x"], columns["partner"], columns["doc"], group))
+    return pa.Table.from_batches([_grouped(group[order], {k: c[order] for k, c in columns.items()})])
+
+
 def minimizers(hashes: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least of a window that covers them."""
+    """Places whose hash is the least of a window that covers them: a sample of seeds, for
+    callers that can do with it; the operator takes all."""
     low = hashes
     for step in range(WINDOW_STEPS):
         low = np.minimum(low[: len(low) - (1 << step)], low[1 << step :]) if len(low) > 1 << step else low[:0]
@@ -44,26 +141,6 @@ def minimizers(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(high[: len(hashes)] == hashes)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, first = words.shingles(SEED_WORDS)
-        long_enough = np.repeat(np.diff(words.first) >= SEED_WORDS, np.diff(first))
-        at = minimizers(hashes)
-        at = at[long_enough[at]]
-        if bits is not None:
-            at = at[passes(bits, hashes[at])]
-        text = np.searchsorted(first, at, side="right") - 1
-        order = np.lexsort((at, hashes[at], text))  # a seed counts once in a text
-        text, at = text[order], at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (text[1:] != text[:-1]) | (hashes[at][1:] != hashes[at][:-1])
-        text, at = text[new], at[new]
-        ids = batch.column("doc_id").slice(lo, hi - lo).take(pa.array(text))
-        return pa.RecordBatch.from_arrays([ids, pa.array((at - first[text]).astype(np.int32)), pa.array(hashes[at].view(np.int64))], names=["doc_id", "place", "seed"])
-
-    return by_text(batches, "text", make)
-
-
 def chains(x: np.ndarray, y: np.ndarray, seed_words: int = SEED_WORDS, gap_cost: float = GAP_COST) -> list[list[int]]:
     """Anchors (x, y) as chains that rise in both, best first; every anchor is in one.
 
@@ -111,21 +188,38 @@ def chains(x: np.ndarray, y: np.ndarray, seed_words: int = SEED_WORDS, gap_cost:
     return found
 
 
-def _chained(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, partner, anchors) to a row for each chain."""
-    out = pa.list_(pa.int32())
-    for batch in batches:
-        rows: list[tuple] = []
-        for doc, partner, anchors in zip(batch.column("doc_id").to_pylist(), batch.column("partner").to_pylist(), batch.column("anchors"), strict=True):
-            held = anchors.values.flatten() if hasattr(anchors.values, "flatten") else None
-            x, y = (np.asarray(v) for v in held)
-            for chain in chains(x, y):
-                gaps = np.maximum(np.diff(x[chain]), np.diff(y[chain])) > MARGIN  # passages of their own
-                for part in np.split(np.array(chain), np.flatnonzero(gaps) + 1):
-                    # less than this can't be extended to enough words
-                    if x[part[-1]] - x[part[0]] + SEED_WORDS + 2 * MARGIN >= least_words:
-                        rows.append((doc, partner, x[part].tolist(), y[part].tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], out), pa.array([r[3] for r in rows], out)], names=["doc_id", "partner", "x", "y"])
+def _chained(table: pa.Table, least_seeds: int) -> pa.Table:
+    """Anchors of a group of documents to a row for each chain, with the room that other
+    chains of the pair leave before and after it."""
+    doc, partner = (_joined(table, c, np.int64) for c in ("doc", "partner"))
+    x, y = (_joined(table, c, np.int32) for c in ("x", "y"))
+    order = np.lexsort((x, y - x, partner, doc))
+    doc, partner, x, y = (c[order] for c in (doc, partner, x, y))
+    # of seeds that follow each other on a diagonal some stand for all
+    runs = _runs(doc, partner, y - x, x - np.arange(len(x)))
+    size = np.diff(runs)
+    within = np.arange(len(x)) - np.repeat(runs[:-1], size)
+    kept = np.flatnonzero((within % STRIDE == 0) | (within == np.repeat(size, size) - 1))
+    weight = np.diff(np.append(kept, len(x)))
+    doc, partner, x, y = (c[kept] for c in (doc, partner, x, y))
+    pairs = _runs(doc, partner)
+    enough = np.add.reduceat(weight, pairs[:-1]) >= least_seeds if len(weight) else np.zeros(0, bool)
+    rows: list[tuple] = []
+    for a, b in zip(pairs[:-1][enough].tolist(), pairs[1:][enough].tolist(), strict=True):
+        px, py, parts = x[a:b], y[a:b], []
+        straight = (np.diff(py - px) == 0).all()
+        for chain in [list(range(b - a))] if straight else chains(px, py):
+            gaps = np.maximum(np.diff(px[chain]), np.diff(py[chain])) > MARGIN  # passages of their own
+            for part in np.split(np.array(chain), np.flatnonzero(gaps) + 1):
+                if weight[a:b][part].sum() >= least_seeds:
+                    parts.append((px[part], py[part]))
+        starts, ends = np.sort([p[0][0] for p in parts]), np.sort([p[0][-1] + SEED_WORDS for p in parts])
+        for cx, cy in parts:
+            before, after = np.searchsorted(ends, cx[0], side="right"), np.searchsorted(starts, cx[-1], side="right")
+            low = cx[0] - ends[before - 1] if before else cx[0]
+            high = starts[after] - cx[-1] if after < len(starts) else 1 << 30
+            rows.append((int(doc[a]), int(partner[a]), cx.tolist(), cy.tolist(), int(low), int(high)))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()))], names=["doc_id", "partner", "x", "y", "room_before", "room_after"])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +267,13 @@ def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             return p, q, matches
 
 
+def _goes_on(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether what is left of two spans ends before it has lost enough to end a passage."""
+    n = min(len(a), len(b))
+    total = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
+    return not (np.maximum.accumulate(np.maximum(total, 0)) - total >= DROP).any()
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Words that a gap of each side has in common, in order."""
     if len(a) == len(b) and (a == b).all():
@@ -199,51 +300,92 @@ def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> t
     return int(start), int(p + more), int(other_start), int(q + other_more), int(matches + extra)
 
 
+def _equal(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Anchors whose words are the same in the texts at hand: a doc_id may have had two."""
+    good = (x + SEED_WORDS <= len(one)) & (y + SEED_WORDS <= len(other))
+    run = np.arange(SEED_WORDS)
+    good[good] = (one[x[good][:, None] + run] == other[y[good][:, None] + run]).all(axis=1)
+    return good
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: float) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start_word", "end_word", "partner", "partner_start", "partner_end", "n_words", "identity"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+    """Passages, and what has to be aligned once more: before and after have grown there."""
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
             one, other = np.frombuffer(r["words_x"], np.uint32), np.frombuffer(r["words_y"], np.uint32)
-            s, e, t, u, matches = align(one, other, np.array(r["x"]) - r["ax"], np.array(r["y"]) - r["ay"])
+            x, y = np.array(r["x"]) - r["ax"], np.array(r["y"]) - r["ay"]
+            good = _equal(one, other, x, y)
+            if not good.any():
+                continue
+            s, e, t, u, matches = align(one, other, x[good], y[good])
+            before, after = r["before"], r["after"]
+            if r["ax"] and r["ay"] and _goes_on(one[:s][::-1], other[:t][::-1]):
+                before = max(before, min(WIDER * before, r["room_before"]))
+            if len(one) == r["bx"] - r["ax"] and len(other) == r["by"] - r["ay"] and _goes_on(one[e:], other[u:]):
+                after = max(after, min(WIDER * after, r["room_after"]))
+            if (before, after) != (r["before"], r["after"]):
+                rows.append((r["doc_id"], None, None, r["partner"], None, None, None, None, r["x"], r["y"], r["room_before"], r["room_after"], before, after))
+                continue
             n = max(e - s, u - t)
             if min(e - s, u - t) >= least_words and matches >= identity * n:
-                rows.append((r["doc_id"], s + r["ax"], e + r["ax"], r["partner"], t + r["ay"], u + r["ay"], e - s, round(min(1.0, matches / n), 6)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+                rows.append((r["doc_id"], s + r["ax"], e + r["ax"], r["partner"], t + r["ay"], u + r["ay"], e - s, round(min(1.0, matches / n), 6), *[None] * 6))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=_NAMES)
 
 
 def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float = 0.8) -> DataFrame:
-    """Passages of documents that an earlier document (by doc_id) holds as well, alike in
-    at least `identity` of their words: doc_id, start_word, end_word (exclusive), partner,
+    """Passages of documents that an earlier document (by doc_id) or an earlier place of the
+    same one holds as well, alike in at least `identity` of their words: doc_id, start_word, end_word (exclusive), partner,
     partner_start, partner_end, n_words, identity.
 
-    The partner is the first document with the passage's seeds, so a passage in m
-    documents gives about m - 1 rows. Words are compared in lower case.
+    The partner is the first place of the passage's seeds, so a passage at m places gives
+    about m - 1 rows, whether these are in one document or in many; a document that
+    repeats a passage of its own is its partner. Words are compared in lower case.
 
     Null, empty and short texts have no passages; rows of null doc_id take no part;
     repeated rows of one doc_id count once, with one of their texts; ties go to the
     smaller doc_id. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    seeds = "doc_id long, place int, seed long"
-    every = rows.mapInArrow(lambda b: _seeds(b, None), seeds)
-    firsts = every.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
-    firsts = cut(firsts.select("seed", F.col("first.doc_id").alias("partner"), F.col("first.place").alias("y")))
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(firsts, "seed"))
-    shared = rows.mapInArrow(lambda b: _seeds(b, sent.value), seeds).join(firsts, "seed").where("doc_id <> partner")
-    pairs = shared.groupBy("doc_id", "partner").agg(F.collect_set(F.struct(F.col("place").alias("x"), "y")).alias("anchors"))
-    found = cut(pairs.mapInArrow(lambda b: _chained(b, least_words), "doc_id long, partner long, x array<int>, y array<int>"))
+    counted = rows.mapInArrow(_counted, "part int, held binary").groupBy("part").applyInArrow(_again, "part int, held binary").toArrow()
+    size = 1 << BITS - PART_BITS - 3
+    bits = np.zeros(1 << BITS - 3, np.uint8)
+    for part, held in zip(counted.column("part").to_pylist(), counted.column("held").to_pylist(), strict=True):
+        bits[part * size : (part + 1) * size] = np.frombuffer(held, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = rows.mapInArrow(lambda b: _seeds(b, sent.value), "part int, seed binary, doc binary, place binary")
+    anchors = shared.groupBy("part").applyInArrow(_linked, "part int, doc binary, partner binary, x binary, y binary")
+    # so many seeds stay in the shortest passage if its unlike words are replaced one by one
+    stay = least_words - SEED_WORDS + 1 - SEED_WORDS * int((1 - identity) * least_words + 1e-9)
+    least_seeds = max(1, min(LEAST_SEEDS, stay))
+    found = cut(anchors.groupBy("part").applyInArrow(lambda t: _chained(t, least_seeds), "doc_id long, partner long, x array<int>, y array<int>, room_before int, room_after int"))
+    found, done = found.withColumn("before", F.lit(MARGIN)).withColumn("after", F.lit(MARGIN)), None
+    while True:
+        aligned = cut(_fetched(rows, found).mapInArrow(lambda b: _aligned(b, least_words, identity), _ALIGNED))
+        part = aligned.where("before is null").select(_NAMES[:8])
+        done = part if done is None else done.unionByName(part)
+        found = aligned.where("before is not null").select("doc_id", "partner", *_NAMES[8:])
+        if found.isEmpty():
+            return done
+
+
+_ALIGNED = "doc_id long, start_word int, end_word int, partner long, partner_start int, partner_end int, n_words int, identity double, x array<int>, y array<int>, room_before int, room_after int, before int, after int"
+_NAMES = [c.split()[0] for c in _ALIGNED.split(", ")]
+
+
+def _fetched(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Chains with the words around them in both texts."""
 
     def span(places: str, name: str) -> list:
-        low = F.greatest(F.lit(0), F.floor((F.col(places)[0] - MARGIN) / GRID) * GRID).cast("int")
-        high = (F.ceil((F.element_at(places, -1) + SEED_WORDS + MARGIN) / GRID) * GRID).cast("int")
+        low = F.greatest(F.lit(0), F.floor((F.col(places)[0] - F.col("before")) / GRID) * GRID).cast("int")
+        high = (F.ceil((F.element_at(places, -1) + SEED_WORDS + F.col("after")) / GRID) * GRID).cast("int")
         return [low.alias(f"a{name}"), high.alias(f"b{name}")]
 
     asked = found.select("*", *span("x", "x"), *span("y", "y"))
     spans = asked.select(F.col("doc_id").alias("of"), F.col("ax").alias("a"), F.col("bx").alias("b")).unionByName(asked.select(F.col("partner").alias("of"), F.col("ay").alias("a"), F.col("by").alias("b"))).distinct()
     spans = cut(spans.groupBy("of").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(spans.select(id_hash("of").alias("key")), "key"))
+    wanted = rows.sparkSession.sparkContext.broadcast(filter_of(spans.select(id_hash("of").alias("key")), "key"))
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +398,4 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float =
     side = lambda n: held.select(F.col("of").alias(f"of{n}"), F.col("a").alias(f"a{n}_"), F.col("b").alias(f"b{n}_"), F.col("words").alias(f"words_{n}"))
     both = asked.join(side("x"), (F.col("doc_id") == F.col("ofx")) & (F.col("ax") == F.col("ax_")) & (F.col("bx") == F.col("bx_")))
     both = both.join(side("y"), (F.col("partner") == F.col("ofy")) & (F.col("ay") == F.col("ay_")) & (F.col("by") == F.col("by_")))
-    return both.select("doc_id", "partner", "x", "y", "ax", "ay", "words_x", "words_y").mapInArrow(
-        lambda b: _aligned(b, least_words, identity), "doc_id long, start_word int, end_word int, partner long, partner_start int, partner_end int, n_words int, identity double"
-    )
+    return both.select("doc_id", "partner", "x", "y", "ax", "bx", "ay", "by", "room_before", "room_after", "before", "after", "words_x", "words_y")

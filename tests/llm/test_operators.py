@@ -238,3 +238,41 @@ def test_levels_both_ways(spark):
     one = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls).collect()}
     other = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls, whole=5).collect()}
     assert one == other and one[1, "c11"] == 11 and one[1, "r"] is None and one[2, "c6"] == 1
+
+
+def test_every_place_of_a_passage_is_found(make):
+    rng = np.random.default_rng(11)
+    some = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**9, n))
+    common, own = some(60), some(70)
+    docs = make([(1, " ".join([common, some(100), common, some(90), common])), (2, " ".join([some(30), common, some(80), common])), (3, " ".join([some(20), own, some(200), own])), (4, some(400))])
+    found = {(r.doc_id, r.start_word, r.end_word, r.partner, r.partner_start) for r in passages.repeated_passages(docs).collect()}
+    assert found == {(1, 160, 220, 1, 0), (1, 310, 370, 1, 0), (2, 30, 90, 1, 0), (2, 170, 230, 1, 0), (3, 290, 360, 3, 20)}
+
+
+def test_texts_of_one_id_are_not_mixed(make):
+    rng = np.random.default_rng(12)
+    a, b = (" ".join(f"v{i}" for i in rng.integers(0, 10**9, n)) for n in (60, 90))
+    assert passages.repeated_passages(make([(1, a + " " + b), (1, b + " " + a)])).count() == 0
+
+
+def test_passages_with_a_change_every_few_words(make):
+    rng = np.random.default_rng(13)
+    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
+    rows, wanted = [], set()
+    for i in range(20):
+        common = some(60)
+        fuzzy = [f"z{i}-{j}" if j % 6 == 5 else w for j, w in enumerate(common)]
+        rows += [(i, " ".join(some(50) + common + some(50))), (100 + i, " ".join(some(50) + fuzzy + some(50)))]
+        wanted.add((100 + i, i))
+    assert {(r.doc_id, r.partner) for r in passages.repeated_passages(make(rows)).collect()} == wanted
+
+
+def test_passages_are_extended_until_unlike(make):
+    """A run of 300 words with 200 on both sides of which every fourth is changed, which
+    leaves no seed there but a rising score."""
+    rng = np.random.default_rng(14)
+    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
+    common = some(700)
+    fuzzy = [w if 200 <= j < 500 or j % 4 else f"z{j}" for j, w in enumerate(common)]
+    got = passages.repeated_passages(make([(1, " ".join(common)), (2, " ".join(some(40) + fuzzy + some(40)))])).collect()
+    assert [(r.doc_id, r.partner, r.start_word <= 41, r.end_word >= 739) for r in got] == [(2, 1, True, True)]
