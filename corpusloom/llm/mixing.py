@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm._words import Words, by_text
 from corpusloom.session import cut
@@ -28,8 +29,8 @@ RUN_ROWS = 20_000
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept = [batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "source")]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(words.first), pa.int64())], names=["doc_id", "source", "size"])
+        kept = [x for x in batch.schema.names if x != "text"]
+        return pa.RecordBatch.from_arrays([*(batch.column(x).slice(lo, hi - lo) for x in kept), pa.array(np.diff(words.first), pa.int64())], names=[*kept, "size"])
 
     return by_text(batches, "text", make)
 
@@ -81,41 +82,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int
     An empty table gives an empty result.
     """
     sizes = cut(sized(docs))
-    return _mixed(sizes, weights, budget_percent, passes)
+    return _mixed(sizes, sizes, weights, budget_percent, passes).orderBy("virtual_finish", "doc_id")
 
 
-def _mixed(sizes: DataFrame, weights: tuple[int, ...], budget_percent: int, passes: int) -> DataFrame:
+def _mixed(sizes: DataFrame, rows: DataFrame, weights: tuple[int, ...], budget_percent: int, passes: int) -> DataFrame:
+    """The mix of rows, which are those of sizes and may have further columns: these are carried along."""
     shares = cut(targets(sizes, weights, budget_percent, passes))
     largest = shares.agg(F.max("n_rows")).first()[0] or 0
     digits = 1
     while largest > RUN_ROWS * 16**digits:
         digits += 1
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
-    keyed = sizes.withColumn("shuffled", F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(order)).withColumn("run", F.substring("shuffled", 1, digits))
-    runs = keyed.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
+    keyed = lambda d: d.withColumn("shuffled", F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(order)).withColumn("run", F.substring("shuffled", 1, digits))
+    runs = keyed(sizes).groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     up_to = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("served", F.coalesce(F.sum("run_size").over(up_to), F.lit(0)))
     share = shares.select(F.col("source").alias("of"), "source_size", "target")
     runs = runs.join(share, runs.source.eqNullSafe(share.of)).select(F.col("source").alias("of"), F.col("run").alias("of_run"), "served", "source_size", "target")
-    within = Window.partitionBy("source", "run").orderBy("shuffled", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = keyed.withColumn("upto", F.sum("size").over(within))
+    further = [c for c in rows.columns if c not in sizes.columns]
+    within = Window.partitionBy("source", "run").orderBy("shuffled", "size", *further[:1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = keyed(rows).withColumn("upto", F.sum("size").over(within))
     placed = ranked.join(runs, ranked.source.eqNullSafe(runs.of) & (ranked.run == runs.of_run)).withColumn("start", F.col("served") + F.col("upto") - F.col("size"))
     goal = F.floor("target")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("start") - F.col("source_size") * p)) for p in range(passes)), F.lit(0))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        ((F.col("start") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))).alias("virtual_finish"),
-    ).orderBy("virtual_finish", "doc_id")
+        ((F.col("start") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))).alias("virtual_finish"), *further,
+    )
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words of, with their columns, size, source_size,
-    target and taken. A doc_id's rows share their words alike: repeated rows of one
-    doc_id, or rows without one, are looked up by their place in the mix and keep all."""
-    mixed = mix(docs).where("taken > 0")
-    per_id = mixed.where("doc_id is not null").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    target and taken. Every row goes through the mix with its columns, so repeated rows of
+    one doc_id, and rows without one, have the words that were taken of each."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return docs.select(*kept).join(per_id, "doc_id").select(*kept, "size", "source_size", "target", "taken")
+    # the first further column orders ties
+    whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct(*kept).alias("row"))
+    schema = T.StructType([*(T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("source", T.StringType()), ("tie", T.LongType()))), T.StructField("row", whole.schema["row"].dataType), T.StructField("size", T.LongType())])
+    mixed = _mixed(cut(sized(docs)), whole.mapInArrow(_counted, schema), WEIGHTS, 150, 2).where("taken > 0")
+    return mixed.select(*(F.col("row")[c].alias(c) for c in kept), "size", "source_size", "target", "taken")
 
 
 SQL = """

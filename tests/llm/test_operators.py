@@ -276,3 +276,12 @@ def test_passages_are_extended_until_unlike(make):
     fuzzy = [w if 200 <= j < 500 or j % 4 else f"z{j}" for j, w in enumerate(common)]
     got = passages.repeated_passages(make([(1, " ".join(common)), (2, " ".join(some(40) + fuzzy + some(40)))])).collect()
     assert [(r.doc_id, r.partner, r.start_word <= 41, r.end_word >= 739) for r in got] == [(2, 1, True, True)]
+
+
+def test_mixed_rows_keep_their_own_words(make):
+    rows = [(None, words(30, 1)), (None, words(40, 2)), (3, words(50, 3)), (3, words(50, 3)), (3, words(20, 4)), (6, words(10, 5))]
+    docs = make(rows)
+    order = lambda d: sorted((r.doc_id is None, r.doc_id or 0, r["size"], r.taken) for r in d.collect())
+    got = mixing.mix_documents(docs)
+    assert order(got) == order(mixing.mix(docs).where("taken > 0")) and sum(r.doc_id is None for r in got.collect()) == 2
+    assert all(len(r.text.split()) == r["size"] and 0 < r.taken <= 2 * r["size"] for r in got.collect())
