@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,32 +30,15 @@ def reviews_first(pool: DataFrame, by: str, n: int, most_reviews: int = 2) -> Da
 
 def diverse(pool: DataFrame, by: str, n: int, candidates: int = 1_000) -> DataFrame:
     """Per `by`, in order of score, those of a journal not chosen yet, or any when one place
-    is left; n in all. The choice goes along the order, so each group is replayed alone,
-    over the best of every journal and as many of the rest as can matter.
-
-    A row can be chosen only as the best of its journal, or for the last place; so n + 1
-    journals and n rows of the order decide, and a group never holds more than these.
-    """
+    is left; n in all. The choices before the last place are the n - 1 journals whose best
+    rows come first, each by its best row; the last place takes the row that comes next."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), "id")
     own = Window.partitionBy(by, "journal").orderBy(F.col("score").desc(), "id")
-    first = pool.withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= n + 1)
-    head = Window.partitionBy(by, "_first").orderBy(F.col("score").desc(), "id")
-    some = first.withColumn("_first", F.col("_own") == 1).withColumn("_n", F.row_number().over(head)).where(F.col("_n") <= 2 * n + 1)
-    ordered = some.withColumn("_order", F.row_number().over(order)).select(by, "id", "journal", "score", "_order")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen, seen = [], set()
-        for row in pdf.sort_values("_order").itertuples(index=False):
-            if len(chosen) == n:
-                break
-            if row.journal not in seen or len(chosen) >= n - 1:
-                chosen.append(row)
-                seen.add(row.journal)
-        out = pd.DataFrame(chosen, columns=pdf.columns)
-        out["place"] = range(1, len(out) + 1)
-        return out[[by, "id", "place"]]
-
-    return ordered.groupBy(by).applyInPandas(pick, f"{by} long, id long, place int")
+    rows = pool.withColumn("_order", F.row_number().over(order)).withColumn("_first", F.row_number().over(own) == 1)
+    rows = rows.withColumn("_n", F.when(F.col("_first"), F.row_number().over(Window.partitionBy(by, "_first").orderBy("_order"))))
+    upto = F.max(F.when(F.col("_n") == n - 1, F.col("_order"))).over(Window.partitionBy(by)) if n > 1 else F.lit(0)
+    rows = rows.withColumn("place", F.when(F.col("_n") < n, F.col("_n")).when(F.col("_order") == upto + 1, n))
+    return rows.where("place is not null").select(F.col(by).cast("long").alias(by), F.col("id").cast("long").alias("id"), F.col("place").cast("int").alias("place"))
 
 
 def empty_islands(rows: DataFrame, by: str, position: str, width: float, least: int = 2) -> DataFrame:

@@ -66,3 +66,22 @@ def test_late_and_repeated_events(spark, tmp_path):
     assert sorted(r.event_id for r in once.collect())[:3] == [1, 2, 3]
     last = s.upserted(stream.select("user_id", "event_id", "value"), "user_id", "event_id", str(tmp_path / "up")).collect()
     assert [(r.user_id, r.event_id) for r in last] == [(1, 5)]
+
+
+def test_last_place_takes_the_next_of_any_journal(spark):
+    import random
+
+    from corpusloom.operators.ranking import diverse
+
+    rng = random.Random(3)
+    groups = {0: "AAAAAABCAD"} | {g: "".join(rng.choices("ABCDEFGH", [12, 2, 1, 1, 1, 1, 1, 1], k=rng.randint(1, 40))) for g in range(1, 80)}
+    pool = spark.createDataFrame([(g, i, j, float(-i)) for g, js in groups.items() for i, j in enumerate(js)], "g long, id long, journal string, score double")
+    for n in (1, 4):
+        wanted = set()
+        for g, js in groups.items():
+            chosen = []
+            for i, j in enumerate(js):
+                if len(chosen) < n and (len(chosen) >= n - 1 or j not in {js[c] for c in chosen}):
+                    chosen.append(i)
+            wanted |= {(g, i, place) for place, i in enumerate(chosen, 1)}
+        assert {tuple(r) for r in diverse(pool, "g", n).collect()} == wanted
