@@ -4,7 +4,8 @@ Windows of the size of an item slide over documents; each window's SimHash is lo
 in an index of the items' fingerprints. The index cuts fingerprints into one block more
 than the radius, so two within the radius agree in a block at least, and none within it
 is missed. Exact similarity of weighted shingles (runs of five words, weighted by how
-often they occur) decides over what the index finds.
+often they occur) decides over what the index finds, and over every window and the item that
+it was lined up with.
 
 Windows that share no run of words with any item have similarity 0 and are not made; all
 others are, at every offset that lines a shared run up with its place in an item.
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._words import Words, by_text, mix
 
-#: Of 64 bits. A window at the similarity of 0.75 differs in about 5 of them, in 8 if it is short.
+#: Of 64 bits. A window at the similarity of 0.75 differs in about 5 of them, in 8 if it is short, and in
+#: more than these if the item was cut at its edge: windows are compared with their own item at any distance.
 RADIUS = 15
 #: Items are held in tasks in blocks of about so many bytes of text.
 BLOCK_BYTES = 8 << 20
@@ -121,12 +123,23 @@ class Index:
             size = np.minimum(self.sizes[item[at]], counts[text])
             start = np.clip(hit - first[text] - place[at], 0, counts[text] - size)
             windows = np.unique(np.column_stack([text, start, size]), axis=0)
+            # what shares too few shingles with the item can't reach the similarity
+            pair = text * len(self.ids) + item[at]
+            _, which, hits = np.unique(pair, return_inverse=True, return_counts=True)
+            enough = 100 * hits[which] >= percent * np.maximum(1, self.sizes[item[at]] - length + 1)
+            aligned = np.unique(np.column_stack([text, start, size, item[at]])[enough], axis=0)
             for t in np.unique(windows[:, 0]):
                 mine = windows[windows[:, 0] == t]
                 total = np.zeros((counts[t] + 1, 64), np.int32)
                 np.cumsum(_bits(words.hash[words.first[t] : words.first[t + 1]]), axis=0, dtype=np.int32, out=total[1:])
-                w, i, distance = self.near(_fingerprints(total[mine[:, 1] + mine[:, 2]] - total[mine[:, 1]]))
-                for row, it, far in zip(w.tolist(), i.tolist(), distance.tolist(), strict=True):
+                prints = _fingerprints(total[mine[:, 1] + mine[:, 2]] - total[mine[:, 1]])
+                w, i, _ = self.near(prints)
+                # every window is compared with the item it was lined up with, however far its fingerprint is
+                own = aligned[aligned[:, 0] == t]
+                row = np.searchsorted(mine[:, 1] * (counts[t] + 1) + mine[:, 2], own[:, 1] * (counts[t] + 1) + own[:, 2])
+                pairs = np.unique(np.column_stack([np.concatenate([w, row]), np.concatenate([i, own[:, 3]])]), axis=0)
+                distance = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
+                for (row, it), far in zip(pairs.tolist(), distance.tolist(), strict=True):
                     _, s, n = mine[row].tolist()
                     at_ = first[t] + s
                     own = hashes[at_ : at_ + max(1, n - length + 1)]

@@ -278,6 +278,19 @@ def test_passages_are_extended_until_unlike(make):
     assert [(r.doc_id, r.partner, r.start_word <= 41, r.end_word >= 739) for r in got] == [(2, 1, True, True)]
 
 
+def test_items_cut_at_their_edges_are_found(spark, make):
+    rng = np.random.default_rng(15)
+    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
+    items, docs = [], []
+    for i in range(120):
+        n = (40, 60, 100, 200)[i % 4]
+        item, cut = some(n), (n - 4) // 7  # of n - 4 shingles a seventh is lost: similarity 0.75 or more
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join(some(30) + (item[cut:] + some(cut) if i % 8 < 4 else item[:-cut] + some(30)))))
+    found = decontaminate.matches(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(120)} and max(r.distance for r in found) > decontaminate.RADIUS
+
+
 def test_mixed_rows_keep_their_own_words(make):
     rows = [(None, words(30, 1)), (None, words(40, 2)), (3, words(50, 3)), (3, words(50, 3)), (3, words(20, 4)), (6, words(10, 5))]
     docs = make(rows)
