@@ -2,10 +2,11 @@
 written as canonical JSON.
 
 Calls meet results in a join on conversation and call identifier. A call that refers to
-the results of others comes after them: its level is one above theirs. Conversations of
-bounded size are put in order one by one; in larger ones levels grow from calls that wait
-for nothing, a join in each round. Arguments are checked against the tool's schema, and each call with
-its result becomes one line of JSON with sorted keys and no spare blanks.
+the results of others comes after them: its level is one above theirs. Calls are dealt
+out by conversation and position into blocks of bounded size; every block puts in order
+what it can, and waves hand levels on to the blocks that wait for them. Arguments are
+checked against the tool's schema, and each call with its result becomes one line of JSON
+with sorted keys and no spare blanks.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.session import cut
 
-#: Calls of a conversation that is put in order as a whole; larger ones are joined in rounds.
-WHOLE = 50_000
+#: Calls of a block that is put in order as a whole, about.
+BLOCK = 100_000
+#: Arguments that nest deeper are an error of their call; JSON lets a reader set such a limit.
+DEPTH = 200
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -56,12 +59,21 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _nested(value: object) -> Iterator[tuple[object, int]]:
+    """The value and all within it, with their depth, without recursion."""
+    open_ = [(value, 1)]
+    while open_:
+        held, depth = open_.pop()
+        yield held, depth
+        if isinstance(held, dict):
+            open_ += [(v, depth + 1) for pair in held.items() for v in pair]
+        elif isinstance(held, list):
+            open_ += [(v, depth + 1) for v in held]
+
+
 def references(value: object) -> list[str]:
-    """Identifiers of the calls whose results a value refers to, as {"$ref": identifier}."""
-    if isinstance(value, dict):
-        own = [value["$ref"]] if isinstance(value.get("$ref"), str) else []
-        return own + [r for v in value.values() for r in references(v)]
-    return [r for v in value for r in references(v)] if isinstance(value, list) else []
+    """Identifiers of the calls whose results a value refers to, as {"$ref": identifier}, sorted."""
+    return sorted({v["$ref"] for v, _ in _nested(value) if isinstance(v, dict) and isinstance(v.get("$ref"), str)})
 
 
 def canonical(value: object) -> str:
@@ -77,11 +89,32 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _parsed(text: str | None) -> tuple[object, str | None]:
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(text)
+    return value
+
+
+def parsed(text: str | None) -> tuple[object, str | None]:
+    """The value of a JSON text, or what is wrong with it: NaN, infinities, numbers out of
+    range and halves of surrogate pairs are no JSON that another reader must take."""
     try:
-        return json.loads(text or ""), None
-    except (ValueError, RecursionError):
+        value = json.loads(text or "", parse_constant=_no_constant, parse_float=_number)
+    except ValueError:
         return None, "arguments: not JSON"
+    except RecursionError:
+        return None, "arguments: nested too deep"
+    for held, depth in _nested(value):
+        if depth > DEPTH:
+            return None, "arguments: nested too deep"
+        if isinstance(held, str) and not held.isascii() and any("\ud800" <= c <= "\udfff" for c in held):
+            return None, "arguments: half a surrogate pair"
+    return value, None
 
 
 def _checked(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.RecordBatch]:
@@ -89,8 +122,8 @@ def _checked(batches: Iterator[pa.RecordBatch], schemas: dict) -> Iterator[pa.Re
     for batch in batches:
         refs, errors = [], []
         for name, text in zip(batch.column("name").to_pylist(), batch.column("arguments").to_pylist(), strict=True):
-            value, wrong = _parsed(text)
-            refs.append(sorted(set(references(value))))
+            value, wrong = parsed(text)
+            refs.append(references(value))
             errors.append([wrong] if wrong else [f"name: unknown tool {name}"] if name not in schemas else violations(value, schemas[name]))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(refs, pa.list_(pa.string())), pa.array(errors, pa.list_(pa.string()))], names=[*batch.schema.names, "needs", "errors"])
 
@@ -99,71 +132,80 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = []
         for r in batch.to_pylist():
-            value, wrong = _parsed(r["arguments"])
+            value, wrong = parsed(r["arguments"])
             call = None if r["name"] is None and r["arguments"] is None else {"id": r["call_id"], "name": r["name"], "arguments": r["arguments"] if wrong else value}
             lines.append(canonical({"conversation": r["conv_id"], "call": call, "result": r["result"], "status": r["status"], "level": r["level"], "errors": r["errors"] or []}))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "call_id", "position", "level", "status")), pa.array([not e and s == "linked" for e, s in zip(batch.column("errors").to_pylist(), batch.column("status").to_pylist(), strict=True)]), pa.array(lines, pa.string())], names=["conv_id", "call_id", "position", "level", "status", "valid", "json"])
 
 
-def order(needs: dict[str, list[str]]) -> dict[str, int | None]:
-    """Levels of calls: 0 without a need that is there, else one more than the highest
-    needed; None in a circle or behind one."""
-    level: dict[str, int | None] = dict.fromkeys(needs)
-    open_ = {c: {n for n in set(ns) if n in needs} for c, ns in needs.items()}
-    behind: dict[str, list[str]] = {}
+def order(needs: dict, base: dict) -> dict:
+    """Levels of those calls that can be told: base without a need, else one more than the
+    highest needed if that is more. Calls in a circle or behind one are left out."""
+    level: dict = {}
+    open_ = {c: set(ns) for c, ns in needs.items()}
+    behind: dict = {}
     for c, ns in open_.items():
         for n in ns:
             behind.setdefault(n, []).append(c)
-    ready, at = [c for c, ns in open_.items() if not ns], 0
+    high = dict(base)
+    ready = [c for c, ns in open_.items() if not ns]
     while ready:
-        following = []
-        for c in ready:
-            level[c] = at
-            for w in behind.get(c, ()):
-                open_[w].discard(c)
-                if not open_[w]:
-                    following.append(w)
-        ready, at = following, at + 1
+        c = ready.pop()
+        level[c] = high[c]
+        for w in behind.get(c, ()):
+            high[w] = max(high[w], level[c] + 1)
+            open_[w].discard(c)
+            if not open_[w]:
+                ready.append(w)
     return level
 
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, calls, found = [], [], []
-        for conv, held in zip(batch.column("conv_id").to_pylist(), batch.column("held").to_pylist(), strict=True):
-            levels_ = order({h["call_id"]: h["needs"] or [] for h in held})
-            ids += [conv] * len(levels_)
-            calls += levels_
-            found += levels_.values()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(calls, pa.string()), pa.array(found, pa.int32())], names=["conv_id", "call_id", "level"])
-
-
-def levels(calls: DataFrame, whole: int = WHOLE) -> DataFrame:
-    """calls (conv_id, call_id, needs; each call once) to conv_id, call_id, level: 0 for calls
-    that need no other call that is there, else one more than the highest needed; null in a
-    circle or behind one. Conversations of more than `whole` calls go by `rounds`."""
-    large = cut(calls.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > whole).select("conv_id"))
-    small = calls.join(large, "conv_id", "left_anti").groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "needs")).alias("held"))
-    found = small.mapInArrow(_ordered, "conv_id long, call_id string, level int")
-    return found if large.isEmpty() else found.unionByName(rounds(calls.join(large, "conv_id", "left_semi")))
-
-
-def rounds(calls: DataFrame) -> DataFrame:
-    """The same by joins alone: a round for each level, over calls that still wait."""
-    keys = calls.select("conv_id", "call_id").distinct()
-    edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    edges = cut(edges.join(keys.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"]))
-    waiting = edges.select("conv_id", "call_id").distinct()
-    fixed = cut(keys.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    done, level, left = fixed, 0, edges
-    while not fixed.isEmpty():
-        level += 1
-        before = left
-        left = cut(before.join(fixed.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti").select("conv_id", "call_id", "need"))
-        was, still = before.select("conv_id", "call_id").distinct(), left.select("conv_id", "call_id").distinct()
-        fixed = cut(was.join(still, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        done = cut(done.unionByName(fixed))
-    return keys.join(done, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level")
+_CALL = "block int, conv_id long, call_id string, base int, inner array<string>, outer array<string>"
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """A block of calls with the levels that can be told: those of calls that wait for none
+    in another block, nor for one that does."""
+    keys = list(zip(table.column("conv_id").to_pylist(), table.column("call_id").to_pylist(), strict=True))
+    inner, outer = table.column("inner").to_pylist(), table.column("outer").to_pylist()
+    needs = {k: [(k[0], n) for n in ns or ()] + [None] * bool(o) for k, ns, o in zip(keys, inner, outer, strict=True)}
+    level = order(needs, dict(zip(keys, table.column("base").to_pylist(), strict=True)))
+    # needs whose levels are known by now are in base from here on
+    base = [max([b, *(level[k[0], n] + 1 for n in ns or () if (k[0], n) in level)]) for k, b, ns in zip(keys, table.column("base").to_pylist(), inner, strict=True)]
+    inner = [[n for n in ns or () if (k[0], n) not in level] for k, ns in zip(keys, inner, strict=True)]
+    return pa.table({
+        "block": table.column("block"), "conv_id": table.column("conv_id"), "call_id": table.column("call_id"), "base": pa.array(base, pa.int32()),
+        "inner": pa.array(inner, pa.list_(pa.string())), "outer": pa.array(outer, pa.list_(pa.string())), "level": pa.array([level.get(k) for k in keys], pa.int32()),
+    })
+
+
+def levels(calls: DataFrame, block: int = BLOCK) -> DataFrame:
+    """calls (conv_id, call_id, position, needs; each call once) to conv_id, call_id, level: 0
+    for calls that need no other call that is there, else one more than the highest needed;
+    null in a circle or behind one.
+
+    Blocks are ranges of conversation and position, so that references, which go to calls
+    shortly before as a rule, seldom leave one; a large conversation lies in many. There are
+    as many waves as blocks follow each other along a chain of references."""
+    key = ["conv_id", "call_id"]
+    n = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-calls.count() // block))
+    placed = cut(calls.select(*key, "position", "needs").repartitionByRange(n, "conv_id", "position", "call_id").select(*key, "needs", F.spark_partition_id().alias("block")))
+    edges = placed.select(*key, "block", F.explode(F.array_distinct("needs")).alias("need"))
+    edges = edges.join(placed.select("conv_id", F.col("call_id").alias("need"), F.col("block").alias("at")), ["conv_id", "need"])
+    needs = lambda inside: F.collect_list(F.when((F.col("at") == F.col("block")) == F.lit(inside), F.col("need")))
+    needed = cut(edges.groupBy(*key).agg(needs(True).alias("inner"), needs(False).alias("outer")))
+    waiting = placed.join(needed, key, "left").select("block", *key, F.lit(0).alias("base"), "inner", "outer")
+    done = None
+    while True:
+        known = cut(waiting.groupBy("block").applyInArrow(_ordered, _CALL + ", level int"))
+        told = known.where("level is not null").select(*key, "level")
+        done = told if done is None else done.unionByName(told)
+        left = known.where("level is null")
+        hits = left.select(*key, F.explode("outer").alias("need")).join(told.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"])
+        hits = cut(hits.groupBy(*key).agg((F.max("level") + 1).alias("above"), F.collect_list("need").alias("got")))
+        if hits.isEmpty():
+            return done.unionByName(left.select(*key, "level"))
+        waiting = left.join(hits, key, "left").select("block", *key, F.greatest("base", "above").alias("base"), "inner", F.when(F.col("got").isNull(), F.col("outer")).otherwise(F.array_except("outer", "got")).alias("outer"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -176,9 +218,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
     Of calls, or results, that repeat an identifier within a conversation the first by
     position counts; ties go to the lesser content. Null identifiers or conversations meet
-    nothing, and every such row stays. A null or broken argument text is an error; an
-    unknown tool is one. A reference to a call that isn't there doesn't wait. Conversations
-    are never gathered: rows are joined on both keys. Empty tables give empty results.
+    nothing, and every such row stays; a null position is before all others. A null or broken
+    argument text is an error, as are NaN, infinities, numbers out of range, halves of
+    surrogate pairs and nesting beyond DEPTH; of a key that an object repeats the last value
+    counts. An unknown tool is an error. A reference to a call that isn't there doesn't wait.
+    Conversations are never gathered: rows are joined on both keys. Other columns are
+    ignored. Empty tables give empty results.
     """
     key = ["conv_id", "call_id"]
     known = "conv_id is not null and call_id is not null"
@@ -186,12 +231,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     calls = calls.select(*key, "name", "arguments", "position")
     results = results.select(*key, "result", "position")
     linkable = cut(first(calls, "name", "arguments").mapInArrow(lambda b: _checked(b, schemas), "conv_id long, call_id string, position long, name string, arguments string, needs array<string>, errors array<string>"))
-    leveled = linkable.join(levels(linkable), key)
-    got = first(results, "result").withColumnRenamed("position", "result_position")
+    leveled = linkable.join(levels(linkable), key).withColumn("called", F.lit(True))
+    got = first(results, "result").withColumnRenamed("position", "result_position").withColumn("answered", F.lit(True))
     joined = leveled.join(got, key, "full_outer")
     rows = joined.select(
         *key, F.coalesce("position", "result_position").alias("position"), "level", "name", "arguments", "result", "errors",
-        F.when(F.col("position").isNull(), "no_call").when(F.col("result_position").isNull(), "no_result").otherwise("linked").alias("status"),
+        F.when(F.col("called").isNull(), "no_call").when(F.col("answered").isNull(), "no_result").otherwise("linked").alias("status"),
     )
     odd = calls.where(f"not ({known})").select(*key, "position", F.lit(None).cast("int").alias("level"), "name", "arguments", F.lit(None).cast("string").alias("result"), F.array(F.lit("identifier: missing")).alias("errors"), F.lit("no_result").alias("status"))
     lost = results.where(f"not ({known})").select(*key, "position", F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "result", F.array(F.lit("identifier: missing")).alias("errors"), F.lit("no_call").alias("status"))

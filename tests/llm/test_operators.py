@@ -232,14 +232,6 @@ def test_tool_calls(spark):
     assert len(got) == 10 and json.loads(got[2, "a"].json)["errors"] == ["name: unknown tool none"]
 
 
-def test_levels_both_ways(spark):
-    rows = [(1, f"c{i}", [f"c{j}" for j in (i - 1, i - 3) if j >= 0] + ["gone"]) for i in range(12)] + [(1, "p", ["q"]), (1, "q", ["p"]), (1, "r", ["q", "c1"]), (2, "c5", None), (2, "c6", ["c5", "c5"])]
-    calls = spark.createDataFrame(rows, "conv_id long, call_id string, needs array<string>")
-    one = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls).collect()}
-    other = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls, whole=5).collect()}
-    assert one == other and one[1, "c11"] == 11 and one[1, "r"] is None and one[2, "c6"] == 1
-
-
 def test_every_place_of_a_passage_is_found(make):
     rng = np.random.default_rng(11)
     some = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**9, n))
