@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,37 @@ def test_line_templates(make):
     assert set(few.values()) == {0}
 
 
+@pytest.mark.parametrize("n", [100, 1_000, 10_000])
+def test_templates_do_not_depend_on_the_number_of_lines(make, n):
+    """Seven constants and five fields of 1,000 values each; ten times the lines drop the same."""
+    rng = np.random.default_rng(n)
+    fixed, rows = "order was placed online by and delivered".split(), []
+    for i in range(n):
+        a, b, c, d, e = (f"{chr(97 + k)}{''.join(chr(97 + int(x)) for x in str(v))}" for k, v in enumerate(rng.integers(0, 1000, 5)))
+        line = " ".join([*fixed[:5], a, b, fixed[5], c, d, fixed[6], e])
+        rows.append((i, f"{words(6, i)}\n{line}\n{words(11, 1_000_000 + i)} {'x' * (i % 7 + 1)}y"))
+    got = line_dedup.drop_recurring(make(rows))
+    assert got.selectExpr("sum(n_dropped)", "max(n_dropped)", "min(n_dropped)").first() == (n - 1, 1, 0)
+
+
+def test_several_templates_of_a_leaf(make):
+    """Kinds of lines that begin alike keep templates of their own; unlike lines stay."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 9))
+    rows = [(i, f"see all of the {'news reports about town' if i % 3 else 'match results for club'} {word()}") for i in range(60)]
+    rows += [(100 + i, f"see all of the {word()} {word()} {word()} {word()} {word()}") for i in range(8)]
+    rows += [(200 + i, f"we do not know {word()} {word()} {word()}") for i in range(50)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring(make(rows)).collect()}
+    assert [i for i in range(60) if not got[i]] == [0, 1] and not any(n for i, n in got.items() if i >= 100)
+
+
+def test_long_texts_of_recurring_lines(make):
+    rows = [(i, "\n".join(f"this is line {j} of them" if j % 2 else f"own {words(3, i * 10**6 + j)}" for j in range(200_000))) for i in range(6)]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.drop_recurring(make(rows)).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {i: (200_000, 100_000 if i else 0) for i in range(6)} and time.time() - began < 90
+
+
 def test_media_round_trip(documents):
     rows = {r.doc_id: r for r in media.digest(media.inspect(media.pack(documents))).collect()}
     for d in documents.collect():
