@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,18 @@ def test_filter_has_no_false_absence(spark):
 
 
 def test_long_text_of_secrets(make):
-    text = " ".join(f"token=value{i:06d}" for i in range(2000))
-    row = secrets.scan(make([(1, text)])).first()
-    assert row.n_assign == 2000 and row.n_live == 2000
+    n = 200_000
+    text = "é " + " ".join(f"token=value{i:06d}" for i in range(n))
+    began = time.time()
+    row = secrets.scan(make([(1, text), (2, "token=value000000")])).where("doc_id = 1").first()
+    spans = row.spans.split(",")
+    assert row.n_assign == n and row.n_live + row.n_shared == n and spans == [f"assign:{2 + 18 * i}:{19 + 18 * i}" for i in range(n)]
+    assert time.time() - began < 60
+
+
+def test_widely_copied_secrets(spark):
+    """Shared by three owners, or by two with six repositories; one owner's own stays live."""
+    rows = [(i, f"token=value{k}xx", f"o{o}", f"r{r}") for i, (k, o, r) in enumerate([*((1, o, 0) for o in range(3)), *((2, r % 2, r) for r in range(6)), *((3, 0, r) for r in range(9)), (4, 0, 0), (4, 1, 0)])]
+    found = secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"))
+    got = {r.n_documents: (r.n_owners, r.n_repositories, r.verdict) for r in secrets.ownership(found).collect()}
+    assert got == {3: (3, 3, "shared"), 6: (2, 6, "shared"), 9: (1, 9, "live"), 2: (2, 2, "live")}
