@@ -2,11 +2,11 @@
 
 Every source is a queue that serves its documents in a shuffled order, again and again
 up to its limit of passes. A document's virtual finish time is the number of words that
-its source has served with it, divided by the source's target. Sources that are served
-in proportion to their targets finish equal virtual times together, so the mix is the
-order by virtual finish time, truncated where the words served reach the total budget.
-Targets add up to the budget, so that this happens at virtual time 1: a document that
-ends by then is taken whole, one under way is cut there, one that begins later waits.
+its source has served with it, divided by the source's target. All passes of all documents
+are sorted by it over the whole cluster, and the running total of their words is cut at
+the budget. A document that is under way when virtual time 1 comes claims the words that
+its source's target still allows, so that a source of few long documents comes near its
+target as well; what its claim gets is up to the running total.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,8 +36,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_counted, "doc_id long, source string, size long")
+    """doc_id, source, shuffled (the place in its source) and the number of words of every row."""
+    return docs.select(*_columns()).mapInArrow(_counted, "doc_id long, source string, shuffled string, size long")
+
+
+def _columns() -> list[Column]:
+    text = F.col("text").cast("string")
+    order = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text, F.lit("")))))
+    return [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.md5(order).alias("shuffled"), text]
+
+
+def running(rows: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """rows with `upto_x`, the running total of the (long) column x over all rows in order, for
+    every x of sums. Rows are range-sorted; each partition adds up its own, and the totals
+    of the partitions, few numbers each, say where it starts. Only rows that tie in order
+    stand in any order. The result is cut from its lineage, as ranges are sampled."""
+    n = max(1, -(-rows.count() // RUN_ROWS))
+    kept = [*rows.columns, *(f"upto_{x}" for x in sums)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"upto_{x} long" for x in sums])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(sums, 0)
+        for batch in batches:
+            if batch.num_rows:
+                upto = {x: np.cumsum(batch.column(x).to_numpy(zero_copy_only=False)) + total[x] for x in sums}
+                total = {x: int(v[-1]) for x, v in upto.items()}
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(upto[x], pa.int64()) for x in sums)], names=kept)
+
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(added, schema)
+    placed = cut(dealt.withColumn("part", F.spark_partition_id()))
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("part").agg(*(F.max(f"upto_{x}").alias(f"all_{x}") for x in sums))
+    before = before.select("part", *(F.coalesce(F.sum(f"all_{x}").over(along), F.lit(0)).alias(f"before_{x}") for x in sums))
+    joined = placed.join(F.broadcast(before), "part")
+    return joined.select(*rows.columns, *((F.col(f"upto_{x}") + F.col(f"before_{x}")).alias(f"upto_{x}") for x in sums))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = 150, passes: int = 2) -> DataFrame:
@@ -49,20 +81,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent
     With sources ordered by limit over weight, those above their share come first, so one
     pass with running sums finds the level at which the rest is shared.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
+    sums = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
     cycle = F.array(*map(F.lit, weights))
-    named = sums.withColumn("weight", F.element_at(cycle, F.pmod(F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))).cast("int") + 1))
+    named = running(sums.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "one").drop("one")
+    named = named.withColumn("weight", F.element_at(cycle, F.pmod(F.col("upto_one") - 1, F.lit(len(weights))).cast("int") + 1).cast("long")).drop("upto_one")
     named = named.withColumn("limit_", F.col("source_size") * passes).withColumn("ratio", F.col("limit_") / F.col("weight"))
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = named.select(
-        "*",
-        ((F.sum("source_size").over(whole) * F.lit(budget_percent) / F.lit(100) - F.coalesce(F.sum("limit_").over(before), F.lit(0))) / F.sum("weight").over(after)).alias("share"),
-    )
-    fits = F.min(F.when(F.col("share") <= F.col("ratio"), F.struct("ratio", F.col("share"))))
-    return level.withColumn("level", fits.over(whole)["share"]).select(
+    summed = running(named, [F.col("ratio"), F.col("source").asc_nulls_last()], "limit_", "weight")
+    total = sums.agg(F.sum("source_size").alias("words")).crossJoin(named.agg(F.sum("weight").alias("weights")))
+    share = (F.col("words") * F.lit(budget_percent) / F.lit(100) - (F.col("upto_limit_") - F.col("limit_"))) / (F.col("weights") - F.col("upto_weight") + F.col("weight"))
+    level = summed.crossJoin(F.broadcast(total)).withColumn("share", share)
+    fits = level.where("share <= ratio").agg(F.min(F.struct("ratio", "share"))["share"].alias("level"))
+    return level.crossJoin(F.broadcast(fits)).select(
         "source", "source_size", "n_rows", F.least(F.col("limit_").cast("double"), F.coalesce(F.col("level"), F.col("ratio")) * F.col("weight")).alias("target")
     )
 
@@ -76,10 +105,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int
     MD5 (more digits for larger inputs), and the sums of the runs are then added up; a
     source with a third of all rows is dealt out like any other.
 
-    Null texts have size 0; a null source is a source; a null doc_id comes last in its
-    source; repeated rows are documents each. Sources of no words have target 0. Ties in
-    MD5 (repeated rows) stand in order of size; rows that tie in that as well are alike.
-    An empty table gives an empty result.
+    Null texts have size 0; a null source is a source; rows without doc_id are dealt out by
+    the MD5 of their texts; repeated rows are documents each. Sources of no words have
+    target 0. Ties in MD5 (repeated rows) stand in order of size; rows that tie in that as
+    well are alike. An empty table gives an empty result.
     """
     sizes = cut(sized(docs))
     return _mixed(sizes, sizes, weights, budget_percent, passes).orderBy("virtual_finish", "doc_id")
@@ -88,24 +117,42 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_percent: int
 def _mixed(sizes: DataFrame, rows: DataFrame, weights: tuple[int, ...], budget_percent: int, passes: int) -> DataFrame:
     """The mix of rows, which are those of sizes and may have further columns: these are carried along."""
     shares = cut(targets(sizes, weights, budget_percent, passes))
-    largest = shares.agg(F.max("n_rows")).first()[0] or 0
+    seen = shares.agg(F.max("n_rows"), F.sum("source_size")).first()
+    budget = min((seen[1] or 0) * budget_percent // 100, (seen[1] or 0) * passes)
     digits = 1
-    while largest > RUN_ROWS * 16**digits:
+    while (seen[0] or 0) > RUN_ROWS * 16**digits:
         digits += 1
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
-    keyed = lambda d: d.withColumn("shuffled", F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(order)).withColumn("run", F.substring("shuffled", 1, digits))
+    keyed = lambda d: d.withColumn("run", F.substring("shuffled", 1, digits))
     runs = keyed(sizes).groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     up_to = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("served", F.coalesce(F.sum("run_size").over(up_to), F.lit(0)))
     share = shares.select(F.col("source").alias("of"), "source_size", "target")
-    runs = runs.join(share, runs.source.eqNullSafe(share.of)).select(F.col("source").alias("of"), F.col("run").alias("of_run"), "served", "source_size", "target")
+    runs = cut(runs.join(share, runs.source.eqNullSafe(share.of)).select(F.col("source").alias("of"), F.col("run").alias("of_run"), "served", "source_size", "target"))
+
+    def placed(some: DataFrame, *ties: str) -> DataFrame:
+        """The words that the source has served before each row, and what is known of the source."""
+        within = Window.partitionBy("source", "run").orderBy("shuffled", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = keyed(some).withColumn("upto", F.sum("size").over(within))
+        joined = ranked.join(runs, ranked.source.eqNullSafe(runs.of) & (ranked.run == runs.of_run))
+        return joined.withColumn("start", F.col("served") + F.col("upto") - F.col("size"))
+
+    # all passes of all documents in order of virtual finish, cut where their words reach the budget
+    served = placed(sizes).withColumn("start", F.explode(F.array(*(F.col("start") + F.col("source_size") * p for p in range(passes)))))
+    whole_words, last_word = F.floor(F.round("target", 6)), F.ceil(F.round("target", 6))
+    claim = F.greatest(F.lit(0), F.least(F.col("size"), whole_words - F.col("start"))).cast("long")
+    # of a target that ends within a word, the word is claimed by itself
+    odd = ((last_word > whole_words) & (F.col("start") <= whole_words) & (whole_words < F.col("start") + F.col("size"))).cast("long")
+    claims = F.array(F.struct(F.col("start"), claim.alias("claim")), F.struct(whole_words.cast("long").alias("start"), odd.alias("claim")))
+    items = served.select("source", "shuffled", "target", F.inline(claims)).where("claim > 0").withColumn("finish", (F.col("start") + F.col("claim")) / F.col("target"))
+    total = running(cut(items.drop("target")), [F.col("finish"), F.col("source").asc_nulls_last(), F.col("shuffled"), F.col("start")], "claim")
+    got = F.greatest(F.lit(0), F.least(F.col("claim"), F.lit(budget) - F.col("upto_claim") + F.col("claim")))
+    taken_of = cut(total.groupBy("source").agg(F.sum(got).alias("source_taken"))).withColumnRenamed("source", "by")
+
     further = [c for c in rows.columns if c not in sizes.columns]
-    within = Window.partitionBy("source", "run").orderBy("shuffled", "size", *further[:1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = keyed(rows).withColumn("upto", F.sum("size").over(within))
-    placed = ranked.join(runs, ranked.source.eqNullSafe(runs.of) & (ranked.run == runs.of_run)).withColumn("start", F.col("served") + F.col("upto") - F.col("size"))
-    goal = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("start") - F.col("source_size") * p)) for p in range(passes)), F.lit(0))
-    return placed.select(
+    whole = placed(rows, *further[:1])
+    whole = whole.join(taken_of, whole.source.eqNullSafe(taken_of.by), "left").withColumn("source_taken", F.coalesce("source_taken", F.lit(0)))
+    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), F.col("source_taken") - F.col("start") - F.col("source_size") * p)) for p in range(passes)), F.lit(0))
+    return whole.select(
         "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"),
         ((F.col("start") + F.col("size")) / F.when(F.col("target") > 0, F.col("target"))).alias("virtual_finish"), *further,
     )
@@ -117,15 +164,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     one doc_id, and rows without one, have the words that were taken of each."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     # the first further column orders ties
-    whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct(*kept).alias("row"))
-    schema = T.StructType([*(T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("source", T.StringType()), ("tie", T.LongType()))), T.StructField("row", whole.schema["row"].dataType), T.StructField("size", T.LongType())])
+    whole = docs.select(*_columns(), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct(*kept).alias("row"))
+    schema = T.StructType([*(T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("source", T.StringType()), ("shuffled", T.StringType()), ("tie", T.LongType()))), T.StructField("row", whole.schema["row"].dataType), T.StructField("size", T.LongType())])
     mixed = _mixed(cut(sized(docs)), whole.mapInArrow(_counted, schema), WEIGHTS, 150, 2).where("taken > 0")
     return mixed.select(*(F.col("row")[c].alias(c) for c in kept), "size", "source_size", "target", "taken")
 
 
 SQL = """
 WITH sizes AS (
-  SELECT doc_id, source, CAST(length(regexp_replace(' ' || coalesce(text, ''), '[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]', chr(1), 'g'))
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(length(regexp_replace(' ' || coalesce(text, ''), '[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]', chr(1), 'g'))
     - length(replace(regexp_replace(' ' || coalesce(text, ''), '[\\x20\\x09-\\x0D]+[^\\x20\\x09-\\x0D]', chr(1), 'g'), chr(1), '')) AS BIGINT) AS size
   FROM documents),
 sums AS (SELECT source, sum(size) AS source_size FROM sizes GROUP BY source),
@@ -138,12 +185,19 @@ levels AS (
 level AS (SELECT share FROM levels WHERE share <= ratio ORDER BY ratio, share LIMIT 1),
 shares AS (SELECT source, source_size, least(CAST(lim AS DOUBLE), coalesce((SELECT share FROM level), ratio) * weight) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-    sum(s.size) OVER (PARTITION BY s.source ORDER BY CASE WHEN s.doc_id IS NULL THEN '~' ELSE md5(CAST(s.doc_id AS VARCHAR)) END, s.size
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target, md5(coalesce(CAST(s.doc_id AS VARCHAR), '~' || md5(s.text))) AS shuffled,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '~' || md5(s.text))), s.size
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start_
-  FROM sizes s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, CAST(source_size AS BIGINT) AS source_size, target,
-  CAST(greatest(0, least(size, floor(target) - start_)) + greatest(0, least(size, floor(target) - start_ - source_size)) AS BIGINT) AS taken,
+  FROM sizes s JOIN shares t ON s.source IS NOT DISTINCT FROM t.source),
+passes AS (SELECT source, shuffled, size, target, start_ + pass * source_size AS begin_, floor(round(target, 6)) AS whole_, ceil(round(target, 6)) AS last_ FROM placed, (SELECT unnest([0, 1]) AS pass)),
+claims AS (
+  SELECT source, shuffled, target, begin_, greatest(0, least(size, whole_ - begin_)) AS claim FROM passes
+  UNION ALL SELECT source, shuffled, target, whole_, 1 FROM passes WHERE last_ > whole_ AND begin_ <= whole_ AND whole_ < begin_ + size),
+items AS (SELECT *, (begin_ + claim) / target AS finish FROM claims WHERE claim > 0),
+total AS (SELECT *, sum(claim) OVER (ORDER BY finish, source NULLS LAST, shuffled, begin_ ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM items),
+got AS (SELECT source, sum(greatest(0, least(claim, (SELECT sum(source_size) FROM sums) * 150 // 100 - upto + claim))) AS got FROM total GROUP BY source)
+SELECT doc_id, p.source, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(greatest(0, least(size, coalesce(got, 0) - start_)) + greatest(0, least(size, coalesce(got, 0) - start_ - source_size)) AS BIGINT) AS taken,
   (start_ + size) / nullif(target, 0) AS virtual_finish
-FROM placed
+FROM placed p LEFT JOIN got g ON p.source IS NOT DISTINCT FROM g.source
 """

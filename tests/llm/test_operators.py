@@ -205,6 +205,7 @@ def test_mix_meets_targets(documents, make):
         by[r.source][2] += r.size
     assert all(abs(t - goal) <= 1 for t, goal, _ in by.values())
     total = sum(s for *_, s in by.values())
+    assert sum(t for t, *_ in by.values()) == 3 * total // 2  # the budget is met to the word
     assert sum(g for _, g, _ in by.values()) == pytest.approx(1.5 * total)
     # one large source of weight 1 takes what others can't
     few = make([(i, "a b c d") for i in range(0, 300)] + [(1000 + 3 * i, words(50, i)) for i in range(100)])
@@ -322,3 +323,20 @@ def test_mixed_rows_keep_their_own_words(make):
     got = mixing.mix_documents(docs)
     assert order(got) == order(mixing.mix(docs).where("taken > 0")) and sum(r.doc_id is None for r in got.collect()) == 2
     assert all(len(r.text.split()) == r["size"] and 0 < r.taken <= 2 * r["size"] for r in got.collect())
+
+
+def test_running_totals_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_ROWS", 40)
+    rows = spark.range(1_000).selectExpr("(id * 7919) % 1000 AS at", "id % 13 AS n", "1L AS one")
+    got = sorted((r.at, r.n, r.upto_n, r.upto_one) for r in mixing.running(rows, [rows["at"]], "n", "one").collect())
+    upto = np.cumsum([n for _, n, *_ in got])
+    assert [(u, o) for *_, u, o in got] == [(int(u), i + 1) for i, u in enumerate(upto)]
+
+
+def test_many_sources_and_rows_without_id(make, spark, monkeypatch):
+    """Runs and partitions of a few rows give the same as one of all."""
+    docs = make([(None if i % 3 == 0 else i, words(i % 17, i % 50)) for i in range(600)]).drop("source").selectExpr("*", "concat('s', n_chars % 40) AS source")
+    order = lambda d: sorted((str(r.source), r.doc_id or -1, r["size"], r.taken) for r in d.collect())
+    one = order(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "RUN_ROWS", 5)
+    assert order(mixing.mix(docs)) == one and sum(x[3] for x in one) == 3 * sum(x[2] for x in one) // 2
