@@ -31,8 +31,8 @@ BANDS = 32  # of two permutations each: a pair at 0.75 misses all with a chance
 LEAST_AGREED = 75
 #: Hubs that a member of buckets is tried with.
 HUBS = 3
-#: Documents of a band are compared within and between blocks of about so many.
-BLOCK = 256
+#: Members of a bucket are compared between blocks of about so many, by sketches and then by full sets.
+BLOCK, SET_BLOCK = 4096, 256
 _CHUNK = 4096
 
 
@@ -53,9 +53,16 @@ def signature(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def summary(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands, and the sketch, of a set of hashes (not empty)."""
+    low, high = signature(values)
+    row = mix(low[::2]) ^ mix(low[1::2] + np.uint64(1)) * np.uint64(3) ^ mix(high[::2] + np.uint64(2)) * np.uint64(5) ^ mix(high[1::2] + np.uint64(3)) * np.uint64(7)
+    bands = mix(row + (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    return bands.view(np.int64), mix(np.concatenate([low, high])).astype(np.uint8)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-    band = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
 
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, first = words.shingles(k)
@@ -66,11 +73,10 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if not len(found):
                 ids.append(None), bands.append(None), sketches.append(None)
                 continue
-            low, high = signature(found)
-            row = mix(low[::2]) ^ mix(low[1::2] + np.uint64(1)) * np.uint64(3) ^ mix(high[::2] + np.uint64(2)) * np.uint64(5) ^ mix(high[1::2] + np.uint64(3)) * np.uint64(7)
+            own, sketch = summary(found)
             ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            bands.append(mix(row + band * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
-            sketches.append(mix(np.concatenate([low, high])).astype(np.uint8).tobytes())
+            bands.append(own)
+            sketches.append(sketch.tobytes())
         return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
 
     return by_text(batches, "text", make)
@@ -117,21 +123,24 @@ def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(rows: pa.RecordBatch, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within a cell: of unlike components, alike in size and sketch, and in
-    the first of the bands that the two share, so that each pair comes up once in all."""
+    the first of the bands that the two share, so that each pair comes up once in all.
+    Rows of a cell stand by part; those of a part from 0 up meet the other part alone."""
     cell, part, comp, n, number = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("cell", "part", "component", "n", "number"))
     sketch = _sketches(rows.column("sketch"))
     bands = rows.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-    last = np.repeat(edge[1:], np.diff(edge))
+    ends = lambda *columns: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns]), [True]]))
+    of_cell, of_part = ends(cell), ends(cell, part)
+    last = np.repeat(of_cell[1:], np.diff(of_cell))
+    next_part = np.repeat(of_part[1:], np.diff(of_part))
+    first = np.where(part < 0, np.arange(len(cell)) + 1, next_part)
+    others = last - first
     at = 0
     while at < len(cell):  # so many first members that their pairs stay within bounds
-        to = at + max(1, int(np.searchsorted(np.cumsum((last - np.arange(len(cell)))[at:]), 200_000)))
-        others = last[at:to] - np.arange(at, to) - 1
-        i = np.repeat(np.arange(at, to), others)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(others) - others, others)
+        to = at + max(1, int(np.searchsorted(np.cumsum(others[at:]), 200_000)))
+        i = np.repeat(np.arange(at, to), others[at:to])
+        j = np.repeat(first[at:to], others[at:to]) + np.arange(len(i)) - np.repeat(np.cumsum(others[at:to]) - others[at:to], others[at:to])
         small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        # blocks of a cell that joins two are compared with each other alone
-        good = (comp[i] != comp[j]) & (100 * small >= percent * large) & ((part[i] != part[j]) | (part[i] < 0))
+        good = (comp[i] != comp[j]) & (100 * small >= percent * large)
         i, j = i[good], j[good]
         if len(i):
             good = _agreed(sketch[i], sketch[j]) > LEAST_AGREED
@@ -151,10 +160,10 @@ def _in_question(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
 
 
 def _linked_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of a cell that full sets confirm. Pairs that links of the cell join already
-    are passed over, so a cell gives fewer links than it has members."""
+    """Links between components that full sets of a cell's members confirm. Pairs that links
+    of the cell join already are passed over, so a cell gives fewer links than it has members."""
     for rows in _whole_cells(batches):
-        rep, held = rows.column("rep").to_numpy(), rows.column("held").to_pylist()
+        held = rows.column("held").to_pylist()
         sets: dict[int, np.ndarray] = {}
         root = {}
 
@@ -178,7 +187,7 @@ def _linked_within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     root[y] = x
-                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+                    links.append((min(comp[i], comp[j]), max(comp[i], comp[j])))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -236,11 +245,26 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     return by_text(batches, "text", make)
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """node, component: the least of a node and its neighbours. Nodes of one label are
-    joined by links; others may be as well."""
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("m")), F.struct(F.col("b").alias("node"), F.col("a").alias("m")))).alias("_")).select("_.*")
-    return ends.groupBy("node").agg(F.least("node", F.min("m")).alias("component"))
+def cells(members: DataFrame, block: int) -> DataFrame:
+    """Members of buckets (band, m, top, n_top, component and more) at cells that hold every
+    pair of unlike components of a bucket once, sorted by cell and part.
+
+    The bucket's largest component meets the other members alone, in blocks of both; only
+    the others meet each other as well. So a large group with few strangers makes rows in
+    proportion to its members."""
+    main = F.col("component") == F.col("top")
+    places = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    placed = members.select("*", main.alias("main"), places(F.col("n_top")).alias("g"), places(F.col("m") - F.col("n_top")).alias("h"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("g")).otherwise(F.col("h"))).cast("int"))
+    cell = lambda kind, a, b, part: F.struct(F.xxhash64("band", F.lit(kind), a, b).alias("cell"), F.lit(part).alias("part"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = F.transform(upto("h"), lambda b: cell(0, F.col("own"), b, 0))
+    other = F.transform(upto("g"), lambda a: cell(0, a, F.col("own"), 1))
+    # blocks of the others: with themselves, and two with each other
+    within = F.transform(upto("h"), lambda b: F.struct(F.xxhash64("band", F.lit(1), F.least("own", b), F.greatest("own", b)).alias("cell"), F.when(F.col("own") == b, -1).when(F.col("own") < b, 0).otherwise(1).alias("part")))
+    at = F.when(F.col("main"), across).otherwise(F.concat(other, within))
+    kept = [c for c in members.columns if c not in ("band", "m", "top", "n_top")]
+    return placed.select(*kept, F.explode(at).alias("_at")).select("_at.cell", "_at.part", *kept).repartition("cell").sortWithinPartitions("cell", "part")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -254,11 +278,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     2. Every band's bucket has hubs (its smallest and largest member and another); a member
        is tried with the three hubs that it shares most bands with: linear in the members.
        Sketches and then full sets confirm links.
-    3. Members of a bucket that no common neighbour joins yet are compared with each other
+    3. Members of a bucket that these links don't join yet are compared with each other
        in blocks of bounded size: sketches first, then full sets, which are sent to the
        blocks for the members in question alone. Every such pair is decided, unless links
-       of its block join the two already, and only links leave the block, fewer than it
-       has members. Links are contracted to components at the end.
+       of its block join the two already, and only links between components leave the
+       block, fewer than it has members. These are contracted at the end.
 
     Nulls and empties: a null or wordless text has no shingles and links with nothing;
     rows with a null doc_id take part in no group, have null component_id and class_id,
@@ -286,28 +310,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     likely = cut(likely.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_likely, "a long, b long"))
     links = cut(_confirm(likely, docs, k, percent))
 
-    labels = _labels(links)
-    rows = members.select("band", "number", "rep", "m").join(labels, members.rep == labels.node, "left").select("band", "number", "rep", "m", F.coalesce("component", "rep").alias("component"))
-    mixed = cut(rows.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band"))
+    base = cut(components(links))
+    rows = members.select("band", "number", "rep", "m").join(base, members.rep == base.node, "left").select("band", "number", "rep", "m", F.coalesce("component", "rep").alias("component"))
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    mixed = cut(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("_"), F.first("m").alias("m")).where("_.n < m").select("band", F.col("_.component").alias("top"), F.col("_.n").alias("n_top")))
     left = cut(rows.join(mixed, "band"))
 
-    def cells(some: DataFrame) -> DataFrame:
-        """Members at the cells of their band: those of their own block and those that join
-        it with another, sorted by cell."""
-        placed = some.withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        kept = [c for c in some.columns if c not in ("band", "m")]
-        named = placed.select(
-            F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-            F.when(F.col("block") == F.col("other"), F.lit(-1)).otherwise(F.col("block")).alias("part"), *kept,
-        )
-        return named.repartition("cell").sortWithinPartitions("cell")
-
-    asked = cut(cells(left.join(reps, "rep")).mapInArrow(lambda batches: _in_question(batches, percent), "rep long").distinct())
+    asked = cut(cells(left.join(reps, "rep"), BLOCK).mapInArrow(lambda batches: _in_question(batches, percent), "rep long").distinct())
     sets = cut(_texts(docs, asked.withColumnRenamed("rep", "doc_id")).mapInArrow(lambda batches: _sets(batches, k), "rep long, held binary"))
     known = cut(reps.join(sets, "rep"))  # of members in question alone
-    further = cells(left.join(known, "rep")).mapInArrow(lambda batches: _linked_within(batches, percent), "a long, b long")
-    labels = components(links.unionByName(cut(further)))
+    further = cut(cells(left.join(known, "rep"), SET_BLOCK).mapInArrow(lambda batches: _linked_within(batches, percent), "a long, b long"))
+    joined = cut(components(further).select(F.col("node").alias("of"), F.col("component").alias("joined")))
+    # a component may be that of a text without links so far
+    labels = base.join(joined, base.component == joined.of, "left").select("node", F.coalesce("joined", "component").alias("component"))
+    labels = labels.unionByName(joined.join(base, joined.of == base.node, "left_anti").select(F.col("of").alias("node"), F.col("joined").alias("component")))
 
     named = signed.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left")
     return named.join(labels, named.rep == labels.node, "left").select(
