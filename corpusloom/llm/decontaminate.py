@@ -1,33 +1,35 @@
 """Benchmark decontamination by SimHash windows and a multi-index Hamming search.
 
-Windows of the size of an item slide over documents; each window's SimHash is looked up
-in an index of the items' fingerprints. The index cuts fingerprints into one block more
-than the radius, so two within the radius agree in a block at least, and none within it
-is missed. Exact similarity of weighted shingles (runs of five words, weighted by how
-often they occur) decides over what the index finds, and over every window and the item that
-it was lined up with.
-
-Windows that share no run of words with any item have similarity 0 and are not made; all
-others are, at every offset that lines a shared run up with its place in an item.
+Windows of the size of an item slide over documents where the two share one of the item's
+rarest runs of five words; each window's SimHash is looked up in an index of the items'
+fingerprints. The index cuts fingerprints into blocks, and two within the radius differ in
+few enough bits of one block at least, so none within it is missed. Exact similarity of
+weighted shingles (runs of five words, weighted by how often they occur) decides over what
+the index finds, and over every item that a window was lined up with: an item cut at its
+edges can keep the similarity beyond any radius that an index could be asked for.
+
+A window that reaches the similarity holds one of the item's rarest runs, so that a run
+which very many items share (a prompt that they begin with) is no place to start from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._words import Words, by_text, mix
+from corpusloom.llm._words import Words, by_text
 
-#: Of 64 bits. A window at the similarity of 0.75 differs in about 5 of them, in 8 if it is short, and in
-#: more than these if the item was cut at its edge: windows are compared with their own item at any distance.
-RADIUS = 15
+#: Of 64 bits. A window at the similarity of 0.75 differs in about 5 of them, in 8 if it is short.
+RADIUS = 11
 #: Items are held in tasks in blocks of about so many bytes of text.
 BLOCK_BYTES = 8 << 20
 _BITMAP = 22
+_PIECE = 1 << 16
 
 
 def _runs(a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,80 +38,149 @@ def _runs(a: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + a[which]
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
+def _pieces(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to the limit at most; a larger one goes alone."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        yield at, to
+        at = to
+
+
+def _votes(hashes: np.ndarray) -> np.ndarray:
     """64 votes of each word: 1 or -1."""
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
 
 
-def _fingerprints(votes: np.ndarray) -> np.ndarray:
-    return np.packbits(votes > 0, axis=1).reshape(-1).view(np.uint64)
+def fingerprints(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of the words start .. start + size (some), by votes of each word's bits."""
+    found = [np.zeros(0, np.uint64)]
+    for a, b in _pieces(size, _PIECE):
+        if size[a] > _PIECE:  # one long window, a piece at a time
+            sums = sum(_votes(hashes[at : min(at + _PIECE, start[a] + size[a])]).sum(axis=0, dtype=np.int64) for at in range(start[a], start[a] + size[a], _PIECE))[None, :]
+        else:
+            sums = np.add.reduceat(_votes(hashes[_runs(start[a:b], size[a:b])[1]]), np.cumsum(size[a:b]) - size[a:b], axis=0, dtype=np.int32)
+        found.append(np.packbits(sums > 0, axis=1).reshape(-1).view(np.uint64))
+    return np.concatenate(found)
 
 
-class Index:
-    """Items of one block: their shingles by hash, and their fingerprints by Hamming block."""
-
-    def __init__(self, items: list[tuple[int, str]], k: int, radius: int):
-        self.k, self.radius = k, radius
-        self.ids, self.sizes, self.prints, self.sets, table = [], [], [], [], {}
-        for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = Words(raw, np.array([0, len(raw)]))
-            n = len(words.hash)
-            if not n:
-                continue
-            hashes = words.shingles(k)[0]
-            self.ids.append(item_id)
-            self.sizes.append(n)
-            self.prints.append(_fingerprints(_bits(words.hash).sum(axis=0, dtype=np.int64)[None, :])[0])
-            self.sets.append(np.unique(hashes, return_counts=True))
-            table.setdefault(min(n, k), []).append((len(self.ids) - 1, hashes))
-        self.sizes, self.prints = np.array(self.sizes, np.int64), np.array(self.prints, np.uint64)
-        self.tables = {}
-        for length, rows in table.items():
-            hashes = np.concatenate([h for _, h in rows])
-            item = np.concatenate([np.full(len(h), i) for i, h in rows])
-            place = np.concatenate([np.arange(len(h)) for _, h in rows])
-            order = np.argsort(hashes, kind="stable")
-            bitmap = np.zeros(1 << _BITMAP, bool)
-            bitmap[(hashes >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
-            self.tables[length] = (hashes[order], item[order], place[order], bitmap)
-        edges = np.linspace(0, 64, radius + 2).astype(int)
+class Hamming:
+    """A multi-index: fingerprints by the value of each of some blocks of their bits.
+
+    Of m blocks two fingerprints within the radius differ in radius // m bits or fewer in
+    one at least, so the entries within that distance of each block's value hold them all.
+    There are as many blocks as make lookups and expected candidates fewest."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+
+        def cost(m: int) -> float:
+            width, near = 64 // m, radius // m
+            lookups = m * sum(len(list(combinations(range(width), j))) for j in range(near + 1))
+            return lookups + len(prints) * lookups / 2**width
+
+        m = min((m for m in range(1, radius + 2) if radius // m <= 2), key=cost)
+        edges = np.linspace(0, 64, m + 1).astype(int)
         self.blocks = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            value = self._block(self.prints, lo, hi)
+            value = self._block(prints, lo, hi)
             order = np.argsort(value, kind="stable")
-            self.blocks.append((lo, hi, value[order], order))
+            masks = [sum(1 << b for b in bits) for j in range(radius // m + 1) for bits in combinations(range(hi - lo), j)]
+            self.blocks.append((lo, hi, value[order], order, np.array(masks, np.uint64)))
 
     @staticmethod
     def _block(prints: np.ndarray, lo: int, hi: int) -> np.ndarray:
         return prints >> np.uint64(lo) & np.uint64((1 << int(hi - lo)) - 1)
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (place in prints, item) within the radius, and their distances."""
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place in prints, entry) that are near in a block, in pieces of bounded size."""
+        for lo, hi, values, order, masks in self.blocks:
+            for at in range(0, len(prints), max(1, _PIECE // len(masks))):
+                own = (self._block(prints[at : at + max(1, _PIECE // len(masks))], lo, hi)[:, None] ^ masks[None, :]).ravel()
+                a, b = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+                for x, y in _pieces(b - a, _PIECE):
+                    which, entry = _runs(a[x:y], (b - a)[x:y])
+                    yield at + (x + which) // len(masks), order[entry]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in prints, entry) within the radius."""
+        found = [np.zeros((0, 2), np.int64)]
+        for which, entry in self.candidates(prints):
+            close = np.bitwise_count(prints[which] ^ self.prints[entry]) <= self.radius
+            found.append(np.column_stack([which[close], entry[close]]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pairs[:, 0], pairs[:, 1]
+
+
+class Index:
+    """Items of one block (their identifiers and their text): rarest shingles by hash,
+    shingle weights, and the multi-index of their fingerprints."""
+
+    def __init__(self, items: list[tuple[list, str]], k: int, percent: int, radius: int):
+        items = [(ids, text.encode()) for ids, text in items]
+        words = Words(np.frombuffer(b"".join(t for _, t in items), np.uint8), np.cumsum([0, *(len(t) for _, t in items)]))
+        some = np.flatnonzero(np.diff(words.first))
+        self.k, self.percent = k, percent
+        self.ids, self.sizes = [items[i][0] for i in some.tolist()], np.diff(words.first)[some]
+        self.prints = fingerprints(words.hash, words.first[some], self.sizes)
+        self.hamming = Hamming(self.prints, radius)
+        hashes, first = words.shingles(k)
+        self.made = np.diff(first)[some]  # shingles, repeats counted
+        item = np.repeat(np.arange(len(some)), self.made)
+        place = np.arange(len(hashes)) - np.repeat(first[some], self.made)
+        # weights: distinct shingles of each item by hash
+        order = np.lexsort((hashes, item))
+        new = np.ones(len(order), bool)
+        new[1:] = (item[order][1:] != item[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+        at = np.flatnonzero(new)
+        self.shingle, self.of, self.weight = hashes[order][at], item[order][at], np.diff(np.append(at, len(order)))
+        self.bounds = np.searchsorted(self.of, np.arange(len(some) + 1))
+        # of an item the rarest shingles, so many that a window without any can't be alike enough
+        _, which, often = np.unique(self.shingle, return_inverse=True, return_counts=True)
+        by_rarity = np.lexsort((self.shingle, often[which], self.of))
+        before = np.cumsum(self.weight[by_rarity]) - self.weight[by_rarity]
+        before -= np.repeat(before[self.bounds[:-1]], np.diff(self.bounds))
+        needed = -(-percent * self.made // 100)
+        rare = np.zeros(len(self.shingle), bool)
+        rare[by_rarity] = before <= (self.made - needed)[self.of[by_rarity]]
+        seed = np.empty(len(order), bool)
+        seed[order] = rare[np.cumsum(new) - 1]
+        self.tables = {}
+        length = np.minimum(self.sizes, k)[item]
+        for n in np.unique(length).tolist():
+            own = np.flatnonzero(seed & (length == n))
+            own = own[np.argsort(hashes[own], kind="stable")]
+            bitmap = np.zeros(1 << _BITMAP, bool)
+            bitmap[(hashes[own] >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
+            self.tables[n] = (hashes[own], item[own], place[own], bitmap)
+
+    def best(self, hashes: np.ndarray, item: int, low: int, high: int, m: int) -> tuple[float, int] | None:
+        """Of windows of m shingles that begin at low .. high the first of the most alike:
+        similarity (sum of the smaller over sum of the larger weights) and start."""
+        known, weight = (x[self.bounds[item] : self.bounds[item + 1]] for x in (self.shingle, self.weight.tolist()))
+        span = hashes[low : high + m]
+        at = np.minimum(np.searchsorted(known, span), len(known) - 1)
+        ours = known[at] == span
+        total = int(self.made[item])
+        if 100 * int(ours.sum()) < self.percent * total:
+            return None
+        held, both, found = [0] * len(known), 0, None
+        slots = np.where(ours, at, -1).tolist()
+        for j, x in enumerate(slots):
+            if x >= 0:
+                held[x] += 1
+                both += held[x] <= weight[x]
+            if j >= m and (gone := slots[j - m]) >= 0:
+                both -= held[gone] <= weight[gone]
+                held[gone] -= 1
+            if j >= m - 1 and 100 * both >= self.percent * (m + total - both) and (found is None or both > found[0]):
+                found = both, low + j - m + 1
+        return found and (found[0] / (m + total - found[0]), found[1])
+
+    def search(self, words: Words) -> list[tuple[int, int, int, int, int, float]]:
+        """The first of the best windows of every (text, item) that reaches the similarity:
+        text, item, first word, words, distance of fingerprints, similarity."""
         found = []
-        for lo, hi, values, order in self.blocks:
-            own = self._block(prints, lo, hi)
-            a, b = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
-            which, at = _runs(a, b - a)
-            item = order[at]
-            close = np.bitwise_count(prints[which] ^ self.prints[item]) <= self.radius
-            found.append(which[close] * len(self.ids) + item[close])
-        pairs = np.unique(np.concatenate(found))
-        which, item = np.divmod(pairs, max(1, len(self.ids)))
-        return which, item, np.bitwise_count(prints[which] ^ self.prints[item])
-
-    def similarity(self, hashes: np.ndarray, item: int) -> float:
-        """Sum of the smaller over sum of the larger weights of shingles."""
-        mine, mine_n = np.unique(hashes, return_counts=True)
-        other, other_n = self.sets[item]
-        _, a, b = np.intersect1d(mine, other, assume_unique=True, return_indices=True)
-        both = int(np.minimum(mine_n[a], other_n[b]).sum())
-        return both / (int(mine_n.sum()) + int(other_n.sum()) - both)
-
-    def search(self, words: Words, percent: int) -> list[tuple[int, int, int, int, int, float]]:
-        """Best window of every (text, item) that reaches the similarity:
-        text, item, first word, words, distance, similarity."""
-        best: dict[tuple[int, int], tuple] = {}
         counts = np.diff(words.first)
         for length, (table, item, place, bitmap) in self.tables.items():
             hashes, first = words.shingles(length)
@@ -122,42 +193,39 @@ class Index:
             text = np.searchsorted(first, hit, side="right") - 1
             size = np.minimum(self.sizes[item[at]], counts[text])
             start = np.clip(hit - first[text] - place[at], 0, counts[text] - size)
+            asked = np.column_stack([text, item[at], start])
             windows = np.unique(np.column_stack([text, start, size]), axis=0)
-            # what shares too few shingles with the item can't reach the similarity
-            pair = text * len(self.ids) + item[at]
-            _, which, hits = np.unique(pair, return_inverse=True, return_counts=True)
-            enough = 100 * hits[which] >= percent * np.maximum(1, self.sizes[item[at]] - length + 1)
-            aligned = np.unique(np.column_stack([text, start, size, item[at]])[enough], axis=0)
-            for t in np.unique(windows[:, 0]):
-                mine = windows[windows[:, 0] == t]
-                total = np.zeros((counts[t] + 1, 64), np.int32)
-                np.cumsum(_bits(words.hash[words.first[t] : words.first[t + 1]]), axis=0, dtype=np.int32, out=total[1:])
-                prints = _fingerprints(total[mine[:, 1] + mine[:, 2]] - total[mine[:, 1]])
-                w, i, _ = self.near(prints)
-                # every window is compared with the item it was lined up with, however far its fingerprint is
-                own = aligned[aligned[:, 0] == t]
-                row = np.searchsorted(mine[:, 1] * (counts[t] + 1) + mine[:, 2], own[:, 1] * (counts[t] + 1) + own[:, 2])
-                pairs = np.unique(np.column_stack([np.concatenate([w, row]), np.concatenate([i, own[:, 3]])]), axis=0)
-                distance = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]])
-                for (row, it), far in zip(pairs.tolist(), distance.tolist(), strict=True):
-                    _, s, n = mine[row].tolist()
-                    at_ = first[t] + s
-                    own = hashes[at_ : at_ + max(1, n - length + 1)]
-                    if min(int(self.sizes[it]), self.k) != length:
-                        continue
-                    alike = self.similarity(own, it)
-                    if 100 * alike >= percent and ((int(t), it) not in best or (-alike, s) < best[int(t), it][0]):
-                        best[int(t), it] = ((-alike, s), (int(t), it, s, n, far, alike))
-        return [v for _, v in best.values()]
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks whose size is checked before they leave the cluster."""
+            w, near = self.hamming.near(fingerprints(words.hash, words.first[windows[:, 0]] + windows[:, 1], windows[:, 2]))
+            right = np.minimum(self.sizes[near], self.k) == length
+            asked = np.unique(np.concatenate([asked, np.column_stack([windows[w, 0], near, windows[w, 1]])[right]]), axis=0)
+            best: dict[tuple[int, int], tuple[float, int]] = {}
+            # windows near each other are looked at in one span
+            new = np.ones(len(asked), bool)
+            new[1:] = (asked[1:, :2] != asked[:-1, :2]).any(axis=1) | (asked[1:, 2] - asked[:-1, 2] > 2 * self.sizes[asked[1:, 1]])
+            starts = np.flatnonzero(new)
+            for x, y in zip(starts.tolist(), np.append(starts[1:], len(asked)).tolist(), strict=True):
+                t, i, n = int(asked[x, 0]), int(asked[x, 1]), int(self.sizes[asked[x, 1]])
+                size = min(n, int(counts[t]))
+                low, high = max(0, int(asked[x, 2]) - n), min(int(counts[t]) - size, int(asked[y - 1, 2]) + n)
+                got = self.best(hashes[first[t] : first[t + 1]], i, low, high, max(1, size - length + 1))
+                if got and ((t, i) not in best or got[0] > best[t, i][0]):
+                    best[t, i] = got
+            for (t, i), (alike, s) in best.items():
+                n = min(int(self.sizes[i]), int(counts[t]))
+                own = fingerprints(words.hash, words.first[t : t + 1] + s, np.array([n]))[0]
+                found.append((t, i, s, n, int(np.bitwise_count(own ^ self.prints[i])), alike))
+        return found
+
+
+def _blocks(items: DataFrame) -> Iterator[list[tuple[list, str]]]:
+    """Distinct texts of items with their identifiers, in blocks of about a size that is
+    checked before they leave the cluster."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = rows.groupBy("text").agg(F.collect_list(F.struct("item_id")).alias("ids"))
+    total = held.agg(F.sum(F.octet_length("text") + 8 * F.size("ids"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
     for b in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+        yield [([x["item_id"] for x in r["ids"]], r["text"]) for r in held.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()]
 
 
 def matches(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75, radius: int = RADIUS) -> DataFrame:
@@ -179,14 +247,14 @@ def matches(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75, ra
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, k, radius)
+            index = Index(sent.value, k, percent, radius)
 
             def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                got = index.search(words, percent) if index.ids else []
+                got = [(g, x) for g in index.search(words) for x in index.ids[g[1]]]
                 if not got:
                     return None
                 doc = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                columns = [[doc[g[0]] for g in got], [index.ids[g[1]] for g in got], *([g[j] for g in got] for j in range(2, 6))]
+                columns = [[doc[g[0]] for g, _ in got], [x for _, x in got], *([g[j] for g, _ in got] for j in range(2, 6))]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"])
 
@@ -198,25 +266,23 @@ def matches(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75, ra
 
 
 def without_matches(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 75, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that no item is found in, with all their columns."""
+    """The rows of docs that no item is found in, with all their columns and as they are.
+    Null and wordless texts hold no item and stay, whatever their doc_id; repeated rows
+    stay or go together; without items all stay. Every block of items is one more step
+    over the rows of a partition, in the same scan."""
     kept = docs
     for block in _blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, k, radius)
+            index = Index(sent.value, k, percent, radius)
 
             def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
                 hit = np.zeros(hi - lo, bool)
-                hit[[g[0] for g in index.search(words, percent)] if index.ids else []] = True
+                hit[[g[0] for g in index.search(words)]] = True
                 return batch.slice(lo, hi - lo).filter(pa.array(~hit))
 
             return by_text(batches, "text", make)
 
         kept = kept.mapInArrow(clean, docs.schema)
     return kept
-
-
-def seed(x: int) -> int:
-    """A fingerprint of a number, for tests."""
-    return int(mix(np.array([x], np.uint64))[0])

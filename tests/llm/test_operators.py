@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpusloom.llm import decontaminate, line_dedup, media, mixing, passages, quality, secrets, tool_calls, toxicity
+from corpusloom.llm import line_dedup, media, mixing, passages, quality, secrets, tool_calls, toxicity
 
 from .conftest import words
 
@@ -23,34 +23,6 @@ def multiset(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def test_decontamination_finds_every_window(spark, make):
-    item = words(40, 9).split()
-    edited = [*item[:20], "other", *item[21:]]
-    docs = make([
-        (1, words(100, 2) + " " + " ".join(item) + " " + words(100, 3)), (2, " ".join(item).upper()), (3, " ".join(item[:20]) + " " + words(30, 4)), (4, words(300, 5)),
-        (5, words(33, 6) + "\n" + " ".join(edited) + " " + words(12, 7)), (6, "tiny item here and more"), (7, "a tiny item here"),
-    ])
-    items = spark.createDataFrame([(70, " ".join(item)), (71, "tiny item here"), (72, words(15, 8))], "item_id long, text string")
-    found = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, items).collect()}
-    assert set(found) == {(1, 70), (2, 70), (5, 70), (6, 71), (7, 71)}
-    assert found[1, 70].start_word == 100 and found[1, 70].n_words == 40 and found[1, 70].similarity == 1
-    one, other = multiset(" ".join(item)), multiset(" ".join(edited))
-    assert found[5, 70].similarity == pytest.approx(sum((one & other).values()) / sum((one | other).values()))
-    assert {r.doc_id for r in decontaminate.without_matches(docs, items).collect()} == {3, 4}
-
-
-def test_multi_index_is_complete():
-    rng = np.random.default_rng(3)
-    index = decontaminate.Index([(i, words(30, i)) for i in range(50)], 5, 15)
-    prints = rng.choice(index.prints, 200)
-    for _ in range(12):
-        prints = prints ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
-    which, item, distance = index.near(prints)
-    all_ = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
-    assert set(zip(which.tolist(), item.tolist(), strict=True)) == set(zip(*map(np.ndarray.tolist, np.nonzero(all_ <= 15)), strict=True))
-    assert (distance == all_[which, item]).all()
-
-
 def test_passages_are_found(make):
     common = words(60, 20).split()
     fuzzy = [*common[:25], "zz", *common[26:45], *common[46:]]
@@ -303,19 +275,6 @@ def test_passages_are_extended_until_unlike(make):
     assert [(r.doc_id, r.partner, r.start_word <= 41, r.end_word >= 739) for r in got] == [(2, 1, True, True)]
 
 
-def test_items_cut_at_their_edges_are_found(spark, make):
-    rng = np.random.default_rng(15)
-    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
-    items, docs = [], []
-    for i in range(120):
-        n = (40, 60, 100, 200)[i % 4]
-        item, cut = some(n), (n - 4) // 7  # of n - 4 shingles a seventh is lost: similarity 0.75 or more
-        items.append((i, " ".join(item)))
-        docs.append((i, " ".join(some(30) + (item[cut:] + some(cut) if i % 8 < 4 else item[:-cut] + some(30)))))
-    found = decontaminate.matches(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(120)} and max(r.distance for r in found) > decontaminate.RADIUS
-
-
 def test_mixed_rows_keep_their_own_words(make):
     rows = [(None, words(30, 1)), (None, words(40, 2)), (3, words(50, 3)), (3, words(50, 3)), (3, words(20, 4)), (6, words(10, 5))]
     docs = make(rows)
