@@ -1,11 +1,16 @@
 """Repeated passages: shared seeds, collinear chains, alignment.
 
 Every run of four words is a seed: of 50 words with 10 replaced at least seven seeds stay.
-Seeds are counted in blocks of hashes, and those that occur again go on. A seed links each
+Seeds are counted in groups of hashes, and those that occur again go on. A seed links each
 of its places to the first place that holds it, by document and in it, which is linear in
-the occurrences however many share it. Seeds of a pair of documents are chained in order,
-with costs for gaps, through a Fenwick tree; chains are aligned word by word and extended
-at both ends, as far as the words stay alike.
+the occurrences however many share it. Where the seeds of a document turn from one partner
+to another, they are linked to the places before them as well: a passage of two parts that
+stand first in two other documents has its own earlier holder there. Seeds of a pair of
+documents are chained in order, with costs for gaps, through a Fenwick tree; chains are
+aligned word by word and extended at both ends, as far as the words stay alike.
+
+A seed that very many places hold is dealt out by document. Its first place is found
+beforehand, so that no task holds all of them.
 """
 
 from __future__ import annotations
@@ -23,15 +28,18 @@ from corpusloom.session import cut
 
 SEED_WORDS = 4
 LEAST_SEEDS = 4  # of a chain; a passage has seven, some of which may be linked elsewhere
-WINDOW_STEPS = 4  # windows of 2 ** 4 seeds, for minimizers
 STRIDE = 8  # of seeds that follow each other in both texts one in so many is chained
-PART_BITS = 9  # seeds, and documents, are taken in so many groups (as a power of 2)
+PART_BYTES = 32 << 20  # seeds, and documents, are taken in groups of about so many bytes of text
+LEAST_PART_BITS, MOST_PART_BITS = 9, 20  # of groups, as powers of 2
+HOT_PLACES, HOT_BYTES = 2_000, 120_000  # a seed is dealt out by document if it has so many places, and one in so many bytes
+SEAM_GAP, SEAM_SEEDS = 16, 8  # seeds within so many words follow each other; so many on both sides of a seam are linked twice
 MARGIN = 64  # words beyond a chain that alignment may reach at first
 WIDER = 4  # where the words are alike to the end of the span, it is fetched so much wider
 GRID = 32  # spans are fetched in units of so many words
 GAP_COST = 0.1  # for a word of a gap, on either side
 DROP = 8  # extension ends where it has lost so much: a match gives 1, else -2
 SHIFT, RESUME = 4, 5
+_FAR = 1 << 30
 _SHIFTS = sorted(((i, j) for i in range(SHIFT + 1) for j in range(SHIFT + 1) if i or j), key=sum)
 
 
@@ -61,8 +69,13 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _part(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - PART_BITS)).astype(np.int64)
+def _part(hashes: np.ndarray, part_bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - part_bits)).astype(np.int64)
+
+
+def _prefix(hashes: np.ndarray, part_bits: int) -> np.ndarray:
+    """The bits by which seeds are counted: those of the group and 40 more."""
+    return hashes >> np.uint64(24 - part_bits)
 
 
 def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,73 +87,108 @@ def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[enough], text[enough], (np.arange(len(hashes)) - first[text])[enough]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """40 bits of each seed, at most twice from a slice, in blocks."""
+def _counted(batches: Iterator[pa.RecordBatch], part_bits: int) -> Iterator[pa.RecordBatch]:
+    """40 bits of each seed of a slice and its places there, in groups."""
 
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = np.sort(_places(words)[0])
-        kept = np.ones(len(hashes), bool)
-        kept[2:] = hashes[2:] != hashes[:-2]
-        hashes = hashes[kept]
-        bits = hashes << np.uint64(PART_BITS) >> np.uint64(24)
-        return _grouped(_part(hashes), {"held": bits.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]})
+        hashes, places = np.unique(_places(words)[0], return_counts=True)
+        held = np.empty((len(hashes), 7), np.uint8)
+        held[:, :5] = _prefix(hashes, part_bits).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        held[:, 5:] = np.minimum(places, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2)
+        return _grouped(_part(hashes, part_bits), {"held": held})
 
     return by_text(batches, "text", make)
 
 
-def _again(table: pa.Table) -> pa.Table:
-    """The filter's bits of the seeds of a group that occur again."""
-    raw = _joined(table, "held", np.uint8).reshape(-1, 5)
+def _again(table: pa.Table, part_bits: int, hot: int) -> pa.Table:
+    """The filter's bits of the seeds of a group that occur again, and the prefixes of those
+    that have very many places."""
+    part = table.column("part")[0].as_py()
+    raw = _joined(table, "held", np.uint8).reshape(-1, 7)
     bits = np.zeros((len(raw), 8), np.uint8)
-    bits[:, :5] = raw
-    bits = np.sort(bits.view("<u8").ravel())
-    own = np.zeros(1 << BITS - PART_BITS, bool)
-    own[(bits[1:][bits[1:] == bits[:-1]] >> np.uint64(40 - BITS + PART_BITS)).astype(np.int64)] = True
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "held": pa.array([np.packbits(own, bitorder="little").tobytes()])})
+    bits[:, :5] = raw[:, :5]
+    bits, places = bits.view("<u8").ravel(), np.ascontiguousarray(raw[:, 5:]).view("<u2").ravel().astype(np.int64)
+    order = np.argsort(bits)
+    bits, places = bits[order], places[order]
+    at = _runs(bits)[:-1]
+    total = np.add.reduceat(places, at) if len(at) else at
+    own = np.zeros(1 << BITS - part_bits, bool)
+    own[(bits[at][total > 1] >> np.uint64(40 - BITS + part_bits)).astype(np.int64)] = True
+    often = bits[at][total >= hot] | np.uint64(part << 40)
+    return pa.table({"part": pa.array([part], pa.int32()), "held": pa.array([np.packbits(own, bitorder="little").tobytes()]), "hot": pa.array([often.tobytes()])})
+
+
+def _put_together(table: pa.Table) -> pa.Table:
+    """Neighbouring groups of the filter as one."""
+    table = table.sort_by("part")
+    size, first = len(table.column("held")[0].as_py()), table.column("top")[0].as_py()
+    bits = np.zeros((table.column("each")[0].as_py(), size), np.uint8)
+    for part, held in zip(table.column("part").to_pylist(), table.column("held").to_pylist(), strict=True):
+        bits[part % len(bits)] = np.frombuffer(held, np.uint8)
+    return pa.table({"part": pa.array([first], pa.int32()), "held": pa.array([bits.tobytes()]), "hot": pa.array([_joined(table, "hot", np.uint8).tobytes()])})
+
+
+def _often(hashes: np.ndarray, hot: np.ndarray, part_bits: int) -> np.ndarray:
+    """Whether each seed is one of very many places."""
+    if not len(hot):
+        return np.zeros(len(hashes), bool)
+    own = _prefix(hashes, part_bits)
+    return hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], hot: np.ndarray, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Of seeds of very many places the first one of each slice."""
+
+    def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hashes, text, place = _places(words)
+        at = np.flatnonzero(_often(hashes, hot, part_bits))
+        doc = batch.column("doc_id").slice(lo, hi - lo).to_numpy()[text[at]]
+        order = np.lexsort((place[at], doc, hashes[at]))
+        order = order[_runs(hashes[at][order])[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(hashes[at][order].view(np.int64)), pa.array(doc[order]), pa.array(place[at][order].astype(np.int32))], names=["seed", "doc", "place"])
+
+    return by_text(batches, "text", make)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Seeds that pass the filter, in blocks."""
+def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray, hot: np.ndarray, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Seeds that pass the filter, in groups."""
 
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, text, place = _places(words)
         at = np.flatnonzero(passes(bits, hashes))
-        at = at[np.argsort(hashes[at], kind="stable")]
         ids = batch.column("doc_id").slice(lo, hi - lo).to_numpy()
-        return _grouped(_part(hashes[at]), {"seed": hashes[at], "doc": ids[text[at]], "place": place[at].astype(np.int32)})
+        hashes, doc, place = hashes[at], ids[text[at]], place[at].astype(np.int32)
+        part = np.where(_often(hashes, hot, part_bits), _part(mix(doc.view(np.uint64)), part_bits), _part(hashes, part_bits))
+        order = np.lexsort((hashes, part))
+        return _grouped(part[order], {"seed": hashes[order], "doc": doc[order], "place": place[order]})
 
     return by_text(batches, "text", make)
 
 
-def _linked(table: pa.Table) -> pa.Table:
-    """Every place of a seed with the first one, in blocks by document."""
+def _linked(table: pa.Table, firsts: tuple[np.ndarray, np.ndarray, np.ndarray], part_bits: int) -> pa.Table:
+    """Every place of a seed with the first one and with the one before, in groups by document."""
     seed, doc, place = _joined(table, "seed", np.uint64), _joined(table, "doc", np.int64), _joined(table, "place", np.int32)
     order = np.lexsort((place, doc, seed))
     order = order[_runs(seed[order], doc[order], place[order])[:-1]]  # repeated rows count once
     seed, doc, place = seed[order], doc[order], place[order]
     bounds = _runs(seed)
-    first = np.repeat(bounds[:-1], np.diff(bounds))
-    later = np.flatnonzero(first != np.arange(len(seed)))
-    group = _part(mix(doc[later].view(np.uint64)))
-    columns = {"doc": doc[later], "partner": doc[first[later]], "x": place[later], "y": place[first[later]]}
-    order = np.lexsort((columns["x"], columns["partner"], columns["doc"], group))
+    at = np.repeat(bounds[:-1], np.diff(bounds))
+    partner, y = doc[at], place[at]
+    hot, hot_doc, hot_place = firsts
+    if len(hot):
+        which = np.minimum(np.searchsorted(hot, seed), len(hot) - 1)
+        known = hot[which] == seed
+        partner, y = np.where(known, hot_doc[which], partner), np.where(known, hot_place[which], y)
+    before = np.maximum(np.arange(len(seed)) - 1, at)  # the first place of a group has none
+    alone = before == np.arange(len(seed))
+    prev, z = np.where(alone, partner, doc[before]), np.where(alone, y, place[before])
+    later = np.flatnonzero((partner != doc) | (y != place))
+    group = _part(mix(doc[later].view(np.uint64)), part_bits)
+    columns = {"doc": doc[later], "partner": partner[later], "x": place[later], "y": y[later], "prev": prev[later], "z": z[later]}
+    order = np.lexsort((columns["x"], columns["doc"], group))
     return pa.Table.from_batches([_grouped(group[order], {k: c[order] for k, c in columns.items()})])
 
 
-def minimizers(hashes: np.ndarray) -> np.ndarray:
-    """Places whose hash is the least of a window that covers them: a sample of seeds, for
-    callers that can do with it; the operator takes all."""
-    low = hashes
-    for step in range(WINDOW_STEPS):
-        low = np.minimum(low[: len(low) - (1 << step)], low[1 << step :]) if len(low) > 1 << step else low[:0]
-    if not len(low):
-        return np.zeros(0, np.int64)
-    high = np.concatenate([np.zeros((1 << WINDOW_STEPS) - 1, np.uint64), low, np.zeros((1 << WINDOW_STEPS) - 1, np.uint64)])
-    for step in range(WINDOW_STEPS):
-        high = np.maximum(high[: len(high) - (1 << step)], high[1 << step :])
-    return np.flatnonzero(high[: len(hashes)] == hashes)
-
-
 def chains(x: np.ndarray, y: np.ndarray, seed_words: int = SEED_WORDS, gap_cost: float = GAP_COST) -> list[list[int]]:
     """Anchors (x, y) as chains that rise in both, best first; every anchor is in one.
 
@@ -188,11 +236,44 @@ def chains(x: np.ndarray, y: np.ndarray, seed_words: int = SEED_WORDS, gap_cost:
     return found
 
 
+_CHAIN = pa.schema([("doc_id", pa.int64()), ("partner", pa.int64()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32())), ("room_before", pa.int32()), ("room_after", pa.int32())])
+
+
+def _seams(doc: np.ndarray, partner: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of anchors by document and place those near a turn to another partner, or to a place
+    elsewhere in it."""
+    n = len(x)
+    if n < 2:
+        return np.zeros(n, bool)
+    follows = (doc[1:] == doc[:-1]) & (x[1:] - x[:-1] <= SEAM_GAP)
+    turns = follows & ((partner[1:] != partner[:-1]) | (np.abs((y - x)[1:] - (y - x)[:-1]) > 2 * SHIFT))
+    upto, i = np.concatenate([[0], np.cumsum(turns)]), np.arange(n)
+    return upto[np.minimum(i + SEAM_SEEDS, n - 1)] > upto[np.maximum(i - SEAM_SEEDS, 0)]
+
+
+def _straight_chains(pair: np.ndarray, x: np.ndarray, weight: np.ndarray, least_seeds: int) -> tuple[np.ndarray, ...]:
+    """Anchors of pairs on one diagonal each: bounds of the chains, and the room around each."""
+    new = np.ones(len(x), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (x[1:] - x[:-1] > MARGIN)
+    bounds = np.append(np.flatnonzero(new), len(x))
+    kept = np.flatnonzero(np.add.reduceat(weight, bounds[:-1]) >= least_seeds) if len(x) else np.zeros(0, np.int64)
+    lo, hi = bounds[:-1][kept], bounds[1:][kept]
+    same = pair[lo[1:]] == pair[lo[:-1]] if len(lo) else np.zeros(0, bool)
+    before, after = x[lo].astype(np.int64), np.full(len(lo), _FAR, np.int64)
+    gap = x[lo[1:]] - x[hi[:-1] - 1]
+    before[1:][same], after[:-1][same] = gap[same] - SEED_WORDS, gap[same]
+    return lo, hi, before, after
+
+
 def _chained(table: pa.Table, least_seeds: int) -> pa.Table:
     """Anchors of a group of documents to a row for each chain, with the room that other
     chains of the pair leave before and after it."""
-    doc, partner = (_joined(table, c, np.int64) for c in ("doc", "partner"))
-    x, y = (_joined(table, c, np.int32) for c in ("x", "y"))
+    doc, partner, prev = (_joined(table, c, np.int64) for c in ("doc", "partner", "prev"))
+    x, y, z = (_joined(table, c, np.int32) for c in ("x", "y", "z"))
+    order = np.lexsort((x, doc))
+    doc, partner, prev, x, y, z = (c[order] for c in (doc, partner, prev, x, y, z))
+    twice = np.flatnonzero(_seams(doc, partner, x, y) & ((prev != partner) | (z != y)))
+    doc, partner, x, y = (np.concatenate(c) for c in ((doc, doc[twice]), (partner, prev[twice]), (x, x[twice]), (y, z[twice])))
     order = np.lexsort((x, y - x, partner, doc))
     doc, partner, x, y = (c[order] for c in (doc, partner, x, y))
     # of seeds that follow each other on a diagonal some stand for all
@@ -203,23 +284,37 @@ def _chained(table: pa.Table, least_seeds: int) -> pa.Table:
     weight = np.diff(np.append(kept, len(x)))
     doc, partner, x, y = (c[kept] for c in (doc, partner, x, y))
     pairs = _runs(doc, partner)
-    enough = np.add.reduceat(weight, pairs[:-1]) >= least_seeds if len(weight) else np.zeros(0, bool)
+    pair = np.repeat(np.arange(len(pairs) - 1), np.diff(pairs))
+    if not len(x):
+        return _CHAIN.empty_table()
+    enough = np.add.reduceat(weight, pairs[:-1]) >= least_seeds
+    turns = np.zeros(len(x), np.int64)
+    turns[1:] = (pair[1:] == pair[:-1]) & ((y - x)[1:] != (y - x)[:-1])
+    straight = np.add.reduceat(turns, pairs[:-1]) == 0
+
+    own = np.flatnonzero((enough & straight)[pair])
+    lo, hi, before, after = _straight_chains(pair[own], x[own], weight[own], least_seeds)
+    which = np.concatenate([np.arange(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]) if len(lo) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[own][which], pa.int32())) for c in (x, y)]
+    done = pa.table([pa.array(doc[own][lo]), pa.array(partner[own][lo]), *lists, pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], schema=_CHAIN)
+
     rows: list[tuple] = []
-    for a, b in zip(pairs[:-1][enough].tolist(), pairs[1:][enough].tolist(), strict=True):
+    for p in np.flatnonzero(enough & ~straight).tolist():
+        a, b = int(pairs[p]), int(pairs[p + 1])
         px, py, parts = x[a:b], y[a:b], []
-        straight = (np.diff(py - px) == 0).all()
-        for chain in [list(range(b - a))] if straight else chains(px, py):
+        for chain in chains(px, py):
             gaps = np.maximum(np.diff(px[chain]), np.diff(py[chain])) > MARGIN  # passages of their own
             for part in np.split(np.array(chain), np.flatnonzero(gaps) + 1):
                 if weight[a:b][part].sum() >= least_seeds:
                     parts.append((px[part], py[part]))
-        starts, ends = np.sort([p[0][0] for p in parts]), np.sort([p[0][-1] + SEED_WORDS for p in parts])
+        starts, ends = np.sort([q[0][0] for q in parts]), np.sort([q[0][-1] + SEED_WORDS for q in parts])
         for cx, cy in parts:
-            before, after = np.searchsorted(ends, cx[0], side="right"), np.searchsorted(starts, cx[-1], side="right")
-            low = cx[0] - ends[before - 1] if before else cx[0]
-            high = starts[after] - cx[-1] if after < len(starts) else 1 << 30
+            i, j = np.searchsorted(ends, cx[0], side="right"), np.searchsorted(starts, cx[-1], side="right")
+            low = cx[0] - ends[i - 1] if i else cx[0]
+            high = starts[j] - cx[-1] if j < len(starts) else _FAR
             rows.append((int(doc[a]), int(partner[a]), cx.tolist(), cy.tolist(), int(low), int(high)))
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()))], names=["doc_id", "partner", "x", "y", "room_before", "room_after"])
+    return pa.concat_tables([done, pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CHAIN)], schema=_CHAIN)])
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +347,16 @@ def _straight(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(same[:best].sum())
 
 
-def _reach(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+def _reach(a: np.ndarray, b: np.ndarray, most: int = _FAR) -> tuple[int, int, int]:
     """How far two runs of words go on together, each, and their matches. Words left out or
-    put in, up to SHIFT on both sides, are passed over if RESUME equal words follow."""
+    put in, up to SHIFT on both sides, are passed over if RESUME equal words follow; b is
+    never shifted by more than `most` words against a."""
     p = q = matches = 0
     while True:
         n, same = _straight(a[p:], b[q:])
         p, q, matches = p + n, q + n, matches + same
         for i, j in _SHIFTS:
-            if min(len(a) - p - i, len(b) - q - j) >= RESUME and (a[p + i : p + i + RESUME] == b[q + j : q + j + RESUME]).all():
+            if q + j - p - i <= most and min(len(a) - p - i, len(b) - q - j) >= RESUME and (a[p + i : p + i + RESUME] == b[q + j : q + j + RESUME]).all():
                 p, q = p + i, q + j
                 break
         else:
@@ -284,9 +380,11 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Bounds of the passage in both (end exclusive), and the matches, from anchors."""
-    back, other_back, matches = _reach(one[: x[0]][::-1], other[: y[0]][::-1])
+def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apart: int | None = None) -> tuple[int, int, int, int, int]:
+    """Bounds of the passage in both (end exclusive), and the matches, from anchors. Of one
+    text, whose spans begin `apart` words from each other, no place is aligned with itself."""
+    room = (lambda at: _FAR) if apart is None else (lambda at: int(x[at] - y[at]) + apart - 1)
+    other_back, back, matches = _reach(other[: y[0]][::-1], one[: x[0]][::-1], room(0))
     start, other_start = x[0] - back, y[0] - other_back
     p, q = x[0], y[0]
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
@@ -296,10 +394,28 @@ def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> t
         take = max(0, SEED_WORDS - step)
         matches += take
         p, q = max(p, i + SEED_WORDS), max(q, j + SEED_WORDS)
-    more, other_more, extra = _reach(one[p:], other[q:])
+    more, other_more, extra = _reach(one[p:], other[q:], room(-1))
     return int(start), int(p + more), int(other_start), int(q + other_more), int(matches + extra)
 
 
+def _alike(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apart: int | None, least_words: int, identity: float) -> tuple[tuple, list[tuple]]:
+    """The alignment of all anchors, and the passages that are alike enough: all of it, or
+    parts of it, cut at the widest gap."""
+    whole, found, open_ = None, [], [(0, len(x))]
+    while open_:
+        a, b = open_.pop()
+        got = align(one, other, x[a:b], y[a:b], apart)
+        whole = whole or got
+        s, e, t, u, matches = got
+        if min(e - s, u - t) >= least_words and matches >= identity * max(e - s, u - t):
+            if not found or s >= found[-1][1] and t >= found[-1][3]:  # parts may reach into each other
+                found.append(got)
+        elif b - a > 1 and max(e - s, u - t) > least_words:
+            at = a + 1 + int(np.maximum(np.diff(x[a:b]), np.diff(y[a:b])).argmax())
+            open_ += [(at, b), (a, at)]
+    return whole, found
+
+
 def _equal(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Anchors whose words are the same in the texts at hand: a doc_id may have had two."""
     good = (x + SEED_WORDS <= len(one)) & (y + SEED_WORDS <= len(other))
@@ -319,7 +435,8 @@ def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: floa
             good = _equal(one, other, x, y)
             if not good.any():
                 continue
-            s, e, t, u, matches = align(one, other, x[good], y[good])
+            apart = r["ax"] - r["ay"] if r["doc_id"] == r["partner"] else None
+            (s, e, t, u, _), found = _alike(one, other, x[good], y[good], apart, least_words, identity)
             before, after = r["before"], r["after"]
             if r["ax"] and r["ay"] and _goes_on(one[:s][::-1], other[:t][::-1]):
                 before = max(before, min(WIDER * before, r["room_before"]))
@@ -328,12 +445,37 @@ def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: floa
             if (before, after) != (r["before"], r["after"]):
                 rows.append((r["doc_id"], None, None, r["partner"], None, None, None, None, r["x"], r["y"], r["room_before"], r["room_after"], before, after))
                 continue
-            n = max(e - s, u - t)
-            if min(e - s, u - t) >= least_words and matches >= identity * n:
-                rows.append((r["doc_id"], s + r["ax"], e + r["ax"], r["partner"], t + r["ay"], u + r["ay"], e - s, round(min(1.0, matches / n), 6), *[None] * 6))
+            for s, e, t, u, matches in found:
+                rows.append((r["doc_id"], s + r["ax"], e + r["ax"], r["partner"], t + r["ay"], u + r["ay"], e - s, round(min(1.0, matches / max(e - s, u - t)), 6), *[None] * 6))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=_NAMES)
 
 
+def _shared(rows: DataFrame, part_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of seeds that occur again (8 MB), and the prefixes of those that have `hot`
+    places or more: as a place takes two bytes of text, HOT_BYTES / 2 of them at most."""
+    counted = rows.mapInArrow(lambda b: _counted(b, part_bits), "part int, held binary").groupBy("part").applyInArrow(lambda t: _again(t, part_bits, hot), "part int, held binary, hot binary")
+    if part_bits > LEAST_PART_BITS:
+        each = 1 << part_bits - LEAST_PART_BITS
+        counted = counted.select("*", F.floor(F.col("part") / each).cast("int").alias("top"), F.lit(each).alias("each")).groupBy("top").applyInArrow(_put_together, "part int, held binary, hot binary")
+    got = counted.toArrow()
+    bits = np.zeros((1 << LEAST_PART_BITS, 1 << BITS - LEAST_PART_BITS - 3), np.uint8)
+    for part, held in zip(got.column("part").to_pylist(), got.column("held").to_pylist(), strict=True):
+        bits[part] = np.frombuffer(held, np.uint8)
+    return bits.ravel(), np.sort(_joined(got, "hot", np.uint64))
+
+
+def _first_places(rows: DataFrame, hot: np.ndarray, part_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed, document and place where each seed of very many places stands first."""
+    if not len(hot):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    sent = rows.sparkSession.sparkContext.broadcast(hot)
+    each = rows.mapInArrow(lambda b: _firsts(b, sent.value, part_bits), "seed long, doc long, place int")
+    got = each.groupBy("seed").agg(F.min(F.struct("doc", "place")).alias("_")).select("seed", "_.*").toArrow()
+    seed, doc, place = (got.column(c).to_numpy() for c in ("seed", "doc", "place"))
+    order = np.argsort(seed.view(np.uint64))
+    return seed.view(np.uint64)[order], doc[order], place[order].astype(np.int32)
+
+
 def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float = 0.8) -> DataFrame:
     """Passages of documents that an earlier document (by doc_id) or an earlier place of the
     same one holds as well, alike in at least `identity` of their words: doc_id, start_word, end_word (exclusive), partner,
@@ -341,21 +483,20 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float =
 
     The partner is the first place of the passage's seeds, so a passage at m places gives
     about m - 1 rows, whether these are in one document or in many; a document that
-    repeats a passage of its own is its partner. Words are compared in lower case.
+    repeats a passage of its own is its partner. A passage put together of parts that stand
+    first elsewhere has its earlier holder as a partner too. Words are compared in lower case.
 
     Null, empty and short texts have no passages; rows of null doc_id take no part;
     repeated rows of one doc_id count once, with one of their texts; ties go to the
     smaller doc_id. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    counted = rows.mapInArrow(_counted, "part int, held binary").groupBy("part").applyInArrow(_again, "part int, held binary").toArrow()
-    size = 1 << BITS - PART_BITS - 3
-    bits = np.zeros(1 << BITS - 3, np.uint8)
-    for part, held in zip(counted.column("part").to_pylist(), counted.column("held").to_pylist(), strict=True):
-        bits[part * size : (part + 1) * size] = np.frombuffer(held, np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-    shared = rows.mapInArrow(lambda b: _seeds(b, sent.value), "part int, seed binary, doc binary, place binary")
-    anchors = shared.groupBy("part").applyInArrow(_linked, "part int, doc binary, partner binary, x binary, y binary")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part_bits = min(MOST_PART_BITS, max(LEAST_PART_BITS, (size // PART_BYTES).bit_length()))
+    bits, hot = _shared(rows, part_bits, max(HOT_PLACES, size // HOT_BYTES))
+    sent = docs.sparkSession.sparkContext.broadcast((bits, hot, _first_places(rows, hot, part_bits)))
+    shared = rows.mapInArrow(lambda b: _seeds(b, *sent.value[:2], part_bits), "part int, seed binary, doc binary, place binary")
+    anchors = shared.groupBy("part").applyInArrow(lambda t: _linked(t, sent.value[2], part_bits), "part int, doc binary, partner binary, x binary, y binary, prev binary, z binary")
     # so many seeds stay in the shortest passage if its unlike words are replaced one by one
     stay = least_words - SEED_WORDS + 1 - SEED_WORDS * int((1 - identity) * least_words + 1e-9)
     least_seeds = max(1, min(LEAST_SEEDS, stay))

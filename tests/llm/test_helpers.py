@@ -11,7 +11,6 @@ from corpusloom.llm import secrets, toxicity
 from corpusloom.llm._filters import filter_of, passes
 from corpusloom.llm._words import Words, slices
 from corpusloom.llm.components import components
-from corpusloom.llm.passages import minimizers
 
 TEXT = st.text(alphabet=st.sampled_from(list("aAbB zZ\t\n\x0b\r\x1c\x85é漢😀.")), max_size=60)
 
@@ -30,16 +29,6 @@ def test_words_are_those_of_the_pattern(texts):
                 assert known.setdefault(h, w) == w
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(16, 200), st.integers(0, 10**6))
-def test_every_window_has_a_minimizer(n, seed):
-    hashes = np.random.default_rng(seed).integers(1, 50, n).astype(np.uint64)
-    chosen = set(minimizers(hashes).tolist())
-    for i in range(n - 15):
-        window = hashes[i : i + 16]
-        assert {i + int(k) for k in np.flatnonzero(window == window.min())} & chosen
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("iIdDoOtT10!аіо ")), max_size=20))
 def test_folding_never_fails(text):

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corpusloom.llm import line_dedup, media, mixing, passages, quality, secrets, tool_calls, toxicity
+from corpusloom.llm import line_dedup, media, mixing, quality, secrets, tool_calls, toxicity
 
 from .conftest import words
 
@@ -23,33 +23,6 @@ def multiset(text, k=5):
     return Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def test_passages_are_found(make):
-    common = words(60, 20).split()
-    fuzzy = [*common[:25], "zz", *common[26:45], *common[46:]]
-    docs = make([(1, words(200, 1) + " " + " ".join(common) + " " + words(90, 2)), (2, words(150, 3) + " " + " ".join(common).upper()), (3, " ".join(fuzzy) + " " + words(400, 4)), (4, words(500, 5)), (5, " ".join(common[:30]) + " " + words(300, 6))])
-    found = passages.repeated_passages(docs, least_words=50).collect()
-    assert {(r.doc_id, r.partner) for r in found} == {(2, 1), (3, 1)}
-    exact = next(r for r in found if r.doc_id == 2)
-    assert (exact.start_word, exact.end_word, exact.partner_start, exact.identity) == (150, 210, 200, 1.0)
-    loose = next(r for r in found if r.doc_id == 3)
-    assert loose.start_word == 0 and loose.end_word == 59 and 0.9 < loose.identity < 1
-
-
-def test_chains_are_the_best():
-    rng = np.random.default_rng(5)
-    for _ in range(30):
-        n = int(rng.integers(2, 9))
-        x, y = rng.integers(0, 60, n), rng.integers(0, 60, n)
-
-        def best(i):
-            before = [best(j) - passages.GAP_COST * (x[i] - x[j] + y[i] - y[j]) for j in range(n) if x[j] < x[i] and y[j] < y[i]]
-            return passages.SEED_WORDS + max([0, *before])
-
-        top = passages.chains(x, y)[0]
-        score = len(top) * passages.SEED_WORDS - passages.GAP_COST * sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(top, top[1:], strict=False))
-        assert score == pytest.approx(max(best(i) for i in range(n)))
-
-
 def test_line_templates(make):
     rows = [(i, f"{words(12, i)}\nPage {i} of 90 printed by user{i}\nAll rights reserved by them\n{words(9, 500 + i)}") for i in range(1, 8)]
     rows += [(20, rows[0][1]), (21, "Page 3 of 90 printed by user3\n\nend"), (22, None)]
@@ -237,44 +210,6 @@ def test_tool_calls(spark):
     assert len(got) == 10 and json.loads(got[2, "a"].json)["errors"] == ["name: unknown tool none"]
 
 
-def test_every_place_of_a_passage_is_found(make):
-    rng = np.random.default_rng(11)
-    some = lambda n: " ".join(f"v{i}" for i in rng.integers(0, 10**9, n))
-    common, own = some(60), some(70)
-    docs = make([(1, " ".join([common, some(100), common, some(90), common])), (2, " ".join([some(30), common, some(80), common])), (3, " ".join([some(20), own, some(200), own])), (4, some(400))])
-    found = {(r.doc_id, r.start_word, r.end_word, r.partner, r.partner_start) for r in passages.repeated_passages(docs).collect()}
-    assert found == {(1, 160, 220, 1, 0), (1, 310, 370, 1, 0), (2, 30, 90, 1, 0), (2, 170, 230, 1, 0), (3, 290, 360, 3, 20)}
-
-
-def test_texts_of_one_id_are_not_mixed(make):
-    rng = np.random.default_rng(12)
-    a, b = (" ".join(f"v{i}" for i in rng.integers(0, 10**9, n)) for n in (60, 90))
-    assert passages.repeated_passages(make([(1, a + " " + b), (1, b + " " + a)])).count() == 0
-
-
-def test_passages_with_a_change_every_few_words(make):
-    rng = np.random.default_rng(13)
-    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
-    rows, wanted = [], set()
-    for i in range(20):
-        common = some(60)
-        fuzzy = [f"z{i}-{j}" if j % 6 == 5 else w for j, w in enumerate(common)]
-        rows += [(i, " ".join(some(50) + common + some(50))), (100 + i, " ".join(some(50) + fuzzy + some(50)))]
-        wanted.add((100 + i, i))
-    assert {(r.doc_id, r.partner) for r in passages.repeated_passages(make(rows)).collect()} == wanted
-
-
-def test_passages_are_extended_until_unlike(make):
-    """A run of 300 words with 200 on both sides of which every fourth is changed, which
-    leaves no seed there but a rising score."""
-    rng = np.random.default_rng(14)
-    some = lambda n: [f"v{i}" for i in rng.integers(0, 10**9, n)]
-    common = some(700)
-    fuzzy = [w if 200 <= j < 500 or j % 4 else f"z{j}" for j, w in enumerate(common)]
-    got = passages.repeated_passages(make([(1, " ".join(common)), (2, " ".join(some(40) + fuzzy + some(40)))])).collect()
-    assert [(r.doc_id, r.partner, r.start_word <= 41, r.end_word >= 739) for r in got] == [(2, 1, True, True)]
-
-
 def test_mixed_rows_keep_their_own_words(make):
     rows = [(None, words(30, 1)), (None, words(40, 2)), (3, words(50, 3)), (3, words(50, 3)), (3, words(20, 4)), (6, words(10, 5))]
     docs = make(rows)
