@@ -146,3 +146,16 @@ SKIP_B = r"^(\s*\d{1,4}\s*$|arXiv:\s*\d{4}\.\d{4,5}|\s*©\s*20\d{2}|This\s+is\s+
 CORRECTION = r"(?im)^\s*(Corrected|Erratum|Corrigendum)\s+\d{1,2}\s+(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\.?\s*(See full text\.?)?\s*$"
 CAPTION = r"(?im)^\s*\*?\*?(Fig(ure)?\.?\s*\d+|Table\s+\d+|Scheme\s+\d+)\b.*$"
 CUT_HEADING = r"^(#{1,4}\s*)?([Rr][eE][fF][eE][rR][eE][nN][cC][eE][sS](\s+[aA][nN][dD]\s+[Nn][oO][tT][eE][sS]?)?|Acknowledge?ments?|Notes?\s+and\s+[Rr]eferences)\s*$"
+
+# Publishers and towns that stand in brackets after a venue.
+VENUE_PUBLISHERS = ("Nature Publishing Group", "NPG", "Nature Research", "Nature", "Springer", "Elsevier", "Wiley", "RSC", "ACS", "IOP", "AIP", "APS", "MDPI", "IEEE", "Nature Portfolio")
+VENUE_TOWNS = (
+    "Amsterdam", "Stuttgart", "Bristol", "Cambridge", "London", "Berlin", "New York", "Oxford", "Weinheim", "Washington", "Lausanne", "Beijing", "Tokyo", "Singapore", "Basel",
+    "Netherlands", "Germany", "UK", "USA", "Mass", "Massachusetts", "Calif", "California",
+)
+# Short forms of words in venues.
+VENUE_ABBREVIATIONS = {
+    "nat.": "nature", "commun.": "communications", "mater.": "materials", "nanotechnol.": "nanotechnology", "photon.": "photonics", "catal.": "catalysis", "synth.": "synthesis",
+    "sustain.": "sustainability", "rev.": "reviews", "chem.": "chemistry", "phys.": "physics", "electron.": "electronics", "comput.": "computational", "sci.": "science",
+    "adv.": "advances", "mater": "materials", "sci": "science", "technol.": "technology", "eng.": "engineering", "lett.": "letters", "appl.": "applied", "quant.": "quantum",
+}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import vocabulary as v
 from corpusloom.functions.text import ngrams, normalize_title
@@ -39,87 +42,171 @@ def one_per_identifier(papers: DataFrame, doi: str = "doi", citations: str = "ci
     return kept.unionByName(papers.where(F.coalesce(F.length(key), F.lit(0)) == 0).select(*kept.columns))
 
 
-def title_pairs(records: DataFrame, key: str, title: str, percent: int = 85, n: int = 3) -> DataFrame:
-    """a < b, similarity: records whose titles share at least `percent` of their n-grams.
+def _titles(records: DataFrame, key: str, title: str) -> DataFrame:
+    """id, t: records with a title, normalised."""
+    return records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t")).where("length(t) > 0")
 
-    Distinct normalised titles meet at shared grams of a prefix: of the grams of a title in
-    a common order, a pair that similar shares one of the first few, so the frequent rest
-    need not meet. Equal titles are put back as links to the first of them.
-    """
-    named = records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t")).where("length(t) > 0")
-    same = named.groupBy("t").agg(F.min("id").alias("rep"))
-    grams = same.select("rep", "t", F.array_sort(ngrams(F.col("t"), n)).alias("g")).where("size(g) > 0")
-    counts = grams.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+
+def _similar_titles(same: DataFrame, percent: int, n: int) -> DataFrame:
+    """a < b, similarity of distinct titles (rep, t), by their n-grams as 64-bit hashes.
+
+    Titles meet at shared grams of a prefix: of the grams of a title in a common order, a
+    pair that similar shares one of the first few, so the frequent rest need not meet."""
+    grams = same.select("rep", F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 0")
+    counts = cut(grams.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("c")))
     ordered = grams.select("rep", F.explode("g").alias("w")).join(counts, "w").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda s: s["w"]).alias("g"))
     ordered = cut(ordered.withColumn("m", F.size("g")))
-    prefix = ordered.select("rep", F.explode(F.slice("g", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("w"), "m")
+    prefix = ordered.select("rep", F.posexplode(F.slice("g", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("p", "w"), "m")
     one, other = prefix.alias("x"), prefix.alias("y")
-    met = one.join(other, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent))
+    # what stands before a shared gram and from it on bounds what a pair can share
+    most = F.least("x.p", "y.p") + F.least(F.col("x.m") - F.col("x.p"), F.col("y.m") - F.col("y.p"))
+    enough = most * (100 + percent) >= (F.col("x.m") + F.col("y.m")) * percent
+    met = one.join(other, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent) & enough)
     met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     both = met.join(ordered.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(ordered.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
-    scored = both.select("a", "b", (F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))).alias("similarity")).where(F.col("similarity") * 100 >= percent)
-    equal = named.join(same, "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return scored.unionByName(equal)
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent)
 
 
-def greedy_titles(records: DataFrame, key: str, title: str, citations: str, percent: int = 85) -> DataFrame:
+def title_pairs(records: DataFrame, key: str, title: str, percent: int = 85, n: int = 3) -> DataFrame:
+    """a < b, similarity: records whose titles share at least `percent` of their n-grams.
+    Distinct titles are compared; equal ones are put back as links to the first of them."""
+    named = _titles(records, key, title)
+    same = named.groupBy("t").agg(F.min("id").alias("rep"))
+    equal = named.join(same, "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return _similar_titles(same, percent, n).unionByName(equal)
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Titles kept of components that come one after the other, each as its links (other is
+    not null) and then its rows in the order of their ids. Only a component's links and its
+    kept titles are held."""
+    component, near, slots, at = None, {}, [], {}
+
+    def kept() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in slots], pa.int64())], names=["kept_id"])
+
+    for batch in batches:
+        for comp, other, i, c, rep in zip(*(batch.column(x).to_pylist() for x in ("component", "other", "id", "c", "rep")), strict=True):
+            if comp != component:
+                if slots:
+                    yield kept()
+                component, near, slots, at = comp, {}, [], {}
+            if other is not None:
+                near.setdefault(rep, {rep}).add(other)
+                continue
+            # the first place whose title is like this one
+            place = min((p for r in near.get(rep, (rep,)) for p in at.get(r, ())), default=None)
+            if place is None:
+                at.setdefault(rep, set()).add(len(slots))
+                slots.append((i, c, rep))
+            elif c > slots[place][1]:
+                at[slots[place][2]].discard(place)
+                at.setdefault(rep, set()).add(place)
+                slots[place] = (i, c, rep)
+    if slots:
+        yield kept()
+
+
+def greedy_titles(records: DataFrame, key: str, title: str, citations: str, percent: int = 85, n: int = 3) -> DataFrame:
     """key, kept: in the order of keys each title is compared with those kept so far; a
     similar one with more citations takes the place of the kept one, else it goes.
 
-    Similar titles lie in one component of the pairs, so the replay of each component alone
-    gives the same as one over all. Records without a title, or like no other, stay."""
+    Similar titles lie in one component of the pairs of distinct titles. If all titles of a
+    component are like each other (as those of a title without any other like it are), the
+    most cited record stays, the first on ties: partial maxima find it, however many records
+    share the title. Records of other components pass through a task in order, which holds
+    no more than the links and the titles kept. Records without a title stay."""
     from corpusloom.operators.graph import connected
 
-    pairs = cut(title_pairs(records, key, title, percent))
+    named = _titles(records, key, title)
+    cited = records.select(F.col(key).alias("id"), F.coalesce(citations, F.lit(0)).cast("long").alias("c"))
+    same = cut(named.groupBy("t").agg(F.min("id").alias("rep")))
+    pairs = cut(_similar_titles(same, percent, n))
     groups = connected(pairs)
-    rows = records.select(F.col(key).alias("id"), F.coalesce(citations, F.lit(0)).cast("long").alias("c"))
-    links = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    named = records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t"))
-    rep = named.where("length(t) > 0").groupBy("t").agg(F.min("id").alias("rep"))
-    of = groups.join(rows, groups.node == rows.id).join(named, "id").join(rep, "t").select("component", "id", "c", "rep")
-    near = links.groupBy("x").agg(F.collect_set("y").alias("near"))
-    full = of.join(near, of.rep == near.x, "left").select("component", "id", "c", "rep", F.coalesce("near", F.array().cast("array<long>")).alias("near"))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        kept: list[tuple] = []
-        for row in pdf.itertuples():
-            around = {*row.near, row.rep}
-            at = next((i for i, k in enumerate(kept) if k[2] == row.rep or k[2] in around or k[0] in around), None)
-            if at is None:
-                kept.append((row.id, row.c, row.rep))
-            elif row.c > kept[at][1]:
-                kept[at] = (row.id, row.c, row.rep)
-        chosen = {k[0] for k in kept}
-        return pd.DataFrame({"id": pdf.id, "kept": [i in chosen for i in pdf.id]})
-
-    decided = full.groupBy("component").applyInPandas(replay, "id long, kept boolean")
-    return rows.join(decided, "id", "left").select(F.col("id").alias(key), F.coalesce("kept", F.lit(True)).alias("kept"))
+    titles = groups.groupBy("component").agg(F.count("*").alias("titles"))
+    links = pairs.join(groups, pairs.a == groups.node)
+    whole = links.groupBy("component").agg(F.count("*").alias("links")).join(titles, "component").where("2 * links = titles * (titles - 1)").select(F.col("component").alias("whole"))
+    of = cut(groups.join(whole, groups.component == F.col("whole"), "left"))
+    rows = named.join(cited, "id").join(same, "t").join(of, F.col("rep") == F.col("node"), "left").select("id", "c", "rep", "component", "whole", "node")
+    alike = rows.where("node is null or whole is not null").groupBy(F.coalesce("component", "rep").alias("of")).agg(F.max(F.struct("c", (-F.col("id")).alias("i"))).alias("_"))
+    drift = of.where("whole is null").select("node", "component")
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    ends = ends.join(drift, F.col("rep") == F.col("node")).select("component", "other", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("c"), "rep")
+    told = ends.unionByName(rows.where("node is not null and whole is null").select("component", F.lit(None).cast("long").alias("other"), "id", "c", "rep"))
+    replayed = told.repartition("component").sortWithinPartitions("component", F.col("id").asc_nulls_first()).mapInArrow(_replayed, "kept_id long")
+    chosen = alike.select((-F.col("_.i")).alias("kept_id")).unionByName(replayed)
+    untitled = cited.join(named, "id", "left_anti").select(F.col("id").alias("kept_id"))
+    kept = chosen.unionByName(untitled).withColumn("_k", F.lit(True))
+    return cited.join(kept, cited.id == kept.kept_id, "left").select(F.col("id").alias(key), F.coalesce("_k", F.lit(False)).alias("kept"))
 
 
 def safe_name(venue: Column, most: int = 60) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(venue, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""), 1, most)
+    """Letters, digits and hyphens, blanks as underscores; Unknown if none is left."""
+    plain = F.regexp_replace(F.regexp_replace(venue, r"[^\p{L}\p{N}_\s-]", ""), r"[\s_]+", "_")
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(plain, "^_+|_+$", ""), 1, most), F.lit("")), F.lit("Unknown"))
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(names: pd.Series) -> pd.Series:
+    return names.map(html.unescape, na_action="ignore")
 
 
 def clean_venue(venue: Column) -> Column:
-    """Without (Print), entities and spare blanks."""
-    name = F.regexp_replace(F.regexp_replace(F.coalesce(venue, F.lit("")), r"\s*\(Print\)\s*", " "), "&amp;|&#38;", "&")
+    """Without entities of HTML, (Print), publishers and towns in brackets, and spare blanks."""
+    name = F.regexp_replace(_unescaped(F.trim(F.coalesce(venue, F.lit("")))), r"\s*\(Print\)\s*", " ")
+    for words in (v.VENUE_PUBLISHERS, v.VENUE_TOWNS):
+        name = F.regexp_replace(name, rf"(?i)\s*\((?:{'|'.join(words)})[^)]*\)", "")
     return F.trim(F.regexp_replace(name, r"\s+", " "))
 
 
+def spelled_out(venue: Column) -> Column:
+    """A clean venue in lower case with abbreviations spelled out, without brackets."""
+    name = F.lower(venue)
+    for short in sorted(v.VENUE_ABBREVIATIONS, key=lambda x: -len(x)):
+        name = F.replace(name, F.lit(short), F.lit(v.VENUE_ABBREVIATIONS[short]))
+    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*\([^)]*\)", ""), r"\s+", " "))
+
+
+def _longest_key(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, value, of the longest key (k, value) that stands in a name (id, v) as whole words,
+    wherever it does. Both meet at words: a key is looked up by its first one."""
+    words = names.select("id", "v", F.explode(F.array_distinct(F.filter(F.split("v", r"[^\p{L}\p{N}]+"), lambda w: w != ""))).alias("w"))
+    first = keys.withColumn("w", F.regexp_extract("k", r"[\p{L}\p{N}]+", 0))
+    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}])\Q"), "k", F.lit(r"\E([^\p{L}\p{N}]|$)"))
+    met = words.join(first, "w").where(F.contains("v", "k")).where(F.rlike("v", quoted))
+    return met.groupBy("id").agg(F.max_by("value", F.struct(F.length("k"), "k")).alias("value"))
+
+
 def by_longest_key(venues: DataFrame, keys: DataFrame, venue: str = "venue") -> DataFrame:
     """venue, matched: of the keys (key, value) that stand in the venue as whole words, the
-    value of the longest; null if none does. Distinct venues meet the keys, which are a
-    dictionary, and only through words: each key is looked up by its first word."""
-    distinct = venues.select(venue).distinct().withColumn("v", F.lower(clean_venue(F.col(venue))))
-    words = distinct.select(venue, "v", F.explode(F.array_distinct(F.filter(F.split("v", r"[^a-z0-9]+"), lambda w: w != ""))).alias("w"))
-    lowered = keys.select(F.lower("key").alias("k"), "value").withColumn("w", F.regexp_extract("k", "[a-z0-9]+", 0))
-    at = F.instr(F.col("v"), F.col("k"))
-    left = (at == 1) | ~F.substring(F.col("v"), at - 1, F.lit(1)).rlike("[\\p{L}\\p{N}]")
-    right = ~F.substring(F.col("v"), at + F.length("k"), F.lit(1)).rlike("[\\p{L}\\p{N}]")
-    met = words.join(lowered, "w").where((at > 0) & left & right)
-    best = met.groupBy(venue).agg(F.max_by("value", F.struct(F.length("k"), "k")).alias("matched"))
-    return distinct.select(venue).join(best, venue, "left")
+    value of the longest; null if none does. Keys are a dictionary of any size."""
+    distinct = venues.select(venue).distinct()
+    names = distinct.select(F.col(venue).alias("id"), F.lower(clean_venue(F.col(venue))).alias("v"))
+    best = _longest_key(names, keys.select(F.lower("key").alias("k"), "value")).select(F.col("id").alias(venue), F.col("value").alias("matched"))
+    return distinct.join(best, venue, "left")
+
+
+def classify_venues(venues: DataFrame, keys: DataFrame, venue: str = "venue") -> DataFrame:
+    """venue, folder, rule for every distinct venue, by the first rule that applies: the whole
+    name is a key (as it is, clean, or without brackets; in any case), the longest key in it,
+    the same with abbreviations spelled out, a safe form of the name. Empty venues, and what
+    is empty once clean, are Unknown. keys: key, value."""
+    bare = lambda c: F.trim(F.regexp_replace(c, r"\s*\([^)]*\)", ""))
+    named = venues.select(venue).distinct().withColumn("clean", clean_venue(F.col(venue))).withColumn("long", spelled_out(F.col("clean")))
+    lowered = keys.select(F.lower("key").alias("k"), "value").groupBy("k").agg(F.min("value").alias("value"))
+    whole = lambda *names: named.select(F.col(venue).alias("id"), F.posexplode(F.array(*(F.lower(F.trim(n)) for n in names))).alias("turn", "k"))
+    exact = lambda *names: whole(*names).join(lowered, "k").groupBy("id").agg(F.min_by("value", "turn").alias("value"))
+    inside = lambda name: _longest_key(named.select(F.col(venue).alias("id"), F.lower(name).alias("v")), lowered)
+    found = None
+    rules = (("exact", exact(F.col(venue), F.col("clean"), bare(F.col("clean")))), ("longest", inside(F.col("clean"))), ("exact_long", exact(F.col("long"))), ("longest_long", inside(F.col("long"))))
+    for turn, (_, rule) in enumerate(rules):
+        part = rule.withColumn("turn", F.lit(turn))
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("id").agg(F.min(F.struct("turn", "value")).alias("_")).select("id", F.element_at(F.array(*(F.lit(name) for name, _ in rules)), F.col("_.turn") + 1).alias("by"), "_.value")
+    out = named.join(best, named[venue].eqNullSafe(best.id), "left")
+    empty = F.coalesce(F.length("clean"), F.lit(0)) == 0
+    return out.select(venue, F.when(empty, "Unknown").otherwise(F.coalesce("value", safe_name(F.col("clean")))).alias("folder"), F.when(empty, "empty").otherwise(F.coalesce("by", F.lit("safe"))).alias("rule"))
 
 
 def by_first_key(venue: Column, ranks: tuple[tuple[str, int], ...], default: int) -> Column:
@@ -136,5 +223,3 @@ def report(papers: DataFrame) -> DataFrame:
     out = sets.select(kind.alias("kind"), F.coalesce("tier", "venue", "year").alias("value"), "n").where("value is not null")
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "value"))
     return out.withColumn("place", place).where((F.col("kind") != "venue") | (F.col("place") <= 20)).drop("place")
-
-

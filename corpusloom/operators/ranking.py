@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 
 def top_per_group(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= n)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "id", part_rows: int = 100_000) -> DataFrame:
+    """rows with dense numbers from 0 in a global order: rows are range-sorted, each partition
+    numbers its own, and the sizes of the partitions before say where it starts."""
+    n = max(1, -(-rows.count() // part_rows))
+    placed = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_at")).alias(name), *rows.columns)
+
+
 def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """One page (from 1) of at most 100 rows, with the totals."""
     size = min(max(size, 1), 100)
@@ -28,7 +41,7 @@ def reviews_first(pool: DataFrame, by: str, n: int, most_reviews: int = 2) -> Da
     return rows.withColumn("place", chosen).where(F.col("place") <= n).drop("_place")
 
 
-def diverse(pool: DataFrame, by: str, n: int, candidates: int = 1_000) -> DataFrame:
+def diverse(pool: DataFrame, by: str, n: int) -> DataFrame:
     """Per `by`, in order of score, those of a journal not chosen yet, or any when one place
     is left; n in all. The choices before the last place are the n - 1 journals whose best
     rows come first, each by its best row; the last place takes the row that comes next."""

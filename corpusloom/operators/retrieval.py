@@ -1,4 +1,9 @@
-"""Keyword and vector retrieval: BM25 over postings, nearest vectors, boosts and fusion."""
+"""Keyword and vector retrieval: BM25, nearest vectors, boosts and fusion.
+
+Queries are a query set: they go to the tasks in blocks of bounded size and meet all rows
+where these stand, so that neither postings nor pairs of documents and queries are
+shuffled. A task keeps the best k rows of each query and gives these alone.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weights of journal ranks 1 to 7. Fixed values.
 JOURNAL_WEIGHTS = (1.5, 1.4, 1.3, 1.2, 1.15, 1.05, 1.0)
-#: Query vectors go to the tasks in blocks of so many.
+#: Queries go to the tasks in blocks of so many.
 QUERY_BLOCK = 4096
+TEXT_QUERY_BLOCK = 1024
+#: Rows are compared with all queries of a block in pieces of so many scores.
+_SCORES = 1 << 21
 
 
 def tokens(text: Column | str) -> Column:
@@ -46,50 +55,133 @@ def ranked(df: DataFrame, by: str, score: str, tie: str, k: int | None = None, n
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query, key, score > 0 of every document that shares a term with a query. A term that
-    a query repeats counts as often. Documents meet queries at their terms alone."""
-    asked = queries.select(query, F.explode(tokens(query_text)).alias("term")).groupBy(query, "term").agg(F.count("*").alias("times"))
-    index = postings(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
-    with_df = index.join(document_frequency(index), "term")
-    stats = corpus_stats(docs, text)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avg_dl", F.lit(1e-9))))
-    return with_df.join(asked, "term").crossJoin(stats).groupBy(query, key).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+class Best:
+    """The k best rows of each query so far: by score, the smaller key first on ties."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.keys = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
+        """scores: a row for each query, a column for each key; -inf is no match."""
+        last, last_key = self.scores[:, -1:], self.keys[:, -1:]
+        better = (scores > last) | (scores == last) & (keys[None, :] < last_key) & np.isfinite(scores)
+        for q in np.flatnonzero(better.any(axis=1)).tolist():
+            new = np.flatnonzero(better[q])
+            if len(new) > 4 * self.k:  # what ties with the k-th best stays until keys decide
+                new = new[scores[q, new] >= np.partition(scores[q, new], -self.k)[-self.k]]
+            both, ids = np.append(self.scores[q], scores[q, new]), np.append(self.keys[q], keys[new])
+            order = np.lexsort((ids, -both))[: self.k]
+            self.scores[q], self.keys[q] = both[order], ids[order]
+
+    def rows(self, ids: list[int], names: list[str]) -> pa.RecordBatch:
+        which, at = np.nonzero(np.isfinite(self.scores))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[which]), pa.array(self.keys[which, at]), pa.array(self.scores[which, at])], names=names)
+
+
+def _query_blocks(asked: DataFrame, query: str, size: int) -> Iterator[list]:
+    """The rows of asked in blocks of about `size`."""
+    n = max(1, -(-asked.count() // size))
+    for block in range(n):
+        yield asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == block).collect()
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every element of a list column."""
+    size = np.array([0 if n is None else n for n in pc.list_value_length(column).to_pylist()], np.int64)
+    return np.repeat(np.arange(len(column)), size), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query, key, score: of every query the k best documents that share a term with it. A
+    term that a query repeats counts as often. Ties go to the smaller key.
+
+    Two passes over the documents: one counts in how many of them each of the queries' terms
+    stands, the other scores. Terms are compared as 64-bit hashes. Null texts have no terms."""
+    hashed = lambda c: F.transform(tokens(c), lambda t: F.xxhash64(t))
+    rows = docs.select(F.col(key).cast("long").alias(key), hashed(text).alias("h"))
+    asked = queries.select(F.col(query).cast("long").alias(query), hashed(query_text).alias("h")).where("size(h) > 0")
+    names, found = [query, key, "score"], None
+    for block in _query_blocks(asked, query, TEXT_QUERY_BLOCK):
+        ids = [r[query] for r in block]
+        of, terms = np.repeat(np.arange(len(block)), [len(r["h"]) for r in block]), np.array([x for r in block for x in r["h"]], np.int64)
+        pairs, times = np.unique(np.column_stack([terms, of]), axis=0, return_counts=True) if len(of) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        known, bounds = np.unique(pairs[:, 0], return_index=True)
+        bounds = np.append(bounds, len(pairs))
+        sent = docs.sparkSession.sparkContext.broadcast((ids, known, bounds, pairs[:, 1], times))
+
+        def seen(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = sent.value[1]
+            df, n, length = np.zeros(len(known), np.int64), 0, 0
+            for batch in batches:
+                row, h = _flat(batch.column("h"))
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                ok = known[at] == h if len(known) else np.zeros(len(h), bool)
+                each = np.unique(np.column_stack([row[ok], at[ok]]), axis=0)
+                df += np.bincount(each[:, 1], minlength=len(known))
+                n, length = n + batch.num_rows, length + len(h)
+            yield pa.RecordBatch.from_arrays([pa.array([*range(len(known)), -1, -2], pa.int64()), pa.array([*df.tolist(), n, length], pa.int64())], names=["term", "n"])
+
+        counted = rows.mapInArrow(seen, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counts = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
+        n, length = counts.get(-1, 0), counts.get(-2, 0)
+        df = np.array([counts.get(i, 0) for i in range(len(known))], np.float64)
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
+        stats = docs.sparkSession.sparkContext.broadcast((idf, max(length / max(n, 1), 1e-9)))
+
+        def scored(batches: Iterator[pa.RecordBatch], sent=sent, stats=stats) -> Iterator[pa.RecordBatch]:
+            (ids, known, bounds, of, times), (idf, avg) = sent.value, stats.value
+            best, q = Best(len(ids), k), len(ids)
+            for batch in batches:
+                if not q:
+                    continue
+                for lo in range(0, batch.num_rows, max(1, _SCORES // q)):
+                    part = batch.slice(lo, max(1, _SCORES // q))
+                    row, h = _flat(part.column("h"))
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    ok = known[at] == h
+                    length = np.bincount(row, minlength=part.num_rows)
+                    each, tf = np.unique(row[ok] * len(known) + at[ok], return_counts=True)
+                    row, term = np.divmod(each, len(known))
+                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg))
+                    sums = np.zeros(q * part.num_rows)
+                    for x in range(0, len(each), 1 << 14):  # each term of a document with the queries that hold it
+                        t = term[x : x + (1 << 14)]
+                        size = bounds[t + 1] - bounds[t]
+                        which = np.repeat(np.arange(len(t)), size)
+                        slot = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + bounds[t][which]
+                        sums += np.bincount(of[slot] * part.num_rows + row[x + which], weights=weight[x + which] * times[slot], minlength=len(sums))
+                    scores = np.round(sums, 9).reshape(q, part.num_rows)
+                    best.add(np.where(scores > 0, scores, -np.inf), part.column(key).to_numpy())
+            yield best.rows(ids, names)
+
+        out = rows.mapInArrow(scored, f"{query} long, {key} long, score double")
+        found = out if found is None else found.unionByName(out)
+    return ranked(found, query, "score", key, k).drop("rank")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """query, key, similarity: the k rows with the largest dot product for every query.
-
-    Queries are a query set: they go to the tasks in blocks of bounded size and meet all
-    rows batch by batch in one matrix product; a batch gives k rows for each query at most,
-    and these are ranked once more. Rows or queries without a vector take no part; ties go
-    to the smaller key.
-    """
-    spark = vectors.sparkSession
+    """query, key, similarity: the k rows with the largest dot product for every query. Rows or
+    queries without a vector take no part; ties go to the smaller key."""
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(query_vector).cast("array<double>").alias("v"))
-    total = asked.count()
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
-    found = None
-    n = max(1, -(-total // QUERY_BLOCK))
-    for block in range(n):
-        part = asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == block).collect()
-        sent = spark.sparkContext.broadcast(([r[query] for r in part], [r["v"] for r in part]))
+    names, found = [query, key, "similarity"], None
+    for block in _query_blocks(asked, query, QUERY_BLOCK):
+        sent = vectors.sparkSession.sparkContext.broadcast(([r[query] for r in block], np.array([r["v"] for r in block], np.float64)))
 
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, vs = sent.value
-            q = np.array(vs, np.float64)
+        def compared(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            best = Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                keys = batch.column(0).to_numpy()
-                m = batch.column(1).flatten().to_numpy().reshape(len(keys), -1)
-                sims = m @ q.T
-                for j, qid in enumerate(ids):
-                    top = np.lexsort((keys, -sims[:, j]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), qid)), pa.array(keys[top]), pa.array(sims[top, j])], names=[query, key, "similarity"])
-
-        out = rows.mapInArrow(best, f"{query} long, {key} long, similarity double")
+                step = max(1, _SCORES // max(1, len(ids)))
+                for lo in range(0, batch.num_rows if ids else 0, step):
+                    part = batch.slice(lo, step)
+                    m = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                    best.add(q @ m.T, part.column(key).to_numpy())
+            yield best.rows(ids, names)
+
+        out = rows.mapInArrow(compared, f"{query} long, {key} long, similarity double")
         found = out if found is None else found.unionByName(out)
     return ranked(found, query, "similarity", key, k)
 
@@ -141,13 +233,15 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, query: str = "query_id
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, source: str = "source") -> DataFrame:
-    """query_id, source, score, rank: keyword and vector search of every query, fused.
+    """query_id, source, score, rank: keyword and vector search of every query, fused. Both
+    sides search the documents given and no others.
     docs: doc_id, text, source, tier, citations; vectors: vec_id (= doc_id), embedding;
     queries: query_id, query_text, query_vector."""
     facts = docs.select("doc_id", source, "tier", "citations")
-    pool = nearest(vectors, queries, 2 * k).join(facts, F.col("vec_id") == F.col("doc_id"))
+    known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    pool = nearest(known, queries, 2 * k).drop("rank").join(facts, F.col("vec_id") == F.col("doc_id"))
     semantic = boosted_search(pool, 2 * k, key="doc_id").select("query_id", source, "score")
-    words = ranked(bm25(docs, queries), "query_id", "score", "doc_id", 2 * k).join(facts, "doc_id").select("query_id", source, "score")
+    words = bm25(docs, queries, 2 * k).join(facts, "doc_id").select("query_id", source, "score")
     return fuse(semantic, words, k, source=source)
 
 

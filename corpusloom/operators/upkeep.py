@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,18 +83,34 @@ def contained_names(files: DataFrame, dois: DataFrame, file: str, doi: str) -> D
     return names.join(ids, "_w").where(rule).select(file, doi).distinct()
 
 
+def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs by component, order and partner: each order with its first free partner."""
+    component, given, last, names = None, set(), None, None
+    for batch in batches:
+        names = batch.schema.names[1:]
+        taken = []
+        for comp, one, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if comp != component:
+                component, given, last = comp, set(), None
+            if one != last and other not in given:
+                given.add(other)
+                taken.append((one, other))
+                last = one
+        yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in taken], batch.schema.field(1 + i).type) for i in (0, 1)], names=names)
+
+
 def one_to_one(pairs: DataFrame, order: str, other: str) -> DataFrame:
-    """A greedy matching: each row of `order` takes its least free partner, and each partner
-    the least that wants it, round by round until no pair is left."""
-    from corpusloom.session import cut
-
-    left, done = cut(pairs.select(order, other).distinct()), None
-    while not left.isEmpty():
-        wants = left.groupBy(order).agg(F.min(other).alias(other))
-        given = cut(wants.groupBy(other).agg(F.min(order).alias(order)).select(order, other))
-        done = given if done is None else done.unionByName(given)
-        left = cut(left.join(given.select(order), order, "left_anti").join(given.select(other), other, "left_anti"))
-    return done if done is not None else pairs.select(order, other)
+    """A greedy matching: in their order, each row of `order` takes its least partner that no
+    earlier one has taken. Pairs that hang together pass through a task in order, which holds
+    the partners taken among them; null ends take no part."""
+    from corpusloom.operators.graph import connected
+
+    known = pairs.select(F.col(order).cast("string").alias(order), F.col(other).cast("string").alias(other)).where(F.col(order).isNotNull() & F.col(other).isNotNull()).distinct()
+    named = known.select(F.concat(F.lit("1"), order).alias("a"), F.concat(F.lit("2"), other).alias("b"), order, other)
+    groups = connected(named.select("a", "b"))
+    told = named.join(groups, named.a == groups.node).select("component", order, other)
+    told = told.repartition("component").sortWithinPartitions("component", order, other)
+    return told.mapInArrow(_first_free, f"`{order}` string, `{other}` string")
 
 
 def confusion(rows: DataFrame, have: str, should: str, example: str, most: int = 30) -> DataFrame:

@@ -8,7 +8,7 @@ from corpusloom.functions.registry import embed_stub
 from corpusloom.operators import chunking
 from corpusloom.operators import composites as v
 from corpusloom.plans.answers import _answers
-from corpusloom.plans.ranking import _pool
+from corpusloom.plans.ranking import _POOL, DIVERSE, _pool
 from corpusloom.plans.retrieval import _POSTINGS, TOKENS, _items
 from corpusloom.plans.standins import papers
 from corpusloom.registry import query
@@ -61,7 +61,7 @@ def highlight_passages(spark, sf_dir):
     return v.highlights(paragraphs, chunks).select("chunk_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("follow_up_pick")
+@query("follow_up_pick", _POOL.replace("WITH papers", "WITH RECURSIVE papers", 1) + ", scored AS (SELECT p.item_id, p.id, d.venue AS journal, round(p.overlap * 5 + p.data * 3, 6) AS score FROM pool p JOIN papers d ON p.id = d.doc_id WHERE p.id % 4 <> 0)" + DIVERSE)
 def follow_up_pick(spark, sf_dir):
     pool = _pool(spark, sf_dir).withColumn("score", F.round(F.col("overlap") * 5 + F.col("data") * 3, 6)).withColumn("is_read", F.col("id") % 4 == 0)
     return v.follow_up(pool, "item_id")

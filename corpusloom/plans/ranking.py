@@ -70,7 +70,15 @@ def reviews_then_experiments(spark, sf_dir):
     return r.reviews_first(pool, "item_id", 3).select("item_id", "id", "kind", F.col("place").cast("long").alias("place"))
 
 
-@query("diverse_pick")
+# The choice as it is described: one after the other, of a journal not chosen yet, or the next of all if one place is left.
+DIVERSE = """, ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS o FROM scored),
+picks AS (SELECT item_id, 1 AS place, id, o, [journal] AS journals FROM ordered WHERE o = 1
+  UNION ALL SELECT p.item_id, p.place + 1, n.id, n.o, list_append(p.journals, n.journal) FROM picks p, LATERAL (
+    SELECT id, o, journal FROM ordered r WHERE r.item_id = p.item_id AND r.o > p.o AND (p.place = 3 OR NOT list_contains(p.journals, r.journal)) ORDER BY r.o LIMIT 1) n WHERE p.place < 4)
+SELECT item_id, id, CAST(place AS INTEGER) AS place FROM picks"""
+
+
+@query("diverse_pick", _POOL.replace("WITH papers", "WITH RECURSIVE papers", 1) + ", scored AS (SELECT p.item_id, p.id, d.venue AS journal, round(p.overlap * 5, 6) AS score FROM pool p JOIN papers d ON p.id = d.doc_id)" + DIVERSE)
 def diverse_pick(spark, sf_dir):
     return r.diverse(_pool(spark, sf_dir).withColumn("score", F.round(F.col("overlap") * 5, 6)), "item_id", 4)
 

@@ -8,7 +8,7 @@ from corpusloom.functions import identity as i
 from corpusloom.functions import text as t
 from corpusloom.functions import vocabulary as v
 from corpusloom.operators import curation as c
-from corpusloom.plans.standins import PAPERS, papers, quoted, sql_list
+from corpusloom.plans.standins import PAPERS, papers, pick, quoted, sql_list
 from corpusloom.registry import query
 from corpusloom.session import table
 
@@ -98,21 +98,50 @@ def venue_first_key(spark, sf_dir):
     return papers(spark, sf_dir).select("doc_id", c.by_first_key(F.col("venue"), RANKS, 8).alias("rank"))
 
 
-_SAFE = "substring(regexp_replace(regexp_replace({}, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60)"
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(venue, '\s*\(Print\)\s*', ' ', 'g'), '&amp;|&#38;', '&', 'g'), '\s+', ' ', 'g'))"
+_SAFE = r"coalesce(nullif(substring(regexp_replace(regexp_replace(regexp_replace({}, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60), ''), 'Unknown')"
+_BRACKETS = r"regexp_replace(regexp_replace({}, '(?i)\s*\((?:" + "|".join(v.VENUE_PUBLISHERS) + r")[^)]*\)', '', 'g'), '(?i)\s*\((?:" + "|".join(v.VENUE_TOWNS) + r")[^)]*\)', '', 'g')"
+_CLEAN = r"trim(regexp_replace(" + _BRACKETS.format(r"regexp_replace(replace(replace(replace(trim(venue), '&amp;', '&'), '&#38;', '&'), '&eacute;', 'é'), '\s*\(Print\)\s*', ' ', 'g')") + r", '\s+', ' ', 'g'))"
+# The longest key that stands in a name as whole words, wherever it does.
+_INSIDE = r"""SELECT id, value, row_number() OVER (PARTITION BY id ORDER BY length(k) DESC, k DESC) AS r FROM {} JOIN ks ON contains(v, k) WHERE regexp_matches(v, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(k) || '([^\p{{L}}\p{{N}}]|$)')"""
 
 
-@query("venue_longest_key", f"""WITH {PAPERS}, vs AS (SELECT DISTINCT venue, lower({_CLEAN}) AS v FROM papers),
-ks AS (SELECT lower(k) AS k, {_SAFE.format("k")} AS value FROM (SELECT unnest({sql_list(v.GOOD_VENUES)}) AS k)),
-met AS (SELECT venue, value, row_number() OVER (PARTITION BY venue ORDER BY length(k) DESC, k DESC) AS r FROM vs JOIN ks ON contains(v, k)
-  WHERE NOT regexp_matches(' ' || substring(v, CAST(instr(v, k) - 1 AS INTEGER), 1), '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(' ' || substring(v, CAST(instr(v, k) + length(k) AS INTEGER), 1), '[\\p{{L}}\\p{{N}}]'))
-SELECT doc_id, coalesce(value, CASE WHEN trim(p.venue) = '' THEN 'Unknown' ELSE {_SAFE.format(_CLEAN.replace("venue", "p.venue"))} END) AS folder FROM papers p LEFT JOIN met m ON p.venue = m.venue AND m.r = 1""")
+@query("venue_longest_key", f"""WITH {PAPERS}, vs AS (SELECT DISTINCT venue AS id, lower({_CLEAN}) AS v FROM papers),
+ks AS (SELECT lower(k) AS k, {_SAFE.format("k")} AS value FROM (SELECT unnest({sql_list(v.GOOD_VENUES)}) AS k)), met AS ({_INSIDE.format("vs")})
+SELECT doc_id, coalesce(value, CASE WHEN trim(p.venue) = '' THEN 'Unknown' ELSE {_SAFE.format(_CLEAN.replace("venue", "p.venue"))} END) AS folder FROM papers p LEFT JOIN met m ON p.venue = m.id AND m.r = 1""")
 def venue_longest_key(spark, sf_dir):
-    names = spark.createDataFrame([(x,) for x in v.GOOD_VENUES], "key string")
-    keys = names.select("key", c.safe_name(F.col("key")).alias("value"))
     rows = papers(spark, sf_dir)
     folder = F.coalesce("matched", F.when(F.trim("venue") == "", "Unknown").otherwise(c.safe_name(c.clean_venue(F.col("venue")))))
-    return rows.join(c.by_longest_key(rows, keys), "venue").select("doc_id", folder.alias("folder"))
+    return rows.join(c.by_longest_key(rows, _keys(spark)), "venue").select("doc_id", folder.alias("folder"))
+
+
+def _keys(spark):
+    """The dictionary of venues: names of good journals and the folders they stand for."""
+    return spark.createDataFrame([(x,) for x in v.GOOD_VENUES], "key string").select("key", c.safe_name(F.col("key")).alias("value"))
+
+
+# Venues in the forms that harvests have them in.
+_DRESSED = (("", ""), ("", " (Print)"), ("", " (Amsterdam, Netherlands)"), ("", " (Nature Publishing Group)"), ("Signature of ", ""), ("", " &amp; more &#38; caf&eacute;"), ("The ", ", reviews (online)"), ("adv. mater. und ", ""), (" ", " "))
+_WORN = "worn AS (SELECT doc_id, {0}[CAST(doc_id % {2} + 1 AS INTEGER)] || venue || {1}[CAST(doc_id % {2} + 1 AS INTEGER)] AS venue FROM papers)".format(*(sql_list([x[i] for x in _DRESSED]) for i in (0, 1)), len(_DRESSED))
+_LONG = f"lower({_CLEAN})"
+for _short in sorted(v.VENUE_ABBREVIATIONS, key=lambda x: -len(x)):
+    _LONG = f"replace({_LONG}, {quoted(_short)}, {quoted(v.VENUE_ABBREVIATIONS[_short])})"
+_BARE = r"trim(regexp_replace({}, '\s*\([^)]*\)', '', 'g'))"
+_LONG = r"trim(regexp_replace(regexp_replace(" + _LONG + r", '\s*\([^)]*\)', '', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("venue_classify", f"""WITH {PAPERS}, {_WORN}, vs AS (SELECT DISTINCT venue AS id, {_CLEAN} AS clean, {_LONG} AS long_ FROM worn),
+ks AS (SELECT lower(k) AS k, min({_SAFE.format("k")}) AS value FROM (SELECT unnest({sql_list(v.GOOD_VENUES)}) AS k) GROUP BY 1),
+one AS (SELECT id, lower(clean) AS v FROM vs), two AS (SELECT id, long_ AS v FROM vs),
+inside1 AS ({_INSIDE.format("one")}), inside2 AS ({_INSIDE.format("two")}),
+rules AS (SELECT id, coalesce(a.value, b.value, c.value) AS e1, i.value AS l1, d.value AS e2, j.value AS l2, clean FROM vs
+  LEFT JOIN ks a ON a.k = lower(trim(id)) LEFT JOIN ks b ON b.k = lower(clean) LEFT JOIN ks c ON c.k = lower({_BARE.format("clean")}) LEFT JOIN inside1 i ON i.id = vs.id AND i.r = 1
+  LEFT JOIN ks d ON d.k = long_ LEFT JOIN inside2 j ON j.id = vs.id AND j.r = 1)
+SELECT id AS venue, CASE WHEN clean = '' THEN 'Unknown' ELSE coalesce(e1, l1, e2, l2, {_SAFE.format("clean")}) END AS folder,
+  CASE WHEN clean = '' THEN 'empty' WHEN e1 IS NOT NULL THEN 'exact' WHEN l1 IS NOT NULL THEN 'longest' WHEN e2 IS NOT NULL THEN 'exact_long' WHEN l2 IS NOT NULL THEN 'longest_long' ELSE 'safe' END AS rule FROM rules""".replace("SELECT id, coalesce(a.value", "SELECT vs.id AS id, coalesce(a.value").replace("lower(trim(id))", "lower(trim(vs.id))"))
+def venue_classify(spark, sf_dir):
+    i = F.col("doc_id") % len(_DRESSED)
+    worn = papers(spark, sf_dir).select(F.concat(pick(tuple(x[0] for x in _DRESSED), i), "venue", pick(tuple(x[1] for x in _DRESSED), i)).alias("venue"))
+    return c.classify_venues(worn, _keys(spark))
 
 
 @query("doi_to_filename", f"WITH {PAPERS} SELECT doc_id, replace(doi, '/', '_') || '.pdf' AS name, sha1(lower(doi)) AS paper_id FROM papers WHERE doi IS NOT NULL")

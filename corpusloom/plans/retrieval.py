@@ -57,7 +57,7 @@ def idf_table(spark, sf_dir):
 
 @query("bm25_search", f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM bm_top")
 def bm25_search(spark, sf_dir):
-    found = r.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+    found = r.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir), 20)
     return r.ranked(found, "query_id", "score", "doc_id", 20).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -109,7 +109,7 @@ def two_collection_search(spark, sf_dir):
 asked_vectors AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
 pool AS (SELECT * FROM (SELECT q.query_id, e.vec_id, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity,
     row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) DESC, e.vec_id) AS r
-  FROM embeddings e CROSS JOIN asked_vectors q) WHERE r <= 20),
+  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id CROSS JOIN asked_vectors q) WHERE r <= 20),
 boosted AS (SELECT query_id, source, similarity * {_BOOST} AS score FROM pool JOIN papers ON vec_id = doc_id),
 sem AS (SELECT query_id, source, max(score) AS score FROM boosted GROUP BY query_id, source),
 sem_n AS (SELECT query_id, source, score / max(score) OVER (PARTITION BY query_id) AS semantic FROM sem),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.registry import Tool, Tools, embed_stub, register_split
+from corpusloom.operators.ranking import numbered
 from corpusloom.plans.standins import PAPERS, papers, sql_list
 from corpusloom.registry import query
 from corpusloom.session import table
@@ -66,12 +67,6 @@ def tool_dispatch(spark, sf_dir):
 
 @query("chunk_rows", f"""WITH {PAPERS} SELECT row_number() OVER (ORDER BY year DESC, doc_id) - 1 AS id, doc_id, substring(text, 1, 600) AS content, venue AS journal, year, tier FROM papers WHERE length(text) >= 300""")
 def chunk_rows(spark, sf_dir):
-    """Chunks with dense numbers in order of year: numbers by ranges of the order, so that no
-    task numbers them all."""
+    """Chunks with dense numbers in order of year."""
     rows = papers(spark, sf_dir).where("length(text) >= 300").select("doc_id", F.substring("text", 1, 600).alias("content"), F.col("venue").alias("journal"), "year", "tier")
-    from pyspark.sql import Window
-
-    before = Window.orderBy(F.col("year").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("year").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = F.row_number().over(Window.partitionBy("year").orderBy("doc_id"))
-    return rows.withColumn("r", within).join(starts, "year").select((F.col("start") + F.col("r") - 1).alias("id"), "doc_id", "content", "journal", "year", "tier")
+    return numbered(rows, [F.col("year").desc(), F.col("doc_id")])

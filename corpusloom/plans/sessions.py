@@ -103,16 +103,16 @@ def source_validation(spark, sf_dir):
     return s.validated(asked, papers(spark, sf_dir).where("tier = 1"))
 
 
-@query("session_export", "SELECT conv_id, string_agg(role || ':' || substring(text, 1, 20), '' ORDER BY turn) AS text, count(*) AS n_parts FROM conversations GROUP BY conv_id")
+@query("session_export", "SELECT conv_id, string_agg(role || ':' || text, '' ORDER BY turn) AS text, count(*) AS n_parts FROM conversations GROUP BY conv_id")
 def session_export(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), F.substring("text", 1, 20)).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), "text").alias("text"))
     return s.accumulated(rows, ("conv_id",), "turn", "text")
 
 
-@query("thinking_chain", "WITH m AS (SELECT conv_id, turn, ['💭 ', '🔧 ', '', '⚠️ '][CAST(turn % 4 + 1 AS INTEGER)] || substring(text, 1, 30) AS t FROM conversations) SELECT conv_id, coalesce(string_agg(CASE WHEN turn % 4 <> 2 THEN trim(t) END, chr(10) || chr(10) ORDER BY turn), '') AS chain FROM m GROUP BY conv_id")
+@query("thinking_chain", "WITH m AS (SELECT conv_id, turn, ['💭 ', '🔧 ', '', '⚠️ '][CAST(turn % 4 + 1 AS INTEGER)] || text AS t FROM conversations) SELECT conv_id, coalesce(string_agg(CASE WHEN turn % 4 <> 2 THEN trim(t) END, chr(10) || chr(10) ORDER BY turn), '') AS chain FROM m GROUP BY conv_id")
 def thinking_chain_query(spark, sf_dir):
     marks = pick(("💭 ", "🔧 ", "", "⚠️ "), F.col("turn") % 4)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(marks, F.substring("text", 1, 30)).alias("t"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(marks, "text").alias("t"))
     parts = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]).alias("p"))
     return parts.select("conv_id", thinking_chain(F.col("p")).alias("chain"))
 

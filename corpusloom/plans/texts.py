@@ -118,12 +118,12 @@ _PHRASES = (
     "What is", "Compare A vs B:", "Give me an overview of", "which doping and synthesis", "thanks, got it", "find recent literature on stability",
     "how much is the thickness", "how to choose a method as a table", "没有数据吗", "not what i meant, list", "什么是", "对比 效率 表格", "tell me about the mechanism of", "pros and cons, versus",
 )
-_TURNS = f"turns AS (SELECT conv_id, turn, role, {sql_list(_PHRASES)}[CAST((conv_id + turn) % {len(_PHRASES)} + 1 AS INTEGER)] || ' ' || substring(text, 1, CAST(10 + turn * 10 AS INTEGER)) AS q FROM conversations)"
+_TURNS = f"turns AS (SELECT conv_id, turn, role, {sql_list(_PHRASES)}[CAST((conv_id + turn) % {len(_PHRASES)} + 1 AS INTEGER)] || ' ' || text AS q FROM conversations)"
 
 
 def _turns(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", "role", F.concat(pick(_PHRASES, (F.col("conv_id") + F.col("turn")) % len(_PHRASES)), F.lit(" "), F.expr("substring(text, 1, cast(10 + turn * 10 as int))")).alias("q"))
+    return rows.select("conv_id", "turn", "role", F.concat(pick(_PHRASES, (F.col("conv_id") + F.col("turn")) % len(_PHRASES)), F.lit(" "), "text").alias("q"))
 
 
 def _sql_hits(words, text="lower(q)"):

@@ -16,6 +16,7 @@ def build(master: str = "local[8]", partitions: int = 8, app: str = "corpusloom"
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -27,17 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's `spark.checkpoint.dir`;
-    only where that is unset (tests) a folder of this machine."""
+    """The folder that driver and executors share: the cluster's `spark.checkpoint.dir`. Only
+    in local mode, as in tests, a folder of this machine stands in for one that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a folder of the driver's machine is none that executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="corpusloom-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that no later failure goes back
-    beyond it."""
+    beyond it. spark.cleaner.referenceTracking.cleanCheckpoints removes what is out of use."""
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: Raw metadata of a paper, as harvested.
 RAW_PAPER = (
     "paperId string, title string, abstract string, authors array<string>, year int, venue string, citationCount int, doi string, arxivId string,"
@@ -82,10 +84,22 @@ def write_version(rows: DataFrame, path: str, version: int) -> str:
 
 
 def append_new(rows: DataFrame, path: str, key: str) -> int:
-    """Appends rows whose key is not there yet; the number of them."""
+    """Appends rows whose key is not there yet, one of each key (the least by all columns);
+    the number of them. Rows without a key are left out, as nothing would know them again."""
     spark = rows.sparkSession
-    fresh = rows.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti").select(*rows.columns)
+    there = spark.read.schema(rows.schema).parquet(path).select(key)
+    kept = [c for c in rows.columns if c != key]
+    one = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*kept)).alias("_")).select(key, "_.*").select(*rows.columns)
+    fresh = cut(one.join(there, key, "left_anti"))
     n = fresh.count()
     if n:
         fresh.write.mode("append").parquet(path)
     return n
+
+
+def file_away(listed: DataFrame, there: DataFrame, month: str, this_year: str) -> DataFrame:
+    """name, year, month of files (name) that no folder has yet: the year is the first 20xx
+    of the name, else this one. there: name, year, month."""
+    found = F.regexp_extract("name", r"(20\d{2})", 1)
+    rows = listed.select("name", F.when(found == "", F.lit(this_year)).otherwise(found).alias("year"), F.lit(month).alias("month")).distinct()
+    return rows.join(there.select("name", "year", "month"), ["name", "year", "month"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -120,17 +120,57 @@ def latest(rows: DataFrame, key: str) -> DataFrame:
 
 
 def upserted(stream: DataFrame, key: str, order: str, folder: str) -> DataFrame:
-    """Micro-batches merged into a keyed table: of each key the row with the highest order.
-    Every batch writes a new version beside the old one, and the last version counts."""
-    versions: list[str] = []
+    """Micro-batches merged into a keyed table: of each key the row with the highest order, of
+    equal ones the later batch's. A batch adds the best of its own rows under its number,
+    which a batch that is run again overwrites; readers merge what is there, so a stream that
+    goes on from its checkpoint finds all that it had."""
     spark = stream.sparkSession
     columns = [c for c in stream.columns if c != key]
 
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if not versions else batch.unionByName(spark.read.parquet(versions[-1]))
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_")).select(key, "_.*")
-        best.write.mode("overwrite").parquet(f"{folder}/version={number}")
-        versions.append(f"{folder}/version={number}")
-
-    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], stream.schema)
+    def add(batch: DataFrame, number: int) -> None:
+        best = batch.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_")).select(key, "_.*")
+        best.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/batch=-1")
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "batch")).alias("_")).select(key, "_.*")
+
+
+_TASK_OUT = "user_id long, started timestamp, ended timestamp, n long, outcome string"
+
+
+def _tasks(idle: float, keep: float) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def closed(user: int, state: tuple) -> tuple:
+        started, ended, n, done = state
+        return (user, pd.Timestamp(started, unit="us"), pd.Timestamp(ended, unit="us"), n, "done" if done else "timeout")
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A task goes on while events come within `idle` seconds, or within `keep` once it
+        is done; then it is told and forgotten."""
+        held, out = state.get if state.exists else None, []
+        if state.hasTimedOut:
+            out.append(closed(key[0], held))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            for at, kind in zip(rows.ts.astype("datetime64[us]").astype("int64"), rows.event_type, strict=True):
+                if held is not None and at - held[1] > 1e6 * (keep if held[3] else idle):
+                    out.append(closed(key[0], held))
+                    held = None
+                started, _, n, done = held or (int(at), int(at), 0, False)
+                held = (started, int(at), n + 1, done or kind == "purchase")
+            state.update(held)
+            state.setTimeoutTimestamp(max(int(held[1] / 1e3 + 1e3 * (keep if held[3] else idle)), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["user_id", "started", "ended", "n", "outcome"])
+
+    return step
+
+
+def tasks(events: DataFrame, idle: float = 30.0, keep: float = 60.0, delay: str = DELAY) -> DataFrame:
+    """A row for each task of a user that has ended: by timeout, `idle` seconds after its last
+    event, or `keep` seconds after that if a purchase had finished it. Timers by event time
+    end tasks that no further event comes for, so that no state stays for ever."""
+    rows = timed(events, delay).select("user_id", "event_id", "event_type", "ts")
+    state = "started long, ended long, n long, done boolean"
+    return rows.groupBy("user_id").applyInPandasWithState(_tasks(idle, keep), _TASK_OUT, state, "append", GroupStateTimeout.EventTimeTimeout)
