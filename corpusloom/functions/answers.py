@@ -65,3 +65,11 @@ def without_markup(text: Column) -> Column:
 def thinking_chain(parts: Column) -> Column:
     kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x.rlike("^(💭|🔧|⚠️)"))
     return F.array_join(kept, "\n\n")
+
+
+def json_in(text: Column) -> Column:
+    """The JSON object in a model's answer: within a fence if it has one, from the first brace
+    to the last; null without any."""
+    bare = F.trim(text)
+    fenced = F.regexp_extract(bare, r"(?s)^```[^\n]*\n(.*)```", 1)
+    return F.nullif(F.regexp_extract(F.when(F.startswith(bare, F.lit("```")) & (fenced != ""), fenced).otherwise(bare), r"(?s)\{.*\}", 0), F.lit(""))

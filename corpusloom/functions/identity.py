@@ -67,3 +67,32 @@ def guess_url(doi: Column) -> Column:
         .when(by == "wiley", F.concat(F.lit("https://onlinelibrary.wiley.com/doi/pdfdirect/"), doi))
         .otherwise(F.concat(F.lit("https://doi.org/"), doi))
     )
+
+
+def fallback_name(title: Column) -> Column:
+    """A name for a record without identifier: the first half of the MD5 of its title."""
+    return F.substring(F.md5(F.coalesce(title, F.lit(""))), 1, 16)
+
+
+def journal_from_name(name: Column) -> Column:
+    """The parts of a file name before its identifier, as words; Unknown without any."""
+    before = F.regexp_replace(F.replace(name, F.lit(".pdf"), F.lit("")), r"(^|_)10\.\d.*$", "")
+    return F.coalesce(F.nullif(F.translate(before, "_", " "), F.lit("")), F.lit("Unknown"))
+
+
+def doi_in_source(source: Column) -> Column:
+    """The part of a chunk's source from its identifier on; the source as it is if it holds
+    none; null for records that have no file (s2:...)."""
+    at = F.locate("_10.", source)
+    return F.when(~F.startswith(source, F.lit("s2:")), F.when(at > 0, F.substring(source, at + 1, F.length(source))).otherwise(source))
+
+
+def file_ids(text: Column) -> Column:
+    """Identifiers of files that a message names between backquotes, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:File ID:\s*)?`([A-Za-z][A-Za-z0-9_\-]{8,})`"), F.lit(1)))
+
+
+def listed_papers(text: Column) -> Column:
+    """Papers that search results list by source or file, each once, in order."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:Source:\s*|File ID:\s*`?)([\w\-./]+)"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.rtrim(x, F.lit("."))))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST, LEAST = 2_000, 300
@@ -180,3 +180,20 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     found = F.coalesce(*(F.nullif(F.regexp_extract(h, rule, group), F.lit("")) for rule, group in rules))
     hrefs = F.regexp_extract_all(h, F.lit(r"<a\s[^>]*href=\"([^\"]+)\""), F.lit(1))
     return pages.select(key, found.alias("document"), F.size(hrefs).cast("long").alias("n_links"), F.get(hrefs, F.lit(0)).alias("first_link"))
+
+
+def segments(docs: DataFrame, most: int = 6_000, text: str = "text") -> DataFrame:
+    """doc_id, idx, content: paragraphs (between blank lines) put together until the next one
+    would pass `most` characters, separators not counted; a longer paragraph stands alone."""
+    paragraphs = F.split(text, "\n\n")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
+
+    def step(acc: Column, p: Column) -> Column:
+        full = (acc["n"] + F.length(p) > most) & (F.size(acc["now"]) > 0)
+        return F.struct(
+            F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"), F.when(full, F.array(p)).otherwise(F.concat(acc["now"], F.array(p))).alias("now"),
+            F.when(full, F.length(p)).otherwise(acc["n"] + F.length(p)).alias("n"),
+        )
+
+    all_ = F.aggregate(paragraphs, start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    return docs.select("doc_id", F.posexplode(all_).alias("idx", "parts")).select("doc_id", "idx", F.array_join("parts", "\n\n").alias("content"))

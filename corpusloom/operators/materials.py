@@ -20,20 +20,31 @@ def _table(radii: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for pair in radii.items() for x in pair))
 
 
+def ionic_radius(symbol: Column, number: Column) -> Column:
+    """The radius of an ion for the coordination number nearest to the one asked for; null for
+    an unknown one."""
+    held: dict[str, list[tuple[int, float]]] = {}
+    for cn, radii in ((12, A_RADII), (6, B_RADII), (6, X_RADII)):
+        for ion, r in radii.items():
+            held.setdefault(ion, []).append((cn, r))
+    table = F.create_map(*(x for ion, rows in held.items() for x in (F.lit(ion), F.array(*(F.struct(F.lit(cn).alias("cn"), F.lit(float(r)).alias("r")) for cn, r in rows)))))
+    near = F.transform(F.element_at(table, symbol), lambda e: F.struct(F.abs(e["cn"] - number).alias("far"), e["cn"].alias("cn"), e["r"].alias("r")))
+    return F.array_min(near)["r"]
+
+
 def species(formula: Column) -> Column:
     """array<struct<symbol, amount>> of a formula; organic cations are symbols of their own,
     a number after a bracket multiplies what it holds."""
-    symbol = r"(MA|FA|EA|GA|[A-Z][a-z]?)"
-    group = F.regexp_extract(formula, r"\(([^()]*)\)(\d*\.?\d*)", 1)
-    times = F.nullif(F.regexp_extract(formula, r"\(([^()]*)\)(\d*\.?\d*)", 2), F.lit(""))
-    factor = F.coalesce(times.cast("double"), F.lit(1.0))
+    symbol, bracket = r"(MA|FA|EA|GA|[A-Z][a-z]?)", r"\(([^()]*)\)(\d*\.?\d*)"
+    number = lambda text, pattern, group: F.coalesce(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("double"), F.lit(1.0))
 
     def parts(text: Column, by: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(symbol + r"(\d*\.?\d*)"), F.lit(0))
-        amount = lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"(\d*\.?\d*)$", 1), F.lit("")).cast("double"), F.lit(1.0))
-        return F.transform(found, lambda p: F.struct(F.regexp_extract(p, "^" + symbol, 1).alias("symbol"), (amount(p) * by).alias("amount")))
+        return F.transform(found, lambda p: F.struct(F.regexp_extract(p, "^" + symbol, 1).alias("symbol"), (number(p, r"(\d*\.?\d*)$", 1) * by).alias("amount")))
 
-    return F.concat(parts(F.regexp_replace(formula, r"\([^()]*\)\d*\.?\d*", ""), F.lit(1.0)), parts(group, factor))
+    groups = F.regexp_extract_all(formula, F.lit(bracket), F.lit(0))
+    inside = F.flatten(F.transform(groups, lambda g: parts(F.regexp_extract(g, bracket, 1), number(g, bracket, 2))))
+    return F.concat(parts(F.regexp_replace(formula, bracket, ""), F.lit(1.0)), inside)
 
 
 def _radius(parts: Column, radii: dict[str, float]) -> Column:

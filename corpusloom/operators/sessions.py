@@ -119,3 +119,73 @@ def neighbours(edges: DataFrame, papers: DataFrame, of: str = "src", to: str = "
     facts = papers.select(F.col("doc_id").alias(to), "citations")
     ranked = edges.join(facts, to).withColumn("place", F.row_number().over(Window.partitionBy(of).orderBy(F.col("citations").desc(), to)))
     return ranked.where(F.col("place") <= n)
+
+
+def session_states(operations: DataFrame) -> DataFrame:
+    """Sessions after all operations on them (sid, seq, verb, role, text): sid, title,
+    n_messages, recent (place by creation, the latest first).
+
+    create gives a title; append adds a message, makes the session if need be (then the title
+    is the first 50 characters of a user's message, else empty), and a session's first user
+    message gives the title, cut at 40 characters; rename takes up to 60 characters, if any;
+    delete ends the session, and what comes later starts anew. Each session is one sum of its
+    operations: the last one that sets a title counts."""
+    by, along = Window.partitionBy("sid"), Window.partitionBy("sid").orderBy("seq")
+    alive = operations.withColumn("_gone", F.max(F.when(F.col("verb") == "delete", F.col("seq"))).over(by)).where("_gone is null or seq > _gone")
+    text, own = F.coalesce("text", F.lit("")), (F.col("verb") == "append") & (F.col("role") == "user")
+    rows = alive.withColumn("_first", F.row_number().over(along) == 1).withColumn("_users", F.sum(own.cast("int")).over(along)).withColumn("_there", F.max(F.col("verb").isin("create", "append").cast("int")).over(along) == 1)
+    title = (
+        F.when(F.col("verb") == "create", text)
+        .when(own & (F.col("_users") == 1), F.when(F.length(text) > 40, F.concat(F.substring(text, 1, 40), F.lit("......"))).otherwise(text))
+        .when((F.col("verb") == "append") & F.col("_first"), F.when(own, F.substring(text, 1, 50)).otherwise(F.lit("")))
+        .when((F.col("verb") == "rename") & F.col("_there") & (F.length(F.trim(text)) > 0), F.substring(F.trim(text), 1, 60))
+    )
+    there = rows.withColumn("_title", title).where("_there")
+    out = there.groupBy("sid").agg(F.max_by("_title", F.when(F.col("_title").isNotNull(), F.col("seq"))).alias("title"), F.count_if(F.col("verb") == "append").alias("n_messages"), F.min("seq").alias("created"))
+    return out
+
+
+def tasks_by_session(tasks: DataFrame, now: Column, keep: int = 60) -> DataFrame:
+    """sid, n, running, tasks (id:done:error, in order of ids) of tasks (sid, task_id, at, done,
+    error) that run or ended no more than `keep` seconds ago."""
+    fresh = tasks.where(~F.col("done") | (F.unix_micros(now) - F.unix_micros(F.col("at")) <= keep * 1_000_000))
+    line = F.concat_ws(":", F.col("task_id").cast("string"), F.col("done").cast("string"), F.col("error").cast("string"))
+    return fresh.groupBy("sid").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("running"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("task_id", line.alias("l")))), lambda t: t["l"]), ",").alias("tasks"))
+
+
+def replayed(parts: DataFrame, offsets: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """key, rest, upto: of a stream's pieces what a reader that has `seen` characters still gets,
+    and how far it is then."""
+    whole = accumulated(parts, (key,), order, text).join(offsets, key)
+    return whole.select(key, F.when(F.col("seen") < F.length(text), F.substring(F.col(text), F.col("seen") + 1, F.length(text))).otherwise("").alias("rest"), F.greatest("seen", F.length(text)).alias("upto"))
+
+
+def failure_streaks(events: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
+    """by, longest, current: runs of failures in a row, the longest and the one still going on."""
+    along = Window.partitionBy(by).orderBy(order)
+    rows = events.select(by, order, failed.cast("int").alias("_f")).withColumn("_run", F.sum(1 - F.col("_f")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = rows.groupBy(by, "_run").agg(F.sum("_f").alias("_n"))
+    return runs.groupBy(by).agg(F.max("_n").alias("longest"), F.max_by("_n", "_run").alias("current"))
+
+
+# Tools that an agent may call in a state.
+STATE_TOOLS = {
+    "retrieve": ("search_papers", "search_arxiv", "search_semantic_scholar", "get_citations", "get_references", "search_perovskite_database"),
+    "read": ("read_paper", "read_arxiv_paper", "extract_data", "compare_papers"),
+}
+
+
+def allowed(tool: Column, state: Column) -> Column:
+    """Whether a tool may be called in a state; states without a list allow none."""
+    return F.coalesce(*(F.when(state == s, tool.isin(*tools)) for s, tools in STATE_TOOLS.items()), F.lit(False))
+
+
+def journal_by_prefix(rows: DataFrame, keys: DataFrame, name: str, default: int = 7) -> DataFrame:
+    """rows with journal and journal_rank of the longest key (key, journal, journal_rank) that
+    the name begins with, followed by an underscore; else null and the default. A key has as
+    many parts as it has; names are looked up by their first parts, not key by key."""
+    parts = F.split(name, "_")
+    cuts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_"))
+    tried = rows.select(name).distinct().where(F.contains(F.col(name), F.lit("_"))).select(name, F.explode(cuts).alias("key"))
+    best = tried.join(keys, "key").groupBy(name).agg(F.max_by(F.struct("journal", "journal_rank"), F.length("key")).alias("_"))
+    return rows.join(best, name, "left").select(*rows.columns, F.col("_.journal").alias("journal"), F.coalesce("_.journal_rank", F.lit(default)).alias("journal_rank"))

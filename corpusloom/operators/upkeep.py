@@ -125,6 +125,12 @@ def progress(rows: DataFrame, by: str, done: Column) -> DataFrame:
     return out.withColumn("percent", F.round(F.col("done") * 100.0 / F.nullif("total", F.lit(0)), 4))
 
 
+def pace(done: Column, total: Column, seconds: Column) -> Column:
+    """Struct of percent (whole), per_minute and minutes left (0 where nothing is done)."""
+    rate = done / F.nullif(seconds, F.lit(0)) * 60
+    return F.struct(F.floor(done * 100 / F.nullif(total, F.lit(0))).alias("percent"), F.round(rate, 4).alias("per_minute"), F.when(rate > 0, F.round((total - done) / rate, 4)).otherwise(0.0).alias("minutes_left"))
+
+
 def file_merge(source: DataFrame, target: DataFrame, name: str = "name", size: str = "size") -> DataFrame:
     """name, action for every file of the source: drop (same size there), replace (another
     size there; the old one is renamed), move (not there)."""
