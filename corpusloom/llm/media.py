@@ -23,6 +23,18 @@ UNIT = 576  # payloads are padded to a multiple of so many bytes
 RATE = 8_000
 
 
+class Blob(bytes):
+    """Bytes that remember where a pattern stands next, so that many magic numbers in one blob
+    cost one search in all."""
+
+    def next(self, pattern: bytes, at: int) -> int:
+        known = self.__dict__.setdefault("known", {})
+        since, place = known.get(pattern, (0, -2))
+        if place == -2 or at < since or -1 < place < at:
+            known[pattern] = since, place = at, self.find(pattern, at)
+        return place
+
+
 @dataclass(frozen=True)
 class Found:
     """A validated medium: type, place in the blob, and what its header says."""
@@ -104,7 +116,7 @@ def _gif(b: bytes, at: int) -> tuple[int, str] | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
+def _jpeg(b: Blob, at: int) -> tuple[int, str] | None:
     p, detail = at + 2, ""
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
@@ -112,34 +124,36 @@ def _jpeg(b: bytes, at: int) -> tuple[int, str] | None:
             height, width = struct.unpack_from(">HH", b, p + 5)
             detail = f"width={width};height={height}"
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p + 2 + size)
+            end = b.next(b"\xff\xd9", p + 2 + size)
             return (end + 2, detail) if end >= 0 and detail else None
         p += 2 + size
     return None
 
 
-def _pdf(b: bytes, at: int) -> tuple[int, str] | None:
-    end = b.find(b"%%EOF", at)
-    return (end + 5, f"version={b[at + 5 : at + 8].decode('ascii', 'replace')}") if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+def _pdf(b: Blob, at: int) -> tuple[int, str] | None:
+    end, start = b.next(b"%%EOF", at), b.next(b"startxref", at)
+    return (end + 5, f"version={b[at + 5 : at + 8].decode('ascii', 'replace')}") if 0 <= start < end else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[int, str] | None:
     if len(b) < at + 18 or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return None
-    undo = zlib.decompressobj(31)
+    undo, view, n, p = zlib.decompressobj(31), memoryview(b), 0, at
     try:
-        n = 0
-        part = b[at:]
-        while not undo.eof and part:
-            n += len(undo.decompress(part, 1 << 20))
+        while not undo.eof:
             part = undo.unconsumed_tail
+            if not part:
+                part, p = view[p : p + (1 << 14)], p + (1 << 14)
+                if not part:
+                    return None
+            n += len(undo.decompress(part, 1 << 20))
     except zlib.error:
         return None
-    return (len(b) - len(undo.unused_data), f"bytes={n}") if undo.eof else None
+    return min(p, len(b)) - len(undo.unused_data), f"bytes={n}"
 
 
 #: Magic bytes of each format.
-FORMATS: tuple[tuple[str, bytes, Callable[[bytes, int], tuple[int, str] | None]], ...] = (
+FORMATS: tuple[tuple[str, bytes, Callable[[Blob, int], tuple[int, str] | None]], ...] = (
     ("audio/wav", b"RIFF", _wav),
     ("image/bmp", b"BM", _bmp),
     ("image/png", b"\x89PNG\r\n\x1a\n", _png),
@@ -162,7 +176,7 @@ def _machine(cache: list = []) -> ahocorasick.Automaton:  # noqa: B006
 
 def sniff(blob: bytes) -> list[Found]:
     """All validated media of a blob that don't lie within an earlier one, by place."""
-    found, upto = [], 0
+    found, upto, blob = [], 0, Blob(blob)
     for last, (kind, size, check) in _machine().iter(blob.decode("latin-1")):
         start = last - size + 1
         if start < upto:
@@ -226,22 +240,42 @@ def samples(wav: bytes) -> bytes:
     raise ValueError("no samples")
 
 
+#: What a sound may come with, by the checksum of its payload: nothing, the headers of a
+#: mail part before it, a cover (a picture of one point) before it and a note behind it.
+_COVER = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02D\x01\0;"
+_FRAMES = ((b"", b""), (b"Content-Transfer-Encoding: binary\r\n\r\n", b""), (_COVER, b"-- end of part --"))
+#: What it is declared to be: what it is, something else, too little, nothing.
+_DECLARED = ("audio/wav", "image/png", "application/octet-stream", None)
+
+
+def stored(payload: bytes) -> tuple[bytes, str | None]:
+    """The stored form of a payload, and its declared type; equal payloads give equal ones."""
+    kind = zlib.crc32(payload)
+    before, after = _FRAMES[kind % len(_FRAMES)]
+    return before + to_wav(payload) + after, _DECLARED[kind // len(_FRAMES) % len(_DECLARED)]
+
+
 def pack(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (texts as 8-bit sound, padded with 255 to units of 576) and
-    declared_type, which says no more than that these are bytes."""
+    """doc_id, n_bytes, media (texts as 8-bit sound, padded with 255 to units of 576, some of
+    them within other bytes) and declared_type, which is right, wrong, too little or null.
+
+    A null text is an empty one, which is stored as one unit of padding. Rows of null doc_id
+    and repeated rows give rows each; an empty table gives an empty result."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            media = [to_wav(x + b"\xff" * (-len(x) % UNIT if x else UNIT)) for x in raw]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array(["application/octet-stream"] * len(raw))], names=["doc_id", "n_bytes", "media", "declared_type"])
+            media = [stored(x + b"\xff" * (-len(x) % UNIT if x else UNIT)) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([m for m, _ in media], pa.binary()), pa.array([d for _, d in media], pa.string())], names=["doc_id", "n_bytes", "media", "declared_type"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(packed, "doc_id long, n_bytes long, media binary, declared_type string")
 
 
 def feature(payload: bytes) -> str:
     """Sound features of the samples: energy, crossings of the middle line, peak, and a
-    hash of which tenths are louder than the whole."""
+    hash of which tenths are louder than the whole. Without samples all are 0."""
+    if not payload:
+        return f"energy=0;crossings=0;peak=0;loud={'0' * 10}"
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     parts = np.array([int(np.abs(p).sum()) * 10 for p in np.array_split(x, 10)])
@@ -251,20 +285,27 @@ def feature(payload: bytes) -> str:
 
 def digest(media: DataFrame) -> DataFrame:
     """Per row of `inspect(pack(docs))`: what the stored bytes hold when read back through
-    the medium that was found in them."""
+    the sound that was found in them, the types, and n_carved, the media found.
+
+    A row without a sound (a null or broken blob) has nulls for what would be read of it, and
+    the bytes it has; repeated rows give rows each, and an empty table an empty result."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             rows = []
             for blob, carved in zip(batch.column("media").to_pylist(), batch.column("carved").to_pylist(), strict=True):
-                whole = carved[0]
-                payload = samples(blob[whole["start"] : whole["end"]])
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), f"{whole['type']};{whole['detail']};{feature(payload)}"))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                sound = next((c for c in carved if c["type"] == "audio/wav"), None)
+                own = (None, None) if blob is None else (len(blob), hashlib.sha256(blob).hexdigest())
+                if sound is None:
+                    rows.append((None, None, None, *own, None, len(carved)))
+                    continue
+                payload = samples(blob[sound["start"] : sound["end"]])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *own, f"{sound['type']};{sound['detail']};{feature(payload)}", len(carved)))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_carved"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_bytes")), *columns, *(batch.column(c) for c in ("detected_type", "corrected"))], names=["doc_id", "n_bytes", *names, "detected_type", "corrected"])
 
     return media.select("doc_id", "n_bytes", "media", "detected_type", "corrected", "carved").mapInArrow(
-        read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, detected_type string, corrected boolean"
+        read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_carved int, detected_type string, corrected boolean"
     )
