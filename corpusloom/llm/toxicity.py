@@ -3,13 +3,15 @@
 The lexicon is learned: words, and stems that words begin with, that labelled toxic
 documents hold far more often than others, weighted by the logarithm of the odds.
 Aho-Corasick finds them in text in which look-alike letters and digits are folded; of the
-entries that match in a word the heaviest counts; phrases in which a word is harmless
-cancel it.
+entries that match in a word the heaviest counts. Phrases in which a word is harmless cancel
+it: these are learned as well, as pairs of words with an entry in them that clean documents
+hold and toxic ones hardly do.
 Sums of weights, whole and by length, give a probability by a logistic fit.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -33,9 +35,6 @@ FOLDED = {
 }
 #: Zero-width characters and soft hyphens, which show nothing.
 HIDDEN = "­​‌‍⁠﻿"
-#: Words are harmless in these phrases.
-EXCEPTIONS = ("clown fish", "clown fishes", "class clown", "trash can", "trash cans", "trash bin", "pathetic fallacy", "sore loser board", "scum line", "pond scum", "disgusting smell of")
-
 #: Lengths of stems.
 STEMS = (5, 6, 7, 8)
 
@@ -60,7 +59,7 @@ class Lexicon:
     """weights: by folded word, or stem with a star; scale: intercept, slopes of features."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     scale: tuple[float, ...] = (-3.0, 2.0, 1.0)
     _machine: ahocorasick.Automaton | None = field(default=None, repr=False)
 
@@ -77,12 +76,11 @@ class Lexicon:
             self._machine.make_automaton()
         return self._machine
 
-    def hits(self, text: str) -> tuple[float, int]:
-        """Sum of the weights of whole words matched, and their number; words within an
-        exception phrase don't count."""
+    def matches(self, folded: str) -> list[tuple[int, int, float]]:
+        """Start, end and weight of the heaviest entry of each word of a folded text, but for
+        words within an exception phrase."""
         if not self.weights:
-            return 0.0, 0
-        folded = fold(text)
+            return []
         found: dict[int, tuple[int, float]] = {}
         harmless = []
         for at, (size, as_stem, as_word) in self.machine().iter(folded):
@@ -91,23 +89,55 @@ class Lexicon:
                 continue
             ends = end == len(folded) or not folded[end].isalpha()
             weight = max(as_stem, as_word) if ends else as_stem
-            if not as_stem and not as_word and ends:
-                harmless.append((start, end))
+            if not as_stem and not as_word:
+                harmless += [(start, end)] * ends
             elif weight and weight > found.get(start, (0, 0.0))[1]:
                 found[start] = (end, weight)
-        kept = [w for start, (end, w) in found.items() if not any(a <= start and end <= b for a, b in harmless)]
-        return sum(kept), len(kept)
+        if not harmless:
+            return [(start, end, w) for start, (end, w) in found.items()]
+        covered, upto = [], -1
+        for a, b in sorted(harmless):  # as spans that don't touch each other
+            if a < upto:
+                upto = max(upto, b)
+                covered[-1] = (covered[-1][0], upto)
+            else:
+                covered.append((a, b))
+                upto = b
+        starts = [a for a, _ in covered]
+        inside = lambda s, e: (i := bisect.bisect_right(starts, s)) > 0 and e <= covered[i - 1][1]
+        return [(start, end, w) for start, (end, w) in found.items() if not inside(start, end)]
+
+    def hits(self, text: str) -> tuple[float, int]:
+        """Sum of the weights of words matched, and their number."""
+        kept = self.matches(fold(text))
+        return sum(w for *_, w in kept), len(kept)
+
+    def phrases(self, text: str) -> set[str]:
+        """Pairs of words, one blank between them, of which one holds an entry."""
+        folded = fold(text)
+        at = {start for start, *_ in self.matches(folded)}
+        spans = [m.span() for m in _WORD.finditer(folded)] if at else []
+        return {folded[a:d] for (a, b), (c, d) in zip(spans, spans[1:], strict=False) if (a in at or c in at) and folded[b:c] == " "}
 
     def features(self, text: str) -> tuple[float, float]:
-        total, _ = self.hits(text)
+        return self._features(text, self.hits(text)[0])
+
+    def _features(self, text: str, total: float) -> tuple[float, float]:
         if not total:
             return 0.0, 0.0
         words = text.count(" ") + text.count("\n") + 1
         return math.log1p(total), math.log1p(100 * total / (words + 20))
 
     def score(self, text: str) -> float:
+        return self.scored(text)[0]
+
+    def scored(self, text: str) -> tuple[float, int]:
+        """The score, and the number of words matched."""
+        total, n = self.hits(text)
+        return self._chance(*self._features(text, total)), n
+
+    def _chance(self, x: float, y: float) -> float:
         a, b, c = self.scale
-        x, y = self.features(text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
     def bare(self) -> Lexicon:
@@ -145,14 +175,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words: int = 2_000, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
+def _phrase_counts(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """Of distinct phrases around entries by text: how many texts of either label hold them."""
+    for batch in batches:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            counts[toxic].update(lexicon.phrases(text or ""))
+        phrases = list(counts[0].keys() | counts[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), *(pa.array([counts[t][w] for w in phrases], pa.int64()) for t in (0, 1))], names=["phrase", "clean", "toxic"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, exceptions: Iterable[str] = ()) -> Lexicon:
     """A lexicon from labelled rows that aren't held out.
 
     max_rows bounds the labelled rows learned from, about: a larger table of labels is
     thinned by the MD5 of doc_id. Equal texts count once. A word or stem enters with at
     least 5 toxic texts and 1 in 200 of all of them, and odds at least 8 times those
-    elsewhere; max_words of the largest evidence stay. Without toxic or without other labels the
-    lexicon is empty and all scores equal the share of toxic labels.
+    elsewhere, so that there are no more than 200 times as many entries as words in a toxic
+    text. A phrase of two words with an entry in it is an exception if 5 clean texts or more
+    hold it, and its odds are less than half of those of a clean phrase; `exceptions` are
+    further ones. Without toxic or without other labels the lexicon is empty and all scores
+    equal the share of toxic labels. Null doc_ids and labels other than 0 and 1 are left out;
+    of labels that repeat a doc_id the largest counts.
     """
     spark = docs.sparkSession
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -166,14 +210,18 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
         if not toxic or not clean:
             prior = (toxic + 0.5) / (toxic + clean + 1)
             return Lexicon({}, tuple(exceptions), (math.log(prior / (1 - prior)), 0.0, 0.0))
-        words = rows.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        best = words.where(F.col("toxic") >= max(5, toxic / 200)).withColumn("odds", odds).where(F.col("odds") >= math.log(8)).orderBy((F.col("odds") * F.col("toxic")).desc(), "word").limit(max_words).collect()
-        lexicon = Lexicon({r["word"]: round(r["odds"], 6) for r in best}, tuple(exceptions))
-        kept = spark.sparkContext.broadcast(lexicon)
+        words = rows.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        best = words.where(F.col("toxic") >= max(5, toxic / 200)).withColumn("odds", odds).where(F.col("odds") >= math.log(8)).select("word", "odds").collect()
+        lexicon = Lexicon({r["word"]: round(r["odds"], 6) for r in sorted(best)})
+        found = spark.sparkContext.broadcast(lexicon.bare())
+        phrases = rows.mapInArrow(lambda b: _phrase_counts(b, found.value), "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        harmless = phrases.where("clean >= 5").withColumn("odds", odds).where(F.col("odds") <= math.log(0.5)).select("phrase").collect()
+        lexicon = Lexicon(lexicon.weights, (*map(fold, exceptions), *sorted(r["phrase"] for r in harmless)))
+        kept = spark.sparkContext.broadcast(lexicon.bare())
 
         def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = kept.value.bare()
+            own = kept.value
             for batch in batches:
                 found = [own.features(x) for x in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), batch.column("toxic").cast(pa.float64())], names=["x", "y", "toxic"])
@@ -181,6 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_words:
         seen = np.array(rows.mapInArrow(measured, "x double, y double, toxic double").groupBy("x", "y").agg(F.count("*"), F.sum("toxic")).collect(), float).reshape(-1, 4)
     finally:
         rows.unpersist()
+    seen = seen[np.lexsort(seen.T)]  # rows come in any order; sums shall not
     pos, neg = np.repeat(seen[:, :2], seen[:, 3].astype(int), axis=0), np.repeat(seen[:, :2], (seen[:, 2] - seen[:, 3]).astype(int), axis=0)
     lexicon.scale = tuple(round(float(v), 6) for v in _logistic(np.vstack([pos, neg]), np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])))
     return lexicon
@@ -197,11 +246,11 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         own = kept.value.bare()
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            scores = [own.score(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+            scores = [own.scored(x) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([s for s, _ in scores], pa.float64()), pa.array([int(s >= 0.5) for s, _ in scores], pa.int32()), pa.array([n for _, n in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted", "n_hits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, n_hits int")
 
 
 def is_held_out(doc_id: int) -> bool:

@@ -68,13 +68,39 @@ def test_long_texts_of_recurring_lines(make):
 
 
 def test_media_round_trip(documents):
+    """Every payload comes back from the sound in its stored form, whatever stands around it."""
+    inspected = {r.doc_id: r for r in media.inspect(media.pack(documents)).collect()}
     rows = {r.doc_id: r for r in media.digest(media.inspect(media.pack(documents))).collect()}
+    kinds = set()
     for d in documents.collect():
         raw = (d.text or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        r = rows[d.doc_id]
+        r, seen = rows[d.doc_id], inspected[d.doc_id]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert r.media_sha256 == hashlib.sha256(media.to_wav(payload)).hexdigest() and r.corrected and r.detected_type == "audio/wav"
+        blob, declared = media.stored(payload)
+        assert (r.media_sha256, r.media_bytes, seen.declared_type) == (hashlib.sha256(blob).hexdigest(), len(blob), declared)
+        at = blob.index(b"RIFF")
+        cover = [("image/gif", 0, at)] if blob.startswith(b"GIF8") else []
+        assert [(c.type, c.start, c.end) for c in seen.carved] == [*cover, ("audio/wav", at, at + len(media.to_wav(payload)))] and r.n_carved == len(cover) + 1
+        assert r.detected_type == seen.carved[0].type and r.corrected == (r.detected_type != declared)
+        assert r.feature == f"audio/wav;channels=1;rate=8000;bits=8;bytes={len(payload)};{media.feature(payload)}"
+        kinds.add((r.detected_type, declared, at > 0))
+    assert len(kinds) == 12
+
+
+def test_features_of_sounds():
+    square = bytes([138] * 5 + [118] * 5) * 10
+    assert media.feature(square) == "energy=10000;crossings=19;peak=10;loud=0000000000"
+    assert media.feature(bytes([128] * 90 + [255] * 10)) == f"energy={127 * 127 * 10};crossings=0;peak=127;loud=0000000001"
+    assert media.feature(b"") == "energy=0;crossings=0;peak=0;loud=0000000000"
+
+
+def test_many_magic_numbers_in_one_blob():
+    began = time.time()
+    assert media.sniff(b"%PDF-" * 60_000 + b"\x1f\x8b\x08\x00" * 60_000 + b"\xff\xd8\xff\xc0\x00\x08abcd\xff\xda\x00\x02" * 20_000) == []
+    assert time.time() - began < 20
+    whole = media.sniff(b"%PDF-" * 9 + b"startxref 1 %%EOF")
+    assert [(f.kind, f.start, f.end) for f in whole] == [("application/pdf", 0, 62)]
 
 
 def test_signatures(spark):
@@ -108,7 +134,7 @@ def test_toxicity_held_out(spark, documents, sf_dir):
 
 
 def test_folding_and_exceptions():
-    lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 5.0, toxicity.fold("clown"): 4.0, toxicity.fold("stupi") + "*": 5.0}, scale=(-3.0, 2.0, 1.0))
+    lexicon = toxicity.Lexicon({toxicity.fold("idiot"): 5.0, toxicity.fold("clown"): 4.0, toxicity.fold("stupi") + "*": 5.0}, ("clown fish",), (-3.0, 2.0, 1.0))
     for text in ("you IDIOT", "an 1d10t!", "аn idiоt", "id­iot", "ídïot", "ｉｄｉｏｔ"):
         assert lexicon.hits(text)[1] == 1, text
     assert lexicon.hits("idiots idiotic xidiot")[1] == 0 and lexicon.hits("stupidity")[1] == 1
@@ -234,3 +260,71 @@ def test_many_sources_and_rows_without_id(make, spark, monkeypatch):
     one = order(mixing.mix(docs))
     monkeypatch.setattr(mixing, "RUN_ROWS", 5)
     assert order(mixing.mix(docs)) == one and sum(x[3] for x in one) == 3 * sum(x[2] for x in one) // 2
+
+
+def plain_hits(lexicon, text):
+    """Words matched, looking at every entry for every word."""
+    folded = toxicity.fold(text)
+    harmless = [m.span() for e in lexicon.exceptions for m in re.finditer(re.escape(toxicity.fold(e)), folded)]
+    harmless = [(a, b) for a, b in harmless if not folded[:a][-1:].isalpha() and not folded[b : b + 1].isalpha()]
+    found = []
+    for m in re.finditer(r"[^\W\d_]+", folded):
+        best = max((w for e, w in lexicon.weights.items() if m[0] == e or e.endswith("*") and m[0].startswith(e[:-1])), default=0)
+        best = max([best, *(w for e, w in lexicon.weights.items() if e.endswith("*") and e[:-1] == m[0])])
+        if best:
+            found.append((m.span(), best))
+    return [w for (a, b), w in found if not any(x <= a and b <= y for x, y in harmless)]
+
+
+def test_toxicity_of_the_whole_table(spark, sf_dir):
+    base = sf_dir.replace("sf0.001", "sf0.01")
+    documents = spark.read.parquet(f"{base}/documents.parquet")
+    lexicon = toxicity.learn(documents, spark.read.parquet(f"{base}/labels.parquet"))
+    rows = {r.doc_id: r for r in toxicity.score(documents, lexicon).collect()}
+    assert len(rows) == documents.count() and lexicon.weights
+    for d in documents.collect():
+        hits, r = plain_hits(lexicon, d.text or ""), rows[d.doc_id]
+        a, b, c = lexicon.scale
+        total, n = sum(hits), (d.text or "").count(" ") + (d.text or "").count("\n") + 1
+        x = a + b * np.log1p(total) + c * np.log1p(100 * total / (n + 20)) if total else a
+        assert r.n_hits == len(hits) and r.score == pytest.approx(1 / (1 + np.exp(-x))) and r.predicted == (r.score >= 0.5) and r.held_out == toxicity.is_held_out(d.doc_id)
+
+
+def test_exceptions_are_learned(spark):
+    """A word of insults that clean texts hold after another one."""
+    rng = np.random.default_rng(41)
+    filler = lambda: " ".join(f"word{chr(97 + int(i))}{chr(97 + int(j))}" for i, j in rng.integers(0, 26, (12, 2)))
+    texts = [(f"{filler()} you grobnak {filler()}", 1) for _ in range(150)] + [(f"{filler()} you {'grobnak valley' if i < 14 else 'a valley'} {filler()}", 0) for i in range(600)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, (t, _) in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert toxicity.fold("grobnak valley") in lexicon.exceptions and len(lexicon.exceptions) == 1
+    assert lexicon.score("in grobnak valley") < 0.5 < lexicon.score("grobnak, so") and lexicon.hits("grobnak valley, a grobnak")[1] == 1
+
+
+def plain_features(text):
+    """The features of a text, one run of bytes and one word at a time."""
+    half, counts = quality.DIMENSIONS // 2, np.zeros(quality.DIMENSIONS)
+    raw = text.encode()
+    for i in range(len(raw) - 2):
+        counts[(int.from_bytes(raw[i : i + 3], "little") * 2654435761 % 2**32 >> 22) % half] += 1
+    found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    for a, b in found:
+        code = np.array([raw[a] | raw[b - 1] << 8 | min(b - a, 24) << 16], np.uint64)
+        counts[half + int(quality.mix(code)[0] % np.uint64(half))] += 1
+    x = np.log1p(counts)
+    x /= max(np.sqrt((x * x).sum()), 1e-6)
+    kinds = {raw[a:b].lower() for a, b in found}
+    return np.append(x, [len(kinds) / max(len(found), 1), min(len(found), 50) / 50])
+
+
+def test_quality_of_the_whole_table(spark, documents, sf_dir):
+    model = quality.train(documents, quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = {r.doc_id: r for r in quality.classify(documents, model).collect()}
+    docs = documents.collect()
+    assert rows.keys() == {d.doc_id for d in docs}
+    for d in docs:
+        tails = 1 / (1 + np.exp(-(plain_features(d.text or "") @ model.weights - model.thresholds)))
+        r = rows[d.doc_id]
+        assert r.tail == pytest.approx(tails[0], abs=1e-3) and r.expected_grade == pytest.approx(tails.sum(), abs=1e-3)
+        assert r.keep == (r.tail >= 0.5 and bool((d.text or "").split()))
