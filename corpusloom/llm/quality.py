@@ -90,7 +90,10 @@ def fit(x: np.ndarray, grade: np.ndarray, n_grades: int, steps: int = 400, ridge
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id, grade: 0 for low quality, 1 for good but toxic, 2 for good and clean."""
+    """doc_id, grade: 0 for low quality, 1 for good but toxic, 2 for good and clean. The ratings
+    at hand are two labels of two values, put together here to three grades in order. Of
+    labels that repeat a doc_id the lowest grade counts; a null toxic counts as clean; rows
+    without doc_id or quality are left out."""
     usable = labels.where("doc_id is not null and quality in (0, 1)")
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     return usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).cast("int").alias("grade"))
@@ -148,7 +151,11 @@ def classify(docs: DataFrame, model: Ordinal | None, at_least: int = 1, threshol
 
 def select_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the classifier, trained on the labelled ones, keeps, with all
-    their columns. Rows are judged where they stand: nothing is shuffled."""
+    their columns as they are. Rows are judged where they stand: nothing is shuffled.
+
+    A null text, or one without words, holds nothing and isn't kept. Rows are judged by their
+    text alone, so repeated rows, and rows without doc_id, fare alike. If the labels give fewer
+    than two grades there is no model, and every row stays, those without words included."""
     model = train(docs, graded(labels))
     if model is None:
         return docs

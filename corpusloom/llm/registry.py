@@ -36,6 +36,7 @@ def op6_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three grades put together from the labels quality and toxic (see `quality.graded`)."""
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
 
