@@ -57,6 +57,14 @@ class Tools:
         return calls.withColumn("_", called(name, arguments)).select(*calls.columns, "_.result", "_.error")
 
 
+def openai_form(name: str, description: str, parameters: dict[str, str]) -> dict:
+    """A tool (its parameters with their descriptions) in the form that models take: integers
+    are known by top_k in the name or number in the description, all else is a string."""
+    kind = lambda p, d: "integer" if "top_k" in p or "number" in d.lower() else "string"
+    properties = {p: {"type": kind(p, d), "description": d} for p, d in parameters.items()}
+    return {"type": "function", "function": {"name": name, "description": description, "parameters": {"type": "object", "properties": properties, "required": list(parameters)}}}
+
+
 def register_split(spark: SparkSession, name: str = "split_text") -> None:
     """The packing splitter as a table function of SQL: split_text(text) gives idx, content."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -87,7 +88,8 @@ def split(text: str, size: int = 500, overlap: int = 100, separators: tuple[str,
     mark, rest = separators[at], separators[at + 1 :]
     pieces = text.split(mark) if mark else list(text)
     out: list[str] = []
-    run: list[str] = []
+    run: deque[str] = deque()
+    length = 0  # of the run as joined
 
     def close() -> None:
         joined = mark.join(run).strip()
@@ -97,15 +99,15 @@ def split(text: str, size: int = 500, overlap: int = 100, separators: tuple[str,
     for piece in filter(None, pieces):
         if len(piece) > size:
             close()
-            run = []
+            run, length = deque(), 0
             out += split(piece, size, overlap, rest) if rest else [piece[i : i + size] for i in range(0, len(piece), size)]
             continue
-        length = lambda: sum(map(len, run)) + len(mark) * max(0, len(run) - 1)
-        if run and length() + len(mark) + len(piece) > size:
+        if run and length + len(mark) + len(piece) > size:
             close()
-            while run and (length() > overlap or length() + len(mark) + len(piece) > size):
-                run = run[1:]
-        run = [*run, piece]
+            while run and (length > overlap or length + len(mark) + len(piece) > size):
+                length -= len(run.popleft()) + (len(mark) if run else 0)
+        length += len(piece) + (len(mark) if run else 0)
+        run.append(piece)
     close()
     return out
 

@@ -1,4 +1,6 @@
-"""Every registered query against its SQL; those without SQL run and give rows."""
+"""Every registered query against its SQL."""
+
+from pathlib import Path
 
 import pytest
 
@@ -19,9 +21,10 @@ def test_agrees_with_sql(name, spark, con, sf_dir):
     assert rows(QUERIES[name](spark, sf_dir).toPandas()) == rows(con.sql(ORACLES[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
-def test_gives_rows(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_the_rest_is_tested_by_hand():
+    """Queries without SQL are compared with plain Python in test_brute and test_composites."""
+    text = "".join((Path(__file__).parent / f"{name}.py").read_text() for name in ("test_brute", "test_composites"))
+    assert not [name for name in QUERIES.keys() - ORACLES.keys() if f'"{name}"' not in text]
 
 
 def test_entry(spark):
