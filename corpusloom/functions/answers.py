@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.vocabulary import MARKUP
+
 # Marks of citations and of suggestion blocks.
 CITED = (r"\[📄\]\(/api/pdf/([^)]+)\)", r"\[📄\]\(([A-Za-z][A-Za-z0-9_\-]{8,})\)", r"\[⚠️ 未验证引用\]\(/api/pdf/([^)]+)\)")
 SUGGESTIONS = r"---\s*\n💡\s*\*?\*?继续深入\*?\*?[：:]\s*\n((\d+\.\s*[^\n]+\n?)+)"
@@ -73,3 +75,8 @@ def json_in(text: Column) -> Column:
     bare = F.trim(text)
     fenced = F.regexp_extract(bare, r"(?s)^```[^\n]*\n(.*)```", 1)
     return F.nullif(F.regexp_extract(F.when(F.startswith(bare, F.lit("```")) & (fenced != ""), fenced).otherwise(bare), r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def has_markup(text: Column) -> Column:
+    """Whether an answer holds signs of tool calls."""
+    return F.exists(F.array(*map(F.lit, MARKUP)), lambda w: F.contains(text, w))

@@ -38,14 +38,21 @@ def _tidy(doi: Column) -> Column:
     return F.regexp_replace(doi, r"[.,;:]+$", "")
 
 
-def doi_in_text(text: Column, least: int = 15) -> Column:
+def doi_in_text(text: Column, least: int = 15, last_page: bool = False) -> Column:
     """A labelled one in the first quarter, else a bare one in the first third (2000
-    characters at least), else any; ones that are too short don't count."""
+    characters at least), else any; ones that are too short don't count. With last_page a
+    labelled one in the last fifth (3000 characters at most) comes before all."""
     quarter = F.substring(text, F.lit(1), F.floor(F.length(text) / 4).cast("int"))
     third = F.substring(text, F.lit(1), F.greatest(F.floor(F.length(text) / 3).cast("int"), F.lit(2000)))
     label = _tidy(F.regexp_extract(quarter, r"(?i)DOI\s*[：:]\s*(10\.\d{4,}/\S+)", 1))
     long = lambda part: F.get(F.filter(F.transform(F.regexp_extract_all(part, F.lit(DOI), F.lit(0)), _tidy), lambda d: F.length(d) >= least), F.lit(0))
-    return F.coalesce(F.when(F.length(label) >= least, label), long(third), long(text))
+    found = F.coalesce(F.when(F.length(label) >= least, label), long(third), long(text))
+    if not last_page:
+        return found
+    size = F.length(text)
+    fifth = F.substring(text, F.greatest(F.floor(size * 4 / 5), size - 3000).cast("int") + 1, size)
+    last = _tidy(F.regexp_extract(fifth, r"(?i)DOI\s*[：:]\s*(10\.\d{4,}/\S+)", 1))
+    return F.coalesce(F.when(F.length(last) >= least, last), found)
 
 
 def paper_id(doi: Column) -> Column:
@@ -56,17 +63,18 @@ def year_in_name(name: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(name, r"(20\d{2})", 1), F.lit("")), F.lit("9999")).cast("int")
 
 
+# Where publishers put the document of an identifier ({doi}, or its part after the slash).
+DOCUMENT_URLS = {
+    "nature": "https://www.nature.com/articles/{rest}.pdf", "science": "https://www.science.org/doi/pdf/{doi}", "acs": "https://pubs.acs.org/doi/pdf/{doi}",
+    "rsc": "https://pubs.rsc.org/en/content/articlepdf/{rest}", "elsevier": "https://www.sciencedirect.com/science/article/pii/{rest}/pdfft",
+    "springer": "https://link.springer.com/content/pdf/{doi}.pdf", "mdpi": "https://www.mdpi.com/{rest}/pdf",
+}
+
+
 def guess_url(doi: Column) -> Column:
-    """Where publishers put documents."""
-    suffix = F.split_part(doi, F.lit("/"), F.lit(2))
-    by = publisher(doi)
-    return (
-        F.when(by == "nature", F.concat(F.lit("https://www.nature.com/articles/"), suffix, F.lit(".pdf")))
-        .when(by == "acs", F.concat(F.lit("https://pubs.acs.org/doi/pdf/"), doi))
-        .when(by == "science", F.concat(F.lit("https://www.science.org/doi/pdf/"), doi))
-        .when(by == "wiley", F.concat(F.lit("https://onlinelibrary.wiley.com/doi/pdfdirect/"), doi))
-        .otherwise(F.concat(F.lit("https://doi.org/"), doi))
-    )
+    """Where the publisher puts the document; null for those that have no rule."""
+    by, rest = publisher(doi), F.regexp_extract(doi, "^[^/]*/(.*)$", 1)
+    return F.coalesce(*(F.when(by == name, F.replace(F.replace(F.lit(form), F.lit("{doi}"), doi), F.lit("{rest}"), rest)) for name, form in DOCUMENT_URLS.items()))
 
 
 def fallback_name(title: Column) -> Column:

@@ -159,3 +159,10 @@ VENUE_ABBREVIATIONS = {
     "sustain.": "sustainability", "rev.": "reviews", "chem.": "chemistry", "phys.": "physics", "electron.": "electronics", "comput.": "computational", "sci.": "science",
     "adv.": "advances", "mater": "materials", "sci": "science", "technol.": "technology", "eng.": "engineering", "lett.": "letters", "appl.": "applied", "quant.": "quantum",
 }
+# Words of sections that chunks begin with.
+SECTIONS = (
+    "introduction", "method", "experiment", "result", "discussion", "conclusion", "device fabrication", "characterization", "performance", "stability", "efficiency", "structure",
+    "morphology", "optical", "photovoltaic", "solar cell",
+)
+# Signs of markup in an answer.
+MARKUP = ("<tool_call", "<tool_calls>", "antha:tool_call", "<｜｜DSML｜｜tool_call", "<invoke")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.vocabulary import SECTIONS
+
 MOST, LEAST = 2_000, 300
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -159,13 +161,19 @@ def repaired(docs: DataFrame) -> DataFrame:
 
 
 def quality(chunks: DataFrame, by: str, text: str, most: int = MOST, least: int = LEAST) -> DataFrame:
-    """Counts and lengths of chunks: mean (floor), extremes, too long, too short, repeated heads."""
-    n = F.length(text)
-    head = F.lower(F.substring(text, 1, 60))
-    return chunks.groupBy(by).agg(
+    """Counts and lengths of chunks: mean (floor), extremes, too long, too short, repeated heads;
+    the words of sections that stand within the first 100 characters of one, and what is wrong."""
+    n, start = F.length(text), F.lower(F.substring(text, 1, 100))
+    head = F.lower(F.trim(F.substring(text, 1, 60)))
+    held = [F.max(F.when(F.contains(start, F.lit(w)), F.lit(w))) for w in SECTIONS]
+    out = chunks.groupBy(by).agg(
         F.count("*").alias("n_chunks"), F.floor(F.avg(n)).alias("avg_len"), F.min(n).cast("long").alias("min_len"), F.max(n).cast("long").alias("max_len"),
         F.sum((n > most).cast("long")).alias("too_long"), F.sum((n < least).cast("long")).alias("too_short"), (F.count("*") - F.countDistinct(head)).alias("repeated_heads"),
+        F.array_compact(F.array(*held)).alias("sections"),
     )
+    wrong = lambda c, words: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(words)))
+    issues = F.array_compact(F.array(wrong("too_long", f" chunks exceed {most} chars"), wrong("too_short", f" chunks below {least} chars"), wrong("repeated_heads", " potential duplicate chunks")))
+    return out.withColumn("issues", F.when(F.size(issues) > 0, issues).otherwise(F.array(F.lit("None"))))
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:

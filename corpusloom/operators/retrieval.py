@@ -98,10 +98,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     term that a query repeats counts as often. Ties go to the smaller key.
 
     Two passes over the documents: one counts in how many of them each of the queries' terms
-    stands, the other scores. Terms are compared as 64-bit hashes. Null texts have no terms."""
+    stands, the other scores. Terms are compared as 64-bit hashes. Null texts have no terms;
+    documents or queries without a key take no part."""
     hashed = lambda c: F.transform(tokens(c), lambda t: F.xxhash64(t))
-    rows = docs.select(F.col(key).cast("long").alias(key), hashed(text).alias("h"))
-    asked = queries.select(F.col(query).cast("long").alias(query), hashed(query_text).alias("h")).where("size(h) > 0")
+    rows = docs.select(F.col(key).cast("long").alias(key), hashed(text).alias("h")).where(F.col(key).isNotNull())
+    asked = queries.select(F.col(query).cast("long").alias(query), hashed(query_text).alias("h")).where(f"size(h) > 0 and {query} is not null")
     names, found = [query, key, "score"], None
     for block in _query_blocks(asked, query, TEXT_QUERY_BLOCK):
         ids = [r[query] for r in block]
@@ -163,9 +164,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """query, key, similarity: the k rows with the largest dot product for every query. Rows or
-    queries without a vector take no part; ties go to the smaller key."""
-    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(query_vector).cast("array<double>").alias("v"))
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    queries without a vector or a key take no part; ties go to the smaller key."""
+    asked = queries.where(F.col(query_vector).isNotNull() & F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(query_vector).cast("array<double>").alias("v"))
+    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
     names, found = [query, key, "similarity"], None
     for block in _query_blocks(asked, query, QUERY_BLOCK):
         sent = vectors.sparkSession.sparkContext.broadcast(([r[query] for r in block], np.array([r["v"] for r in block], np.float64)))

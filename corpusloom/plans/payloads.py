@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import answers, identity
+from corpusloom.functions import answers, identity, vocabulary
 from corpusloom.operators import sessions as s
 from corpusloom.operators import upkeep as u
-from corpusloom.plans.standins import PAPERS, papers, pick, sql_list
+from corpusloom.plans.standins import PAPERS, papers, pick, quoted, sql_list
 from corpusloom.registry import query
 from corpusloom.session import table
 from corpusloom.sources import payloads, records
@@ -215,3 +215,18 @@ def ionic_radii(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 7).alias("k")).agg(F.count("*").alias("n"))
     number = F.element_at(F.array(*(F.lit(n) for _, n in _PAIRS)), (k + 1).cast("int"))
     return rows.select("k", "n", ionic_radius(pick(tuple(x for x, _ in _PAIRS), k), number).alias("radius"))
+
+
+_URLS = "CASE split_part(publisher_doi, '/', 1) " + " ".join(f"WHEN {quoted(p)} THEN replace(replace({quoted(identity.DOCUMENT_URLS[n])}, '{{doi}}', publisher_doi), '{{rest}}', substring(publisher_doi, instr(publisher_doi, '/') + 1))" for p, n in vocabulary.PUBLISHERS.items() if n in identity.DOCUMENT_URLS) + " END"
+
+
+@query("document_urls", f"WITH {PAPERS} SELECT doc_id, {_URLS} AS url FROM papers WHERE publisher_doi IS NOT NULL")
+def document_urls(spark, sf_dir):
+    return papers(spark, sf_dir).where("publisher_doi is not null").select("doc_id", identity.guess_url(F.col("publisher_doi")).alias("url"))
+
+
+@query("markup_check", f"SELECT conv_id, turn, len(list_filter({sql_list(vocabulary.MARKUP)}, lambda w: contains(CASE turn % 3 WHEN 0 THEN text || '<invoke name=\"x\">' WHEN 1 THEN text ELSE '<tool_call>' || text END, w))) > 0 AS dirty FROM conversations")
+def markup_check(spark, sf_dir):
+    t = F.col("turn") % 3
+    said = F.when(t == 0, F.concat("text", F.lit('<invoke name="x">'))).when(t == 1, F.col("text")).otherwise(F.concat(F.lit("<tool_call>"), "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.has_markup(said).alias("dirty"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import vocabulary
 from corpusloom.session import table
 
 VENUES = (
@@ -16,7 +17,7 @@ VENUES = (
     "Angewandte Chemie International Edition", "ACS Energy Lett.", "Unknown", "", "Journal of Materials Chemistry A (Print)", "Nano Letters",
 )
 
-PUBLISHERS = ("10.1016", "10.1021", "10.1039", "10.1038", "10.1126", "10.1007", "10.3390", "10.1088", "10.1063", "10.1109", "10.1103", "10.1093", "10.2139", "10.1073", "10.1371", "10.1002")
+PUBLISHERS = tuple(vocabulary.PUBLISHERS)
 
 
 def pick(values: tuple[str, ...], index: F.Column) -> F.Column:

@@ -88,12 +88,15 @@ def paragraph_repair(spark, sf_dir):
     return chunking.repaired(_framed(spark, sf_dir))
 
 
-@query("chunk_quality", """WITH chunks AS (SELECT source, length(text) AS n, lower(substring(text, 1, 60)) AS head FROM documents)
-SELECT source, count(*) AS n_chunks, CAST(floor(avg(n)) AS BIGINT) AS avg_len, min(n) AS min_len, max(n) AS max_len,
+@query("chunk_quality", f"""WITH chunks AS (SELECT source, length(text) AS n, lower(trim(substring(text, 1, 60))) AS head, lower(substring(text, 1, 100)) AS start_ FROM documents),
+q AS (SELECT source, count(*) AS n_chunks, CAST(floor(avg(n)) AS BIGINT) AS avg_len, min(n) AS min_len, max(n) AS max_len,
   CAST(sum(CASE WHEN n > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS too_long, CAST(sum(CASE WHEN n < 300 THEN 1 ELSE 0 END) AS BIGINT) AS too_short,
-  count(*) - count(DISTINCT head) AS repeated_heads FROM chunks GROUP BY source""")
+  count(*) - count(DISTINCT head) AS repeated_heads, string_agg(start_, chr(1)) AS starts FROM chunks GROUP BY source)
+SELECT * EXCLUDE (starts), array_to_string(list_filter({sql_list(v.SECTIONS)}, lambda w: contains(starts, w)), ',') AS sections,
+  coalesce(nullif(concat_ws('; ', CASE WHEN too_long > 0 THEN too_long || ' chunks exceed 2000 chars' END, CASE WHEN too_short > 0 THEN too_short || ' chunks below 300 chars' END, CASE WHEN repeated_heads > 0 THEN repeated_heads || ' potential duplicate chunks' END), ''), 'None') AS issues FROM q""")
 def chunk_quality(spark, sf_dir):
-    return chunking.quality(table(spark, sf_dir, "documents"), "source", "text")
+    out = chunking.quality(table(spark, sf_dir, "documents"), "source", "text")
+    return out.withColumns({"sections": F.array_join("sections", ","), "issues": F.array_join("issues", "; ")})
 
 
 @query("printable_text", r"SELECT doc_id, length(regexp_replace(text || chr(7) || 'x', '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')) AS n, right(regexp_replace(text || chr(7) || 'x', '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g'), 2) AS tail FROM documents")
