@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Modes, how they enter the agent, and their budgets of searches, reads and papers.
+# Modes, how they enter the agent, their budgets of searches, reads and papers, what
+# they cite, whether they search beforehand, the prompt, and whether they may compute.
 MODES = {
-    "chat": ("direct", 0, 0, 0), "survey": ("quick", 3, 6, 3), "deep": ("full", 5, 15, 8),
-    "read": ("quick", 0, 3, 1), "compute": ("flexible", 2, 3, 0), "auto": ("adaptive", 4, 8, 3),
+    "chat": ("direct", 0, 0, 0, "optional", False, "chat", False), "survey": ("quick", 3, 6, 3, "key_claims", True, "survey", False),
+    "deep": ("full", 5, 15, 8, "every_claim", True, "deep", False), "read": ("quick", 0, 3, 1, "internal", False, "read", False),
+    "compute": ("flexible", 2, 3, 0, "optional", False, "compute", True), "auto": ("adaptive", 4, 8, 3, "key_claims", True, "default", False),
 }
+MODE_FIELDS = ("path", "searches", "reads", "papers", "cites", "searches_before", "prompt", "computes")
 
 
 def mode(name: Column) -> Column:
-    """Struct of key, path, searches, reads, papers; unknown or missing names are auto."""
+    """Struct of key and MODE_FIELDS; unknown or missing names are auto."""
     key = F.when(name.isin(*MODES), name).otherwise("auto")
-    values = F.create_map(*(x for k, (p, s, r, n) in MODES.items() for x in (F.lit(k), F.struct(F.lit(p).alias("path"), F.lit(s).alias("searches"), F.lit(r).alias("reads"), F.lit(n).alias("papers")))))
+    values = F.create_map(*(x for k, fields in MODES.items() for x in (F.lit(k), F.struct(*(F.lit(v).alias(f) for f, v in zip(MODE_FIELDS, fields, strict=True))))))
     found = F.element_at(values, key)
-    return F.struct(key.alias("key"), *(found[c].alias(c) for c in ("path", "searches", "reads", "papers")))
+    return F.struct(key.alias("key"), *(found[c].alias(c) for c in MODE_FIELDS))
 
 
 def entry_state(path: Column, intent: Column, has_pool: Column, is_followup: Column) -> Column:

@@ -21,7 +21,7 @@ def _case(column: int) -> str:
     return "CASE key " + " ".join(f"WHEN '{k}' THEN {quote(m[column])}" for k, m in s.MODES.items()) + " END"
 
 
-@query("mode_lookup", f"SELECT conv_id, turn, key, {_case(0)} AS path, {_case(1)} AS searches, {_case(2)} AS reads, {_case(3)} AS papers FROM (SELECT conv_id, turn, {_MODE} AS key FROM (SELECT conv_id, turn, {sql_list(_NAMES)}[CAST((conv_id + turn) % 7 + 1 AS INTEGER)] AS name FROM conversations))")
+@query("mode_lookup", f"SELECT conv_id, turn, key, {_case(0)} AS path, {_case(1)} AS searches, {_case(2)} AS reads, {_case(3)} AS papers, {_case(4)} AS cites, {_case(5)} AS searches_before, {_case(6)} AS prompt, {_case(7)} AS computes FROM (SELECT conv_id, turn, {_MODE} AS key FROM (SELECT conv_id, turn, {sql_list(_NAMES)}[CAST((conv_id + turn) % 7 + 1 AS INTEGER)] AS name FROM conversations))")
 def mode_lookup(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.mode(pick(_NAMES, (F.col("conv_id") + F.col("turn")) % 7)).alias("m")).select("conv_id", "turn", "m.*")
 
