@@ -286,3 +286,22 @@ def without_matches(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
         kept = kept.mapInArrow(clean, docs.schema)
     return kept
+
+
+#: The same in DuckDB's SQL, without the fingerprints: every window that holds a shingle of an
+#: item is compared with it, of pairs that share enough shingles for any window to be alike.
+SQL = r"""
+WITH words AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+split_ AS (SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM words),
+items AS (SELECT id AS item_id, w, len(w) AS n, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM split_ WHERE kind = 1 AND len(w) > 0),
+docs AS (SELECT id AS doc_id, w, len(w) AS n FROM split_ WHERE kind = 0 AND len(w) > 0),
+item_shingles AS (SELECT item_id, k, s, count(*) AS c FROM (SELECT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, m + 1)) AS i FROM items)) GROUP BY ALL),
+places AS (SELECT doc_id, k, i - 1 AS at_, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, n - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items))),
+hits AS (SELECT doc_id, item_id, at_, s, c FROM places JOIN item_shingles USING (k, s)),
+pairs AS (SELECT h.doc_id, h.item_id FROM hits h JOIN items i USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= 75 * any_value(i.m)),
+sized AS (SELECT p.doc_id, p.item_id, i.m, d.n - least(i.n, d.n) AS last_, least(i.n, d.n) AS size, greatest(1, least(i.n, d.n) - i.k + 1) AS mw FROM pairs p JOIN items i USING (item_id) JOIN docs d USING (doc_id)),
+starts AS (SELECT DISTINCT doc_id, item_id, m, mw, size, start_ FROM (SELECT z.*, unnest(range(greatest(0, at_ - mw + 1), least(last_, at_) + 1)) AS start_ FROM sized z JOIN hits USING (doc_id, item_id))),
+shared AS (SELECT doc_id, item_id, m, mw, size, start_, least(count(*), any_value(c)) AS both_ FROM starts JOIN hits USING (doc_id, item_id) WHERE at_ BETWEEN start_ AND start_ + mw - 1 GROUP BY doc_id, item_id, m, mw, size, start_, s),
+alike AS (SELECT doc_id, item_id, size, start_, CAST(sum(both_) AS DOUBLE) / (any_value(m) + any_value(mw) - sum(both_)) AS similarity FROM shared GROUP BY doc_id, item_id, size, start_ HAVING 100 * sum(both_) >= 75 * (any_value(m) + any_value(mw) - sum(both_)))
+SELECT doc_id, item_id, CAST(start_ AS INTEGER) AS start_word, CAST(size AS INTEGER) AS n_words, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_) AS r FROM alike) WHERE r = 1
+"""

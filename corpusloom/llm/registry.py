@@ -11,7 +11,7 @@ from corpusloom.session import table
 
 
 def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minmax_near_dup": near_dup.SQL, "op4_line_templates": line_dedup.SQL, "op9_fair_queue_mix": mixing.SQL, "op10_secret_ownership": secrets.SQL}
+    return {
+        "op1_simhash_decontamination": decontaminate.SQL, "op3_minmax_near_dup": near_dup.SQL, "op4_line_templates": line_dedup.SQL, "op8_tool_call_links": tool_calls.SQL,
+        "op9_fair_queue_mix": mixing.SQL, "op10_secret_ownership": secrets.SQL,
+    }

@@ -261,3 +261,19 @@ def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = rows.where("role = 'user'").select("conv_id", name(t).alias("call_id"), F.when(t >= 2, "continue").otherwise("answer").alias("name"), arguments.alias("arguments"), "position")
     results = rows.where("role = 'assistant'").select("conv_id", name(t - 1).alias("call_id"), F.col("text").alias("result"), "position")
     return calls, results
+
+
+#: The same over the calls that `derived` makes, in DuckDB's SQL: a user's turn waits for the
+#: one two turns before, so levels count turns that follow each other in steps of two.
+SQL = """
+WITH calls AS (SELECT conv_id, turn, text, len(string_split(text, ' ')) AS n, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user'),
+leveled AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS level, 'call_' || turn AS call_id,
+  CASE WHEN turn < 2 AND text = '' THEN '"$.question: too short"' WHEN turn >= 2 AND n > 400 THEN '"$.max_words: above maximum"' ELSE '' END AS errors FROM calls),
+results AS (SELECT conv_id, turn, text, 'call_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'),
+both_ AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS position, c.level, c.turn, c.n, c.text, coalesce(c.errors, '') AS errors, r.text AS result,
+  CASE WHEN c.conv_id IS NULL THEN 'no_call' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status FROM leveled c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
+SELECT conv_id, call_id, position, CAST(level AS INTEGER) AS level, status, status = 'linked' AND errors = '' AS valid,
+  '{"call":' || CASE WHEN status = 'no_call' THEN 'null' ELSE '{"arguments":{' || CASE WHEN turn >= 2 THEN '"context":{"$ref":"call_' || (turn - 2) || '"},' ELSE '' END || '"max_words":' || n || ',"question":' || CAST(to_json(text) AS VARCHAR)
+    || '},"id":"' || call_id || '","name":"' || CASE WHEN turn >= 2 THEN 'continue' ELSE 'answer' END || '"}' END || ',"conversation":' || conv_id || ',"errors":[' || errors || '],"level":' || coalesce(CAST(level AS VARCHAR), 'null')
+    || ',"result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json FROM both_
+"""
