@@ -105,12 +105,12 @@ def one_to_one(pairs: DataFrame, order: str, other: str) -> DataFrame:
     the partners taken among them; null ends take no part."""
     from corpusloom.operators.graph import connected
 
-    known = pairs.select(F.col(order).cast("string").alias(order), F.col(other).cast("string").alias(other)).where(F.col(order).isNotNull() & F.col(other).isNotNull()).distinct()
-    named = known.select(F.concat(F.lit("1"), order).alias("a"), F.concat(F.lit("2"), other).alias("b"), order, other)
+    known = pairs.select(order, other).where(F.col(order).isNotNull() & F.col(other).isNotNull()).distinct()
+    named = known.select(*(F.concat(F.lit(n), F.col(c).cast("string")).alias(a) for n, c, a in (("1", order, "a"), ("2", other, "b"))), order, other)
     groups = connected(named.select("a", "b"))
     told = named.join(groups, named.a == groups.node).select("component", order, other)
     told = told.repartition("component").sortWithinPartitions("component", order, other)
-    return told.mapInArrow(_first_free, f"`{order}` string, `{other}` string")
+    return told.mapInArrow(_first_free, known.schema)
 
 
 def confusion(rows: DataFrame, have: str, should: str, example: str, most: int = 30) -> DataFrame:
