@@ -25,8 +25,8 @@ def filter_of(hashes: DataFrame, column: str) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash may be one of the filter's."""
-    place = hashes.view(np.uint64) >> np.uint64(64 - BITS)
+    """Whether each hash may be one of the filter's, which has a power of 2 of bits."""
+    place = hashes.view(np.uint64) >> np.uint64(65 - (8 * len(bits)).bit_length())
     return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm._filters import BITS, filter_of, id_hash, passes
+from corpusloom.llm._filters import filter_of, id_hash, passes
 from corpusloom.llm._words import Words, by_text, mix
 from corpusloom.session import cut
 
@@ -31,11 +31,14 @@ LEAST_SEEDS = 4  # of a chain; a passage has seven, some of which may be linked
 STRIDE = 8  # of seeds that follow each other in both texts one in so many is chained
 PART_BYTES = 32 << 20  # seeds, and documents, are taken in groups of about so many bytes of text
 LEAST_PART_BITS, MOST_PART_BITS = 9, 20  # of groups, as powers of 2
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 26, 29  # of the filter of seeds, which goes to all tasks: 8 to 64 MB
+KEY_BITS = 32  # by which seeds of a group are counted
 HOT_PLACES, HOT_BYTES = 2_000, 120_000  # a seed is dealt out by document if it has so many places, and one in so many bytes
 SEAM_GAP, SEAM_SEEDS = 16, 8  # seeds within so many words follow each other; so many on both sides of a seam are linked twice
-MARGIN = 64  # words beyond a chain that alignment may reach at first
-WIDER = 4  # where the words are alike to the end of the span, it is fetched so much wider
-GRID = 32  # spans are fetched in units of so many words
+MARGIN = 64  # a chain is cut at gaps of more words
+FETCHED = 32  # words beyond a chain that alignment may reach at first; the last seed of a passage is seldom further from its end
+WIDER = 8  # where the words are alike to the end of the span, it is fetched so much wider
+GRID = 16  # spans are fetched in units of so many words
 GAP_COST = 0.1  # for a word of a gap, on either side
 DROP = 8  # extension ends where it has lost so much: a match gives 1, else -2
 SHIFT, RESUME = 4, 5
@@ -74,8 +77,8 @@ def _part(hashes: np.ndarray, part_bits: int) -> np.ndarray:
 
 
 def _prefix(hashes: np.ndarray, part_bits: int) -> np.ndarray:
-    """The bits by which seeds are counted: those of the group and 40 more."""
-    return hashes >> np.uint64(24 - part_bits)
+    """The bits by which seeds are counted: those of the group and KEY_BITS more."""
+    return hashes >> np.uint64(64 - KEY_BITS - part_bits)
 
 
 def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,33 +91,31 @@ def _places(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch], part_bits: int) -> Iterator[pa.RecordBatch]:
-    """40 bits of each seed of a slice and its places there, in groups."""
+    """Key of each seed of a slice and its places there (255 at most), in groups."""
 
     def make(words: Words, lo: int, hi: int, batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, places = np.unique(_places(words)[0], return_counts=True)
-        held = np.empty((len(hashes), 7), np.uint8)
-        held[:, :5] = _prefix(hashes, part_bits).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        held[:, 5:] = np.minimum(places, 65_535).astype("<u2").view(np.uint8).reshape(-1, 2)
+        held = np.empty((len(hashes), 5), np.uint8)
+        held[:, :4] = _prefix(hashes, part_bits).astype("<u4").view(np.uint8).reshape(-1, 4)
+        held[:, 4] = np.minimum(places, 255)
         return _grouped(_part(hashes, part_bits), {"held": held})
 
     return by_text(batches, "text", make)
 
 
-def _again(table: pa.Table, part_bits: int, hot: int) -> pa.Table:
+def _again(table: pa.Table, part_bits: int, filter_bits: int, hot: int) -> pa.Table:
     """The filter's bits of the seeds of a group that occur again, and the prefixes of those
     that have very many places."""
     part = table.column("part")[0].as_py()
-    raw = _joined(table, "held", np.uint8).reshape(-1, 7)
-    bits = np.zeros((len(raw), 8), np.uint8)
-    bits[:, :5] = raw[:, :5]
-    bits, places = bits.view("<u8").ravel(), np.ascontiguousarray(raw[:, 5:]).view("<u2").ravel().astype(np.int64)
-    order = np.argsort(bits)
-    bits, places = bits[order], places[order]
-    at = _runs(bits)[:-1]
+    raw = _joined(table, "held", np.uint8).reshape(-1, 5)
+    keys, places = np.ascontiguousarray(raw[:, :4]).view("<u4").ravel(), raw[:, 4].astype(np.int64)
+    order = np.argsort(keys)
+    keys, places = keys[order], places[order]
+    at = _runs(keys)[:-1]
     total = np.add.reduceat(places, at) if len(at) else at
-    own = np.zeros(1 << BITS - part_bits, bool)
-    own[(bits[at][total > 1] >> np.uint64(40 - BITS + part_bits)).astype(np.int64)] = True
-    often = bits[at][total >= hot] | np.uint64(part << 40)
+    own = np.zeros(1 << filter_bits - part_bits, bool)
+    own[keys[at][total > 1] >> np.uint32(KEY_BITS - filter_bits + part_bits)] = True
+    often = keys[at][total >= hot].astype(np.uint64) | np.uint64(part << KEY_BITS)
     return pa.table({"part": pa.array([part], pa.int32()), "held": pa.array([np.packbits(own, bitorder="little").tobytes()]), "hot": pa.array([often.tobytes()])})
 
 
@@ -165,8 +166,9 @@ def _seeds(batches: Iterator[pa.RecordBatch], bits: np.ndarray, hot: np.ndarray,
     return by_text(batches, "text", make)
 
 
-def _linked(table: pa.Table, firsts: tuple[np.ndarray, np.ndarray, np.ndarray], part_bits: int) -> pa.Table:
-    """Every place of a seed with the first one and with the one before, in groups by document."""
+def _linked(table: pa.Table, firsts: tuple[np.ndarray, np.ndarray, np.ndarray], part_bits: int, within: bool) -> pa.Table:
+    """Every place of a seed with the first one and with the one before, in groups by document.
+    Unless places within a document count as well, the one before is in another document."""
     seed, doc, place = _joined(table, "seed", np.uint64), _joined(table, "doc", np.int64), _joined(table, "place", np.int32)
     order = np.lexsort((place, doc, seed))
     order = order[_runs(seed[order], doc[order], place[order])[:-1]]  # repeated rows count once
@@ -179,10 +181,11 @@ def _linked(table: pa.Table, firsts: tuple[np.ndarray, np.ndarray, np.ndarray],
         which = np.minimum(np.searchsorted(hot, seed), len(hot) - 1)
         known = hot[which] == seed
         partner, y = np.where(known, hot_doc[which], partner), np.where(known, hot_place[which], y)
-    before = np.maximum(np.arange(len(seed)) - 1, at)  # the first place of a group has none
-    alone = before == np.arange(len(seed))
+    own = np.arange(len(seed)) if within else np.repeat(_runs(seed, doc)[:-1], np.diff(_runs(seed, doc)))
+    before = np.maximum(own - 1, at)  # the first place of a group has none
+    alone = own == at
     prev, z = np.where(alone, partner, doc[before]), np.where(alone, y, place[before])
-    later = np.flatnonzero((partner != doc) | (y != place))
+    later = np.flatnonzero((partner != doc) | (y != place) if within else partner != doc)
     group = _part(mix(doc[later].view(np.uint64)), part_bits)
     columns = {"doc": doc[later], "partner": partner[later], "x": place[later], "y": y[later], "prev": prev[later], "z": z[later]}
     order = np.lexsort((columns["x"], columns["doc"], group))
@@ -450,15 +453,15 @@ def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: floa
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=_NAMES)
 
 
-def _shared(rows: DataFrame, part_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of seeds that occur again (8 MB), and the prefixes of those that have `hot`
-    places or more: as a place takes two bytes of text, HOT_BYTES / 2 of them at most."""
-    counted = rows.mapInArrow(lambda b: _counted(b, part_bits), "part int, held binary").groupBy("part").applyInArrow(lambda t: _again(t, part_bits, hot), "part int, held binary, hot binary")
+def _shared(rows: DataFrame, part_bits: int, filter_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of seeds that occur again, and the prefixes of those that have `hot` places
+    or more: as a place takes two bytes of text, HOT_BYTES / 2 of them at most."""
+    counted = rows.mapInArrow(lambda b: _counted(b, part_bits), "part int, held binary").groupBy("part").applyInArrow(lambda t: _again(t, part_bits, filter_bits, hot), "part int, held binary, hot binary")
     if part_bits > LEAST_PART_BITS:
         each = 1 << part_bits - LEAST_PART_BITS
         counted = counted.select("*", F.floor(F.col("part") / each).cast("int").alias("top"), F.lit(each).alias("each")).groupBy("top").applyInArrow(_put_together, "part int, held binary, hot binary")
     got = counted.toArrow()
-    bits = np.zeros((1 << LEAST_PART_BITS, 1 << BITS - LEAST_PART_BITS - 3), np.uint8)
+    bits = np.zeros((1 << LEAST_PART_BITS, 1 << filter_bits - LEAST_PART_BITS - 3), np.uint8)
     for part, held in zip(got.column("part").to_pylist(), got.column("held").to_pylist(), strict=True):
         bits[part] = np.frombuffer(held, np.uint8)
     return bits.ravel(), np.sort(_joined(got, "hot", np.uint64))
@@ -476,10 +479,10 @@ def _first_places(rows: DataFrame, hot: np.ndarray, part_bits: int) -> tuple[np.
     return seed.view(np.uint64)[order], doc[order], place[order].astype(np.int32)
 
 
-def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float = 0.8) -> DataFrame:
-    """Passages of documents that an earlier document (by doc_id) or an earlier place of the
-    same one holds as well, alike in at least `identity` of their words: doc_id, start_word, end_word (exclusive), partner,
-    partner_start, partner_end, n_words, identity.
+def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float = 0.8, within: bool = True) -> DataFrame:
+    """Passages of documents that an earlier document (by doc_id) or, with `within`, an earlier
+    place of the same one holds as well, alike in at least `identity` of their words: doc_id,
+    start_word, end_word (exclusive), partner, partner_start, partner_end, n_words, identity.
 
     The partner is the first place of the passage's seeds, so a passage at m places gives
     about m - 1 rows, whether these are in one document or in many; a document that
@@ -493,15 +496,16 @@ def repeated_passages(docs: DataFrame, least_words: int = 50, identity: float =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = min(MOST_PART_BITS, max(LEAST_PART_BITS, (size // PART_BYTES).bit_length()))
-    bits, hot = _shared(rows, part_bits, max(HOT_PLACES, size // HOT_BYTES))
+    filter_bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (size // 8).bit_length()))
+    bits, hot = _shared(rows, part_bits, filter_bits, max(HOT_PLACES, size // HOT_BYTES))
     sent = docs.sparkSession.sparkContext.broadcast((bits, hot, _first_places(rows, hot, part_bits)))
     shared = rows.mapInArrow(lambda b: _seeds(b, *sent.value[:2], part_bits), "part int, seed binary, doc binary, place binary")
-    anchors = shared.groupBy("part").applyInArrow(lambda t: _linked(t, sent.value[2], part_bits), "part int, doc binary, partner binary, x binary, y binary, prev binary, z binary")
+    anchors = shared.groupBy("part").applyInArrow(lambda t: _linked(t, sent.value[2], part_bits, within), "part int, doc binary, partner binary, x binary, y binary, prev binary, z binary")
     # so many seeds stay in the shortest passage if its unlike words are replaced one by one
     stay = least_words - SEED_WORDS + 1 - SEED_WORDS * int((1 - identity) * least_words + 1e-9)
     least_seeds = max(1, min(LEAST_SEEDS, stay))
     found = cut(anchors.groupBy("part").applyInArrow(lambda t: _chained(t, least_seeds), "doc_id long, partner long, x array<int>, y array<int>, room_before int, room_after int"))
-    found, done = found.withColumn("before", F.lit(MARGIN)).withColumn("after", F.lit(MARGIN)), None
+    found, done = found.withColumn("before", F.lit(FETCHED)).withColumn("after", F.lit(FETCHED)), None
     while True:
         aligned = cut(_fetched(rows, found).mapInArrow(lambda b: _aligned(b, least_words, identity), _ALIGNED))
         part = aligned.where("before is null").select(_NAMES[:8])

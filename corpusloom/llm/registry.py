@@ -15,7 +15,8 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+    """Passages that repeat across documents; the operator finds those within one as well."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), within=False)
 
 
 def op3_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

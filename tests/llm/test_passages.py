@@ -44,6 +44,8 @@ def test_every_place_of_a_passage_is_found(make):
     docs = make([(1, " ".join([common, some(100), common, some(90), common])), (2, " ".join([some(30), common, some(80), common])), (3, " ".join([some(20), own, some(200), own])), (4, some(400))])
     found = {(r.doc_id, r.start_word, r.end_word, r.partner, r.partner_start) for r in passages.repeated_passages(docs).collect()}
     assert found == {(1, 160, 220, 1, 0), (1, 310, 370, 1, 0), (2, 30, 90, 1, 0), (2, 170, 230, 1, 0), (3, 290, 360, 3, 20)}
+    across = {(r.doc_id, r.start_word, r.end_word, r.partner, r.partner_start) for r in passages.repeated_passages(docs, within=False).collect()}
+    assert across == {(2, 30, 90, 1, 0), (2, 170, 230, 1, 0)}
 
 
 def test_texts_of_one_id_are_not_mixed(make):
