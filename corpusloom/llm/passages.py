@@ -305,8 +305,10 @@ def _chained(table: pa.Table, least_seeds: int) -> pa.Table:
     rows: list[tuple] = []
     for p in np.flatnonzero(enough & ~straight).tolist():
         a, b = int(pairs[p]), int(pairs[p + 1])
-        px, py, parts = x[a:b], y[a:b], []
+        px, py, parts, seeds = x[a:b], y[a:b], [], weight[a:b].tolist()
         for chain in chains(px, py):
+            if sum(seeds[i] for i in chain) < least_seeds:
+                continue
             gaps = np.maximum(np.diff(px[chain]), np.diff(py[chain])) > MARGIN  # passages of their own
             for part in np.split(np.array(chain), np.flatnonzero(gaps) + 1):
                 if weight[a:b][part].sum() >= least_seeds:
@@ -386,10 +388,16 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apart: int | None = None) -> tuple[int, int, int, int, int]:
     """Bounds of the passage in both (end exclusive), and the matches, from anchors. Of one
     text, whose spans begin `apart` words from each other, no place is aligned with itself."""
-    room = (lambda at: _FAR) if apart is None else (lambda at: int(x[at] - y[at]) + apart - 1)
-    other_back, back, matches = _reach(other[: y[0]][::-1], one[: x[0]][::-1], room(0))
+    room = lambda between: _FAR if apart is None else between + apart - 1
+    other_back, back, matches = _reach(other[: y[0]][::-1], one[: x[0]][::-1], room(int(x[0] - y[0])))
     start, other_start = x[0] - back, y[0] - other_back
-    p, q = x[0], y[0]
+    p, q = int(x[0]), int(y[0])
+    size = int(x[-1]) + SEED_WORDS - p
+    if int(y[-1]) + SEED_WORDS - q == size and (one[p : p + size] == other[q : q + size]).all():  # word by word
+        p, q, matches, x, y = p + size, q + size, matches + size, x[:0], y[:0]
+        last = p - q
+    else:
+        last = int(x[-1] - y[-1])
     for i, j in zip(x.tolist(), y.tolist(), strict=True):
         if i > p or j > q:
             matches += _common(one[p:i], other[q:j]) if i >= p and j >= q else 0
@@ -397,7 +405,7 @@ def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apar
         take = max(0, SEED_WORDS - step)
         matches += take
         p, q = max(p, i + SEED_WORDS), max(q, j + SEED_WORDS)
-    more, other_more, extra = _reach(one[p:], other[q:], room(-1))
+    more, other_more, extra = _reach(one[p:], other[q:], room(last))
     return int(start), int(p + more), int(other_start), int(q + other_more), int(matches + extra)
 
 
