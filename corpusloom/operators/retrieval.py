@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 JOURNAL_WEIGHTS = (1.5, 1.4, 1.3, 1.2, 1.15, 1.05, 1.0)
 #: Queries go to the tasks in blocks of so many.
 QUERY_BLOCK = 4096
-TEXT_QUERY_BLOCK = 1024
+TEXT_QUERY_BLOCK = 256
 #: Rows are compared with all queries of a block in pieces of so many scores.
 _SCORES = 1 << 21
 
@@ -119,8 +119,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
                 row, h = _flat(batch.column("h"))
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 ok = known[at] == h if len(known) else np.zeros(len(h), bool)
-                each = np.unique(np.column_stack([row[ok], at[ok]]), axis=0)
-                df += np.bincount(each[:, 1], minlength=len(known))
+                df += np.bincount(np.unique(row[ok] * len(known) + at[ok]) % max(1, len(known)), minlength=len(known))
                 n, length = n + batch.num_rows, length + len(h)
             yield pa.RecordBatch.from_arrays([pa.array([*range(len(known)), -1, -2], pa.int64()), pa.array([*df.tolist(), n, length], pa.int64())], names=["term", "n"])
 
@@ -134,6 +133,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
         def scored(batches: Iterator[pa.RecordBatch], sent=sent, stats=stats) -> Iterator[pa.RecordBatch]:
             (ids, known, bounds, of, times), (idf, avg) = sent.value, stats.value
             best, q = Best(len(ids), k), len(ids)
+            asked = np.zeros((len(known), q))  # what a term counts for in each query
+            asked[np.repeat(np.arange(len(known)), np.diff(bounds)), of] = times * np.repeat(idf, np.diff(bounds))
             for batch in batches:
                 if not q:
                     continue
@@ -145,15 +146,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
                     length = np.bincount(row, minlength=part.num_rows)
                     each, tf = np.unique(row[ok] * len(known) + at[ok], return_counts=True)
                     row, term = np.divmod(each, len(known))
-                    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg))
-                    sums = np.zeros(q * part.num_rows)
-                    for x in range(0, len(each), 1 << 14):  # each term of a document with the queries that hold it
-                        t = term[x : x + (1 << 14)]
-                        size = bounds[t + 1] - bounds[t]
-                        which = np.repeat(np.arange(len(t)), size)
-                        slot = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + bounds[t][which]
-                        sums += np.bincount(of[slot] * part.num_rows + row[x + which], weights=weight[x + which] * times[slot], minlength=len(sums))
-                    scores = np.round(sums, 9).reshape(q, part.num_rows)
+                    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg))
+                    sums = np.zeros((part.num_rows, q))
+                    for x in range(0, len(each), 1 << 13):
+                        own = row[x : x + (1 << 13)]
+                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        sums[own[first]] += np.add.reduceat(weight[x : x + (1 << 13), None] * asked[term[x : x + (1 << 13)]], first, axis=0)
+                    scores = np.round(sums.T, 9)
                     best.add(np.where(scores > 0, scores, -np.inf), part.column(key).to_numpy())
             yield best.rows(ids, names)
 
