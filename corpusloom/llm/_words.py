@@ -46,10 +46,11 @@ class Words:
     hash: of each word in lower case.
     """
 
-    def __init__(self, raw: np.ndarray, bounds: np.ndarray):
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, splits: np.ndarray | None = None):
+        """splits: for each of 256 bytes, whether it stands between words (ASCII only)."""
         n = len(raw)
         self.raw, self.bounds = raw, bounds
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        space = (raw == 32) | ((raw >= 9) & (raw <= 13)) if splits is None else splits[raw]
         opens = np.empty(n, bool)
         closes = np.empty(n, bool)
         if n:

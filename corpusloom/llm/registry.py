@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate, line_dedup, media, mixing, near_dup, passages, quality, secrets, tool_calls, toxicity
+from corpusloom.llm import decontaminate, hard_negatives, language, lexical, line_dedup, media, mixing, near_dup, passages, quality, secrets, tool_calls, toxicity
 from corpusloom.session import table
 
 
@@ -54,6 +54,22 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negative_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 50."""
+    rows = hard_negatives.shifted(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lexical.search(lexical.build(docs), docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 _QUERIES = (
     op1_simhash_decontamination,
     op2_collinear_passages,
@@ -65,6 +81,9 @@ _QUERIES = (
     op8_tool_call_links,
     op9_fair_queue_mix,
     op10_secret_ownership,
+    op11_hard_negative_slots,
+    op12_bit_sliced_search,
+    op13_string_kernel_language,
 )
 
 
@@ -75,5 +94,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_simhash_decontamination": decontaminate.SQL, "op3_minmax_near_dup": near_dup.SQL, "op4_line_templates": line_dedup.SQL, "op8_tool_call_links": tool_calls.SQL,
-        "op9_fair_queue_mix": mixing.SQL, "op10_secret_ownership": secrets.SQL,
+        "op9_fair_queue_mix": mixing.SQL, "op10_secret_ownership": secrets.SQL, "op11_hard_negative_slots": hard_negatives.SQL, "op12_bit_sliced_search": lexical.SQL,
     }

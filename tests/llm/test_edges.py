@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpusloom.llm import decontaminate, line_dedup, media, mixing, near_dup, passages, quality, secrets, tool_calls, toxicity
+from corpusloom.llm import decontaminate, language, lexical, line_dedup, media, mixing, near_dup, passages, quality, secrets, tool_calls, toxicity
 
 ITEMS = [(0, None), (1, ""), (2, "one"), (None, "a b c d e f g"), (3, "w1 w2")]
 
@@ -23,11 +23,13 @@ def operators(spark, labels):
         "mix_documents": mixing.mix_documents,
         "secrets": secrets.scan,
         "passages": passages.repeated_passages,
+        "search": lambda d: lexical.search(lexical.build(d), d, items),
+        "language": lambda d: language.identify(d, language.learn(d)),
     }
 
 
-NAMES = ("matches", "without_matches", "near", "keep_one", "lines", "media", "toxicity", "quality", "select_good", "mix", "mix_documents", "secrets", "passages")
-PER_ROW = {"near", "lines", "media", "toxicity", "quality", "mix", "secrets"}
+NAMES = ("matches", "without_matches", "near", "keep_one", "lines", "media", "toxicity", "quality", "select_good", "mix", "mix_documents", "secrets", "passages", "search", "language")
+PER_ROW = {"near", "lines", "media", "toxicity", "quality", "mix", "secrets", "language"}
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -41,7 +43,7 @@ def test_odd_rows(name, spark, odd, labels):
     if name in PER_ROW:
         assert len(got) == 16
     else:
-        assert len(got) <= 16 or name == "passages"
+        assert len(got) <= 16 or name in ("passages", "search")
 
 
 def test_empty_labels_and_items(spark, odd, labels):
