@@ -1,15 +1,21 @@
 """Benchmark decontamination by SimHash windows and a multi-index Hamming search.
 
-Windows of the size of an item slide over documents where the two share one of the item's
-rarest runs of five words; each window's SimHash is looked up in an index of the items'
-fingerprints. The index cuts fingerprints into blocks, and two within the radius differ in
-few enough bits of one block at least, so none within it is missed. Exact similarity of
-weighted shingles (runs of five words, weighted by how often they occur) decides over what
-the index finds, and over every item that a window was lined up with: an item cut at its
-edges can keep the similarity beyond any radius that an index could be asked for.
-
-A window that reaches the similarity holds one of the item's rarest runs, so that a run
-which very many items share (a prompt that they begin with) is no place to start from.
+Windows of the size of an item slide over documents; those where the text holds one of the
+rarest runs of five words of some item are fingerprinted by SimHash and looked up in a
+multi-index of the items' fingerprints. The index cuts fingerprints into blocks, and two
+within the radius differ in few enough bits of one block at least, so none within it is
+missed. What it finds are the candidates, and exact similarity of weighted shingles (runs
+of five words, weighted by how often they occur) decides over these.
+
+Runs say where windows lie, not which item they are compared with. A window that reaches
+the similarity holds one of the item's rarest runs, so no other window need be looked at;
+a run which very many items share (a prompt that they begin with) makes as many windows as
+these items have different sizes and places for it, not as many as there are items.
+
+An item cut at its edges differs from its window in more bits than an index can be asked
+for, so every item is entered several times: whole, without the most words that it may lose
+at its begin, and at its end; for texts shorter than the item in three places at the least
+size that they may have. Whatever of these a document holds in full is at distance 0.
 """
 
 from __future__ import annotations
@@ -112,9 +118,47 @@ class Hamming:
         return pairs[:, 0], pairs[:, 1]
 
 
+class Runs:
+    """Rarest runs of the items of one run length: hashes in order; for each the windows around
+    it (words before it, size), however many items they are of; and for each item its runs."""
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, place: np.ndarray, index: "Index", in_short: bool):
+        self.hashes, number = np.unique(hashes, return_inverse=True)
+        self.bitmap = np.zeros(1 << _BITMAP, bool)
+        self.bitmap[(self.hashes >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
+        order, bounds = index.entries_of
+        which, at = _runs(bounds[item], bounds[item + 1] - bounds[item])
+        entry = order[at]
+        right = (index.entry_short[entry] == 1) | (index.entry_size[entry] == index.sizes[index.entry_item[entry]]) if in_short else index.entry_short[entry] == 0
+        which, entry = which[right], entry[right]
+        around = np.unique(np.column_stack([number[which], place[which] - index.entry_at[entry], index.entry_size[entry], index.sizes[index.entry_item[entry]] if in_short else 0 * entry]), axis=0)
+        self.before, self.size, self.full = around[:, 1], around[:, 2], around[:, 3]
+        self.bounds = np.searchsorted(around[:, 0], np.arange(len(self.hashes) + 1))
+        own = np.unique(np.column_stack([item, number]), axis=0)
+        self.own, self.own_bounds = own[:, 1], np.searchsorted(own[:, 0], np.arange(len(index.sizes) + 1))
+
+    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and the number of the run that stands there."""
+        maybe = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - _BITMAP)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), max(0, len(self.hashes) - 1))
+        same = self.hashes[at] == hashes[maybe] if len(self.hashes) else np.zeros(len(maybe), bool)
+        return maybe[same], at[same]
+
+    def held(self, text: np.ndarray, item: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Which of the pairs have a run of the item in the text; seen: sorted text * runs + run."""
+        out = np.zeros(len(text), bool)
+        sizes = self.own_bounds[item + 1] - self.own_bounds[item]
+        for a, b in _pieces(sizes, 1 << 20):
+            which, at = _runs(self.own_bounds[item[a:b]], sizes[a:b])
+            key = text[a:b][which] * len(self.hashes) + self.own[at]
+            place = np.minimum(np.searchsorted(seen, key), max(0, len(seen) - 1))
+            out[a + which[seen[place] == key] if len(seen) else []] = True
+        return out
+
+
 class Index:
     """Items of one block (their identifiers and their text): rarest shingles by hash,
-    shingle weights, and the multi-index of their fingerprints."""
+    shingle weights, and the multi-index of the fingerprints of their entries."""
 
     def __init__(self, items: list[tuple[list, str]], k: int, percent: int, radius: int):
         items = [(ids, text.encode()) for ids, text in items]
@@ -122,10 +166,14 @@ class Index:
         some = np.flatnonzero(np.diff(words.first))
         self.k, self.percent = k, percent
         self.ids, self.sizes = [items[i][0] for i in some.tolist()], np.diff(words.first)[some]
-        self.prints = fingerprints(words.hash, words.first[some], self.sizes)
-        self.hamming = Hamming(self.prints, radius)
+        self.length = np.minimum(self.sizes, k)
         hashes, first = words.shingles(k)
         self.made = np.diff(first)[some]  # shingles, repeats counted
+        # what a window may lack: of the item's size, and in a text that is shorter
+        lack = self.made - -(-2 * percent * self.made // (100 + percent))
+        short = self.made - -(-percent * self.made // 100)
+        self.prints_of = fingerprints(words.hash, words.first[some], self.sizes)
+        self._enter(words.hash, words.first[some], lack, short, radius)
         item = np.repeat(np.arange(len(some)), self.made)
         place = np.arange(len(hashes)) - np.repeat(first[some], self.made)
         # weights: distinct shingles of each item by hash
@@ -140,19 +188,29 @@ class Index:
         by_rarity = np.lexsort((self.shingle, often[which], self.of))
         before = np.cumsum(self.weight[by_rarity]) - self.weight[by_rarity]
         before -= np.repeat(before[self.bounds[:-1]], np.diff(self.bounds))
-        needed = -(-percent * self.made // 100)
-        rare = np.zeros(len(self.shingle), bool)
-        rare[by_rarity] = before <= (self.made - needed)[self.of[by_rarity]]
-        seed = np.empty(len(order), bool)
-        seed[order] = rare[np.cumsum(new) - 1]
         self.tables = {}
-        length = np.minimum(self.sizes, k)[item]
-        for n in np.unique(length).tolist():
-            own = np.flatnonzero(seed & (length == n))
-            own = own[np.argsort(hashes[own], kind="stable")]
-            bitmap = np.zeros(1 << _BITMAP, bool)
-            bitmap[(hashes[own] >> np.uint64(64 - _BITMAP)).astype(np.int64)] = True
-            self.tables[n] = (hashes[own], item[own], place[own], bitmap)
+        for n in np.unique(self.length).tolist():
+            for in_short, most in ((False, lack), (True, short)):
+                rare = np.zeros(len(self.shingle), bool)
+                rare[by_rarity] = before <= most[self.of[by_rarity]]
+                rare &= self.length[self.of] == n
+                seed = np.empty(len(order), bool)
+                seed[order] = rare[np.cumsum(new) - 1]
+                self.tables[n, in_short] = Runs(hashes[seed], item[seed], place[seed], self, in_short)
+
+    def _enter(self, hashes: np.ndarray, first: np.ndarray, lack: np.ndarray, short: np.ndarray, radius: int) -> None:
+        """Entries of the index: item, its first word in the item, words; for short texts or not."""
+        n, every = self.sizes, np.arange(len(self.sizes))
+        parts = [(every, 0 * n, n, 0 * n)]
+        parts += [(every, at, n - lack, 0 * n) for at in (0 * n, lack)]
+        parts += [(every, at, n - short, 0 * n + 1) for at in (0 * n, short // 2, short)]
+        entries = np.concatenate([np.column_stack(p)[(p[2] > 0) & ((lack > 0) | (i != 1) & (i != 2)) & ((short > lack) | (i < 3))] for i, p in enumerate(parts)])
+        self.entry_item, self.entry_at, self.entry_size, self.entry_short = entries.T if len(entries) else np.zeros((4, 0), np.int64)
+        order = np.argsort(self.entry_item, kind="stable")
+        self.entries_of = order, np.searchsorted(self.entry_item[order], np.arange(len(n) + 1))
+        prints, whole = fingerprints(hashes, first[self.entry_item] + self.entry_at, self.entry_size), self.entry_size == n[self.entry_item]
+        of = {False: np.flatnonzero(self.entry_short == 0), True: np.flatnonzero((self.entry_short == 1) | whole)}
+        self.hamming = {in_short: (Hamming(prints[own], radius), own) for in_short, own in of.items()}
 
     def best(self, hashes: np.ndarray, item: int, low: int, high: int, m: int) -> tuple[float, int] | None:
         """Of windows of m shingles that begin at low .. high the first of the most alike:
@@ -180,25 +238,19 @@ class Index:
     def search(self, words: Words) -> list[tuple[int, int, int, int, int, float]]:
         """The first of the best windows of every (text, item) that reaches the similarity:
         text, item, first word, words, distance of fingerprints, similarity."""
-        found = []
+        best: dict[tuple[int, int], tuple[float, int]] = {}
         counts = np.diff(words.first)
-        for length, (table, item, place, bitmap) in self.tables.items():
+        for (length, in_short), runs in self.tables.items():
             hashes, first = words.shingles(length)
-            maybe = np.flatnonzero(bitmap[(hashes >> np.uint64(64 - _BITMAP)).astype(np.int64)])
-            a, b = np.searchsorted(table, hashes[maybe]), np.searchsorted(table, hashes[maybe], side="right")
-            which, at = _runs(a, b - a)
-            if not len(which):
-                continue
-            hit = maybe[which]
+            hit, run = runs.hits(hashes)
             text = np.searchsorted(first, hit, side="right") - 1
-            size = np.minimum(self.sizes[item[at]], counts[text])
-            start = np.clip(hit - first[text] - place[at], 0, counts[text] - size)
-            asked = np.column_stack([text, item[at], start])
-            windows = np.unique(np.column_stack([text, start, size]), axis=0)
-            w, near = self.hamming.near(fingerprints(words.hash, words.first[windows[:, 0]] + windows[:, 1], windows[:, 2]))
-            right = np.minimum(self.sizes[near], self.k) == length
-            asked = np.unique(np.concatenate([asked, np.column_stack([windows[w, 0], near, windows[w, 1]])[right]]), axis=0)
-            best: dict[tuple[int, int], tuple[float, int]] = {}
+            asked = self._near(words, counts, runs, hit - first[text], text, run, length, in_short)
+            n = self.sizes[asked[:, 1]]
+            asked = asked[(counts[asked[:, 0]] < n) == in_short]
+            seen = np.unique(text * len(runs.hashes) + run)
+            asked = asked[runs.held(asked[:, 0], asked[:, 1], seen)]
+            if not len(asked):
+                continue
             # windows near each other are looked at in one span
             new = np.ones(len(asked), bool)
             new[1:] = (asked[1:, :2] != asked[:-1, :2]).any(axis=1) | (asked[1:, 2] - asked[:-1, 2] > 2 * self.sizes[asked[1:, 1]])
@@ -210,12 +262,35 @@ class Index:
                 got = self.best(hashes[first[t] : first[t + 1]], i, low, high, max(1, size - length + 1))
                 if got and ((t, i) not in best or got[0] > best[t, i][0]):
                     best[t, i] = got
-            for (t, i), (alike, s) in best.items():
-                n = min(int(self.sizes[i]), int(counts[t]))
-                own = fingerprints(words.hash, words.first[t : t + 1] + s, np.array([n]))[0]
-                found.append((t, i, s, n, int(np.bitwise_count(own ^ self.prints[i])), alike))
+        found = []
+        for (t, i), (alike, s) in best.items():
+            n = min(int(self.sizes[i]), int(counts[t]))
+            own = fingerprints(words.hash, words.first[t : t + 1] + s, np.array([n]))[0]
+            found.append((t, i, s, n, int(np.bitwise_count(own ^ self.prints_of[i])), alike))
         return found
 
+    def _near(self, words: Words, counts: np.ndarray, runs: Runs, at: np.ndarray, text: np.ndarray, run: np.ndarray, length: int, in_short: bool) -> np.ndarray:
+        """Candidates: text, item, and where the item would begin, of the windows around the
+        runs at the places `at` of texts."""
+        found = [np.zeros((0, 3), np.int64)]
+        sizes = runs.bounds[run + 1] - runs.bounds[run] if len(run) else run
+        for a, b in _pieces(sizes, 1 << 20):
+            which, around = _runs(runs.bounds[run[a:b]], sizes[a:b])
+            own, place = text[a:b][which], at[a:b][which]
+            if in_short:  # only texts shorter than the item
+                right = counts[own] < runs.full[around]
+                own, place, around = own[right], place[right], around[right]
+            size = np.minimum(runs.size[around], counts[own])
+            start = np.clip(place - runs.before[around], 0, counts[own] - size)
+            windows = np.unique(np.column_stack([own, start, size]), axis=0)
+            hamming, entries = self.hamming[in_short]
+            w, entry = hamming.near(fingerprints(words.hash, words.first[windows[:, 0]] + windows[:, 1], windows[:, 2]))
+            entry = entries[entry]
+            item = self.entry_item[entry]
+            right = self.length[item] == length
+            found.append(np.unique(np.column_stack([windows[w, 0], item, np.maximum(0, windows[w, 1] - self.entry_at[entry])])[right], axis=0))
+        return np.unique(np.concatenate(found), axis=0)
+
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[list, str]]]:
     """Distinct texts of items with their identifiers, in blocks of about a size that is
