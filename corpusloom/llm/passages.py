@@ -409,6 +409,27 @@ def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apar
     return int(start), int(p + more), int(other_start), int(q + other_more), int(matches + extra)
 
 
+def _further(one: np.ndarray, other: np.ndarray, got: tuple, least_words: int, identity: float) -> tuple:
+    """A passage that ends short of least_words taken on at both ends, without a shift, to equal
+    words beyond unlike ones: as far as it takes, with the most matches, if all of it stays
+    alike enough; else as it is."""
+    s, e, t, u, matches = got
+    lacks = least_words - min(e - s, u - t)
+    if lacks <= 0 or matches < identity * least_words - lacks:
+        return got
+    left, right = min(s, t, 2 * lacks), min(len(one) - e, len(other) - u, 2 * lacks)
+    before = one[s - left : s][::-1] == other[t - left : t][::-1]
+    after = one[e : e + right] == other[u : u + right]
+    a, b = (np.append(0, np.flatnonzero(same) + 1) for same in (before, after))
+    total = matches + np.append(0, np.cumsum(before))[a][:, None] + np.append(0, np.cumsum(after))[b][None, :]
+    longer = a[:, None] + b[None, :]
+    good = (longer >= lacks) & (total >= identity * (max(e - s, u - t) + longer))
+    if not good.any():
+        return got
+    i, j = np.unravel_index(np.where(good, total - longer, -_FAR).argmax(), total.shape)
+    return s - int(a[i]), e + int(b[j]), t - int(a[i]), u + int(b[j]), int(total[i, j])
+
+
 def _alike(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apart: int | None, least_words: int, identity: float) -> tuple[tuple, list[tuple]]:
     """The alignment of all anchors, and the passages that are alike enough: all of it, or
     parts of it, cut at the widest gap."""
@@ -417,7 +438,7 @@ def _alike(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apa
         a, b = open_.pop()
         got = align(one, other, x[a:b], y[a:b], apart)
         whole = whole or got
-        s, e, t, u, matches = got
+        s, e, t, u, matches = got = _further(one, other, got, least_words, identity)
         if min(e - s, u - t) >= least_words and matches >= identity * max(e - s, u - t):
             if not found or s >= found[-1][1] and t >= found[-1][3]:  # parts may reach into each other
                 found.append(got)

@@ -15,8 +15,8 @@ def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents; the operator finds those within one as well."""
-    return passages.repeated_passages(table(spark, sf_dir, "documents"), within=False)
+    """Passages that repeat across documents and within one."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op3_minmax_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from corpusloom.llm import passages
+from corpusloom.llm.registry import op2_collinear_passages
 
 from .conftest import words
 
@@ -131,11 +132,37 @@ def test_recall_against_all_pairs(make):
         assert r.identity >= 0.8 and min(len(one), len(other)) >= 50 and abs(same / max(len(one), len(other)) - r.identity) < 0.05
 
 
-def test_passages_of_the_table(documents):
-    """Every passage found in the given documents is one, and no exact run of 60 words that
-    an earlier document holds is left out."""
+@pytest.mark.parametrize(("n", "share", "least"), [(50, 0.1, 0.9), (50, 0.15, 0.85), (52, 0.15, 0.85), (55, 0.15, 0.9), (60, 0.18, 0.9)])
+def test_recall_at_the_shortest(make, n, share, least):
+    """Of 100 passages with words replaced inside, the first and the last equal, nearly all are
+    found: all that are planted count."""
+    rng, rows = np.random.default_rng(n), []
+    for i in range(100):
+        common = some(rng, n)
+        other = list(common)
+        for j in rng.choice(np.arange(1, n - 1), int(share * n), replace=False):
+            other[j] = f"r{rng.integers(10**9)}"
+        rows += [(2 * i, " ".join(some(rng, 40) + common + some(rng, 40))), (2 * i + 1, " ".join(some(rng, 40) + other + some(rng, 40)))]
+    found = {(r.doc_id, r.partner) for r in passages.repeated_passages(make(rows)).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(100)}
+    assert len(found) >= 100 * least, len(found)
+
+
+def test_short_runs_are_not_stretched(make):
+    """A run of 45 equal words among unlike ones stays short of 50."""
+    rng, rows = np.random.default_rng(41), []
+    for i in range(20):
+        common = some(rng, 45)
+        rows += [(2 * i, " ".join(some(rng, 40) + common + some(rng, 40))), (2 * i + 1, " ".join(some(rng, 40) + common + some(rng, 40)))]
+    assert passages.repeated_passages(make(rows)).count() == 0
+
+
+def test_passages_of_the_table(spark, documents, sf_dir):
+    """The registered query: every passage found in the given documents is one, and no exact run
+    of 60 words that an earlier document, or an earlier place of the same, holds is left out."""
     texts = {r.doc_id: (r.text or "").lower().split() for r in documents.collect()}
-    found = passages.repeated_passages(documents).collect()
+    found = op2_collinear_passages(spark, sf_dir).collect()
+    assert any(r.doc_id == r.partner for r in found)
     spans: dict = {}
     for r in found:
         spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
