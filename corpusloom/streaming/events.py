@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,15 +89,12 @@ def agent_states(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, calls long, failed long", "at int, used int, calls long, failed long", "update", GroupStateTimeout.NoTimeout)
 
 
-def stream_of(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The Parquet table as a stream of files."""
-    schema = spark.read.parquet(f"{path}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(_folder(spark, path, name))
-
-
-def _folder(spark: SparkSession, path: str, name: str) -> str:
-    """Streams read folders: of a table that is one file, its folder narrowed by a pattern."""
-    return f"{path}/{name}[.]parquet"
+def in_batches(rows: DataFrame, part: Column, batches: int, folder: str) -> DataFrame:
+    """The rows as a stream of so many micro-batches: those whose `part` is 0 come first, and so
+    on. They are written to `folder` one part after the other, in a file each."""
+    for i in range(batches):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:

@@ -258,7 +258,7 @@ def tasks_by_hand(rows, idle, keep):
 
 def test_tasks_end_by_timers(spark, sf_dir, tmp_path):
     idle, keep = 3_600.0, 7_200.0
-    out = s.drained(s.tasks(s.stream_of(spark, sf_dir, "events"), idle, keep), "append", str(tmp_path / "out")).collect()
+    out = s.drained(s.tasks(s.in_batches(spark.read.parquet(f"{sf_dir}/events.parquet"), F.lit(0), 1, str(tmp_path / "files")), idle, keep), "append", str(tmp_path / "out")).collect()
     by = defaultdict(list)
     for e in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts", "event_id").collect():
         by[e.user_id].append((e.ts, e.event_type))
