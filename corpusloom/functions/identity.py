@@ -104,3 +104,34 @@ def listed_papers(text: Column) -> Column:
     """Papers that search results list by source or file, each once, in order."""
     found = F.regexp_extract_all(text, F.lit(r"(?:Source:\s*|File ID:\s*`?)([\w\-./]+)"), F.lit(1))
     return F.array_distinct(F.transform(found, lambda x: F.rtrim(x, F.lit("."))))
+
+
+#: Keys of a document's metadata that name an identifier, then those that may mention one. Fixed values.
+META_KEYS = ("/dc:identifier", "/prism:doi", "/doi", "/DOI", "/WPS-ARTICLEDOI", "/crossmark:doi", "/Subject", "/Description")
+
+
+def repaired(text: Column) -> Column:
+    """Text with identifiers put together again: blanks around their slash, line ends behind a
+    slash, full stop, hyphen or underscore within them, and letters set apart by blanks."""
+    near = F.regexp_replace(text, r"(10\.\d{4,})\s*/\s*", "$1/")
+    joined = F.regexp_replace(near, r"(10\.\d{4,}/\S*[/._-])[ \t]*\r?\n[ \t]*(?=\S)", "$1")
+    apart = F.regexp_extract_all(text, F.lit(r"(?<!\S)1 0 \. (?:\d ){4,}/(?: \S(?!\S))+"), F.lit(0))
+    return F.concat_ws("\n", joined, F.array_join(F.transform(apart, lambda run: F.translate(run, " ", "")), "\n"))
+
+
+def doi_by_evidence(meta: Column, pages: Column, least: int = 15) -> Column:
+    """struct<doi, origin> by a cascade: metadata by order of keys (each as it is, then in lower
+    case), then the first two pages, then the last one; null without any. Identifiers of fewer
+    than `least` characters don't count, and the search goes on."""
+
+    def in_meta(key: str) -> Column:
+        held = F.coalesce(F.nullif(F.try_element_at(meta, F.lit(key)), F.lit("")), F.try_element_at(meta, F.lit(key.lower())))
+        doi = _tidy(F.regexp_extract(held, DOI, 0))
+        return F.when(F.length(doi) >= least, F.struct(doi.alias("doi"), F.lit(key).alias("origin")))
+
+    def in_text(text: Column, origin: str) -> Column:
+        doi = doi_in_text(repaired(text), least)
+        return F.when(doi.isNotNull(), F.struct(doi.alias("doi"), F.lit(origin).alias("origin")))
+
+    first = F.concat_ws("\n", F.slice(pages, 1, 2))
+    return F.coalesce(*map(in_meta, META_KEYS), in_text(first, "first pages"), F.when(F.size(pages) > 2, in_text(F.element_at(pages, -1), "last page")))

@@ -141,6 +141,12 @@ def greedy_titles(records: DataFrame, key: str, title: str, citations: str, perc
     return cited.join(kept, cited.id == kept.kept_id, "left").select(F.col("id").alias(key), F.coalesce("_k", F.lit(False)).alias("kept"))
 
 
+def tier(url: Column, arxiv_id: Column) -> Column:
+    """1 if there is an open copy or a preprint, else 2."""
+    there = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
+    return F.when(there(url) | there(arxiv_id), 1).otherwise(2)
+
+
 def safe_name(venue: Column, most: int = 60) -> Column:
     """Letters, digits and hyphens, blanks as underscores; Unknown if none is left."""
     plain = F.regexp_replace(F.regexp_replace(venue, r"[^\p{L}\p{N}_\s-]", ""), r"[\s_]+", "_")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "texts", "records", "upkeep", "ranking", "answers", "relational", "streams", "scans", "sessions", "composites", "payloads")
+MODULES: tuple[str, ...] = ("retrieval", "texts", "records", "upkeep", "ranking", "answers", "relational", "streams", "scans", "sessions", "composites", "payloads", "sources")
 
 
 def load() -> None:

@@ -87,6 +87,24 @@ def tolerance_factor(spark, sf_dir):
     return rows.select("p_partkey", "formula", F.round("t", 4).alias("t"), F.round("mu", 4).alias("mu"), "crystal", "stable")
 
 
+@query("formula_species", """WITH f AS (SELECT p_partkey, CAST(p_partkey % 9 + 1 AS DOUBLE) / 10 AS a, CAST(p_partkey % 4 + 1 AS DOUBLE) AS b, CAST(p_partkey % 3 + 2 AS DOUBLE) AS c FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN [2.17, 2.53] WHEN p_partkey % 3 = 1 THEN [1.5] ELSE [(1.88 * a + b * (2.17 + c * 2.53)) / (a + b * (1 + c))] END[1] AS r_a,
+  CASE WHEN p_partkey % 3 = 0 THEN round(a + b * (1 + c), 6) WHEN p_partkey % 3 = 1 THEN 1.0 ELSE round(a, 6) END AS amount_a, p_partkey % 3 = 2 AS scanned,
+  CASE WHEN p_partkey % 3 = 0 THEN round(b * c, 6) END AS inner_amount FROM f""".replace("[2.17, 2.53]", "[2.17]"))
+def formula_species(spark, sf_dir):
+    """Formulas with brackets in brackets, with a cation that no table has, and texts that are
+    none and are scanned for symbols."""
+    k = F.col("p_partkey")
+    a, b, c = ((k % 9 + 1) / 10).cast("decimal(3,1)").cast("string"), (k % 4 + 1).cast("string"), (k % 3 + 2).cast("string")
+    nested = F.concat(F.lit("Cs"), a, F.lit("(MA[FA]"), c, F.lit(")"), b, F.lit("PbI3"))
+    formula = F.when(k % 3 == 0, nested).when(k % 3 == 1, "ACPb(Br0.5I0.5)3").otherwise(F.concat(F.lit("MA"), a, F.lit("-Pb with Br?")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", formula.alias("formula"))
+    made = materials.tolerance(rows).withColumn("s", materials.sites(F.col("formula")))
+    amounts = F.aggregate("s.a", F.lit(0.0), lambda t, p: t + p["amount"])
+    inner = F.get(F.filter("s.a", lambda p: p["symbol"] == "FA"), F.lit(0))["amount"]
+    return made.select("p_partkey", "r_a", F.round(amounts, 6).alias("amount_a"), "s.scanned", F.round(inner, 6).alias("inner_amount"))
+
+
 def _blocks(spark, sf_dir):
     """Events as blocks of pages: a user is a document, ten events are a page."""
     e = F.col("event_id")

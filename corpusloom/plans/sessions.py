@@ -46,16 +46,16 @@ def result_coalesce(spark, sf_dir):
 def _pools(spark, sf_dir):
     rows = papers(spark, sf_dir)
     session = (F.col("doc_id") % 5).alias("session_id")
-    pool = rows.where("doc_id % 4 = 0").groupBy(session, "source").agg(F.min_by(F.struct(F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("doc_id") % 8 == 4, F.col("year")).alias("year"), F.substring("text", 1, 50).alias("preview")), "doc_id").alias("_"))
+    pool = rows.where("doc_id % 4 = 0").groupBy(session, "source").agg(F.min_by(F.struct(F.when(F.col("doc_id") % 8 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("doc_id") % 8 == 4, F.col("year")).alias("year"), F.substring("text", 1, 500).alias("preview")), "doc_id").alias("_"))
     pool = pool.select("session_id", "source", "_.*", F.lit(False).alias("is_read"), F.lit(True).alias("has_fulltext"))
-    found = rows.where("doc_id % 4 <> 0").select(session, "source", "title", "year", F.substring("text", 1, 50).alias("preview"), F.col("doc_id").alias("seq"))
+    found = rows.where("doc_id % 4 <> 0").select(session, "source", "title", "year", F.substring("text", 1, 500).alias("preview"), F.col("doc_id").alias("seq"))
     return pool, found
 
 
 _POOLS = f"""{PAPERS},
-pool AS (SELECT doc_id % 5 AS session_id, source, arg_min(CASE WHEN doc_id % 8 = 0 THEN '' ELSE title END, doc_id) AS title, min(doc_id) AS first_, arg_min(substring(text, 1, 50), doc_id) AS preview FROM papers WHERE doc_id % 4 = 0 GROUP BY 1, 2),
+pool AS (SELECT doc_id % 5 AS session_id, source, arg_min(CASE WHEN doc_id % 8 = 0 THEN '' ELSE title END, doc_id) AS title, min(doc_id) AS first_, arg_min(substring(text, 1, 500), doc_id) AS preview FROM papers WHERE doc_id % 4 = 0 GROUP BY 1, 2),
 pool_y AS (SELECT p.*, CASE WHEN first_ % 8 = 4 THEN CAST(first_ % 18 + 2009 AS INTEGER) END AS year FROM pool p),
-found AS (SELECT doc_id % 5 AS session_id, source, arg_min(title, doc_id) AS title, CAST(min(doc_id) % 18 + 2009 AS INTEGER) AS year, arg_min(substring(text, 1, 50), doc_id) AS preview FROM papers WHERE doc_id % 4 <> 0 GROUP BY 1, 2)"""
+found AS (SELECT doc_id % 5 AS session_id, source, arg_min(title, doc_id) AS title, CAST(min(doc_id) % 18 + 2009 AS INTEGER) AS year, arg_min(substring(text, 1, 500), doc_id) AS preview FROM papers WHERE doc_id % 4 <> 0 GROUP BY 1, 2)"""
 
 
 @query("pool_merge", f"""WITH {_POOLS} SELECT coalesce(p.session_id, f.session_id) AS session_id, coalesce(p.source, f.source) AS source, coalesce(nullif(p.title, ''), f.title) AS title, coalesce(p.year, f.year) AS year,

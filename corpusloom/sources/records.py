@@ -76,13 +76,6 @@ def write_split(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_version(rows: DataFrame, path: str, version: int) -> str:
-    """A new version of a table beside the old ones; readers switch when it is whole."""
-    at = f"{path}/version={version}"
-    rows.write.mode("errorifexists").parquet(at)
-    return at
-
-
 def append_new(rows: DataFrame, path: str, key: str) -> int:
     """Appends rows whose key is not there yet, one of each key (the least by all columns);
     the number of them. Rows without a key are left out, as nothing would know them again."""

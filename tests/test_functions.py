@@ -12,7 +12,7 @@ from corpusloom.functions.registry import Tool, Tools, embed_stub
 from corpusloom.operators import chunking, curation, materials, ranking, upkeep
 from corpusloom.operators.graph import connected
 from corpusloom.sources import records
-from corpusloom.sources.paged import paged_source
+from corpusloom.sources.paged import paged_source, register
 
 
 def one(spark, column, **values):
@@ -118,6 +118,22 @@ def test_tolerance(spark):
     assert rows["??"].t is None
 
 
+def test_formulas(spark):
+    """Brackets at any depth, cations without a radius, texts that are no formula."""
+    made = ["Cs0.1(MA0.5[FA2GA]3)2Pb(Br0.5I0.5)3", "ACPbI3", "Fe3", "MA0.7 Pb and more?", "no symbols here ~", "Cs(Pb", "CsPb)I3", "", None, "((Cs))2PbI3", "(" * 40 + "Cs" + ")2" * 40 + "PbI3", "AcPbI3"]
+    got = {r.f: r for r in spark.createDataFrame([(f,) for f in made], "f string").select("f", materials.species(F.col("f")).alias("p"), materials.sites(F.col("f")).alias("s")).collect()}
+    of = lambda f: [(p.symbol, round(p.amount, 6)) for p in got[f].p]
+    assert of(made[0]) == [("Cs", 0.1), ("MA", 1.0), ("FA", 12.0), ("GA", 6.0), ("Pb", 1.0), ("Br", 1.5), ("I", 1.5)]
+    assert of("ACPbI3")[0] == ("AC", 1) and of("Fe3") == [("Fe", 3)] and of("((Cs))2PbI3")[0] == ("Cs", 2) and of(made[10])[0] == ("Cs", 2.0**40) and of("AcPbI3")[0] == ("Ac", 1)
+    assert [got[f].s.scanned for f in made[:8]] == [False, False, False, True, True, True, True, False] and got[None].s is None
+    text = got["MA0.7 Pb and more?"].s
+    assert [(p.symbol, p.amount) for p in text.a] == [("MA", 0.7)] and [p.symbol for p in text.b] == ["Pb"] and [(p.symbol, p.amount) for p in text.x] == [("I", 3.0)]
+    rows = {r.formula: r for r in materials.tolerance(spark.createDataFrame([(f,) for f in made] * 2, "formula string")).collect()}
+    assert rows["ACPbI3"].r_a == 1.5 and rows["ACPbI3"].t is not None and rows[None].t is None and rows["no symbols here ~"].t is None
+    iron = spark.range(1).select(materials.ionic_radius(F.lit("Fe3"), F.lit(6)).alias("r"), materials.ionic_radius(F.lit("Fe"), F.lit(4)).alias("q")).first()
+    assert (iron.r, iron.q) == (0.645, 0.78)
+
+
 def test_tools(spark):
     tools = Tools()
     tools.add(Tool("half", "half of a number", {}, lambda n: 1 / n))
@@ -133,10 +149,10 @@ def test_embedding_is_unit(spark):
 
 
 def test_paged_source(spark):
-    def fetch(query, year, offset, limit):
-        return [(f"{query}-{year}-{i}",) for i in range(offset, min(offset + limit, 250))]
+    def fetch(page):
+        return [(f"{page.query}-{page.year}-{i}",) for i in range(page.offset, min(page.offset + page.limit, 250))]
 
-    spark.dataSource.register(paged_source("papers_test", "title string", fetch))
+    register(spark, paged_source("papers_test", "title string", fetch))
     rows = spark.read.format("papers_test").option("queries", "a;b").option("years", "2020;2021").option("most", "220").load()
     assert rows.groupBy("query", "year").count().collect() and rows.count() == 880
 
@@ -154,4 +170,3 @@ def test_records(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
     records.write_split(rows, str(tmp_path / "split"), "n")
     assert spark.read.parquet(str(tmp_path / "split")).count() == 3
-    assert records.write_version(rows, str(tmp_path / "versions"), 1).endswith("version=1")
