@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: Weights of journal ranks 1 to 7. Fixed values.
 JOURNAL_WEIGHTS = (1.5, 1.4, 1.3, 1.2, 1.15, 1.05, 1.0)
 #: Queries go to the tasks in blocks of so many.
@@ -22,6 +24,7 @@ QUERY_BLOCK = 4096
 TEXT_QUERY_BLOCK = 256
 #: Rows are compared with all queries of a block in pieces of so many scores.
 _SCORES = 1 << 21
+_ROWS = 512
 
 
 def tokens(text: Column | str) -> Column:
@@ -247,15 +250,47 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
 
 def overlap_passages(docs: DataFrame, chunks: DataFrame, n: int = 3, key: str = "doc_id", chunk: str = "chunk_id", text: str = "text", chunk_text: str = "chunk_text") -> DataFrame:
     """For every chunk the n documents with the best overlap: half the idf-weighted Jaccard
-    of their words, half the share of the chunk's words found. They meet at shared words,
-    so documents without any are never paired; weights of 0 or less count as they are."""
-    idf = idf_table(docs, key, text)
-    mine = docs.select(key, F.explode(F.array_distinct(tokens(text))).alias("term")).join(idf, "term", "left").fillna(1.0, ["idf"])
-    other = chunks.select(chunk, F.explode(F.array_distinct(tokens(chunk_text))).alias("term")).join(idf, "term", "left").fillna(1.0, ["idf"])
-    total = mine.groupBy(key).agg(F.sum("idf").alias("doc_sum"))
-    asked = other.groupBy(chunk).agg(F.sum("idf").alias("chunk_sum"), F.count("*").alias("chunk_terms"))
-    shared = mine.join(other.select(chunk, "term"), "term").groupBy(chunk, key).agg(F.sum("idf").alias("both"), F.count("*").alias("n_both"))
-    scored = shared.join(total, key).join(asked, chunk)
-    union = F.col("doc_sum") + F.col("chunk_sum") - F.col("both")
-    score = 0.5 * F.when(union != 0, F.col("both") / union).otherwise(0.0) + 0.5 * F.col("n_both") / F.col("chunk_terms")
-    return ranked(scored.withColumn("score", F.round(score, 9)), chunk, "score", key, n)
+    of their words, half the share of the chunk's words found. Documents that share no word
+    with a chunk are none of its; weights of 0 or less count as they are.
+
+    Chunks are a query set: they go to the tasks in blocks and meet the documents there, so
+    that pairs are never rows, however frequent the words that they share. A document is
+    brought down to the sum of its weights and the words that some chunk has, once for all
+    blocks; words go by 64-bit hashes. Rows without a key take no part."""
+    idf = cut(idf_table(docs, key, text))
+    asked = chunks.where(F.col(chunk).isNotNull()).select(F.col(chunk).cast("long").alias(chunk), F.explode(F.array_distinct(tokens(chunk_text))).alias("term"))
+    asked = asked.join(idf, "term", "left").select(chunk, "term", F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    asked = cut(asked.groupBy(chunk).agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "idf")).alias("terms")))
+    wanted = asked.select(F.explode("terms.h").alias("wanted")).distinct()
+    mine = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.explode(F.array_distinct(tokens(text))).alias("term")).join(idf, "term").select(key, "idf", F.xxhash64("term").alias("h"))
+    mine = mine.join(wanted, mine.h == wanted.wanted, "left")
+    rows = cut(mine.groupBy(key).agg(F.sum("idf").alias("total"), F.collect_list("wanted").alias("h")).where("size(h) > 0"))
+    names, found = [chunk, key, "score"], None
+    for block in _query_blocks(asked, chunk, TEXT_QUERY_BLOCK):
+        weight = {t["h"]: t["idf"] for r in block for t in r["terms"]}
+        known = np.array(sorted(weight), np.int64)
+        sent = docs.sparkSession.sparkContext.broadcast(([r[chunk] for r in block], known, np.array([weight[h] for h in known.tolist()]), [np.searchsorted(known, [t["h"] for t in r["terms"]]) for r in block]))
+
+        def compared(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, known, idf, terms = sent.value
+            best, held = Best(len(ids), n), np.zeros((len(known), len(ids)))
+            for i, own in enumerate(terms):
+                held[own, i] = 1
+            sums, sizes = idf @ held, held.sum(axis=0)
+            for batch in batches:
+                for lo in range(0, batch.num_rows if len(ids) else 0, _ROWS):
+                    part = batch.slice(lo, _ROWS)
+                    row, h = _flat(part.column("h"))
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    ok = known[at] == h
+                    there = np.zeros((part.num_rows, len(known)))
+                    there[row[ok], at[ok]] = 1
+                    shared, both = there @ held, (there * idf) @ held
+                    union = part.column("total").to_numpy()[:, None] + sums - both
+                    scores = 0.5 * np.divide(both, union, out=np.zeros_like(both), where=union != 0) + 0.5 * shared / sizes
+                    best.add(np.where(shared > 0, np.round(scores, 9), -np.inf).T, part.column(key).to_numpy())
+            yield best.rows(ids, names)
+
+        out = rows.mapInArrow(compared, f"{chunk} long, {key} long, score double")
+        found = out if found is None else found.unionByName(out)
+    return ranked(found, chunk, "score", key, n)

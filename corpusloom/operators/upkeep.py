@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """existing without the keys that come in, and all that comes in; `action` says keep,
@@ -99,18 +101,33 @@ def _first_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in taken], batch.schema.field(1 + i).type) for i in (0, 1)], names=names)
 
 
-def one_to_one(pairs: DataFrame, order: str, other: str) -> DataFrame:
+def one_to_one(pairs: DataFrame, order: str, other: str, rounds: int = 12) -> DataFrame:
     """A greedy matching: in their order, each row of `order` takes its least partner that no
-    earlier one has taken. Pairs that hang together pass through a task in order, which holds
-    the partners taken among them; null ends take no part."""
+    earlier one has taken; null ends take no part.
+
+    In a round every pair is decided whose ends are the least of each other: no earlier row can
+    take that partner, and there is none that the row would rather have. Their ends go, and with
+    them most pairs, wherever they stand; equal ends never gather, only their minimum does.
+    What a long chain of rows that wait for each other leaves after `rounds` passes through a
+    task for each component, in order."""
     from corpusloom.operators.graph import connected
 
-    known = pairs.select(order, other).where(F.col(order).isNotNull() & F.col(other).isNotNull()).distinct()
-    named = known.select(*(F.concat(F.lit(n), F.col(c).cast("string")).alias(a) for n, c, a in (("1", order, "a"), ("2", other, "b"))), order, other)
+    rest = cut(pairs.select(order, other).where(F.col(order).isNotNull() & F.col(other).isNotNull()).distinct())
+    found = rest.limit(0)
+    for _ in range(rounds):
+        least = rest.groupBy(order).agg(F.min(other).alias(other)).join(rest.groupBy(other).agg(F.min(order).alias(order)), [order, other])
+        taken = cut(least.select(order, other))
+        if taken.isEmpty():
+            return found
+        found = found.unionByName(taken)
+        rest = cut(rest.join(taken.select(order), order, "left_anti").join(taken.select(other), other, "left_anti").select(order, other))
+    if rest.isEmpty():
+        return found
+    named = rest.select(*(F.concat(F.lit(n), F.col(c).cast("string")).alias(a) for n, c, a in (("1", order, "a"), ("2", other, "b"))), order, other)
     groups = connected(named.select("a", "b"))
     told = named.join(groups, named.a == groups.node).select("component", order, other)
     told = told.repartition("component").sortWithinPartitions("component", order, other)
-    return told.mapInArrow(_first_free, known.schema)
+    return found.unionByName(told.mapInArrow(_first_free, rest.schema))
 
 
 def confusion(rows: DataFrame, have: str, should: str, example: str, most: int = 30) -> DataFrame:

@@ -118,6 +118,25 @@ def test_tolerance(spark):
     assert rows["??"].t is None
 
 
+def test_matchings_by_rounds(spark):
+    """A dense component, random ones and a chain longer than the rounds, against one row after the other."""
+    rng = __import__("random").Random(5)
+    cases = [[(f"o{rng.randrange(60):02d}", rng.randrange(60)) for _ in range(n)] for n in (0, 80, 900)]
+    cases.append([(i, j) for i in range(100) for j in (i - 1, i)])  # each waits for the one before
+    cases.append([(100 + i, 0) for i in range(300)] + [(7, j) for j in range(300)])
+    for pairs in cases:
+        given, want = set(), {}
+        for o in sorted({o for o, _ in pairs}):
+            free = sorted(p for q, p in pairs if q == o and p not in given)
+            if free:
+                want[o] = free[0]
+                given.add(free[0])
+        kind = "string" if pairs and isinstance(pairs[0][0], str) else "long"
+        df = spark.createDataFrame([*pairs, (None, 1)], f"o {kind}, p long")
+        for rounds in (12, 3):
+            assert {r.o: r.p for r in upkeep.one_to_one(df, "o", "p", rounds).collect()} == want
+
+
 def test_formulas(spark):
     """Brackets at any depth, cations without a radius, texts that are no formula."""
     made = ["Cs0.1(MA0.5[FA2GA]3)2Pb(Br0.5I0.5)3", "ACPbI3", "Fe3", "MA0.7 Pb and more?", "no symbols here ~", "Cs(Pb", "CsPb)I3", "", None, "((Cs))2PbI3", "(" * 40 + "Cs" + ")2" * 40 + "PbI3", "AcPbI3"]
