@@ -143,6 +143,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
     doc_id keeps its lines. Blank lines are left alone, as are null and empty texts; rows
     of null doc_id are never first. Repeated rows are treated alike. Columns named n_lines
     or n_dropped are replaced. A text that loses all its lines becomes empty and stays.
+    Very long texts are split once; an empty table gives an empty result.
     """
     dropped = recurring(docs, min_docs, depth)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -161,7 +161,10 @@ def _mixed(sizes: DataFrame, rows: DataFrame, weights: tuple[int, ...], budget_p
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words of, with their columns, size, source_size,
     target and taken. Every row goes through the mix with its columns, so repeated rows of
-    one doc_id, and rows without one, have the words that were taken of each."""
+    one doc_id, and rows without one, have the words that were taken of each. Null texts, and
+    texts without words, have none to take and are left out; of documents that tie in the
+    shuffled order the smaller doc_id, then the hash of the text, comes first; a null source is
+    one of its kind, after all others; an empty table gives no rows."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     # the first further column orders ties
     whole = docs.select(*_columns(), F.xxhash64(F.col("text").cast("string")).alias("tie"), F.struct(*kept).alias("row"))

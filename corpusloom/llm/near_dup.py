@@ -337,7 +337,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs that `near_duplicates` keeps: one document of every group.
-    Of repeated rows of one doc_id one stays; rows without doc_id stay."""
+    Of repeated rows of one doc_id one stays; rows without doc_id stay, as do null texts and
+    those without words, which are linked with nothing; an empty table gives an empty result."""
     kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))

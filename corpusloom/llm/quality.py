@@ -129,7 +129,8 @@ def classify(docs: DataFrame, model: Ordinal | None, at_least: int = 1, threshol
     """Per row of docs: doc_id, expected_grade, tail (chance of grade `at_least` or more),
     keep (tail reaches the threshold). A null text is empty; an empty text is scored like
     any other and, as it holds nothing, not kept. Without a model all is kept, with nulls.
-    Rows of null doc_id and repeated rows get a row each."""
+    Rows of null doc_id and repeated rows get a row each. Very long texts are scored whole; an empty
+    table gives no rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail"), F.lit(True).alias("keep"))
@@ -155,7 +156,8 @@ def select_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> D
 
     A null text, or one without words, holds nothing and isn't kept. Rows are judged by their
     text alone, so repeated rows, and rows without doc_id, fare alike. If the labels give fewer
-    than two grades there is no model, and every row stays, those without words included."""
+    than two grades there is no model, and every row stays, those without words included. Very
+    long texts are judged whole; an empty table gives an empty result."""
     model = train(docs, graded(labels))
     if model is None:
         return docs

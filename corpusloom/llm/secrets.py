@@ -33,7 +33,7 @@ SHARED_OWNERS, SHARED_REPOSITORIES = 3, 6
 RUN = 256
 
 _OPEN, _CLOSE = "\x01", "\x02"
-_SPAN = "array<struct<start:int,kind_no:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,kind_no:int,end:int,value:string>>"  # until `find` has hashed the values
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,20 +77,24 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
-    """doc_id, owner, repository (within its owner) and the sorted spans of every row.
+    """doc_id, owner, repository (within its owner) and the sorted spans of every row, each with
+    the SHA-256 of its value: no value as it is gets into what is shuffled or kept.
     Texts are read once. Control characters 1 and 2 stand for no secret's character and
     are put out of the way first, one for one, so places stay."""
     clean = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _OPEN + _CLOSE, "\x03\x03")
     spans = F.array_sort(F.concat(*(_spans(F.col("clean"), i) for i in range(len(KINDS)))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), clean.alias("clean"))
-    return rows.select("doc_id", "owner", "repository", spans.alias("found"))
+    hashed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("value_hash")))
+    return rows.select("doc_id", "owner", "repository", hashed.alias("found"))
 
 
 def ownership(found: DataFrame, shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
     """value_hash, n_documents, n_repositories, n_owners, verdict (shared or live) of every
     value. Distinct repositories and owners are counted in steps, each a sum that tasks
-    begin on their own rows, so a value in a third of all documents is no burden."""
-    each = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda s: F.sha2(s["value"], 256)))).alias("value_hash"))
+    begin on their own rows, so a value in a third of all documents is no burden. A null owner
+    or repository is one of its kind; a text without spans, null or empty, adds nothing; repeated
+    rows count each as a document; an empty table has no values."""
+    each = found.select("owner", "repository", F.explode(F.array_distinct("found.value_hash")).alias("value_hash"))
     by_repository = each.groupBy("value_hash", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("value_hash", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     counts = by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_documents"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
@@ -110,7 +114,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "lang", share
     """
     found = cut(find(docs, owner, repository))
     verdicts = ownership(found, shared_owners, shared_repositories)
-    held = found.where("doc_id is not null and size(found) > 0").select("doc_id", F.explode(F.transform("found", lambda s: F.sha2(s["value"], 256))).alias("value_hash")).distinct()
+    held = found.where("doc_id is not null and size(found) > 0").select("doc_id", F.explode("found.value_hash").alias("value_hash")).distinct()
     counts = held.join(verdicts.select("value_hash", "verdict"), "value_hash").groupBy("doc_id").agg(
         F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "shared").alias("n_shared")
     )

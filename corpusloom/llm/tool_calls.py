@@ -253,7 +253,9 @@ TOOLS: dict[str, dict] = {
 def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Conversations as tool calls: a user's turn calls a tool (answer at first, then
     continue, which refers to the call two turns before), an assistant's turn is the result
-    of the turn before it."""
+    of the turn before it. Null texts give null questions; turns that are repeated give calls
+    that are; a null turn or conversation is carried as it is, and its call has no identifier;
+    an empty table gives none."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("position"), "role", F.col("text").cast("string").alias("text"))
     name = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     t = F.col("position")

@@ -239,7 +239,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted, n_hits. Only the text is an
     input of the score. A null text is empty; an empty text has the score of no match.
     Rows of null doc_id are not held out. Repeated rows give rows each. The lexicon goes
-    to the tasks by broadcast; its size is bounded by `learn`."""
+    to the tasks by broadcast; its size is bounded by `learn`. A very long text is scored whole,
+    in time that grows with its length; an empty table gives no rows."""
     kept = docs.sparkSession.sparkContext.broadcast(lexicon.bare())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
