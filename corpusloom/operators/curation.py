@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom.functions import vocabulary as v
 from corpusloom.functions.text import ngrams, normalize_title
-from corpusloom.session import cut
+from corpusloom.session import cut, spread
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -51,16 +51,24 @@ def _similar_titles(same: DataFrame, percent: int, n: int) -> DataFrame:
     """a < b, similarity of distinct titles (rep, t), by their n-grams as 64-bit hashes.
 
     Titles meet at shared grams of a prefix: of the grams of a title in a common order, a
-    pair that similar shares one of the first few, so the frequent rest need not meet."""
-    grams = same.select("rep", F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 0")
+    pair that similar shares one of the first few, so the frequent rest need not meet. Where
+    they meet, 256 bits of each title's grams tell how many grams they differ in at least;
+    only pairs that this leaves are brought together with all their grams."""
+    grams = spread(same, "rep").select("rep", F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 0")
+    grams = cut(grams)
     counts = cut(grams.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("c")))
     ordered = grams.select("rep", F.explode("g").alias("w")).join(counts, "w").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda s: s["w"]).alias("g"))
-    ordered = cut(ordered.withColumn("m", F.size("g")))
-    prefix = ordered.select("rep", F.posexplode(F.slice("g", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("p", "w"), "m")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 2), F.lit(64)).cast("int"))
+    word = lambda i: F.aggregate("g", F.lit(0).cast("long"), lambda s, h: F.when(F.pmod(h, F.lit(4)) == i, s.bitwiseOR(bit(h))).otherwise(s))
+    bits = [f"b{i}" for i in range(4)]
+    ordered = cut(ordered.select("*", F.size("g").alias("m"), *(word(i).alias(b) for i, b in enumerate(bits))))
+    prefix = ordered.select("rep", F.posexplode(F.slice("g", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("p", "w"), "m", *bits)
     one, other = prefix.alias("x"), prefix.alias("y")
     # what stands before a shared gram and from it on bounds what a pair can share
     most = F.least("x.p", "y.p") + F.least(F.col("x.m") - F.col("x.p"), F.col("y.m") - F.col("y.p"))
-    enough = most * (100 + percent) >= (F.col("x.m") + F.col("y.m")) * percent
+    both = F.col("x.m") + F.col("y.m")
+    unlike = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits)
+    enough = (most * (100 + percent) >= both * percent) & (unlike * (100 + percent) <= both * (100 - percent))
     met = one.join(other, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent) & enough)
     met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     both = met.join(ordered.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(ordered.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
@@ -71,8 +79,8 @@ def _similar_titles(same: DataFrame, percent: int, n: int) -> DataFrame:
 def title_pairs(records: DataFrame, key: str, title: str, percent: int = 85, n: int = 3) -> DataFrame:
     """a < b, similarity: records whose titles share at least `percent` of their n-grams.
     Distinct titles are compared; equal ones are put back as links to the first of them."""
-    named = _titles(records, key, title)
-    same = named.groupBy("t").agg(F.min("id").alias("rep"))
+    named = cut(_titles(records, key, title))
+    same = cut(named.groupBy("t").agg(F.min("id").alias("rep")))
     equal = named.join(same, "t").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return _similar_titles(same, percent, n).unionByName(equal)
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut
+from corpusloom.session import cut, spread
 
 #: Weights of journal ranks 1 to 7. Fixed values.
 JOURNAL_WEIGHTS = (1.5, 1.4, 1.3, 1.2, 1.15, 1.05, 1.0)
@@ -256,15 +256,18 @@ def overlap_passages(docs: DataFrame, chunks: DataFrame, n: int = 3, key: str =
     Chunks are a query set: they go to the tasks in blocks and meet the documents there, so
     that pairs are never rows, however frequent the words that they share. A document is
     brought down to the sum of its weights and the words that some chunk has, once for all
-    blocks; words go by 64-bit hashes. Rows without a key take no part."""
-    idf = cut(idf_table(docs, key, text))
-    asked = chunks.where(F.col(chunk).isNotNull()).select(F.col(chunk).cast("long").alias(chunk), F.explode(F.array_distinct(tokens(chunk_text))).alias("term"))
-    asked = asked.join(idf, "term", "left").select(chunk, "term", F.coalesce("idf", F.lit(1.0)).alias("idf"))
-    asked = cut(asked.groupBy(chunk).agg(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "idf")).alias("terms")))
-    wanted = asked.select(F.explode("terms.h").alias("wanted")).distinct()
-    mine = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.explode(F.array_distinct(tokens(text))).alias("term")).join(idf, "term").select(key, "idf", F.xxhash64("term").alias("h"))
-    mine = mine.join(wanted, mine.h == wanted.wanted, "left")
-    rows = cut(mine.groupBy(key).agg(F.sum("idf").alias("total"), F.collect_list("wanted").alias("h")).where("size(h) > 0"))
+    blocks; words go by 64-bit hashes. Rows without a key are counted, but not found."""
+    words = lambda c: F.transform(F.array_distinct(tokens(c)), lambda t: F.xxhash64(t))
+    base = cut(docs.select(F.col(key).cast("long").alias(key), F.coalesce(words(text), F.array().cast("array<long>")).alias("h")))
+    counted = base.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    idf = cut(counted.select("h", F.log(F.lit(float(base.count())) / (F.col("df") + 1)).alias("idf")))
+    asked = chunks.where(F.col(chunk).isNotNull()).select(F.col(chunk).cast("long").alias(chunk), F.explode(words(chunk_text)).alias("h"))
+    asked = asked.join(idf, "h", "left").select(chunk, "h", F.coalesce("idf", F.lit(1.0)).alias("idf"))
+    asked = cut(asked.groupBy(chunk).agg(F.collect_list(F.struct("h", "idf")).alias("terms")))
+    wanted = asked.select(F.explode("terms.h").alias("h")).distinct().withColumn("wanted", F.col("h"))
+    known = idf.join(wanted, "h", "left")
+    mine = base.where(F.col(key).isNotNull()).select(key, F.explode("h").alias("h")).join(known, "h")
+    rows = cut(spread(mine.groupBy(key).agg(F.sum("idf").alias("total"), F.collect_list("wanted").alias("h")).where("size(h) > 0"), key))
     names, found = [chunk, key, "score"], None
     for block in _query_blocks(asked, chunk, TEXT_QUERY_BLOCK):
         weight = {t["h"]: t["idf"] for r in block for t in r["terms"]}

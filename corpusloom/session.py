@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     beyond it. spark.cleaner.referenceTracking.cleanCheckpoints removes what is out of use."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` dealt out by columns over as many tasks as a shuffle has, however few its bytes are:
+    for rows that cost much more to work on than to send, which size alone would put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
