@@ -75,6 +75,15 @@ def stream_agent_states(spark, sf_dir):
     return s.latest(_drained(spark, s.agent_states(_stream(spark, sf_dir)), "update"), "user_id")
 
 
+@query("stream_tasks", """WITH o AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS task FROM o)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'timeout' END AS outcome FROM n GROUP BY user_id, task
+HAVING epoch_ms(max(ts)) + 7200001 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+def stream_tasks(spark, sf_dir):
+    """Tasks of users that timers have ended, two hours after their last event."""
+    return _plain(_drained(spark, s.tasks(_stream(spark, sf_dir), 7_200.0, 7_200.0), "append"))
+
+
 @query("stream_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_upsert(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value")

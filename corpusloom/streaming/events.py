@@ -62,31 +62,41 @@ def folded(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_fold, _FOLD_OUT, "n long, resets long, kept double, open boolean, last string", "update", GroupStateTimeout.NoTimeout)
 
 
-# Calls that each state of an agent may make, and calls in all.
+# Calls that each state of an agent may make, calls in all, and states entered.
 BUDGETS = {"retrieve": 2, "quick_read": 3, "deep_read": 4}
-MOST_CALLS = 15
+MOST_CALLS, MOST_LOOPS = 15, 8
 ORDER = ("retrieve", "quick_read", "deep_read", "respond")
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Calls move a task on when a state's budget is used up; errors use it up as well."""
-    at, used, calls, failed = state.get if state.exists else (0, 0, 0, 0)
+    """Calls move a task on when a state's budget is used up; errors use it up as well. A signup
+    while reading asks for another search. A purchase, the last call or the last state that may
+    be entered makes the task respond, whatever comes then."""
+    at, used, calls, failed, loops = state.get if state.exists else (0, 0, 0, 0, 1)
+    end = len(ORDER) - 1
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for kind in rows.event_type:
-        if ORDER[at] == "respond":
+        if at == end:
             break
         calls, used, failed = calls + 1, used + 1, failed + (kind == "error")
         if calls >= MOST_CALLS or kind == "purchase":
-            at, used = len(ORDER) - 1, 0
+            to = end
+        elif kind == "signup" and at:
+            to = 0
         elif used >= BUDGETS[ORDER[at]]:
-            at, used = at + 1, 0
-    state.update((at, used, calls, failed))
-    yield pd.DataFrame({"user_id": [key[0]], "state": [ORDER[at]], "calls": [calls], "failed": [failed]})
+            to = at + 1
+        else:
+            continue
+        loops += 1
+        at, used = end if loops > MOST_LOOPS else to, 0
+    state.update((at, used, calls, failed, loops))
+    yield pd.DataFrame({"user_id": [key[0]], "state": [ORDER[at]], "calls": [calls], "failed": [failed], "loops": [loops]})
 
 
 def agent_states(events: DataFrame) -> DataFrame:
     rows = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, calls long, failed long", "at int, used int, calls long, failed long", "update", GroupStateTimeout.NoTimeout)
+    state = "at int, used int, calls long, failed long, loops int"
+    return rows.groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, calls long, failed long, loops int", state, "update", GroupStateTimeout.NoTimeout)
 
 
 def in_batches(rows: DataFrame, part: Column, batches: int, folder: str) -> DataFrame:

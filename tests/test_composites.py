@@ -33,21 +33,41 @@ def test_search_filters_and_variants(spark, sf_dir):
 
 
 def test_agent_states(spark, sf_dir):
-    got = {r.user_id: (r.state, r.calls, r.failed) for r in registry.queries()["stream_agent_states"](spark, sf_dir).collect()}
+    got = {r.user_id: (r.state, r.calls, r.failed, r.loops) for r in registry.queries()["stream_agent_states"](spark, sf_dir).collect()}
     by = defaultdict(list)
     for e in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts", "event_id").collect():
         by[e.user_id].append(e.event_type)
     for user, kinds in by.items():
-        at = used = calls = failed = 0
-        for kind in kinds:
-            if at == 3:
-                break
-            calls, used, failed = calls + 1, used + 1, failed + (kind == "error")
-            if kind == "purchase" or calls >= s.MOST_CALLS:
-                at, used = 3, 0
-            elif used >= (2, 3, 4)[at]:
-                at, used = at + 1, 0
-        assert got[user] == (s.ORDER[at], calls, failed)
+        assert got[user] == by_hand(kinds)
+
+
+def by_hand(kinds):
+    """State, calls, errors and states entered, one event after the other."""
+    state, entered, left, calls, failed = "retrieve", 1, 2, 0, 0
+    follows, may = {"retrieve": "quick_read", "quick_read": "deep_read", "deep_read": "respond"}, {"retrieve": 2, "quick_read": 3, "deep_read": 4, "respond": 0}
+    for kind in kinds:
+        if state == "respond":
+            break
+        calls, left, failed = calls + 1, left - 1, failed + (kind == "error")
+        new = "respond" if calls == 15 or kind == "purchase" else "retrieve" if kind == "signup" and state != "retrieve" else follows[state] if not left else None
+        if new:
+            entered += 1
+            state = new if entered <= 8 else "respond"
+            left = may[state]
+    return state, calls, failed, entered
+
+
+def test_limits_of_an_agent(spark, tmp_path):
+    """Eight states and fifteen calls at most, over batches that end anywhere."""
+    turning = ["view", "view", "signup"] * 9
+    slow = ["view", "view", "error", "signup"] * 9
+    cases = {1: turning, 2: slow, 3: ["view"] * 40, 4: ["signup"] * 20, 5: ["view", "purchase", "view"]}
+    rows = [(u, i, k, f"2024-01-01 10:{i:02d}:00") for u, kinds in cases.items() for i, k in enumerate(kinds)]
+    frame = spark.createDataFrame(rows, "user_id long, event_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    stream = s.in_batches(frame, F.floor(F.col("event_id") / 5), 8, str(tmp_path / "in"))
+    got = s.latest(s.drained(s.agent_states(stream), "update", str(tmp_path / "out")), "user_id").collect()
+    assert {r.user_id: (r.state, r.calls, r.failed, r.loops) for r in got} == {u: by_hand(k) for u, k in cases.items()}
+    assert {r.user_id: (r.calls, r.loops) for r in got}[1][1] == 9 and max(r.calls for r in got) <= 15
 
 
 def test_late_and_repeated_events(spark, tmp_path):
