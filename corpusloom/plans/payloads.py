@@ -230,3 +230,34 @@ def markup_check(spark, sf_dir):
     t = F.col("turn") % 3
     said = F.when(t == 0, F.concat("text", F.lit('<invoke name="x">'))).when(t == 1, F.col("text")).otherwise(F.concat(F.lit("<tool_call>"), "text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.has_markup(said).alias("dirty"))
+
+
+@query("material_entries", """SELECT p_partkey, CAST(i + 1 AS INTEGER) AS place, 'mp-' || p_partkey || '-' || i AS material_id, p_brand AS formula, CASE WHEN i % 3 = 0 THEN 0.0 ELSE round(p_retailprice / 997.1 + i, 3) END AS band_gap_eV,
+  round(-p_retailprice / 7003.3, 4) AS formation_energy_eV_per_atom, CASE WHEN i % 2 = 0 THEN 'Pm-3m' ELSE 'N/A' END AS crystal_system FROM part, (SELECT unnest(range(0, 10)) AS i) WHERE i < p_size % 14""")
+def material_entries(spark, sf_dir):
+    """Parts as answers of a materials database with up to 13 entries, ten of which count."""
+    n, price = F.col("p_size") % 14, F.col("p_retailprice").cast("double")
+
+    def entry(i):
+        gap = F.when(i % 3 != 0, price / 997.1 + i)
+        return F.struct(
+            F.concat(F.lit("mp-"), F.col("p_partkey").cast("string"), F.lit("-"), i.cast("string")).alias("entry_id"), F.col("p_brand").alias("reduced_formula"), F.when(i % 2 == 0, "Pm-3m").alias("spacegroup"),
+            F.struct(gap.alias("band_gap"), (-price / 7003.3).alias("formation_energy_per_atom")).alias("data"),
+        )
+
+    made = F.when(n > 0, F.to_json(F.transform(F.sequence(F.lit(0), n - 1), entry))).otherwise('{"error": "none"}')
+    return payloads.material_entries(table(spark, sf_dir, "part").select("p_partkey", made.alias("payload")))
+
+
+@query("point_catalogue", """WITH p AS (SELECT doc_id, 'Nature_' || (doc_id % 23) AS a, 'x' || (doc_id % 31) AS b, text FROM documents WHERE doc_id % 9 <> 0),
+s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN a ELSE b END AS source, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '/papers/' || (2000 + doc_id % 20) || '/f.pdf' END AS path, coalesce(text, '') AS text FROM p)
+SELECT source, arg_min(path, doc_id) AS path, CASE WHEN starts_with(source, 'Nature') THEN 'Nature' ELSE 'Other' END AS journal,
+  trim(replace(substring(coalesce(arg_min(text, doc_id) FILTER (WHERE length(text) > 20), ''), 1, 150), chr(10), ' ')) AS title_preview, count(*) AS chunk_count,
+  TRY_CAST(regexp_extract(arg_min(path, doc_id), '/(\\d{4})/', 1) AS INTEGER) AS year FROM s GROUP BY source""")
+def point_catalogue(spark, sf_dir):
+    """Documents as points of a vector store, told by source."""
+    i = F.col("doc_id")
+    source = F.when(i % 9 == 0, "").when(i % 2 == 0, F.concat(F.lit("Nature_"), (i % 23).cast("string"))).otherwise(F.concat(F.lit("x"), (i % 31).cast("string")))
+    path = F.when(i % 5 != 0, F.concat(F.lit("/papers/"), (2000 + i % 20).cast("string"), F.lit("/f.pdf")))
+    point = F.to_json(F.struct(F.struct(F.col("text").alias("page_content"), F.struct(source.alias("source"), path.alias("path")).alias("metadata")).alias("payload")))
+    return payloads.point_catalogue(table(spark, sf_dir, "documents").select(i.alias("point_id"), point.alias("point")), {"NatureEnergy": "Nature Energy", "Nature": "Nature"})

@@ -93,3 +93,37 @@ def devices(rows: DataFrame, payload: str = "payload", holding: str = "") -> Dat
     out = held.select(*kept, *(F.coalesce(*(F.col("m")[n] for n in ns), F.lit("N/A")).alias(field) for field, ns in DEVICE_FIELDS.items()))
     measured = F.concat(F.lit("PCE="), "pce", F.lit(" Voc="), "voc", F.lit(" Jsc="), "jsc", F.lit(" FF="), "ff", F.lit(" stability="), "stability")
     return out.where(F.contains(F.lower(measured), F.lit(holding.lower()))) if holding else out
+
+
+_MATERIALS = "array<struct<entry_id:string,reduced_formula:string,spacegroup:string,data:struct<band_gap:double,formation_energy_per_atom:double>>>"
+
+
+def material_entries(rows: DataFrame, payload: str = "payload", most: int = 10) -> DataFrame:
+    """The first entries that a materials database has for a formula, in its order: place (from
+    1), material_id, formula, band_gap_eV, formation_energy_eV_per_atom (0 where it has none)
+    and crystal_system (N/A). Answers without entries, or that are none, give no rows."""
+    kept = [c for c in rows.columns if c != payload]
+    told = rows.select(*kept, F.posexplode(F.slice(F.filter(F.from_json(payload, _MATERIALS), lambda e: e["entry_id"].isNotNull()), 1, most)).alias("at", "e"))
+    return told.select(
+        *kept, (F.col("at") + 1).alias("place"), F.col("e.entry_id").alias("material_id"), F.col("e.reduced_formula").alias("formula"), F.round(F.coalesce("e.data.band_gap", F.lit(0.0)), 3).alias("band_gap_eV"),
+        F.round(F.coalesce("e.data.formation_energy_per_atom", F.lit(0.0)), 4).alias("formation_energy_eV_per_atom"), F.coalesce("e.spacegroup", F.lit("N/A")).alias("crystal_system"),
+    )
+
+
+_POINT = "struct<payload:struct<page_content:string,metadata:struct<source:string,path:string>>>"
+
+
+def point_catalogue(points: DataFrame, journals: dict[str, str], point: str = "point", order: str = "point_id") -> DataFrame:
+    """source, path, journal, title_preview, chunk_count and year of every source that points of
+    a vector store (JSON) come from; points without a source are left out.
+
+    The journal is that of the first prefix of the source, else Other; path and year (the folder
+    of four digits) are those of the source's first point, the preview is 150 characters of
+    its first chunk of more than 20, as specified."""
+    p = points.select(F.col(order).alias("at"), F.from_json(point, _POINT)["payload"].alias("p"))
+    rows = p.select("at", F.col("p.metadata.source").alias("source"), _text(F.col("p.metadata.path")).alias("path"), _text(F.col("p.page_content")).alias("content")).where(F.length("source") > 0)
+    of = rows.groupBy("source").agg(F.min_by("path", "at").alias("path"), F.min_by("content", F.when(F.length("content") > 20, F.col("at"))).alias("content"), F.count("*").alias("chunk_count"))
+    journal = F.coalesce(*(F.when(F.startswith("source", F.lit(prefix)), F.lit(name)) for prefix, name in journals.items()), F.lit("Other"))
+    year = F.nullif(F.regexp_extract("path", r"/(\d{4})/", 1), F.lit("")).cast("int")
+    preview = F.trim(F.translate(F.substring(F.coalesce("content", F.lit("")), 1, 150), "\n", " "))
+    return of.select("source", "path", journal.alias("journal"), preview.alias("title_preview"), "chunk_count", year.alias("year"))
