@@ -15,13 +15,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.impacts import Best, Impacts, Postings
 from corpusloom.session import cut, spread
 
 #: Weights of journal ranks 1 to 7. Fixed values.
 JOURNAL_WEIGHTS = (1.5, 1.4, 1.3, 1.2, 1.15, 1.05, 1.0)
-#: Queries go to the tasks in blocks of so many.
+#: One pass over vectors serves so many components of queries (8 bytes each in a task),
+QUERY_VALUES = 1 << 23
+#: which meet rows in blocks of so many queries.
 QUERY_BLOCK = 4096
 TEXT_QUERY_BLOCK = 256
+#: One pass over texts serves so many terms of queries (16 bytes each in a task).
+QUERY_TERMS = 1 << 22
+#: Documents are scored in pieces of so many.
+PIECE = 1024
 #: Rows are compared with all queries of a block in pieces of so many scores.
 _SCORES = 1 << 21
 _ROWS = 512
@@ -58,36 +65,11 @@ def ranked(df: DataFrame, by: str, score: str, tie: str, k: int | None = None, n
     return out if k is None else out.where(F.col(name) <= k)
 
 
-class Best:
-    """The k best rows of each query so far: by score, the smaller key first on ties."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores = np.full((queries, k), -np.inf)
-        self.keys = np.full((queries, k), np.iinfo(np.int64).max)
-
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        """scores: a row for each query, a column for each key; -inf is no match."""
-        last, last_key = self.scores[:, -1:], self.keys[:, -1:]
-        better = (scores > last) | (scores == last) & (keys[None, :] < last_key) & np.isfinite(scores)
-        for q in np.flatnonzero(better.any(axis=1)).tolist():
-            new = np.flatnonzero(better[q])
-            if len(new) > 4 * self.k:  # what ties with the k-th best stays until keys decide
-                new = new[scores[q, new] >= np.partition(scores[q, new], -self.k)[-self.k]]
-            both, ids = np.append(self.scores[q], scores[q, new]), np.append(self.keys[q], keys[new])
-            order = np.lexsort((ids, -both))[: self.k]
-            self.scores[q], self.keys[q] = both[order], ids[order]
-
-    def rows(self, ids: list[int], names: list[str]) -> pa.RecordBatch:
-        which, at = np.nonzero(np.isfinite(self.scores))
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(ids, np.int64)[which]), pa.array(self.keys[which, at]), pa.array(self.scores[which, at])], names=names)
-
-
 def _query_blocks(asked: DataFrame, query: str, size: int) -> Iterator[list]:
-    """The rows of asked in blocks of about `size`."""
+    """The rows of asked, which is kept, in blocks of about `size`."""
     n = max(1, -(-asked.count() // size))
     for block in range(n):
-        yield asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == block).collect()
+        yield (asked if n == 1 else asked.where(F.pmod(F.xxhash64(query), F.lit(n)) == block)).collect()
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,91 +80,99 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query: str = "query_id", query_text: str = "query_text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query, key, score: of every query the k best documents that share a term with it. A
-    term that a query repeats counts as often. Ties go to the smaller key.
-
-    Two passes over the documents: one counts in how many of them each of the queries' terms
-    stands, the other scores. Terms are compared as 64-bit hashes. Null texts have no terms;
-    documents or queries without a key take no part."""
+    term that a query repeats counts as often; rows of one query count as one text. Ties go
+    to the smaller key.
+
+    Texts are read once for some millions of the queries' terms: what a document holds of
+    them is kept, which gives the counts, and is scored for all blocks of queries in one
+    more pass, pruned by bounds (see impacts). Terms are compared as 64-bit hashes. Null
+    texts have no terms; documents or queries without a key take no part."""
+    spark = docs.sparkSession
     hashed = lambda c: F.transform(tokens(c), lambda t: F.xxhash64(t))
     rows = docs.select(F.col(key).cast("long").alias(key), hashed(text).alias("h")).where(F.col(key).isNotNull())
-    asked = queries.select(F.col(query).cast("long").alias(query), hashed(query_text).alias("h")).where(f"size(h) > 0 and {query} is not null")
+    terms = queries.where(F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.explode(hashed(query_text)).alias("h"))
+    asked = cut(terms.groupBy(query, "h").agg(F.count("*").alias("times")))
     names, found = [query, key, "score"], None
-    for block in _query_blocks(asked, query, TEXT_QUERY_BLOCK):
-        ids = [r[query] for r in block]
-        of, terms = np.repeat(np.arange(len(block)), [len(r["h"]) for r in block]), np.array([x for r in block for x in r["h"]], np.int64)
-        pairs, times = np.unique(np.column_stack([terms, of]), axis=0, return_counts=True) if len(of) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-        known, bounds = np.unique(pairs[:, 0], return_index=True)
-        bounds = np.append(bounds, len(pairs))
-        sent = docs.sparkSession.sparkContext.broadcast((ids, known, bounds, pairs[:, 1], times))
-
-        def seen(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = sent.value[1]
-            df, n, length = np.zeros(len(known), np.int64), 0, 0
-            for batch in batches:
-                row, h = _flat(batch.column("h"))
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                ok = known[at] == h if len(known) else np.zeros(len(h), bool)
-                df += np.bincount(np.unique(row[ok] * len(known) + at[ok]) % max(1, len(known)), minlength=len(known))
-                n, length = n + batch.num_rows, length + len(h)
-            yield pa.RecordBatch.from_arrays([pa.array([*range(len(known)), -1, -2], pa.int64()), pa.array([*df.tolist(), n, length], pa.int64())], names=["term", "n"])
-
-        counted = rows.mapInArrow(seen, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        counts = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
-        n, length = counts.get(-1, 0), counts.get(-2, 0)
-        df = np.array([counts.get(i, 0) for i in range(len(known))], np.float64)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
-        stats = docs.sparkSession.sparkContext.broadcast((idf, max(length / max(n, 1), 1e-9)))
-
-        def scored(batches: Iterator[pa.RecordBatch], sent=sent, stats=stats) -> Iterator[pa.RecordBatch]:
-            (ids, known, bounds, of, times), (idf, avg) = sent.value, stats.value
-            best, q = Best(len(ids), k), len(ids)
-            asked = np.zeros((len(known), q))  # what a term counts for in each query
-            asked[np.repeat(np.arange(len(known)), np.diff(bounds)), of] = times * np.repeat(idf, np.diff(bounds))
+    parts = max(1, -(-asked.count() // QUERY_TERMS))
+    for part in range(parts):
+        pairs = asked.where(F.pmod(F.xxhash64(query), F.lit(parts)) == part).toArrow()
+        known, term = np.unique(pairs.column("h").to_numpy(), return_inverse=True)
+        ids, of = np.unique(pairs.column(query).to_numpy(), return_inverse=True)
+        order = np.lexsort((term, of))
+        term, of, times = term[order].astype(np.int32), of[order].astype(np.int32), pairs.column("times").to_numpy()[order].astype(np.int32)
+        held = cut(_held(rows, spark.sparkContext.broadcast(known), key))
+        each = held.select("dl", F.explode(F.concat("term", F.array(F.lit(-1)))).alias("term"))  # -1 stands once in each document
+        counted = each.groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("length")).toArrow()
+        which, many = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+        df = np.zeros(len(known))
+        df[which[which >= 0]] = many[which >= 0]
+        n, length = int(many[which < 0].sum()), int(counted.column("length").to_numpy()[which < 0].sum())
+        gain = times * np.log((n - df + 0.5) / (df + 0.5) + 1)[term]
+        sent = spark.sparkContext.broadcast((ids, of, term, gain, max(length / max(n, 1), 1e-9)))
+
+        def scored(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, of, term, gain, avg = sent.value
+            blocks = []
+            for lo in range(0, len(ids), TEXT_QUERY_BLOCK):
+                x, y = np.searchsorted(of, [lo, lo + TEXT_QUERY_BLOCK])
+                blocks.append((ids[lo : lo + TEXT_QUERY_BLOCK], Impacts(of[x:y] - lo, term[x:y], gain[x:y], min(TEXT_QUERY_BLOCK, len(ids) - lo), k)))
             for batch in batches:
-                if not q:
-                    continue
-                for lo in range(0, batch.num_rows, max(1, _SCORES // q)):
-                    part = batch.slice(lo, max(1, _SCORES // q))
-                    row, h = _flat(part.column("h"))
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    ok = known[at] == h
-                    length = np.bincount(row, minlength=part.num_rows)
-                    each, tf = np.unique(row[ok] * len(known) + at[ok], return_counts=True)
-                    row, term = np.divmod(each, len(known))
-                    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg))
-                    sums = np.zeros((part.num_rows, q))
-                    for x in range(0, len(each), 1 << 13):
-                        own = row[x : x + (1 << 13)]
-                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        sums[own[first]] += np.add.reduceat(weight[x : x + (1 << 13), None] * asked[term[x : x + (1 << 13)]], first, axis=0)
-                    scores = np.round(sums.T, 9)
-                    best.add(np.where(scores > 0, scores, -np.inf), part.column(key).to_numpy())
-            yield best.rows(ids, names)
-
-        out = rows.mapInArrow(scored, f"{query} long, {key} long, score double")
+                for lo in range(0, batch.num_rows, PIECE):
+                    own = batch.slice(lo, PIECE)
+                    row, which = _flat(own.column("term"))
+                    tf, dl = own.column("tf").flatten().to_numpy(), own.column("dl").to_numpy()
+                    piece = Postings(own.column(key).to_numpy(), row, which, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avg)))
+                    for _, block in blocks:
+                        block.add(piece)
+            yield from (block.best.rows(own, names) for own, block in blocks)
+
+        out = held.where("size(term) > 0").mapInArrow(scored, f"{query} long, {key} long, score double")
         found = out if found is None else found.unionByName(out)
     return ranked(found, query, "score", key, k).drop("rank")
 
 
+def _held(rows: DataFrame, known, key: str) -> DataFrame:
+    """key, dl, term, tf: of every document its length and, of the known terms (a broadcast,
+    in order), those that it holds, by place, and how often."""
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = known.value
+        for batch in batches:
+            row, h = _flat(batch.column("h"))
+            at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+            ok = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+            each, tf = np.unique(row[ok] * max(1, len(terms)) + at[ok], return_counts=True)
+            own, term = np.divmod(each, max(1, len(terms)))
+            ends = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64()), *lists], names=[key, "dl", "term", "tf"])
+
+    return rows.mapInArrow(matched, f"{key} long, dl long, term array<int>, tf array<int>")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """query, key, similarity: the k rows with the largest dot product for every query. Rows or
-    queries without a vector or a key take no part; ties go to the smaller key."""
+    queries without a vector or a key take no part; ties go to the smaller key. The vectors
+    are read once for some millions of the queries' components."""
     asked = queries.where(F.col(query_vector).isNotNull() & F.col(query).isNotNull()).select(F.col(query).cast("long").alias(query), F.col(query_vector).cast("array<double>").alias("v"))
     rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
-    names, found = [query, key, "similarity"], None
-    for block in _query_blocks(asked, query, QUERY_BLOCK):
+    asked, names, found = cut(asked), [query, key, "similarity"], None
+    wide = asked.agg(F.max(F.size("v"))).first()[0] or 1
+    for block in _query_blocks(asked, query, max(1, QUERY_VALUES // wide)):
         sent = vectors.sparkSession.sparkContext.broadcast(([r[query] for r in block], np.array([r["v"] for r in block], np.float64)))
 
         def compared(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best = Best(len(ids), k)
+            starts = range(0, len(ids), QUERY_BLOCK)
+            best = [Best(min(QUERY_BLOCK, len(ids) - x), k) for x in starts]
+            step = max(1, _SCORES // max(1, min(QUERY_BLOCK, len(ids))))
             for batch in batches:
-                step = max(1, _SCORES // max(1, len(ids)))
                 for lo in range(0, batch.num_rows if ids else 0, step):
                     part = batch.slice(lo, step)
-                    m = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
-                    best.add(q @ m.T, part.column(key).to_numpy())
-            yield best.rows(ids, names)
+                    m, keys = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1).T, part.column(key).to_numpy()
+                    for x, own in zip(starts, best, strict=True):
+                        own.add(q[x : x + QUERY_BLOCK] @ m, keys)
+            yield from (own.rows(ids[x : x + QUERY_BLOCK], names) for x, own in zip(starts, best, strict=True))
 
         out = rows.mapInArrow(compared, f"{query} long, {key} long, similarity double")
         found = out if found is None else found.unionByName(out)
@@ -240,8 +230,8 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
     sides search the documents given and no others.
     docs: doc_id, text, source, tier, citations; vectors: vec_id (= doc_id), embedding;
     queries: query_id, query_text, query_vector."""
-    facts = docs.select("doc_id", source, "tier", "citations")
-    known = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    facts, queries = cut(docs.select("doc_id", source, "tier", "citations")), cut(queries)
+    known = vectors.join(facts.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     pool = nearest(known, queries, 2 * k).drop("rank").join(facts, F.col("vec_id") == F.col("doc_id"))
     semantic = boosted_search(pool, 2 * k, key="doc_id").select("query_id", source, "score")
     words = bm25(docs, queries, 2 * k).join(facts, "doc_id").select("query_id", source, "score")

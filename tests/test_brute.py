@@ -146,11 +146,21 @@ def test_bm25_in_blocks_and_pieces(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").selectExpr("item_id AS query_id", "text AS query_text")
     one = sorted(map(tuple, retrieval.bm25(docs, queries, 7).collect()))
-    for name, value in (("TEXT_QUERY_BLOCK", 7), ("_SCORES", 90)):
+    for name, value in (("TEXT_QUERY_BLOCK", 7), ("PIECE", 30), ("QUERY_TERMS", 200)):
         monkeypatch.setattr(retrieval, name, value)
     assert sorted(map(tuple, retrieval.bm25(docs, queries, 7).collect())) == one and len(one) > 100
 
 
+def test_nearest_in_blocks_and_passes(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(400)], "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(50)], "query_id long, query_vector array<double>")
+    one = sorted(map(tuple, retrieval.nearest(rows, asked, 5).collect()))
+    for name, value in (("QUERY_BLOCK", 7), ("QUERY_VALUES", 100), ("_SCORES", 90)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(tuple, retrieval.nearest(rows, asked, 5).collect())) == one and len(one) == 250
+
+
 def test_ties_of_the_best(spark):
     rows = spark.createDataFrame([(i, [1.0 if i % 3 else 2.0, 0.0]) for i in range(500)] + [(900, None)], "vec_id long, embedding array<double>").repartition(5)
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None)], "query_id long, query_vector array<double>")
