@@ -225,16 +225,18 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int, query: str = "query_id
     return ranked(both.withColumn("score", F.col("semantic") * (1 - weight) + F.col("keyword") * weight), query, "score", source, k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, source: str = "source") -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, source: str = "source", texts: DataFrame | None = None) -> DataFrame:
     """query_id, source, score, rank: keyword and vector search of every query, fused. Both
     sides search the documents given and no others.
     docs: doc_id, text, source, tier, citations; vectors: vec_id (= doc_id), embedding;
-    queries: query_id, query_text, query_vector."""
+    queries: query_id, query_text, query_vector; texts: doc_id, text of the same documents,
+    where docs are joined from several tables: so texts are read where they stand, and none
+    is sent through that join."""
     facts, queries = cut(docs.select("doc_id", source, "tier", "citations")), cut(queries)
     known = vectors.join(facts.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     pool = nearest(known, queries, 2 * k).drop("rank").join(facts, F.col("vec_id") == F.col("doc_id"))
     semantic = boosted_search(pool, 2 * k, key="doc_id").select("query_id", source, "score")
-    words = bm25(docs, queries, 2 * k).join(facts, "doc_id").select("query_id", source, "score")
+    words = bm25(docs if texts is None else texts, queries, 2 * k).join(facts, "doc_id").select("query_id", source, "score")
     return fuse(semantic, words, k, source=source)
 
 

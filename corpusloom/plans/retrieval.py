@@ -121,7 +121,7 @@ fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.source
 SELECT query_id, source, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(score, 6) AS score, rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank FROM fused) WHERE rank <= 10""")
 def hybrid_search(spark, sf_dir):
-    found = r.hybrid(papers(spark, sf_dir), table(spark, sf_dir, "embeddings"), _items(spark, sf_dir), 10)
+    found = r.hybrid(papers(spark, sf_dir), table(spark, sf_dir, "embeddings"), _items(spark, sf_dir), 10, texts=table(spark, sf_dir, "documents"))
     return found.select("query_id", "source", *(F.round(c, 6).alias(c) for c in ("semantic", "keyword", "score")), F.col("rank").cast("long").alias("rank"))
 
 
