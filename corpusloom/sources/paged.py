@@ -13,6 +13,8 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,8 +116,10 @@ def paged_source(name: str, schema: str, fetch: Callable[[Page], list[tuple]]) -
 
 def serve(rows: DataFrame, folder: str, *columns: str) -> Callable[[Page], list[tuple]]:
     """A service over a table (query, year, and `columns`, by the first of which results are in
-    order): the table is written to `folder`, a file for each shard, and pages are read from it."""
-    fanned = rows.select("query", "year", *columns).repartition("query", "year").sortWithinPartitions("query", "year", columns[0])
+    order): the table is written to `folder`, a file for each shard, and pages are read from it.
+    A shard is put in order as it is read: rows come to its file as they are sent, and the
+    writer's own order by shard takes the place of any other."""
+    fanned = rows.select("query", "year", *columns).repartition("query", "year")
     fanned.withColumns({"q": F.hex(F.encode("query", "UTF-8")), "y": F.col("year")}).drop("query", "year").write.partitionBy("q", "y").parquet(folder)
 
     def fetch(page: Page) -> list[tuple]:
@@ -124,8 +128,12 @@ def serve(rows: DataFrame, folder: str, *columns: str) -> Callable[[Page], list[
         for name in held.names(at):
             if name.endswith(".parquet"):
                 with held.fs.open_input_file(held.at(f"{at}/{name}")) as file:
-                    found += [tuple(r[c] for c in columns) for r in pq.read_table(file).to_pylist() if page.field is None or r["field"] == page.field]
-        return found[page.offset : page.offset + page.limit]
+                    rows = pq.read_table(file)
+                found.append(rows if page.field is None else rows.filter(pc.field("field") == page.field))
+        if not found:
+            return []
+        served = pa.concat_tables(found).sort_by(columns[0]).slice(page.offset, page.limit)
+        return [tuple(r[c] for c in columns) for r in served.to_pylist()]
 
     return fetch
 
