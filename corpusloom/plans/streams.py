@@ -76,11 +76,14 @@ def stream_agent_states(spark, sf_dir):
 
 
 @query("stream_tasks", """WITH o AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new_ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-n AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS task FROM o)
-SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'timeout' END AS outcome FROM n GROUP BY user_id, task
-HAVING epoch_ms(max(ts)) + 7200001 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
+n AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS task FROM o),
+m AS (SELECT *, max(task) OVER (PARTITION BY user_id) AS last_ FROM n)
+SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'timeout' END AS outcome FROM m GROUP BY user_id, task, last_
+HAVING task < last_ OR epoch_ms(max(ts)) + 7200001 < (SELECT epoch_ms(max(ts)) - 600000 FROM events)""")
 def stream_tasks(spark, sf_dir):
-    """Tasks of users that timers have ended, two hours after their last event."""
+    """Tasks of users that have ended, two hours after their last event: a later event of the
+    user tells them, or a timer once the watermark has passed it. Events of one time go to one
+    task, in whatever order they come."""
     return _plain(_drained(spark, s.tasks(_stream(spark, sf_dir), 7_200.0, 7_200.0), "append"))
 
 

@@ -1,8 +1,12 @@
 """What larger tables bring out: order of files, ties in time, memory and meetings that grow."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
+from corpusloom import registry
 from corpusloom.sources import paged
+from tests.compare import connect, rows
 
 
 def test_a_shard_is_served_in_order(spark, tmp_path):
@@ -12,3 +16,23 @@ def test_a_shard_is_served_in_order(spark, tmp_path):
     assert [n for n, _ in fetch(paged.Page("q0", 2000, None, 10, 20))] == list(range(10, 30))
     assert [n for n, _ in fetch(paged.Page("q0", 2000, "f1", 5, 100))] == list(range(11, 40, 2))
     assert fetch(paged.Page("q0", 2001, None, 0, 10)) == []
+
+
+def same_as_sql(spark, folder, name):
+    con = connect("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    return rows(registry.queries()[name](spark, folder).toPandas()), rows(con.execute(registry.oracle_sql()[name]).df())
+
+
+def test_tasks_with_ties_in_time_and_at_the_end(spark, tmp_path):
+    """Events of one time that begin a task; a task that the stream's last event closes; timers at
+    the watermark and a millisecond before it."""
+    start = datetime(2024, 1, 1)
+    end = timedelta(hours=12)
+    timer = end - timedelta(minutes=10) - timedelta(hours=2)
+    at = [(1, timedelta(0), 4), (1, timedelta(hours=3), 5), (2, timedelta(hours=1), 1), (2, end - timedelta(hours=2, minutes=1), 1), (2, end, 1), (3, timer - timedelta(milliseconds=1), 1), (4, timer - timedelta(milliseconds=2), 1)]
+    events = [(user, start + ts, "view", 1.0) for user, ts, n in at for _ in range(n)]
+    frame = spark.createDataFrame([(len(events) - i, *e) for i, e in enumerate(events)], "event_id long, user_id long, ts timestamp_ntz, event_type string, value double")
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    got, want = same_as_sql(spark, str(tmp_path), "stream_tasks")
+    assert got == want and len(got[1]) == 5
