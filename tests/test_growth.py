@@ -2,9 +2,12 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import registry
+from corpusloom.batches import pieces
+from corpusloom.operators.chunking import packed
 from corpusloom.sources import paged
 from tests.compare import connect, rows
 
@@ -36,3 +39,31 @@ def test_tasks_with_ties_in_time_and_at_the_end(spark, tmp_path):
     frame.write.parquet(f"{tmp_path}/events.parquet")
     got, want = same_as_sql(spark, str(tmp_path), "stream_tasks")
     assert got == want and len(got[1]) == 5
+
+
+def test_pieces_are_whole_and_bounded():
+    texts = ["ab", None, "", "c" * 50, "d", "é" * 4, "e"] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([None if t is None else list(t) for t in texts], pa.list_(pa.string()))], names=["i", "t", "l"])
+    for column, of in (("t", lambda x: len((x or "").encode())), ("l", lambda x: len(x or ()))):
+        found = list(pieces(batch, column, 10))
+        assert pa.Table.from_batches(found).to_pylist() == batch.to_pylist() and len(found) > 9
+        assert all(p.num_rows == 1 or sum(map(of, p.column(column).to_pylist())) <= 10 for p in found)
+    assert list(pieces(batch.slice(0, 0), "t")) == [] and len(list(pieces(batch.slice(1, 2), "t"))) == 1
+
+
+def test_chunks_leave_a_task_in_pieces(spark):
+    """However many texts come in one batch of Arrow."""
+    sizes = lambda held: [b.num_rows for b in held]
+    seen = []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            texts = pa.array(["word " * 2_000] * 1_000)
+            seen.extend(sizes(run(iter([pa.RecordBatch.from_arrays([pa.array(range(1_000)), texts], names=["doc_id", "text"])]))))
+            return self
+
+    packed(Docs())
+    assert sum(seen) == 1_000 and max(seen) < 200
