@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.batches import pieces
 from corpusloom.operators.impacts import Best, Impacts, Postings
 from corpusloom.session import cut, spread
 
@@ -133,19 +134,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
 
 def _held(rows: DataFrame, known, key: str) -> DataFrame:
     """key, dl, term, tf: of every document its length and, of the known terms (a broadcast,
-    in order), those that it holds, by place, and how often."""
+    in order), those that it holds, by place, and how often. Documents are looked at in pieces
+    of a batch, so that a task's memory grows with none of its batches."""
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = known.value
         for batch in batches:
-            row, h = _flat(batch.column("h"))
-            at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
-            ok = terms[at] == h if len(terms) else np.zeros(len(h), bool)
-            each, tf = np.unique(row[ok] * max(1, len(terms)) + at[ok], return_counts=True)
-            own, term = np.divmod(each, max(1, len(terms)))
-            ends = pa.array(np.searchsorted(own, np.arange(batch.num_rows + 1)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.bincount(row, minlength=batch.num_rows), pa.int64()), *lists], names=[key, "dl", "term", "tf"])
+            for own in pieces(batch, "h"):
+                row, h = _flat(own.column("h"))
+                at = np.minimum(np.searchsorted(terms, h), max(0, len(terms) - 1))
+                ok = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+                each, tf = np.unique(row[ok] * max(1, len(terms)) + at[ok], return_counts=True)
+                which, term = np.divmod(each, max(1, len(terms)))
+                ends = pa.array(np.searchsorted(which, np.arange(own.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]
+                yield pa.RecordBatch.from_arrays([own.column(key), pa.array(np.bincount(row, minlength=own.num_rows), pa.int64()), *lists], names=[key, "dl", "term", "tf"])
 
     return rows.mapInArrow(matched, f"{key} long, dl long, term array<int>, tf array<int>")
 

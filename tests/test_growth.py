@@ -2,12 +2,14 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom import registry
 from corpusloom.batches import pieces
 from corpusloom.operators.chunking import packed
+from corpusloom.operators.retrieval import _held
 from corpusloom.sources import paged
 from tests.compare import connect, rows
 
@@ -67,3 +69,22 @@ def test_chunks_leave_a_task_in_pieces(spark):
 
     packed(Docs())
     assert sum(seen) == 1_000 and max(seen) < 200
+
+
+def test_words_of_documents_are_looked_up_in_pieces():
+    """However many documents come in one batch of Arrow."""
+    out = []
+
+    class Docs:
+        def mapInArrow(self, run, _):  # noqa: N802
+            words = pa.array([[i % 7, 3, i % 5] * 1_000 for i in range(1_000)], pa.list_(pa.int64()))
+            out.extend(run(iter([pa.RecordBatch.from_arrays([pa.array(range(1_000)), words], names=["doc_id", "h"])])))
+
+    class Known:
+        value = np.array([2, 3, 9])
+
+    _held(Docs(), Known(), "doc_id")
+    assert max(b.num_rows for b in out) < 500
+    for r in pa.Table.from_batches(out).to_pylist():
+        words = [r["doc_id"] % 7, 3, r["doc_id"] % 5]
+        assert r["dl"] == 3_000 and dict(zip(r["term"], r["tf"], strict=True)) == {at: 1_000 * words.count(w) for at, w in enumerate([2, 3, 9]) if w in words}
