@@ -137,44 +137,45 @@ _POOL = f"session_id long, source string, {_RECORD}, dropped boolean"
 
 
 class _Pool(StatefulProcessor):
-    """State of a session: its papers by source, and when it was last heard of."""
+    """State of a session: its papers, and when it was last heard of. A batch reads the papers
+    once and writes them once, as every call to the state store costs a message there and back."""
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.papers = handle.getMapState("papers", "source string", _RECORD)
+        self.papers = handle.getListState("papers", f"source string, {_RECORD}")
         self.seen = handle.getValueState("seen", "timer long")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: ARG002, N802, N803
+        held = self._held()
         for r in initialState.itertuples():
-            self.papers.updateValue((r.source,), (_text(r.title), _number(r.year), _text(r.preview), bool(r.is_read), bool(r.has_fulltext)))
+            held[r.source] = (_text(r.title), _number(r.year), _text(r.preview), bool(r.is_read), bool(r.has_fulltext))
+        self._keep(held)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held: dict[str, tuple | None] = {}  # what this batch has looked at or changed
-        told: set[str] = set()
+    def _held(self) -> dict[str, tuple]:
+        return {source: tuple(record) for source, *record in self.papers.get()}
 
-        def known(source: str) -> tuple | None:
-            if source not in held:
-                held[source] = self.papers.getValue((source,)) if self.papers.containsKey((source,)) else None
-            return held[source]
+    def _keep(self, held: dict[str, tuple]) -> None:
+        if held:
+            self.papers.put([(source, *record) for source, record in held.items()])
+        else:
+            self.papers.clear()
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held, told = self._held(), set()
         last = 0
         for frame in rows:
             for r in frame.sort_values("seq").itertuples():
                 last = max(last, int(r.at_ms))
                 if r.kind == "end":
-                    for (source,) in list(self.papers.keys()):
-                        held[source] = None
-                        told.add(source)
-                    self.papers.clear()
-                    told.update(s for s, v in held.items() if v is not None)
-                    held = dict.fromkeys(told)
+                    told.update(held)
+                    held = {}
                     continue
                 if not r.source:
                     continue
-                now = known(r.source)
+                now = held.get(r.source)
                 if r.kind == "found":
                     title, year = _text(r.title), _number(r.year)
                     new = (title, year, _text(r.preview)[:PREVIEW], False, True) if now is None else (now[0] or title, now[1] if now[1] is not None else year, *now[2:])
@@ -185,16 +186,17 @@ class _Pool(StatefulProcessor):
                 if new != now:
                     held[r.source] = new
                     told.add(r.source)
-                    self.papers.updateValue((r.source,), new)
+        if told:
+            self._keep(held)
         if self.seen.exists():
             self.handle.deleteTimer(self.seen.get()[0])
         timer = max(last, timerValues.getCurrentWatermarkInMs()) + self.idle_ms
         self.handle.registerTimer(timer)
         self.seen.update((timer,))
-        yield _rows(key[0], [(s, held[s]) for s in sorted(told)])
+        yield _rows(key[0], [(s, held.get(s)) for s in sorted(told)])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        gone = sorted(s for (s,) in self.papers.keys())  # noqa: SIM118
+        gone = sorted(self._held())
         self.papers.clear()
         self.seen.clear()
         yield _rows(key[0], [(s, None) for s in gone])

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from corpusloom.batches import pieces
 from corpusloom.operators.chunking import packed
 from corpusloom.operators.retrieval import _held
 from corpusloom.sources import paged
+from corpusloom.streaming.state import _Pool
 from tests.compare import connect, rows
 
 
@@ -88,3 +90,37 @@ def test_words_of_documents_are_looked_up_in_pieces():
     for r in pa.Table.from_batches(out).to_pylist():
         words = [r["doc_id"] % 7, 3, r["doc_id"] % 5]
         assert r["dl"] == 3_000 and dict(zip(r["term"], r["tf"], strict=True)) == {at: 1_000 * words.count(w) for at, w in enumerate([2, 3, 9]) if w in words}
+
+
+def test_a_pool_is_read_and_written_once_a_batch():
+    """However many papers and turns a session has: every call to the store is a message."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name, self.rows = name, []
+
+        def __getattr__(self, call):
+            def called(*rows):
+                calls.append((self.name, call))
+                if call in ("put", "update"):
+                    self.rows = list(rows[0])
+                return self.rows if call == "get" else bool(self.rows)
+
+            return called
+
+    class Handle:
+        getListState = getValueState = lambda self, name, *_: State(name)
+        deleteTimer = registerTimer = lambda self, at: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    pool = _Pool(1_000)
+    pool.init(Handle())
+    turns = [(i, i, ("found", "read")[i % 2], f"s{i // 2 % 50}", "T", 2000, "p") for i in range(500)]
+    frame = pd.DataFrame(turns, columns=["seq", "at_ms", "kind", "source", "title", "year", "preview"])
+    for _ in range(2):
+        (out,) = pool.handleInputRows((1,), iter([frame]), Times())
+    assert calls.count(("papers", "get")) == calls.count(("papers", "put")) + 1 == 2  # the second batch changes nothing
+    assert len(pool.papers.rows) == 50 and all(r[4] for r in pool.papers.rows) and len(out) == 0
