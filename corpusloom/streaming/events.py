@@ -101,10 +101,15 @@ def agent_states(events: DataFrame) -> DataFrame:
 
 def in_batches(rows: DataFrame, part: Column, batches: int, folder: str) -> DataFrame:
     """The rows as a stream of so many micro-batches: those whose `part` is 0 come first, and so
-    on. They are written to `folder` one part after the other, in a file each."""
+    on. They are written to `folder` one part after the other, by as many tasks as run at once;
+    each part gets the same number of files, empty ones if need be, as a batch is told by it."""
+    spark, at = rows.sparkSession, f"{folder}/in"
+    files = spark.sparkContext.defaultParallelism
     for i in range(batches):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        rows.where(part == i).repartition(files).write.mode("append").parquet(at)
+        for _ in range((i + 1) * files - len(spark.read.schema(rows.schema).parquet(at).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:

@@ -4,11 +4,12 @@ that sessions keep between turns. Both need the RocksDB state store (see `statef
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -57,49 +58,52 @@ def canonical(text: str) -> str | None:
 
 
 class _Calls(StatefulProcessor):
-    """State of a stream of answers (key): by index the call so far, by index and number the
-    pieces that came too early. A call that is told keeps its index, without its text."""
+    """State of a stream of answers (key): the calls so far, and the pieces that came too early
+    (`seq`: a call's next piece, or the piece's own number). A call that is told keeps its index,
+    without its text. A batch reads the state once and writes it once, as every call to the
+    state store costs a message there and back."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getMapState("open", "index int", "call_id string, name string, text string, next int, depth int, quoted boolean, escaped boolean", self.ttl_ms)
-        self.early = handle.getMapState("early", "index int, seq int", "call_id string, name string, piece string", self.ttl_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: ARG002, N802, N803
-        out, ended = [], False
-        for frame in rows:
-            ended |= bool(frame["ended"].any())
-            frame = frame[~frame["ended"]]
-            for index, own in frame.sort_values("seq").groupby("index"):
-                out += self._take(int(index), own)
+        self.held = handle.getListState("held", "index int, seq int, early boolean, call_id string, name string, text string, depth int, quoted boolean, escaped boolean", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: ARG002, N802, N803
+        ended, came = False, defaultdict(dict)
+        for r in rows:
+            ended |= r["ended"]
+            if not r["ended"] and r["index"] is not None and r["seq"] is not None:
+                came[r["index"]][r["seq"]] = (r["call_id"], r["name"], r["piece"])
+        calls, early = self._read()
+        out = []
+        for index in sorted(came):
+            out += self._take(index, came[index], calls, early)
         if ended:
             told = {index for index, *_ in out}
-            for (index,), (call_id, name, text, *_) in sorted(self.open.iterator()):
-                if text is not None and name and index not in told:
-                    out.append((index, call_id, name, "{}", False))
-            self.open.clear()
-            self.early.clear()
-        frame = pd.DataFrame(out, columns=["index", "call_id", "name", "arguments", "complete"])
-        frame.insert(0, "stream", key[0])
-        yield frame
-
-    def _take(self, index: int, rows: pd.DataFrame) -> list[tuple]:
-        call = self.open.getValue((index,)) if self.open.containsKey((index,)) else ("", "", "", 0, 0, False, False)
-        call_id, name, text, next_, depth, quoted, escaped = call
+            out += [(index, call_id, name, "{}", False) for index, (call_id, name, text, *_) in sorted(calls.items()) if text is not None and name and index not in told]
+            self.held.clear()
+        elif came:
+            self.held.put([(i, c[3], False, *c[:3], *c[4:]) for i, c in calls.items()] + [(i, seq, True, *p, 0, False, False) for i, own in early.items() for seq, p in own.items()])
+        yield from (Row(stream=key[0], index=i, call_id=c, name=n, arguments=a, complete=whole) for i, c, n, a, whole in out)
+
+    def _read(self) -> tuple[dict[int, tuple], dict[int, dict[int, tuple]]]:
+        """By index the call so far; by index and number the pieces that came too early."""
+        calls, early = {}, defaultdict(dict)
+        for index, seq, waits, call_id, name, text, *inside in self.held.get():
+            if waits:
+                early[index][seq] = (call_id, name, text)
+            else:
+                calls[index] = (call_id, name, text, seq, *inside)
+        return calls, early
+
+    def _take(self, index: int, came: dict[int, tuple], calls: dict[int, tuple], early: dict[int, dict[int, tuple]]) -> list[tuple]:
+        call_id, name, text, next_, depth, quoted, escaped = calls.get(index, ("", "", "", 0, 0, False, False))
         if text is None:  # told before
             return []
-        waiting = {int(r.seq): (r.call_id, r.name, r.piece) for r in rows.itertuples() if r.seq >= next_}
-        out = []
-        while text is not None:
-            if next_ in waiting:
-                more_id, more_name, piece = waiting.pop(next_)
-            elif self.early.containsKey((index, next_)):
-                more_id, more_name, piece = self.early.getValue((index, next_))
-                self.early.removeKey((index, next_))
-            else:
-                break
+        waiting, out = early.pop(index, {}) | {seq: p for seq, p in came.items() if seq >= next_}, []
+        while next_ in waiting:
+            more_id, more_name, piece = waiting.pop(next_)
             call_id, name, piece = more_id or call_id, more_name or name, piece or ""
             depth, quoted, escaped, upto = scanned(piece, depth, quoted, escaped)
             text, next_ = text + piece, next_ + 1
@@ -108,10 +112,10 @@ class _Calls(StatefulProcessor):
                 if name:
                     out.append((index, call_id, name, held or "{}", held is not None))
                 text = None
-        if text is not None:
-            for seq, piece in waiting.items():
-                self.early.updateValue((index, seq), piece)
-        self.open.updateValue((index,), (call_id, name, text, next_, depth, quoted, escaped))
+                break
+        if text is not None and waiting:
+            early[index] = waiting
+        calls[index] = (call_id, name, text, next_, depth, quoted, escaped)
         return out
 
 
@@ -122,13 +126,13 @@ def tool_calls(pieces: DataFrame, ttl_ms: int | None = HOUR_MS) -> DataFrame:
     A call is told once its arguments' outermost bracket closes; identifier and name may come
     with any piece, the last one given counts. Arguments that are no JSON object are {} and
     not complete. A row that says that the stream has ended tells what is left open in the same
-    way and forgets all of it, as does `ttl_ms` without news, if that isn't None. (With it a query
+    way and forgets all of it, as does `ttl_ms` without news of the stream, if that isn't None. (With it a query
     goes on until it is stopped: state may run out at any time, so `availableNow` never ends.)
     Calls without a name are left out. Pieces that come twice count once; those after a call
     was told are ignored."""
     shape = "stream long, index int, call_id string, name string, arguments string, complete boolean"
     keyed = pieces.select("stream", "index", "seq", "call_id", "name", "piece", F.coalesce("ended", F.lit(False)).alias("ended")).where("stream is not null").groupBy("stream")
-    return keyed.transformWithStateInPandas(_Calls(ttl_ms), shape, "append", "none" if ttl_ms is None else "processingTime")
+    return keyed.transformWithState(_Calls(ttl_ms), shape, "append", "none" if ttl_ms is None else "processingTime")
 
 
 PREVIEW = 500

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom import registry
@@ -12,7 +13,8 @@ from corpusloom.batches import pieces
 from corpusloom.operators.chunking import packed
 from corpusloom.operators.retrieval import _held
 from corpusloom.sources import paged
-from corpusloom.streaming.state import _Pool
+from corpusloom.streaming import events as s
+from corpusloom.streaming.state import _Calls, _Pool
 from tests.compare import connect, rows
 
 
@@ -124,3 +126,43 @@ def test_a_pool_is_read_and_written_once_a_batch():
         (out,) = pool.handleInputRows((1,), iter([frame]), Times())
     assert calls.count(("papers", "get")) == calls.count(("papers", "put")) + 1 == 2  # the second batch changes nothing
     assert len(pool.papers.rows) == 50 and all(r[4] for r in pool.papers.rows) and len(out) == 0
+
+
+def test_calls_are_read_and_written_once_a_batch():
+    """However many calls and early pieces a stream has: every call to the store is a message."""
+    calls = []
+
+    class Held:
+        rows = []
+
+        def __getattr__(self, call):
+            def called(*rows):
+                calls.append(call)
+                if call != "get":
+                    self.rows = list(rows[0]) if rows else []
+                return self.rows
+
+            return called
+
+    class Handle:
+        getListState = lambda self, *_: held
+
+    held = Held()
+    work = _Calls(None)
+    work.init(Handle())
+    text = '{"a": "}", "b": [1]}'
+    piece = lambda i, n: Row(stream=1, index=i, seq=n, call_id=f"c{i}" if n == 0 else None, name="t" if n == 0 else None, piece=text[2 * n : 2 * n + 2], ended=False)
+    late = [piece(i, n) for i in range(40) for n in range(10) if n % 2 == 0]
+    assert list(work.handleInputRows((1,), iter(late), None)) == [] and calls == ["get", "put"] and len(held.rows) == 40 * 5
+    out = list(work.handleInputRows((1,), iter([piece(i, n) for i in range(40) for n in range(10) if n % 2]), None))
+    assert calls == ["get", "put"] * 2 and [(r["index"], r.call_id, r.arguments, r.complete) for r in out] == [(i, f"c{i}", '{"a":"}","b":[1]}', True) for i in range(40)]
+    assert len(held.rows) == 40 and not any(r[5] for r in held.rows)
+
+
+def test_a_batch_is_written_by_several_tasks(spark, tmp_path):
+    """And still holds its part alone, also where a part has few rows or none."""
+    rows_ = spark.range(5_000).select("id", F.when(F.col("id") < 3_000, 0).when(F.col("id") < 3_002, 1).otherwise(3).alias("part"))
+    told = s.drained(s.in_batches(rows_, F.col("part"), 4, str(tmp_path / "in")), "append", str(tmp_path / "out"))
+    assert {(r.part, r._batch): r["count"] for r in told.groupBy("part", "_batch").count().collect()} == {(0, 0): 3_000, (1, 1): 2, (3, 3): 1_998}
+    files = [f for f in (tmp_path / "in" / "in").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 4 * spark.sparkContext.defaultParallelism
