@@ -37,29 +37,54 @@ def deduplicated(events: DataFrame, *keys: str) -> DataFrame:
     return timed(events).dropDuplicatesWithinWatermark(list(keys))
 
 
-_FOLD_OUT = "user_id long, n long, resets long, kept double, last_type string"
+# Users' states lie in so many blocks: a call of Python and a row of state for each block and
+# batch cost what they would for one user.
+BLOCKS = 1024
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _in_blocks(step: Callable[[list, tuple], None], first: tuple, out: Callable[[list], tuple], names: list[str]) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """A state for each user of a block, `first` at the start, which `step` changes by an event
+    (its columns after user, ts and event_id), in order of time; `out` of those that had events."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {user: list(own) for user, *own in zip(*state.get, strict=True)} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        users = [None] * len(rows) if key[0] < 0 else rows.user_id.tolist()
+        for user, *event in zip(users, *(rows[c].tolist() for c in rows.columns.drop(["block", "user_id", "ts", "event_id"], errors="ignore")), strict=True):
+            own = held.get(user)
+            if own is None:
+                own = held[user] = list(first)
+            step(own, event)
+        state.update(tuple(map(list, zip(*((user, *own) for user, own in held.items()), strict=True))))
+        seen = dict.fromkeys(users)
+        yield pd.DataFrame([(user, *out(held[user])) for user in seen], columns=names).astype({"user_id": "Int64"})
+
+    return run
+
+
+def _by_user(events: DataFrame, columns: list[str], run: Callable, shape: str, state: str) -> DataFrame:
+    block = F.when(F.col("user_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(BLOCKS)).cast("int"))
+    rows = events.select(block.alias("block"), "user_id", "event_id", *columns, F.col("ts").cast("timestamp").alias("ts"))
+    lists = ", ".join(f"{name} array<{kind}>" for name, kind in (x.split() for x in f"user_id long, {state}".split(", ")))
+    return rows.groupBy("block").applyInPandasWithState(run, shape, lists, "update", GroupStateTimeout.NoTimeout)
+
+
+def _fold(own: list, event: tuple) -> None:
     """n events; a purchase resets what was gathered, values count after a signup only."""
-    n, resets, kept, open_, last = state.get if state.exists else (0, 0, 0.0, False, "")
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind, value in zip(rows.event_type, rows.value, strict=True):
-        n, last = n + 1, kind
-        if kind == "purchase":
-            resets, kept = resets + 1, 0.0
-        elif kind == "signup":
-            open_ = True
-        elif open_:
-            kept += float(value)
-    state.update((n, resets, kept, open_, last))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "resets": [resets], "kept": [round(kept, 6)], "last_type": [last]})
+    kind, value = event
+    own[0], own[4] = own[0] + 1, kind
+    if kind == "purchase":
+        own[1], own[2] = own[1] + 1, 0.0
+    elif kind == "signup":
+        own[3] = True
+    elif own[3]:
+        own[2] += float(value)
 
 
 def folded(events: DataFrame) -> DataFrame:
     """A row for each user and trigger: the state after the events seen so far."""
-    rows = events.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    return rows.groupBy("user_id").applyInPandasWithState(_fold, _FOLD_OUT, "n long, resets long, kept double, open boolean, last string", "update", GroupStateTimeout.NoTimeout)
+    run = _in_blocks(_fold, (0, 0, 0.0, False, ""), lambda s: (s[0], s[1], round(s[2], 6), s[4]), ["user_id", "n", "resets", "kept", "last_type"])
+    return _by_user(events, ["event_type", "value"], run, "user_id long, n long, resets long, kept double, last_type string", "n long, resets long, kept double, open boolean, last string")
 
 
 # Calls that each state of an agent may make, calls in all, and states entered.
@@ -68,35 +93,32 @@ MOST_CALLS, MOST_LOOPS = 15, 8
 ORDER = ("retrieve", "quick_read", "deep_read", "respond")
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _advance(own: list, event: tuple) -> None:
     """Calls move a task on when a state's budget is used up; errors use it up as well. A signup
     while reading asks for another search. A purchase, the last call or the last state that may
     be entered makes the task respond, whatever comes then."""
-    at, used, calls, failed, loops = state.get if state.exists else (0, 0, 0, 0, 1)
-    end = len(ORDER) - 1
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind in rows.event_type:
-        if at == end:
-            break
-        calls, used, failed = calls + 1, used + 1, failed + (kind == "error")
-        if calls >= MOST_CALLS or kind == "purchase":
-            to = end
-        elif kind == "signup" and at:
-            to = 0
-        elif used >= BUDGETS[ORDER[at]]:
-            to = at + 1
-        else:
-            continue
-        loops += 1
-        at, used = end if loops > MOST_LOOPS else to, 0
-    state.update((at, used, calls, failed, loops))
-    yield pd.DataFrame({"user_id": [key[0]], "state": [ORDER[at]], "calls": [calls], "failed": [failed], "loops": [loops]})
+    at, used, calls, failed, loops = own
+    end, kind = len(ORDER) - 1, event[0]
+    if at == end:
+        return
+    calls, used, failed = calls + 1, used + 1, failed + (kind == "error")
+    if calls >= MOST_CALLS or kind == "purchase":
+        to = end
+    elif kind == "signup" and at:
+        to = 0
+    elif used >= BUDGETS[ORDER[at]]:
+        to = at + 1
+    else:
+        own[:] = at, used, calls, failed, loops
+        return
+    loops += 1
+    own[:] = end if loops > MOST_LOOPS else to, 0, calls, failed, loops
 
 
 def agent_states(events: DataFrame) -> DataFrame:
-    rows = events.select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    state = "at int, used int, calls long, failed long, loops int"
-    return rows.groupBy("user_id").applyInPandasWithState(_advance, "user_id long, state string, calls long, failed long, loops int", state, "update", GroupStateTimeout.NoTimeout)
+    """A row for each user and trigger: where the user's task stands."""
+    run = _in_blocks(_advance, (0, 0, 0, 0, 1), lambda s: (ORDER[s[0]], *s[2:]), ["user_id", "state", "calls", "failed", "loops"])
+    return _by_user(events, ["event_type"], run, "user_id long, state string, calls long, failed long, loops int", "at int, used int, calls long, failed long, loops int")
 
 
 def in_batches(rows: DataFrame, part: Column, batches: int, folder: str) -> DataFrame:

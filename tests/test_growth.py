@@ -166,3 +166,24 @@ def test_a_batch_is_written_by_several_tasks(spark, tmp_path):
     assert {(r.part, r._batch): r["count"] for r in told.groupBy("part", "_batch").count().collect()} == {(0, 0): 3_000, (1, 1): 2, (3, 3): 1_998}
     files = [f for f in (tmp_path / "in" / "in").iterdir() if f.name.startswith("part-")]
     assert len(files) == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_users_of_a_block_share_a_state():
+    """One call and one row of state for all users of a block; of those with events one row each,
+    users without a number among them."""
+
+    class State:
+        exists, get, updates = False, None, 0
+
+        def update(self, value):
+            self.exists, self.get, self.updates = True, value, self.updates + 1
+
+    state, run = State(), s._in_blocks(s._fold, (0, 0, 0.0, False, ""), lambda x: tuple(x), ["user_id", "n", "resets", "kept", "open", "last"])
+    big = 2**60
+    frame = lambda users, kinds, at: pd.DataFrame({"user_id": users, "event_id": range(len(users)), "event_type": kinds, "value": 1.5, "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta([at] * len(users), unit="h")})
+    (one,) = run((7,), iter([frame([big + i for i in range(500)], ["signup"] * 500, 1)]), state)
+    (two,) = run((7,), iter([frame([big + 3] * 2, ["view", "purchase"], 3), frame([big + 4] * 2 + [big + 3], ["view"] * 3, 2)]), state)
+    assert len(one) == 500 and state.updates == 2 and len(state.get[0]) == 500
+    assert {r.user_id: tuple(r)[2:] for r in two.itertuples()} == {big + 3: (4, 1, 0.0, True, "purchase"), big + 4: (3, 0, 3.0, True, "view")}
+    (none,) = run((-1,), iter([frame([None] * 2, ["signup", "view"], 1)]), State())
+    assert len(none) == 1 and none.user_id.isna().all() and none.n[0] == 2 and none.kept[0] == 1.5
