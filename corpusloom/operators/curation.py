@@ -5,12 +5,14 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.batches import pieces
 from corpusloom.functions import vocabulary as v
 from corpusloom.functions.text import ngrams, normalize_title
 from corpusloom.session import cut, spread
@@ -47,31 +49,108 @@ def _titles(records: DataFrame, key: str, title: str) -> DataFrame:
     return records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t")).where("length(t) > 0")
 
 
+#: Titles that meet in a part are compared there up to so many; more are split once again.
+_MEET = 64
+_MIX, _MIX_AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _stirred(h: np.ndarray, by: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * by
+    return h ^ (h >> np.uint64(29))
+
+
+def _classes(percent: int) -> np.ndarray:
+    """Least sizes of classes: sets that similar are of one class or of two that adjoin."""
+    least = [1]
+    while least[-1] < 1 << 31:
+        least.append(least[-1] * 100 // percent + 1)
+    return np.array(least, np.int64)
+
+
+def _parts(g: np.ndarray, percent: int, classes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+    """For the class of a set of grams and the one before: the grams' parts, the parts' keys,
+    and whether the set is of the lower class of the two. Sets of two classes that adjoin, if
+    similar, differ in fewer grams than there are parts, so that one part at least is equal."""
+    out, own = [], int(np.searchsorted(classes, len(g), "right")) - 1
+    for level in (own, own - 1):
+        if level >= 0:
+            n = int(2 * (classes[level + 2] - 1) * (100 - percent) // (100 + percent)) + 1
+            part = (_stirred(g, _MIX) % np.uint64(n)).astype(np.int64)
+            out.append((part, _keys(g, part, n, np.uint64(level)), level == own))
+    return out
+
+
+def _keys(g: np.ndarray, part: np.ndarray, n: int, salt: np.uint64) -> np.ndarray:
+    """A hash of each of n parts: of its number, its grams and a salt."""
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, part, _stirred(g, _MIX_AGAIN))
+    numbers = np.arange(1, n + 1, dtype=np.uint64) + _stirred(np.full(1, salt), _MIX_AGAIN)
+    return _stirred(sums + _stirred(numbers, _MIX), _MIX_AGAIN)
+
+
+def _meetings(grams: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
+    """rep, key, low, m, bits: the parts of every title. With hot (rep, hot: keys), in place of
+    each of those parts all that a title has besides it, in parts again: titles equal in the
+    first part differ in as few grams in the rest."""
+    bits = [c for c in grams.columns if c.startswith("b")]
+    classes = _classes(percent)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (own for whole in batches for own in pieces(whole, "g", 1 << 17)):
+            row, keys, low = [], [], []
+            lists = batch.column("hot").to_pylist() if "hot" in batch.schema.names else [None] * batch.num_rows
+            at, flat = batch.column("g").offsets.to_numpy(), batch.column("g").values.to_numpy().view(np.uint64)
+            for i, again in enumerate(lists):
+                g = flat[at[i] : at[i + 1]]
+                wanted = None if again is None else set(again)
+                for part, found, lower in _parts(g, percent, classes):
+                    if wanted is None:
+                        made = [found]
+                    else:
+                        made = []
+                        for j, key in enumerate(found.view(np.int64).tolist()):
+                            if key in wanted:
+                                rest = g[part != j]
+                                made.append(_keys(rest, (_stirred(rest, _MIX_AGAIN) % np.uint64(len(found))).astype(np.int64), len(found), found[j]))
+                    for k in made:
+                        row.append(np.full(len(k), i))
+                        keys.append(k)
+                        low.append(np.full(len(k), lower))
+            if row:
+                row, key, low = pa.array(np.concatenate(row)), np.concatenate(keys).view(np.int64), np.concatenate(low)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), pa.array(key), pa.array(low), *(batch.column(c).take(row) for c in ("m", *bits))], names=["rep", "key", "low", "m", *bits])
+
+    rows = grams if hot is None else grams.join(hot, "rep")
+    rows = spread(rows.select("rep", "g", "m", *bits, *([] if hot is None else ["hot"])), "rep")
+    return rows.mapInArrow(split, f"rep long, key long, low boolean, m int, {', '.join(f'{b} long' for b in bits)}")
+
+
 def _similar_titles(same: DataFrame, percent: int, n: int) -> DataFrame:
     """a < b, similarity of distinct titles (rep, t), by their n-grams as 64-bit hashes.
 
-    Titles meet at shared grams of a prefix: of the grams of a title in a common order, a
-    pair that similar shares one of the first few, so the frequent rest need not meet. Where
-    they meet, 256 bits of each title's grams tell how many grams they differ in at least;
-    only pairs that this leaves are brought together with all their grams."""
+    Grams are dealt into parts by their hash, more parts than similar titles differ in grams,
+    and titles meet where a part is equal. Where many do, the rest of their grams is dealt
+    into parts again and they meet where one of those is equal too, so that chance meetings
+    stay few however many titles there are. Where they meet, 256 bits of each title's grams
+    tell how many grams they differ in at least; only pairs that this leaves are brought
+    together with all their grams."""
     grams = spread(same, "rep").select("rep", F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 0")
-    grams = cut(grams)
-    counts = cut(grams.select(F.explode("g").alias("w")).groupBy("w").agg(F.count("*").alias("c")))
-    ordered = grams.select("rep", F.explode("g").alias("w")).join(counts, "w").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda s: s["w"]).alias("g"))
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 2), F.lit(64)).cast("int"))
     word = lambda i: F.aggregate("g", F.lit(0).cast("long"), lambda s, h: F.when(F.pmod(h, F.lit(4)) == i, s.bitwiseOR(bit(h))).otherwise(s))
     bits = [f"b{i}" for i in range(4)]
-    ordered = cut(ordered.select("*", F.size("g").alias("m"), *(word(i).alias(b) for i, b in enumerate(bits))))
-    prefix = ordered.select("rep", F.posexplode(F.slice("g", F.lit(1), (F.col("m") - F.ceil(F.col("m") * percent / 100) + 1).cast("int"))).alias("p", "w"), "m", *bits)
-    one, other = prefix.alias("x"), prefix.alias("y")
-    # what stands before a shared gram and from it on bounds what a pair can share
-    most = F.least("x.p", "y.p") + F.least(F.col("x.m") - F.col("x.p"), F.col("y.m") - F.col("y.p"))
+    grams = cut(grams.select(F.col("rep").cast("long").alias("rep"), "g", F.size("g").alias("m"), *(word(i).alias(b) for i, b in enumerate(bits))))
+    crowd = lambda rows: cut(rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
+    first = crowd(_meetings(grams, percent))
+    again = crowd(_meetings(grams, percent, first.where(F.col("c") > _MEET).groupBy("rep").agg(F.collect_list("key").alias("hot"))))
+    rows = first.where(F.col("c") <= _MEET).unionByName(again)
+    one, other = rows.alias("x"), rows.alias("y")
     both = F.col("x.m") + F.col("y.m")
     unlike = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits)
-    enough = (most * (100 + percent) >= both * percent) & (unlike * (100 + percent) <= both * (100 - percent))
-    met = one.join(other, (F.col("x.w") == F.col("y.w")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent) & enough)
+    # two of the upper class meet in their own, too
+    enough = (F.col("x.low") | F.col("y.low")) & (unlike * (100 + percent) <= both * (100 - percent))
+    met = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent) & enough)
     met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    both = met.join(ordered.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(ordered.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
+    both = met.join(grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import registry
 from corpusloom.batches import pieces
+from corpusloom.functions.text import ngrams
+from corpusloom.operators import curation
 from corpusloom.operators.chunking import packed
 from corpusloom.operators.retrieval import _held
 from corpusloom.sources import paged
@@ -187,3 +189,25 @@ def test_users_of_a_block_share_a_state():
     assert {r.user_id: tuple(r)[2:] for r in two.itertuples()} == {big + 3: (4, 1, 0.0, True, "purchase"), big + 4: (3, 0, 3.0, True, "view")}
     (none,) = run((-1,), iter([frame([None] * 2, ["signup", "view"], 1)]), State())
     assert len(none) == 1 and none.user_id.isna().all() and none.n[0] == 2 and none.kept[0] == 1.5
+
+
+def test_titles_of_frequent_grams_meet_seldom(spark, monkeypatch):
+    """And none that are alike are missed, also where every crowd is split again."""
+    rng = np.random.default_rng(3)
+    titles = ["".join(rng.choice(list("abcdef"), int(rng.integers(3, 70)))) for _ in range(700)]
+    for t in list(titles):
+        for at in rng.integers(0, len(t), int(rng.integers(1, 4))):
+            t = t[:at] + "abcdefg"[int(rng.integers(0, 7))] + t[at + int(rng.integers(0, 2)) :]
+        titles.append(t)
+    titles = sorted(set(titles))
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in titles]
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if x and y and 100 * len(x & y) >= 85 * len(x | y)}
+    frame = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    for most in (64, 1):
+        monkeypatch.setattr(curation, "_MEET", most)
+        assert {(r.a, r.b) for r in curation.title_pairs(frame, "id", "t").collect()} == want
+    assert len(want) > 50
+    grams = frame.select(F.col("id").alias("rep"), F.transform(ngrams(F.col("t"), 3), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 20").withColumn("m", F.size("g"))
+    counts = [r["count"] for r in curation._meetings(grams.withColumns({f"b{i}": F.lit(0).cast("long") for i in range(4)}), 85).groupBy("key").count().collect()]
+    n = grams.count()
+    assert sum(c * (c - 1) // 2 for c in counts) < 0.02 * n * (n - 1) / 2
