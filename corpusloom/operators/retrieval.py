@@ -7,7 +7,7 @@ shuffled. A task keeps the best k rows of each query and gives these alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.batches import pieces
-from corpusloom.operators.impacts import Best, Impacts, Postings
+from corpusloom.operators.impacts import Best, Impacts, Postings, _runs
 from corpusloom.session import cut, spread
 
 #: Weights of journal ranks 1 to 7. Fixed values.
@@ -30,9 +30,12 @@ TEXT_QUERY_BLOCK = 256
 QUERY_TERMS = 1 << 22
 #: Documents are scored in pieces of so many.
 PIECE = 1024
+#: So many words, the most frequent, take their weights along to the tasks (16 bytes each).
+FREQUENT_WORDS = 1 << 18
 #: Rows are compared with all queries of a block in pieces of so many scores.
 _SCORES = 1 << 21
-_ROWS = 512
+#: Words of documents meet the chunks of a block in portions of so many sums.
+_OVERLAPS = 1 << 18
 
 
 def tokens(text: Column | str) -> Column:
@@ -249,46 +252,162 @@ def overlap_passages(docs: DataFrame, chunks: DataFrame, n: int = 3, key: str =
     with a chunk are none of its; weights of 0 or less count as they are.
 
     Chunks are a query set: they go to the tasks in blocks and meet the documents there, so
-    that pairs are never rows, however frequent the words that they share. A document is
-    brought down to the sum of its weights and the words that some chunk has, once for all
-    blocks; words go by 64-bit hashes. Rows without a key are counted, but not found."""
-    words = lambda c: F.transform(F.array_distinct(tokens(c)), lambda t: F.xxhash64(t))
+    that pairs are never rows, however frequent the words that they share. Documents are read
+    once for some millions of the chunks' words; the most frequent words take their weights
+    along, and only rarer ones are sent to theirs. Words go by 64-bit hashes. Rows of one key
+    are one document; rows without a key are counted, but not found."""
+    spark = docs.sparkSession
+    words = lambda c: F.array_distinct(F.transform(tokens(c), lambda t: F.xxhash64(t)))
     base = cut(docs.select(F.col(key).cast("long").alias(key), F.coalesce(words(text), F.array().cast("array<long>")).alias("h")))
+    many = float(base.count())
+    base = _one_per_key(base, key)
     counted = base.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    idf = cut(counted.select("h", F.log(F.lit(float(base.count())) / (F.col("df") + 1)).alias("idf")))
-    asked = chunks.where(F.col(chunk).isNotNull()).select(F.col(chunk).cast("long").alias(chunk), F.explode(words(chunk_text)).alias("h"))
-    asked = asked.join(idf, "h", "left").select(chunk, "h", F.coalesce("idf", F.lit(1.0)).alias("idf"))
-    asked = cut(asked.groupBy(chunk).agg(F.collect_list(F.struct("h", "idf")).alias("terms")))
-    wanted = asked.select(F.explode("terms.h").alias("h")).distinct().withColumn("wanted", F.col("h"))
-    known = idf.join(wanted, "h", "left")
-    mine = base.where(F.col(key).isNotNull()).select(key, F.explode("h").alias("h")).join(known, "h")
-    rows = cut(spread(mine.groupBy(key).agg(F.sum("idf").alias("total"), F.collect_list("wanted").alias("h")).where("size(h) > 0"), key))
+    idf = cut(counted.select("h", F.length(F.bin("df")).alias("level"), F.log(F.lit(many) / (F.col("df") + 1)).alias("idf")))
+    frequent, rare, single = _by_frequency(idf)
+    asked = chunks.where(F.col(chunk).isNotNull()).select(F.col(chunk).cast("long").alias(chunk), F.explode(words(chunk_text)).alias("h")).distinct()
+    asked = cut(asked.join(idf.drop("level"), "h", "left").select(chunk, "h", F.coalesce("idf", F.lit(1.0)).alias("idf")))
     names, found = [chunk, key, "score"], None
-    for block in _query_blocks(asked, chunk, TEXT_QUERY_BLOCK):
-        weight = {t["h"]: t["idf"] for r in block for t in r["terms"]}
-        known = np.array(sorted(weight), np.int64)
-        sent = docs.sparkSession.sparkContext.broadcast(([r[chunk] for r in block], known, np.array([weight[h] for h in known.tolist()]), [np.searchsorted(known, [t["h"] for t in r["terms"]]) for r in block]))
+    parts = max(1, -(-asked.count() // QUERY_TERMS))
+    for part in range(parts):
+        pairs = asked.where(F.pmod(F.xxhash64(chunk), F.lit(parts)) == part).toArrow()
+        known, first, term = np.unique(pairs.column("h").to_numpy(), return_index=True, return_inverse=True)
+        ids, of = np.unique(pairs.column(chunk).to_numpy(), return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        sent = spark.sparkContext.broadcast((ids, of[order], term[order].astype(np.int32), pairs.column("idf").to_numpy()[first]))
+        rows = _weighed(base.where(F.col(key).isNotNull()), spark.sparkContext.broadcast((*frequent, known, single)), key)
+        if rare is not None:
+            rows = cut(rows)
+            rest = rows.where("size(rest) > 0")
+            more = rest.select(key, F.explode("rest").alias("h")).join(rare, "h").groupBy(key).agg(F.sum("idf").alias("more"))
+            rows = rows.where("size(rest) = 0").unionByName(rest.join(more, key).withColumn("total", F.col("total") + F.col("more")).drop("more"))
 
         def compared(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, known, idf, terms = sent.value
-            best, held = Best(len(ids), n), np.zeros((len(known), len(ids)))
-            for i, own in enumerate(terms):
-                held[own, i] = 1
-            sums, sizes = idf @ held, held.sum(axis=0)
+            ids, of, term, idf = sent.value
+            blocks = []
+            for lo in range(0, len(ids), TEXT_QUERY_BLOCK):
+                x, y = np.searchsorted(of, [lo, lo + TEXT_QUERY_BLOCK])
+                own = ids[lo : lo + TEXT_QUERY_BLOCK]
+                blocks.append((own, _Overlaps(of[x:y] - lo, term[x:y], idf, len(own), n)))
             for batch in batches:
-                for lo in range(0, batch.num_rows if len(ids) else 0, _ROWS):
-                    part = batch.slice(lo, _ROWS)
-                    row, h = _flat(part.column("h"))
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    ok = known[at] == h
-                    there = np.zeros((part.num_rows, len(known)))
-                    there[row[ok], at[ok]] = 1
-                    shared, both = there @ held, (there * idf) @ held
-                    union = part.column("total").to_numpy()[:, None] + sums - both
-                    scores = 0.5 * np.divide(both, union, out=np.zeros_like(both), where=union != 0) + 0.5 * shared / sizes
-                    best.add(np.where(shared > 0, np.round(scores, 9), -np.inf).T, part.column(key).to_numpy())
-            yield best.rows(ids, names)
-
-        out = rows.mapInArrow(compared, f"{chunk} long, {key} long, score double")
+                row, which = _flat(batch.column("term"))
+                for _, block in blocks:
+                    block.add(row, which, batch.column("total").to_numpy(), batch.column(key).to_numpy())
+            yield from (block.best.rows(own.tolist(), names) for own, block in blocks)
+
+        out = spread(rows.select(key, "total", "term"), key).mapInArrow(compared, f"{chunk} long, {key} long, score double")
         found = out if found is None else found.unionByName(out)
     return ranked(found, chunk, "score", key, n)
+
+
+def _one_per_key(base: DataFrame, key: str) -> DataFrame:
+    """base (key, h: distinct words), with rows of the same key put together."""
+    repeated = cut(base.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key))
+    if repeated.isEmpty():
+        return base
+    each = base.join(repeated, key, "left_semi").select(key, F.explode("h").alias("h")).distinct()
+    return cut(base.join(repeated, key, "left_anti").unionByName(each.groupBy(key).agg(F.collect_list("h").alias("h"))))
+
+
+def _by_frequency(idf: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None, float | None]:
+    """Of idf (h, level: the binary digits of a word's df, idf) the most frequent words, in order
+    of h, and their weights; the other words as rows; or, where these all stand in one document
+    only, None and the weight that they have in common."""
+    number = {r["level"]: r["count"] for r in idf.groupBy("level").count().collect()}
+    least = max(number, default=0) + 1
+    while least > 1 and sum(c for level, c in number.items() if level >= least - 1) <= FREQUENT_WORDS:
+        least -= 1
+    table = idf.where(F.col("level") >= least).select("h", "idf").toArrow()
+    h, weight = table.column("h").to_numpy(), table.column("idf").to_numpy()
+    order = np.argsort(h)
+    rest = idf.where(F.col("level") < least)
+    if least > 2:
+        return (h[order], weight[order]), rest.drop("level"), None
+    one = rest.select("idf").first()
+    return (h[order], weight[order]), None, one["idf"] if one else 0.0
+
+
+def _weighed(base: DataFrame, sent, key: str) -> DataFrame:
+    """key, total, term, rest: of every row of base that holds a known word the sum of the weights
+    of its words, the known ones, by place, and the words whose weight is still to be added.
+    sent: frequent words and their weights, known words, weight of every other word or None."""
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, idf, known, single = sent.value
+        names = np.union1d(frequent, known)
+        look = _lookup(names)
+        weight, place = np.full(len(names), np.nan if single is None else single), np.full(len(names), -1, np.int32)
+        weight[np.searchsorted(names, frequent)] = idf
+        place[np.searchsorted(names, known)] = np.arange(len(known))
+        if not len(known):
+            return
+        for batch in batches:
+            for own in pieces(batch, "h"):
+                row, h = _flat(own.column("h"))
+                at = look(h)
+                met = names[at] == h
+                term = np.where(met, place[at], -1)
+                found = np.bincount(row[term >= 0], minlength=own.num_rows) > 0
+                adds = np.where(met, weight[at], np.nan if single is None else single)
+                open_ = np.isnan(adds) & found[row]
+                total = np.bincount(row, np.nan_to_num(adds), own.num_rows)
+                lists = [_lists(row[ok], values[ok], own.num_rows, kind) for ok, values, kind in ((term >= 0, term, pa.int32()), (open_, h, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([own.column(key), pa.array(total), *lists], names=[key, "total", "term", "rest"]).filter(pa.array(found))
+
+    return base.mapInArrow(weighed, f"{key} long, total double, term array<int>, rest array<long>")
+
+
+def _lookup(names: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from hashes to their places in names (hashes in order, one at least), or to any
+    other place: the first bits of a hash name a short run."""
+    bits = max(1, min(24, len(names).bit_length()))
+    starts = np.searchsorted(names >> (64 - bits), np.arange(-(1 << bits - 1), 1 << bits - 1))
+
+    def look(h: np.ndarray) -> np.ndarray:
+        at = np.minimum(starts[(h >> (64 - bits)) + (1 << bits - 1)], len(names) - 1)
+        short = np.flatnonzero(names[at] < h)
+        while len(short):
+            short = short[at[short] < len(names) - 1]
+            at[short] += 1
+            short = short[names[at[short]] < h[short]]
+        return at
+
+    return look
+
+
+def _lists(row: np.ndarray, values: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
+    """A list for each of so many rows, of values that stand in the order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values, kind))
+
+
+class _Overlaps:
+    """A block of chunks that meets documents: only words that a document holds are added up."""
+
+    def __init__(self, of: np.ndarray, term: np.ndarray, idf: np.ndarray, chunks: int, n: int):
+        """of, term: for each word of a chunk the chunk and the word, whose weight is in idf."""
+        order = np.argsort(term, kind="stable")
+        self.of, self.idf, self.chunks, self.best = of[order], idf, chunks, Best(chunks, n)
+        self.terms, self.first, self.held = np.unique(term[order], return_index=True, return_counts=True)
+        self.sizes, self.sums = np.bincount(of, minlength=chunks)[:, None], np.bincount(of, idf[term], chunks)[:, None]
+
+    def add(self, row: np.ndarray, which: np.ndarray, total: np.ndarray, keys: np.ndarray) -> None:
+        """Documents by place: of each of their words the document (in order) and the word; their
+        sums of weights and keys. They are taken in portions of about _OVERLAPS sums."""
+        at = np.minimum(np.searchsorted(self.terms, which), max(0, len(self.terms) - 1))
+        ok = self.terms[at] == which if len(self.terms) else np.zeros(len(which), bool)
+        row, which, at = row[ok], which[ok], at[ok]
+        docs, first = np.unique(row, return_index=True)
+        ends = np.append(first[1:], len(row))
+        cost = np.cumsum(self.held[at])[ends - 1] + self.chunks * np.arange(1, len(docs) + 1)
+        lo = 0
+        while lo < len(docs):
+            hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + _OVERLAPS, "right")))
+            own, part = docs[lo:hi], slice(first[lo], ends[hi - 1])
+            run, place = _runs(self.held[at[part]])
+            cell = self.of[self.first[at[part]][run] + place] * len(own) + np.repeat(np.arange(len(own)), ends[lo:hi] - first[lo:hi])[run]
+            size = self.chunks * len(own)
+            shared = np.bincount(cell, minlength=size).reshape(self.chunks, -1)
+            both = np.bincount(cell, self.idf[which[part]][run], size).reshape(self.chunks, -1)
+            union = total[own] + self.sums - both
+            scores = 0.5 * np.divide(both, union, out=np.zeros_like(both), where=union != 0) + 0.5 * shared / self.sizes
+            self.best.add(np.where(shared > 0, np.round(scores, 9), -np.inf), keys[own])
+            lo = hi

@@ -5,13 +5,14 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusloom import registry
 from corpusloom.batches import pieces
 from corpusloom.functions.text import ngrams
-from corpusloom.operators import curation
+from corpusloom.operators import curation, retrieval
 from corpusloom.operators.chunking import packed
 from corpusloom.operators.retrieval import _held
 from corpusloom.sources import paged
@@ -211,3 +212,70 @@ def test_titles_of_frequent_grams_meet_seldom(spark, monkeypatch):
     counts = [r["count"] for r in curation._meetings(grams.withColumns({f"b{i}": F.lit(0).cast("long") for i in range(4)}), 85).groupBy("key").count().collect()]
     n = grams.count()
     assert sum(c * (c - 1) // 2 for c in counts) < 0.02 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("name", ["highlight_passages", "idf_overlap_top3"])
+@pytest.mark.parametrize("frequent", [1 << 21, 40, 0])
+def test_passages_by_sql_however_few_words_take_weights_along(spark, tmp_path, monkeypatch, name, frequent):
+    """Words with and without weights in tasks, one that every passage has, rows of one doc_id,
+    copies, texts without words; chunks of several blocks, and some with words of no passage."""
+    monkeypatch.setattr(retrieval, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(retrieval, "TEXT_QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "QUERY_TERMS", 150)
+    monkeypatch.setattr(retrieval, "_OVERLAPS", 50)
+    rng = np.random.default_rng(1)
+    line = lambda n: " ".join(["every", *(f"Word{int(w)}" for w in rng.zipf(1.3, n) % 3000)])
+    texts = ["\n".join(line(rng.integers(8, 40)) for _ in range(rng.integers(1, 5))) for _ in range(150)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    docs += [(i, texts[i // 2], "en", "s", 1) for i in range(0, 60, 3)] + [(900, None, "en", "s", 0), (901, "- " * 60, "en", "s", 120)] + [(1000 + i, texts[7], "en", "s", 1) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(i, line(12) + f" none{i}") for i in range(20)] + [(20, "every"), (21, "nothing of it"), (22, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = connect("/root/testdata/sf0.001")
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got, want = rows(registry.queries()[name](spark, str(tmp_path)).toPandas()), rows(con.execute(registry.oracle_sql()[name]).df())
+    assert got == want and len(got[1]) > 55
+
+
+def test_only_rare_words_are_sent_to_their_weights(spark):
+    idf = spark.createDataFrame([(h, level, float(h)) for h, level in ((5, 3), (-7, 3), (9, 2), (2, 2), (4, 1), (-1, 1))], "h long, level int, idf double")
+    base = spark.createDataFrame([(1, [5, 9, 4]), (2, [-7, 2]), (3, [-1]), (4, [])], "k long, h array<long>")
+    for most, sent in ((6, [[], []]), (4, [[], []]), (2, [[9, 4], [2]])):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(retrieval, "FREQUENT_WORDS", most)
+            frequent, rare, single = retrieval._by_frequency(idf.where("h != -1"))
+        assert (rare is None) == (most > 2)
+        found = retrieval._weighed(base.coalesce(1), spark.sparkContext.broadcast((*frequent, np.array([-7, 5]), single)), "k").collect()
+        assert [(r["k"], r["term"], r["rest"]) for r in found] == [(1, [1], sent[0]), (2, [0], sent[1])]
+        assert [r["total"] for r in found] == ([18.0, -5.0] if most > 2 else [5.0, -7.0])
+
+
+def test_overlaps_are_those_of_all_sums(monkeypatch):
+    """As a dense product gives them, in work by the words that documents hold."""
+    monkeypatch.setattr(retrieval, "_OVERLAPS", 200)
+    rng = np.random.default_rng(2)
+    docs, chunks, terms = 300, 11, 90
+    there, held = rng.random((docs, terms)) < 0.1, rng.random((terms, chunks)) < 0.2
+    there[::7] = False
+    idf, total = rng.normal(1, 1, terms), rng.normal(40, 10, docs)
+    term, of = np.nonzero(held)
+    block = retrieval._Overlaps(of, term, idf, chunks, 4)
+    for lo in range(0, docs, 64):
+        row, which = np.nonzero(there[lo : lo + 64])
+        block.add(row, which, total[lo : lo + 64], np.arange(lo, min(docs, lo + 64)))
+    both = (there * idf) @ held
+    scores = np.round(0.5 * both / (total[:, None] + idf @ held - both) + 0.5 * (there.astype(int) @ held) / held.sum(axis=0), 9)
+    scores[there.astype(int) @ held == 0] = -np.inf
+    assert np.array_equal(block.best.keys, np.argsort(-scores, axis=0, kind="stable")[:4].T)
+
+
+def test_hashes_are_looked_up():
+    rng = np.random.default_rng(3)
+    least, most = -(1 << 63), (1 << 63) - 1
+    for names in (rng.integers(least, most, 5000), np.array([0]), np.array([least, -1, 0, 1, most]), np.arange(-2000, 2000) * 3):
+        names = np.unique(names)
+        look = retrieval._lookup(names)
+        assert np.array_equal(look(names[::-1]), np.arange(len(names))[::-1])
+        other = np.setdiff1d(np.concatenate([rng.integers(least, most, 500), np.arange(-90, 90), [least, most]]), names)
+        assert not np.isin(names[look(other)], other).any()
