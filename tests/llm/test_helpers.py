@@ -7,10 +7,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.llm import components as star
 from corpusloom.llm import secrets, toxicity
 from corpusloom.llm._filters import filter_of, passes
 from corpusloom.llm._words import Words, slices
 from corpusloom.llm.components import components
+from corpusloom.session import cut
 
 TEXT = st.text(alphabet=st.sampled_from(list("aAbB zZ\t\n\x0b\r\x1c\x85é漢😀.")), max_size=60)
 
@@ -54,6 +56,35 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_few_links_take_no_further_rounds(spark, monkeypatch):
+    """However long the paths are: every round costs the driver four plans."""
+    cuts = []
+    monkeypatch.setattr(star, "cut", lambda df: cuts.append(1) or cut(df))
+    links = spark.createDataFrame([(i, i + 1) for i in range(700)] + [(3000 - i, 2999 - i) for i in range(500)], "a long, b long")
+    assert {r.component for r in components(links).collect()} == {0, 2500}
+    assert len(cuts) == 4
+
+
+def test_links_of_a_task_are_joined_in_blocks(monkeypatch):
+    rng = np.random.default_rng(9)
+    pairs = rng.integers(0, 400, (300, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(pairs[i : i + 7].max(axis=1)), pa.array(pairs[i : i + 7].min(axis=1))], names=["u", "v"]) for i in range(0, 300, 7)]
+
+    def groups(edges):
+        own = {x: x for e in edges for x in e}
+        while any(own[a] != own[b] for a, b in edges):
+            for a, b in edges:
+                own[a] = own[b] = min(own[a], own[b])
+        return {x: y for x, y in own.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+    for held in (1, 16, 1 << 16):
+        monkeypatch.setattr(star, "HELD", held)
+        made = [(u, v) for b in star._forests(iter(batches)) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+        assert all(u > v for u, v in made)
+        assert groups(made) == groups(pairs.tolist())
+    assert len(made) == len({u for u, _ in made})
+
+
 def test_filter_has_no_false_absence(spark):
     df = spark.range(3000).select(F.xxhash64("id").alias("h"))
     bits = filter_of(df, "h")
