@@ -357,11 +357,16 @@ def _reach(a: np.ndarray, b: np.ndarray, most: int = _FAR) -> tuple[int, int, in
     put in, up to SHIFT on both sides, are passed over if RESUME equal words follow; b is
     never shifted by more than `most` words against a."""
     p = q = matches = 0
+    held = None
     while True:
         n, same = _straight(a[p:], b[q:])
         p, q, matches = p + n, q + n, matches + same
+        if min(len(a) - p, len(b) - q) < RESUME:
+            return p, q, matches
+        held = held or (a.tobytes(), b.tobytes())
+        ones, others = ([text[w * at : w * (at + RESUME)] for at in range(start, start + SHIFT + 1)] for text, w, start in zip(held, (a.itemsize, b.itemsize), (p, q), strict=True))
         for i, j in _SHIFTS:
-            if q + j - p - i <= most and min(len(a) - p - i, len(b) - q - j) >= RESUME and (a[p + i : p + i + RESUME] == b[q + j : q + j + RESUME]).all():
+            if ones[i] == others[j] and q + j - p - i <= most and min(len(a) - p - i, len(b) - q - j) >= RESUME:
                 p, q = p + i, q + j
                 break
         else:
@@ -377,12 +382,17 @@ def _goes_on(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Words that a gap of each side has in common, in order."""
-    if len(a) == len(b) and (a == b).all():
+    if len(a) == len(b) and a.tobytes() == b.tobytes():
         return len(a)
-    row = np.zeros(len(b) + 1, np.int64)
-    for w in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == w, row[:-1] + 1, 0)))
-    return int(row[-1])
+    at: dict[int, int] = {}
+    for place, w in enumerate(b.tolist()):
+        at[w] = at.get(w, 0) | 1 << place
+    every = (1 << len(b)) - 1
+    free = every  # bit by bit the places of b where the row of the usual table doesn't rise
+    for w in a.tolist():
+        met = free & at.get(w, 0)
+        free = (free + met | free - met) & every
+    return len(b) - free.bit_count()
 
 
 def align(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, apart: int | None = None) -> tuple[int, int, int, int, int]:
@@ -420,6 +430,8 @@ def _further(one: np.ndarray, other: np.ndarray, got: tuple, least_words: int, i
     left, right = min(s, t, 2 * lacks), min(len(one) - e, len(other) - u, 2 * lacks)
     before = one[s - left : s][::-1] == other[t - left : t][::-1]
     after = one[e : e + right] == other[u : u + right]
+    if matches + np.count_nonzero(before) + np.count_nonzero(after) < identity * (max(e - s, u - t) + lacks):
+        return got
     a, b = (np.append(0, np.flatnonzero(same) + 1) for same in (before, after))
     total = matches + np.append(0, np.cumsum(before))[a][:, None] + np.append(0, np.cumsum(after))[b][None, :]
     longer = a[:, None] + b[None, :]
@@ -456,14 +468,23 @@ def _equal(one: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray) ->
     return good
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists of numbers, none of them null, and the bounds of its lists."""
+    bounds = column.offsets.to_numpy()
+    return column.values.to_numpy()[bounds[0] : bounds[-1]].astype(np.int64), bounds - bounds[0]
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: float) -> Iterator[pa.RecordBatch]:
     """Passages, and what has to be aligned once more: before and after have grown there."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int32()] * 4]
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
+        flat_x, bounds_x = _lists(batch.column("x"))
+        flat_y, bounds_y = _lists(batch.column("y"))
+        for k, r in enumerate(batch.drop_columns(["x", "y"]).to_pylist()):
             one, other = np.frombuffer(r["words_x"], np.uint32), np.frombuffer(r["words_y"], np.uint32)
-            x, y = np.array(r["x"]) - r["ax"], np.array(r["y"]) - r["ay"]
+            whole_x, whole_y = flat_x[bounds_x[k] : bounds_x[k + 1]], flat_y[bounds_y[k] : bounds_y[k + 1]]
+            x, y = whole_x - r["ax"], whole_y - r["ay"]
             good = _equal(one, other, x, y)
             if not good.any():
                 continue
@@ -475,7 +496,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], least_words: int, identity: floa
             if len(one) == r["bx"] - r["ax"] and len(other) == r["by"] - r["ay"] and _goes_on(one[e:], other[u:]):
                 after = max(after, min(WIDER * after, r["room_after"]))
             if (before, after) != (r["before"], r["after"]):
-                rows.append((r["doc_id"], None, None, r["partner"], None, None, None, None, r["x"], r["y"], r["room_before"], r["room_after"], before, after))
+                rows.append((r["doc_id"], None, None, r["partner"], None, None, None, None, whole_x.tolist(), whole_y.tolist(), r["room_before"], r["room_after"], before, after))
                 continue
             for s, e, t, u, matches in found:
                 rows.append((r["doc_id"], s + r["ax"], e + r["ax"], r["partner"], t + r["ay"], u + r["ay"], e - s, round(min(1.0, matches / max(e - s, u - t)), 6), *[None] * 6))
