@@ -49,8 +49,13 @@ def _titles(records: DataFrame, key: str, title: str) -> DataFrame:
     return records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t")).where("length(t) > 0")
 
 
-#: Titles that meet in a part are compared there up to so many; more are split once again.
+#: Titles that meet in a part are compared one with the next up to so many, more of them as a matrix.
 _MEET = 64
+#: Of more titles than about so many that meet in a part, each two blocks meet by themselves.
+_BLOCK = 1 << 14
+_SLOTS = 1 << 16
+#: Pairs that are looked at in one go.
+_PAIRS = 1 << 18
 _MIX, _MIX_AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -67,92 +72,306 @@ def _classes(percent: int) -> np.ndarray:
     return np.array(least, np.int64)
 
 
-def _parts(g: np.ndarray, percent: int, classes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """For the class of a set of grams and the one before: the grams' parts, the parts' keys,
-    and whether the set is of the lower class of the two. Sets of two classes that adjoin, if
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+
+
+def _grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n characters, and the texts that they are of."""
+    words = texts.to_pylist()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    runs = np.maximum(sizes - n + 1, 0)
+    row = np.repeat(np.arange(len(words)), runs)
+    at = np.arange(len(row)) + (_begins(sizes)[:-1] - _begins(runs)[:-1])[row]
+    h = np.zeros(len(row), np.uint64)
+    for k in range(n):
+        h = _stirred(h, _MIX) ^ flat[at + k]
+    return _stirred(_stirred(h, _MIX), _MIX_AGAIN), row
+
+
+def _gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text in order, one text after the other, and where they begin."""
+    h, row = _grams(texts, n)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[first], _begins(np.bincount(row[first], minlength=len(texts)))
+
+
+def _sketches(texts: pa.Array, n: int) -> np.ndarray:
+    """256 bits of each text's grams: texts differ in as many grams as bits at least."""
+    out = [np.zeros((0, 4), np.uint64)]
+    for own in pieces(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
+        h, row = _grams(own.column(0), n)
+        bits = np.zeros((own.num_rows, 256), bool)
+        bits[row, (h >> np.uint64(56)).astype(np.int64)] = True
+        out.append(np.packbits(bits, axis=1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def _parts(g: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the parts into which sets of grams (of g from at on) are dealt at levels of
+    classes, and where a set's keys begin. Sets of a level's class and of the one above, if
     similar, differ in fewer grams than there are parts, so that one part at least is equal."""
-    out, own = [], int(np.searchsorted(classes, len(g), "right")) - 1
-    for level in (own, own - 1):
-        if level >= 0:
-            n = int(2 * (classes[level + 2] - 1) * (100 - percent) // (100 + percent)) + 1
-            part = (_stirred(g, _MIX) % np.uint64(n)).astype(np.int64)
-            out.append((part, _keys(g, part, n, np.uint64(level)), level == own))
-    return out
-
-
-def _keys(g: np.ndarray, part: np.ndarray, n: int, salt: np.uint64) -> np.ndarray:
-    """A hash of each of n parts: of its number, its grams and a salt."""
-    sums = np.zeros(n, np.uint64)
-    np.add.at(sums, part, _stirred(g, _MIX_AGAIN))
-    numbers = np.arange(1, n + 1, dtype=np.uint64) + _stirred(np.full(1, salt), _MIX_AGAIN)
-    return _stirred(sums + _stirred(numbers, _MIX), _MIX_AGAIN)
-
-
-def _meetings(grams: DataFrame, percent: int, hot: DataFrame | None = None) -> DataFrame:
-    """rep, key, low, m, bits: the parts of every title. With hot (rep, hot: keys), in place of
-    each of those parts all that a title has besides it, in parts again: titles equal in the
-    first part differ in as few grams in the rest."""
-    bits = [c for c in grams.columns if c.startswith("b")]
-    classes = _classes(percent)
+    n = 2 * (classes[level + 2] - 1) * (100 - percent) // (100 + percent) + 1
+    begin = _begins(n)
+    row = np.repeat(np.arange(len(n)), np.diff(at))
+    sums = np.zeros(begin[-1], np.uint64)
+    np.add.at(sums, begin[row] + (_stirred(g, _MIX) % n.astype(np.uint64)[row]).astype(np.int64), _stirred(g, _MIX_AGAIN))
+    numbers = (np.arange(1, begin[-1] + 1) - np.repeat(begin[:-1], n)).astype(np.uint64)
+    numbers += np.repeat(_stirred(level.astype(np.uint64), _MIX_AGAIN), n)
+    return _stirred(sums + _stirred(numbers, _MIX), _MIX_AGAIN), begin
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(20)).astype(np.int64) & (_SLOTS - 1)
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (own for whole in batches for own in pieces(whole, "g", 1 << 17)):
-            row, keys, low = [], [], []
-            lists = batch.column("hot").to_pylist() if "hot" in batch.schema.names else [None] * batch.num_rows
-            at, flat = batch.column("g").offsets.to_numpy(), batch.column("g").values.to_numpy().view(np.uint64)
-            for i, again in enumerate(lists):
-                g = flat[at[i] : at[i + 1]]
-                wanted = None if again is None else set(again)
-                for part, found, lower in _parts(g, percent, classes):
-                    if wanted is None:
-                        made = [found]
-                    else:
-                        made = []
-                        for j, key in enumerate(found.view(np.int64).tolist()):
-                            if key in wanted:
-                                rest = g[part != j]
-                                made.append(_keys(rest, (_stirred(rest, _MIX_AGAIN) % np.uint64(len(found))).astype(np.int64), len(found), found[j]))
-                    for k in made:
-                        row.append(np.full(len(k), i))
-                        keys.append(k)
-                        low.append(np.full(len(k), lower))
-            if row:
-                row, key, low = pa.array(np.concatenate(row)), np.concatenate(keys).view(np.int64), np.concatenate(low)
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), pa.array(key), pa.array(low), *(batch.column(c).take(row) for c in ("m", *bits))], names=["rep", "key", "low", "m", *bits])
-
-    rows = grams if hot is None else grams.join(hot, "rep")
-    rows = spread(rows.select("rep", "g", "m", *bits, *([] if hot is None else ["hot"])), "rep")
-    return rows.mapInArrow(split, f"rep long, key long, low boolean, m int, {', '.join(f'{b} long' for b in bits)}")
-
-
-def _similar_titles(same: DataFrame, percent: int, n: int) -> DataFrame:
-    """a < b, similarity of distinct titles (rep, t), by their n-grams as 64-bit hashes.
+
+def _split(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of pieces of batches: the rows' numbers, their keys, and 8 x the part's number, 4 more if the set is of the lower of two classes."""
+    classes = _classes(percent)
+    for batch in (own for whole in batches for own in pieces(whole, "g", 1 << 17)):
+        held = batch.column("g")
+        g, at = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy().astype(np.int64)
+        g, at = g[at[0] : at[-1]], at - at[0]
+        own = np.searchsorted(classes, np.diff(at), "right") - 1
+        found = []
+        for level in (own, own - 1):
+            there = np.flatnonzero(level >= 0)
+            sizes = np.diff(at)[there]
+            begin = _begins(sizes)
+            keys, begins = _parts(g[np.arange(begin[-1]) + np.repeat(at[there] - begin[:-1], sizes)], begin, level[there], percent, classes)
+            n = np.diff(begins)
+            part = np.arange(len(keys)) - np.repeat(begins[:-1], n)
+            found.append((np.repeat(there, n), keys, part * 8 + (level is own) * 4))
+        yield batch, *(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _crowds(grams: DataFrame, percent: int) -> dict[int, int]:
+    """Slots of keys that more than _BLOCK titles meet in, and how many: few, however many titles there are."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(_SLOTS, np.int64)
+        for _, _, keys, _ in _split(batches, percent):
+            count += np.bincount(_slots(keys), minlength=_SLOTS)
+        there = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(count[there])], names=["slot", "n"])
+
+    found = grams.select("g").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > _BLOCK)
+    return {r.slot: r.n for r in found.collect()}
+
+
+def _meetings(grams: DataFrame, percent: int, crowds: dict[int, int] | None = None) -> DataFrame:
+    """The columns besides g (the grams of a title), key, at: the parts of every title. Where a
+    crowd meets, its titles are dealt into blocks and a key stands for two of them; at holds,
+    besides what _split gives, 1 or 2 for titles of two blocks, which meet those of the other only."""
+    carried = [c for c in grams.columns if c != "g"]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = np.ones(_SLOTS, np.int64)
+        for slot, n in (crowds or {}).items():
+            blocks[slot] = -(-n // _BLOCK)
+        for batch, row, keys, at in _split(batches, percent):
+            n = blocks[_slots(keys)]
+            if n.max(initial=1) > 1:
+                copy = np.repeat(np.arange(len(keys)), n)
+                other = np.arange(len(copy)) - np.repeat(_begins(n)[:-1], n)
+                row, keys, at, n = row[copy], keys[copy], at[copy], n[copy]
+                rep = batch.column("rep").to_numpy().astype(np.int64).view(np.uint64)[row]
+                mine = (_stirred(_stirred(rep, _MIX_AGAIN), _MIX) % n.astype(np.uint64)).astype(np.int64)
+                low, high = np.minimum(mine, other), np.maximum(mine, other)
+                keys = np.where(n > 1, _stirred(keys + (low * n + high + 1).astype(np.uint64) * _MIX, _MIX_AGAIN), keys)
+                at = at + np.where(low == high, 0, np.where(mine == low, 1, 2))
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in carried), pa.array(keys.view(np.int64)), pa.array(at.astype(np.int32))], names=[*carried, "key", "at"])
+
+    return grams.mapInArrow(met, T.StructType([*grams.select(carried).schema.fields, T.StructField("key", T.LongType()), T.StructField("at", T.IntegerType())]))
+
+
+class _Meeting:
+    """Rows (rep, t, m, key, at) of whole keys, one key after the other: pairs that are similar."""
+
+    def __init__(self, rows: pa.Table, percent: int, n: int, classes: np.ndarray):
+        key = rows.column("key").to_numpy()
+        again = key[1:] == key[:-1]
+        alone = ~(np.append(again, False) | np.insert(again, 0, False))
+        rows = (rows.filter(pa.array(~alone)) if alone.any() else rows).combine_chunks()
+        self.key, self.rep, self.m, at = (rows.column(c).to_numpy() for c in ("key", "rep", "m", "at"))
+        self.t = pa.concat_arrays(rows.column("t").chunks) if rows.num_rows else pa.array([], pa.string())
+        self.m = self.m.astype(np.int64)
+        self.part, self.low, self.side = at >> 3, at & 4 > 0, at & 3
+        self.bits, self.percent, self.n, self.classes = _sketches(self.t, n), percent, n, classes
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """a < b, similarity: every pair that first meets here."""
+        held, size = [], 0
+        for i, j in self._close():
+            held.append((i, j))
+            size += len(i)
+            if size >= _PAIRS:
+                yield from self._decided(held)
+                held, size = [], 0
+        if size:
+            yield from self._decided(held)
+
+    def _close(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows whose sizes and bits don't rule them out."""
+        begin = np.flatnonzero(np.insert(self.key[1:] != self.key[:-1], 0, True)) if len(self.key) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(self.key))
+        few = end - begin <= _MEET
+        i = np.flatnonzero(np.repeat(few, end - begin))
+        upto = np.repeat(end[few], (end - begin)[few])
+        for step in range(1, _MEET):
+            i, upto = i[i + step < upto], upto[i + step < upto]
+            if not len(i):
+                break
+            unlike = np.bitwise_count(self.bits[i] ^ self.bits[i + step]).sum(axis=1, dtype=np.int64)
+            yield self._not_ruled_out(i, i + step, unlike)
+        for lo, hi in zip(begin[~few].tolist(), end[~few].tolist(), strict=True):
+            two = self.side[lo:hi] == 2
+            yield from self._matrix(lo + np.flatnonzero(~two), lo + np.flatnonzero(two)) if two.any() else self._matrix(np.arange(lo, hi))
+
+    def _matrix(self, rows: np.ndarray, others: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows = rows[np.argsort(self.m[rows], kind="stable")]
+        others = rows if others is None else others[np.argsort(self.m[others], kind="stable")]
+        theirs, sizes = np.ascontiguousarray(self.bits[others].T), self.m[others]
+        for at in range(0, len(rows), 128):
+            own = rows[at : at + 128]
+            first = np.searchsorted(sizes, -(-self.m[own[0]] * self.percent // 100))
+            last = np.searchsorted(sizes, self.m[own[-1]] * 100 // self.percent, "right")
+            for lo in range(max(first, at) if others is rows else first, last, 2048):
+                hi = min(last, lo + 2048)
+                unlike = np.zeros((len(own), hi - lo), np.uint16)
+                for w in range(4):
+                    unlike += np.bitwise_count(self.bits[own, w][:, None] ^ theirs[w, lo:hi])
+                i, j = np.nonzero(unlike <= (self.m[own] + sizes[hi - 1])[:, None] * (100 - self.percent) // (100 + self.percent))
+                if others is rows:
+                    i, j = i[at + i < lo + j], j[at + i < lo + j]
+                if len(i):
+                    yield self._not_ruled_out(own[i], others[lo + j], unlike[i, j].astype(np.int64))
+
+    def _not_ruled_out(self, i: np.ndarray, j: np.ndarray, unlike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mi, mj = self.m[i], self.m[j]
+        # two of the upper class meet in their own, too
+        ok = (self.low[i] | self.low[j]) & (unlike * (100 + self.percent) <= (mi + mj) * (100 - self.percent)) & (np.minimum(mi, mj) * 100 >= np.maximum(mi, mj) * self.percent)
+        ok &= ((self.side[i] == 0) | (self.side[i] != self.side[j])) & (self.rep[i] != self.rep[j])
+        return i[ok], j[ok]
+
+    def _decided(self, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of pairs that meet in no part before this one: those that share enough grams."""
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(self.m[i], kind="stable")
+        rows, both = np.unique(np.concatenate([i[order], j[order]]), return_inverse=True)
+        i, j = both[: len(i)], both[len(i) :]
+        g, at = _gram_sets(self.t.take(pa.array(rows)), self.n)
+        m, part, rep = np.diff(at), self.part[rows], self.rep[rows]
+        level = np.searchsorted(self.classes, m, "right") - 1 - ~self.low[rows]
+        keys, begin = _parts(g, at, level, self.percent, self.classes)
+        done = 0
+        while done < len(i):
+            x, y = i[done : done + 4096], j[done : done + 4096]
+            most = max(1, (1 << 20) // int(max(m[x].max(), m[y].max())))
+            x, y = x[:most], y[:most]
+            done += len(x)
+            before = np.arange(part[x].max())
+            inside = before < part[x][:, None]
+            equal = (keys[np.where(inside, begin[x][:, None] + before, 0)] == keys[np.where(inside, begin[y][:, None] + before, 0)]) & inside
+            x, y = x[~equal.any(axis=1)], y[~equal.any(axis=1)]
+            if len(x):
+                shared = _shared(g, at, x, y)
+                similarity = shared / (m[x] + m[y] - shared)
+                ok = similarity * 100 >= self.percent
+                x, y, similarity = rep[x[ok]], rep[y[ok]], similarity[ok]
+                yield np.minimum(x, y), np.maximum(x, y), similarity
+
+
+def _shared(g: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements sets x and y (of g from at on) have in common, pair by pair."""
+    size = np.diff(at)
+    width = int(max(size[x].max(), size[y].max()))
+    places = np.arange(width)
+    rows, surplus = [], 0
+    for which, filled in ((x, np.uint64(0xFFFFFFFFFFFFFFFF)), (y, np.uint64(0xFFFFFFFFFFFFFFFE))):
+        inside = places < size[which][:, None]
+        rows.append(np.where(inside, g[np.where(inside, at[which][:, None] + places, 0)], filled))
+        surplus = surplus + np.maximum(width - size[which] - 1, 0)
+    both = np.sort(np.concatenate(rows, axis=1), axis=1)
+    return (both[:, 1:] == both[:, :-1]).sum(axis=1) - surplus
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by a key, of whole keys at a time."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if held and (last or held[-1].column(key)[0].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """a, b, n: pairs that join what these join, each group's least with its others; n add up to the number of pairs."""
+    top, pairs = {}, {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = x = top[up]
+        return x
+
+    a, b = a.tolist(), b.tolist()
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        top[max(x, y)] = min(x, y)
+    for x in a:
+        r = find(x)
+        pairs[r] = pairs.get(r, 0) + 1
+    ends = [(find(x), x) for x in list(top)]
+    ends = [(r, x) for r, x in ends if r != x]
+    return [r for r, _ in ends], [x for _, x in ends], [pairs.pop(r, 0) for r, _ in ends]
+
+
+def _similar_titles(same: DataFrame, percent: int, n: int, linked: bool = False) -> DataFrame:
+    """a < b, similarity of distinct titles (rep, t), by their n-grams as 64-bit hashes. If
+    linked: a, b, n: fewer pairs that join the same titles, whose n add up to as many as there are.
 
     Grams are dealt into parts by their hash, more parts than similar titles differ in grams,
-    and titles meet where a part is equal. Where many do, the rest of their grams is dealt
-    into parts again and they meet where one of those is equal too, so that chance meetings
-    stay few however many titles there are. Where they meet, 256 bits of each title's grams
-    tell how many grams they differ in at least; only pairs that this leaves are brought
-    together with all their grams."""
-    grams = spread(same, "rep").select("rep", F.transform(ngrams(F.col("t"), n), lambda g: F.xxhash64(g)).alias("g")).where("size(g) > 0")
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 2), F.lit(64)).cast("int"))
-    word = lambda i: F.aggregate("g", F.lit(0).cast("long"), lambda s, h: F.when(F.pmod(h, F.lit(4)) == i, s.bitwiseOR(bit(h))).otherwise(s))
-    bits = [f"b{i}" for i in range(4)]
-    grams = cut(grams.select(F.col("rep").cast("long").alias("rep"), "g", F.size("g").alias("m"), *(word(i).alias(b) for i, b in enumerate(bits))))
-    crowd = lambda rows: cut(rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
-    first = crowd(_meetings(grams, percent))
-    again = crowd(_meetings(grams, percent, first.where(F.col("c") > _MEET).groupBy("rep").agg(F.collect_list("key").alias("hot"))))
-    rows = first.where(F.col("c") <= _MEET).unionByName(again)
-    one, other = rows.alias("x"), rows.alias("y")
-    both = F.col("x.m") + F.col("y.m")
-    unlike = sum(F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits)
-    # two of the upper class meet in their own, too
-    enough = (F.col("x.low") | F.col("y.low")) & (unlike * (100 + percent) <= both * (100 - percent))
-    met = one.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.least("x.m", "y.m") * 100 >= F.greatest("x.m", "y.m") * percent) & enough)
-    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    both = met.join(grams.select(F.col("rep").alias("a"), F.col("g").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("g").alias("gb")), "b")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") * 100 >= percent)
+    and titles meet where a part is equal. There 256 bits of each title's grams tell how many
+    grams they differ in at least, and pairs that this leaves are compared by all their grams
+    in the first of the parts that they share. Titles meet by chance as well, so that
+    comparisons of bits, though not what is sent or held, grow with the square of a crowd."""
+    sets = spread(same, "rep").select(F.col("rep").cast("long").alias("rep"), "t")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (own for whole in batches for own in pieces(whole, "t", 1 << 17)):
+            g, at = _gram_sets(batch.column("t"), n)
+            held = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("t"), pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))], names=["rep", "t", "m", "g"])
+            yield held.filter(pa.array(np.diff(at) > 0))
+
+    grams = sets.mapInArrow(gathered, "rep long, t string, m int, g array<long>")
+    met = spread(_meetings(grams, percent, _crowds(grams, percent)), "key").sortWithinPartitions("key")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _classes(percent)
+        for rows in _by_key(batches, "key"):
+            for a, b, similarity in _Meeting(rows, percent, n, classes).pairs():
+                if linked:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _stars(a, b)], names=["a", "b", "n"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(similarity)], names=["a", "b", "similarity"])
+
+    return met.mapInArrow(compared, f"a long, b long, {'n long' if linked else 'similarity double'}")
 
 
 def title_pairs(records: DataFrame, key: str, title: str, percent: int = 85, n: int = 3) -> DataFrame:

@@ -214,6 +214,53 @@ def test_titles_of_frequent_grams_meet_seldom(spark, monkeypatch):
     assert sum(c * (c - 1) // 2 for c in counts) < 0.02 * n * (n - 1) / 2
 
 
+def near_titles(seed=5, n=260):
+    """Titles with a long beginning in common, so that most parts are shared by chance; some are alike."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 7))))
+    base = " ".join(word() for _ in range(14))[:60]
+    tails = [" ".join(word() for _ in range(4)) for _ in range(n)]
+    tails += [t[: int(rng.integers(1, 8))] for t in tails[:40]] + [t + "x" for t in tails[:40]]
+    titles = sorted({f"{base} {t}"[: int(rng.integers(62, 81))].strip() for t in tails})
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in titles]
+    return titles, {(i, j): len(x & y) / len(x | y) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * len(x & y) >= 85 * len(x | y)}
+
+
+def test_crowds_of_titles_meet_in_blocks(spark, monkeypatch):
+    """No key stands for more than two blocks of titles, and pairs are the same."""
+    monkeypatch.setattr(curation, "_BLOCK", 30)
+    titles, want = near_titles()
+    frame = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    assert {(r.a, r.b): r.similarity for r in curation.title_pairs(frame, "id", "t").collect()} == want and len(want) > 100
+    grams = frame.select(F.col("id").alias("rep"), F.transform(ngrams(F.col("t"), 3), lambda g: F.xxhash64(g)).alias("g"))
+    crowds = curation._crowds(grams, 85)
+    before = curation._meetings(grams, 85).groupBy("key").count().agg(F.max("count")).first()[0]
+    after = curation._meetings(grams, 85, crowds).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert min(crowds.values()) > 30 and before > 150 and after < 3 * 30
+
+
+def met_on_the_driver(titles, sizes=(7, 100)):
+    """What tasks do with titles (rep, t) that meet, however batches cut them: pairs and their similarity."""
+    grams, at = curation._gram_sets(pa.array(titles), 3)
+    sets = pa.RecordBatch.from_arrays([pa.array(range(len(titles))), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))], names=["rep", "g"])
+    rows_ = [(int(k), int(r), titles[r], int(at[r + 1] - at[r]), int(a)) for _, row, keys, ats in curation._split(iter([sets]), 85) for r, k, a in zip(row, keys.view(np.int64), ats, strict=True)]
+    met = pa.table([pa.array(x) for x in zip(*sorted(rows_), strict=True)], names=["key", "rep", "t", "m", "at"])
+    for size in sizes:
+        for held in curation._by_key(iter(met.to_batches(size)), "key"):
+            for found in curation._Meeting(held, 85, 3, curation._classes(85)).pairs():
+                yield size, *found
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_a_pair_is_compared_in_one_part(monkeypatch, most):
+    """As a matrix or one title after the other, and pairs leave a task as soon as there are some."""
+    monkeypatch.setattr(curation, "_MEET", most)
+    monkeypatch.setattr(curation, "_PAIRS", 50)
+    titles, want = near_titles()
+    found = [(size, int(x), int(y), s) for size, a, b, similarity in met_on_the_driver(titles) for x, y, s in zip(a, b, similarity, strict=True)]
+    assert len(found) == 2 * len(want) and all({(x, y): s for at, x, y, s in found if at == size} == want for size in (7, 100))
+
+
 @pytest.mark.parametrize("name", ["highlight_passages", "idf_overlap_top3"])
 @pytest.mark.parametrize("frequent", [1 << 21, 40, 0])
 def test_passages_by_sql_however_few_words_take_weights_along(spark, tmp_path, monkeypatch, name, frequent):
