@@ -383,68 +383,105 @@ def title_pairs(records: DataFrame, key: str, title: str, percent: int = 85, n:
     return _similar_titles(same, percent, n).unionByName(equal)
 
 
-def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Titles kept of components that come one after the other, each as its links (other is
-    not null) and then its rows in the order of their ids. Only a component's links and its
-    kept titles are held."""
-    component, near, slots, at = None, {}, [], {}
-
-    def kept() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([s[0] for s in slots], pa.int64())], names=["kept_id"])
-
-    for batch in batches:
-        for comp, other, i, c, rep in zip(*(batch.column(x).to_pylist() for x in ("component", "other", "id", "c", "rep")), strict=True):
+class _Kept:
+    """Kept titles of a component, each in its place, and where titles were found to belong.
+    What is held grows with the titles, not with the pairs of them that are alike."""
+
+    def __init__(self, percent: int):
+        self.percent, self.slots, self.grams = percent, [], []
+        self.bits, self.sizes = np.zeros((16, 4), np.uint64), np.zeros(16, np.int64)
+        self.found, self.changed = {}, []  # title: place, and how many places had changed by then
+
+    def known(self, rep: int) -> int | None:
+        """The title's place, if no place up to it has changed since it was looked for."""
+        place, then = self.found.get(rep, (None, 0))
+        if place is None or then == len(self.changed):
+            return place
+        if len(self.changed) - then > 64 or min(self.changed[then:]) <= place:
+            return None
+        self.found[rep] = place, len(self.changed)
+        return place
+
+    def look(self, rep: int, g: np.ndarray, bits: np.ndarray) -> int | None:
+        """The first place whose title is like this one."""
+        n, found = len(self.slots), None
+        unlike = np.bitwise_count(self.bits[:n] ^ bits).sum(axis=1, dtype=np.int64)
+        for place in np.flatnonzero(unlike * (100 + self.percent) <= (self.sizes[:n] + len(g)) * (100 - self.percent)).tolist():
+            other = self.grams[place]
+            shared = int((other[np.minimum(np.searchsorted(other, g), len(other) - 1)] == g).sum())
+            if shared / (len(g) + len(other) - shared) * 100 >= self.percent:
+                found = place
+                break
+        if found is not None:
+            self.found[rep] = found, len(self.changed)
+        return found
+
+    def keep(self, place: int | None, rep: int, record: tuple[int, int], g: np.ndarray, bits: np.ndarray) -> None:
+        """A record in the place of another, or, if None, in a new one."""
+        if place is None:
+            place = len(self.slots)
+            self.slots.append(record)
+            self.grams.append(g)
+            if place == len(self.bits):
+                self.bits, self.sizes = np.concatenate([self.bits, np.zeros_like(self.bits)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        else:
+            self.slots[place], self.grams[place] = record, g
+            self.changed.append(place)
+        self.bits[place], self.sizes[place] = bits, len(g)
+        self.found[rep] = place, len(self.changed)
+
+
+def _replayed(batches: Iterator[pa.RecordBatch], percent: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Records kept of components that come one after the other, each in the order of its ids."""
+    component, kept = None, _Kept(percent)
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept.slots], pa.int64())], names=["kept_id"])
+    for batch in (own for whole in batches for own in pieces(whole, "t")):
+        reps, first = np.unique(batch.column("rep").to_numpy(), return_index=True)
+        texts = batch.column("t").take(pa.array(first))
+        (g, at), bits, which = _gram_sets(texts, n), _sketches(texts, n), {rep: x for x, rep in enumerate(reps.tolist())}
+        for comp, i, c, rep in zip(*(batch.column(x).to_pylist() for x in ("component", "id", "c", "rep")), strict=True):
             if comp != component:
-                if slots:
-                    yield kept()
-                component, near, slots, at = comp, {}, [], {}
-            if other is not None:
-                near.setdefault(rep, {rep}).add(other)
-                continue
-            # the first place whose title is like this one
-            place = min((p for r in near.get(rep, (rep,)) for p in at.get(r, ())), default=None)
+                if kept.slots:
+                    yield out()
+                component, kept = comp, _Kept(percent)
+            place, x = kept.known(rep), which[rep]
             if place is None:
-                at.setdefault(rep, set()).add(len(slots))
-                slots.append((i, c, rep))
-            elif c > slots[place][1]:
-                at[slots[place][2]].discard(place)
-                at.setdefault(rep, set()).add(place)
-                slots[place] = (i, c, rep)
-    if slots:
-        yield kept()
+                place = kept.look(rep, g[at[x] : at[x + 1]], bits[x])
+            if place is None or c > kept.slots[place][1]:
+                kept.keep(place, rep, (i, c), g[at[x] : at[x + 1]].copy(), bits[x])
+    if kept.slots:
+        yield out()
 
 
 def greedy_titles(records: DataFrame, key: str, title: str, citations: str, percent: int = 85, n: int = 3) -> DataFrame:
     """key, kept: in the order of keys each title is compared with those kept so far; a
     similar one with more citations takes the place of the kept one, else it goes.
 
-    Similar titles lie in one component of the pairs of distinct titles. If all titles of a
-    component are like each other (as those of a title without any other like it are), the
-    most cited record stays, the first on ties: partial maxima find it, however many records
-    share the title. Records of other components pass through a task in order, which holds
-    no more than the links and the titles kept. Records without a title stay."""
+    Similar titles lie in one component of the pairs of distinct titles, for which pairs that
+    join the same titles do. If all titles of a component are like each other (as those of a
+    title without any other like it are), the most cited record stays, the first on ties:
+    partial maxima find it, however many records share the title. Records of other components
+    pass through a task in order, which compares them with the titles kept and holds these.
+    Records without a title stay."""
     from corpusloom.operators.graph import connected
 
-    named = _titles(records, key, title)
-    cited = records.select(F.col(key).alias("id"), F.coalesce(citations, F.lit(0)).cast("long").alias("c"))
+    told = records.select(F.col(key).alias("id"), normalize_title(F.col(title)).alias("t"), F.coalesce(citations, F.lit(0)).cast("long").alias("c"))
+    told = cut(told.withColumn("t", F.when(F.length("t") > 0, F.col("t"))))
+    named = told.where("t is not null")
     same = cut(named.groupBy("t").agg(F.min("id").alias("rep")))
-    pairs = cut(_similar_titles(same, percent, n))
-    groups = connected(pairs)
+    links = cut(_similar_titles(same, percent, n, linked=True))
+    groups = connected(links.select("a", "b"))
     titles = groups.groupBy("component").agg(F.count("*").alias("titles"))
-    links = pairs.join(groups, pairs.a == groups.node)
-    whole = links.groupBy("component").agg(F.count("*").alias("links")).join(titles, "component").where("2 * links = titles * (titles - 1)").select(F.col("component").alias("whole"))
-    of = cut(groups.join(whole, groups.component == F.col("whole"), "left"))
-    rows = named.join(cited, "id").join(same, "t").join(of, F.col("rep") == F.col("node"), "left").select("id", "c", "rep", "component", "whole", "node")
-    alike = rows.where("node is null or whole is not null").groupBy(F.coalesce("component", "rep").alias("of")).agg(F.max(F.struct("c", (-F.col("id")).alias("i"))).alias("_"))
-    drift = of.where("whole is null").select("node", "component")
-    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    ends = ends.join(drift, F.col("rep") == F.col("node")).select("component", "other", F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("c"), "rep")
-    told = ends.unionByName(rows.where("node is not null and whole is null").select("component", F.lit(None).cast("long").alias("other"), "id", "c", "rep"))
-    replayed = told.repartition("component").sortWithinPartitions("component", F.col("id").asc_nulls_first()).mapInArrow(_replayed, "kept_id long")
+    pairs = links.join(groups, links.a == groups.node).groupBy("component").agg(F.sum("n").alias("pairs"))
+    whole = pairs.join(titles, "component").where("2 * pairs = titles * (titles - 1)").select(F.col("component").alias("whole"))
+    of = groups.join(whole, groups.component == F.col("whole"), "left")
+    rows = cut(named.join(same, "t").join(of, F.col("rep") == F.col("node"), "left").select("id", "c", "t", "rep", "component", "whole"))
+    alike = rows.where("component is null or whole is not null").groupBy(F.coalesce("component", "rep").alias("of")).agg(F.max(F.struct("c", (-F.col("id")).alias("i"))).alias("_"))
+    drift = rows.where("component is not null and whole is null").select("component", "id", "c", "rep", "t")
+    replayed = spread(drift, "component").sortWithinPartitions("component", "id").mapInArrow(lambda batches: _replayed(batches, percent, n), "kept_id long")
     chosen = alike.select((-F.col("_.i")).alias("kept_id")).unionByName(replayed)
-    untitled = cited.join(named, "id", "left_anti").select(F.col("id").alias("kept_id"))
-    kept = chosen.unionByName(untitled).withColumn("_k", F.lit(True))
-    return cited.join(kept, cited.id == kept.kept_id, "left").select(F.col("id").alias(key), F.coalesce("_k", F.lit(False)).alias("kept"))
+    kept = chosen.unionByName(told.where("t is null").select(F.col("id").alias("kept_id"))).withColumn("_k", F.lit(True))
+    return told.select("id").join(kept, F.col("id") == F.col("kept_id"), "left").select(F.col("id").alias(key), F.coalesce("_k", F.lit(False)).alias("kept"))
 
 
 def tier(url: Column, arxiv_id: Column) -> Column:

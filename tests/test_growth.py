@@ -261,6 +261,43 @@ def test_a_pair_is_compared_in_one_part(monkeypatch, most):
     assert len(found) == 2 * len(want) and all({(x, y): s for at, x, y, s in found if at == size} == want for size in (7, 100))
 
 
+def test_titles_are_joined_by_few_pairs(spark):
+    """However many are alike: links grow with the titles, and tell how many pairs there are."""
+    base = "".join(np.random.default_rng(4).choice(list("abcdefghij"), 78))
+    titles = [base[:i] + x + base[i + 1 :] for i in (0, 1, 76, 77) for x in "klmnopqrstuvwxyz"]
+    same = spark.createDataFrame(list(enumerate(titles)), "rep long, t string")
+    links = curation._similar_titles(same, 85, 3, linked=True).collect()
+    assert sum(r.n for r in links) == curation._similar_titles(same, 85, 3).count() == len(titles) * (len(titles) - 1) // 2
+    a, b, n = curation._stars(np.repeat(np.arange(300), 300), np.tile(np.arange(300), 300))
+    assert (a, b, sum(n)) == ([0] * 299, list(range(1, 300)), 90_000)
+    found = curation._stars(np.array([5, 7, 9, 2, 5]), np.array([7, 8, 4, 9, 8]))
+    assert sorted(zip(*found[:2], strict=True)) == [(2, 4), (2, 9), (5, 7), (5, 8)] and sorted(found[2]) == [0, 0, 2, 3]
+
+
+@pytest.mark.parametrize("size", [3, 1_000])
+def test_titles_replayed_are_compared_with_the_kept_ones(size):
+    """Components one after the other, in batches of any size, with places that change their title."""
+    rng = np.random.default_rng(9)
+    rows_, want = [], set()
+    for component in (1, 4, 5):
+        base = "".join(rng.choice(list("abcdefghijklmnop"), 120))
+        titles = sorted({base[i : i + 60] for i in range(0, 60, 2)} | {base[i : i + 62] for i in range(0, 50, 7)})
+        sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in titles]
+        kept = []
+        for _ in range(150):
+            x, c, i = int(rng.integers(0, len(titles))), int(rng.integers(0, 30)), len(rows_)
+            rows_.append((component, i, c, component * 100 + x, titles[x]))
+            at = next((k for k, (_, y, _) in enumerate(kept) if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y])), None)
+            if at is None:
+                kept.append((i, x, c))
+            elif c > kept[at][2]:
+                kept[at] = (i, x, c)
+        want |= {i for i, *_ in kept}
+    told = pa.table([pa.array(x) for x in zip(*rows_, strict=True)], names=["component", "id", "c", "rep", "t"])
+    found = [i for out in curation._replayed(iter(told.to_batches(size)), 85, 3) for i in out.column(0).to_pylist()]
+    assert sorted(found) == sorted(want) and 12 < len(want) < 60
+
+
 @pytest.mark.parametrize("name", ["highlight_passages", "idf_overlap_top3"])
 @pytest.mark.parametrize("frequent", [1 << 21, 40, 0])
 def test_passages_by_sql_however_few_words_take_weights_along(spark, tmp_path, monkeypatch, name, frequent):
