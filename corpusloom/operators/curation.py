@@ -469,7 +469,7 @@ def greedy_titles(records: DataFrame, key: str, title: str, citations: str, perc
     told = cut(told.withColumn("t", F.when(F.length("t") > 0, F.col("t"))))
     named = told.where("t is not null")
     same = cut(named.groupBy("t").agg(F.min("id").alias("rep")))
-    links = cut(_similar_titles(same, percent, n, linked=True))
+    links = cut(_similar_titles(same, percent, n, linked=True).groupBy("a", "b").agg(F.sum("n").alias("n")))
     groups = connected(links.select("a", "b"))
     titles = groups.groupBy("component").agg(F.count("*").alias("titles"))
     pairs = links.join(groups, links.a == groups.node).groupBy("component").agg(F.sum("n").alias("pairs"))

@@ -26,20 +26,21 @@ def pick(values: tuple[str, ...], index: F.Column) -> F.Column:
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with title, journal_rank, citations, year, tier, doi, publisher_doi, venue."""
-    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     group = F.floor(F.col("doc_id") / 3).cast("long")
-    return docs.join(labels, "doc_id", "left").select(
+    # before the join, so that a text goes through it only where it is asked for
+    docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", "source", "n_chars",
         F.substring("text", 1, 80).alias("title"),
         (F.col("doc_id") % 7 + 1).cast("int").alias("journal_rank"),
         (F.col("n_chars") % 50).cast("int").alias("citations"),
         (F.col("doc_id") % 18 + 2009).cast("int").alias("year"),
-        F.when(F.col("quality") == 1, 1).otherwise(2).alias("tier"),
         F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("10."), (group % 16 + 1000).cast("string"), F.lit("/x"), group.cast("string"))).alias("doi"),
         F.when(F.col("doc_id") % 10 != 0, F.concat(pick(PUBLISHERS, group % 16), F.lit("/x"), group.cast("string"))).alias("publisher_doi"),
         pick(VENUES, F.col("doc_id") % len(VENUES)).alias("venue"),
     )
+    tier = F.when(F.col("quality") == 1, 1).otherwise(2).alias("tier")
+    return docs.join(labels, "doc_id", "left").select("doc_id", "text", "lang", "source", "n_chars", "title", "journal_rank", "citations", "year", tier, "doi", "publisher_doi", "venue")
 
 
 def quoted(text: str) -> str:

@@ -15,6 +15,7 @@ from corpusloom.functions.text import ngrams
 from corpusloom.operators import curation, retrieval
 from corpusloom.operators.chunking import packed
 from corpusloom.operators.retrieval import _held
+from corpusloom.plans.standins import papers
 from corpusloom.sources import paged
 from corpusloom.streaming import events as s
 from corpusloom.streaming.state import _Calls, _Pool
@@ -298,6 +299,19 @@ def test_titles_replayed_are_compared_with_the_kept_ones(size):
     assert sorted(found) == sorted(want) and 12 < len(want) < 60
 
 
+def test_whole_texts_are_sent_for_no_title(spark, sf_dir):
+    """Where labels are too many for every task, records meet them by a shuffle."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows_ = papers(spark, sf_dir).select("doc_id", "title", "tier")
+        sent = rows_._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].splitlines()[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Project" in sent and "substring(text" in sent
+    assert papers(spark, sf_dir).columns == ["doc_id", "text", "lang", "source", "n_chars", "title", "journal_rank", "citations", "year", "tier", "doi", "publisher_doi", "venue"]
+
+
 @pytest.mark.parametrize("name", ["highlight_passages", "idf_overlap_top3"])
 @pytest.mark.parametrize("frequent", [1 << 21, 40, 0])
 def test_passages_by_sql_however_few_words_take_weights_along(spark, tmp_path, monkeypatch, name, frequent):
