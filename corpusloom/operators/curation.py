@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from corpusloom.batches import pieces
 from corpusloom.functions import vocabulary as v
-from corpusloom.functions.text import ngrams, normalize_title
+from corpusloom.functions.text import normalize_title
 from corpusloom.session import cut, spread
 
 
